@@ -5,18 +5,90 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import langid, lexicon, metricjoin, mih, packing, pfor, rules, simhash, suffix, wordpiece
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows of largest inner product of each vector whose id is divisible by 20."""
+    return mih.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without byte strings of 200 that occur again."""
+    return suffix.digests(table(spark, sf_dir, "documents"), 200)
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), end_id=0, window=1024)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word-piece lengths of all documents."""
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose 64-bit fingerprints of 4-word shingles link at 4 or fewer differing bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), ngram=4, words=1, radius=4, distinct=False)
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op5_simhash": op5_simhash}
+def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded."""
+    return lexicon.encode_decode(table(spark, sf_dir, "documents"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each document from its text, the language it is declared in and its source's prior."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, declared=F.col("lang"), host=F.col("source"))
+    return found.select("doc_id", F.col("language.lang").alias("lang"), F.col("language.probability").alias("probability"), F.col("language.accepted").alias("accepted"))
+
+
+def op8_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of embeddings linked at cosine 0.95 or more."""
+    return metricjoin.linked(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written to block files and read back."""
+    return pfor.round_trip(table(spark, sf_dir, "documents"), end_id=2)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document, learned from labels outside the held-out third."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return rules.quality(table(spark, sf_dir, "documents"), labels, held_out)
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of each web page: text, ``lang`` of its markup, and its host with the address suffix."""
+    pages = table(spark, sf_dir, "pages")
+    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>", " ")
+    declared = F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-z]+)", 1), F.lit(""))
+    host = F.nullif(F.regexp_extract("url", r"^[a-zA-Z]+://([^/:?#]+)", 1), F.lit(""))
+    found = langid.identify(pages.select("page_id", text.alias("text"), declared.alias("declared"), host.alias("host")), declared=F.col("declared"), host=F.col("host"))
+    return found.select("page_id", F.col("language.lang").alias("lang"), F.col("language.probability").alias("probability"), F.col("language.accepted").alias("accepted"))
+
+
+QUERIES = {
+    "op1_multi_index_hashing": op1_multi_index_hashing,
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_packing": op3_packing,
+    "op4_token_counts": op4_token_counts,
+    "op5_simhash": op5_simhash,
+    "op6_bpe_lexicon": op6_bpe_lexicon,
+    "op7_language": op7_language,
+    "op8_metric_join": op8_metric_join,
+    "op9_token_files": op9_token_files,
+    "op10_quality_rules": op10_quality_rules,
+    "language_of_pages": language_of_pages,
+}
+#: Where SQL can express a query on whole tables in reasonable time.
 ORACLES: dict[str, str] = {}

@@ -25,6 +25,8 @@ from .common import byte_values, components, cut, mix64, partitions
 CHUNK = 8192
 #: Fingerprints looked at on the driver to group bits and estimate candidates.
 SAMPLE = 20_000
+#: Widest radius for which probing misses no link.
+EXACT_RADIUS = 8
 #: Contents (bit counts) of each byte value, least significant bit first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -256,8 +258,12 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, words: int = 4, radius: int
 
     ``ngram``: words in a shingle; ``words``: 64-bit words in a fingerprint;
     ``radius``: differing bits at which two documents still link. With
-    ``parts`` None, partitions and thresholds are allocated so that no link is
-    missed; otherwise the given ones are probed. Null texts count as empty;
+    ``parts`` None and a radius of at most ``EXACT_RADIUS``, partitions and
+    thresholds are allocated so that no link is missed; for wider radii (a
+    similarity of 0.8 is some 40 of 256 bits) probes with that guarantee would
+    reach almost every row, so evenly drawn partitions are probed exactly
+    instead: 40 of 16 bits bring together 95 % of pairs at similarity 0.8 and
+    over 99 % from 0.85. ``parts`` given are probed as they are. Null texts count as empty;
     documents with fewer words than a shingle hash their whole word sequence;
     those without words have fingerprint zero and link like any other. Equal
     fingerprints are collapsed before probing, so any number of copies costs
@@ -267,7 +273,9 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, words: int = 4, radius: int
     fps = cut(fingerprints(docs.where("doc_id is not null").select("doc_id", "text"), ngram, words, distinct))
     unique = fps.groupBy("fp").agg(F.min("doc_id").alias("id"))
     unique = cut(unique.select("id", "fp"))
-    if parts is None:
+    if parts is None and radius > EXACT_RADIUS:
+        parts = sampled_parts(64 * words, 16, 40)
+    elif parts is None:
         rows = unique.count()
         sample = unique.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("fp").toArrow().column(0).combine_chunks()
         parts = allocate(unpack(sample, words), 64 * words, radius, rows)
