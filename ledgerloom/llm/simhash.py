@@ -27,6 +27,8 @@ CHUNK = 8192
 SAMPLE = 20_000
 #: Widest radius for which probing misses no link.
 EXACT_RADIUS = 8
+#: What making, shuffling and sorting one probe costs, in candidate verifications.
+PROBE_COST = 200.0
 #: Contents (bit counts) of each byte value, least significant bit first.
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -130,7 +132,7 @@ def estimate(values: np.ndarray, width: int, t: int, scale: float) -> float:
         hit = (at < len(u)) & (u[np.minimum(at, len(u) - 1)] == (u ^ np.uint64(mask)))
         found += float((c[hit] * c[at[hit]]).sum())
         total += 1
-    return (found - len(values)) * scale**2 + 0.1 * total * len(values) * scale
+    return (found - len(values)) * scale**2 + PROBE_COST * total * len(values) * scale
 
 
 def allocate(sample: np.ndarray, bits: int, radius: int, rows: int, most: int = 6) -> list[tuple[list[int], int]]:
