@@ -34,29 +34,22 @@ def fold(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.upper(F.translate(text_of(c), ACCENTED, PLAIN)), r"\s+", " "))
 
 
-def _decimal_mark(c: Column) -> Column:
-    """The last of comma and point is the decimal mark, the other groups thousands."""
-    comma, point = F.locate(",", F.reverse(c)), F.locate(".", F.reverse(c))
-    return (
-        F.when((comma > 0) & (point > 0) & (comma < point), F.replace(F.replace(c, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when((comma > 0) & (point > 0), F.replace(c, F.lit(","), F.lit("")))
-        .otherwise(F.replace(c, F.lit(","), F.lit(".")))
-    )
+def _number(c: Column) -> Column:
+    """Unsigned number: the last of comma and point is the decimal mark, others group thousands; one mark alone may stand once."""
+    lone = c.rlike(r"^[^.]*,[^.]*,[^.]*$|^[^,]*\.[^,]*\.[^,]*$")
+    return F.when(~lone, F.replace(F.regexp_replace(c, r"[.,](?=.*[.,])", ""), F.lit(","), F.lit("."))).try_cast("double")
 
 
 def money_document(raw: Column) -> Column:
     """Amount printed on a document (B1): blanks dropped; minus or bracket in front means negative."""
-    c = F.regexp_replace(text_of(raw), "[  ]", "")
-    value = F.regexp_replace(F.regexp_replace(c, r"^[-(]+", ""), r"\)+$", "").alias("v")
-    number = _decimal_mark(value).try_cast("double")
-    return F.when(c.rlike(r"^[-(]"), -F.abs(number)).otherwise(number)
+    value = _number(F.regexp_replace(text_of(raw), r"^[   ]*[-(]+|\)+[   ]*$|[   ]", ""))
+    return F.when(raw.rlike(r"^[   ]*[-(]"), -value).otherwise(value)
 
 
 def money_bank(raw: Column) -> Column:
     """Amount in a bank file (B2): everything but digits, marks and minus is dropped."""
-    c = F.regexp_replace(text_of(raw), r"\s", "")
-    number = _decimal_mark(F.regexp_replace(c, r"[^0-9,.\-]", "")).try_cast("double")
-    return F.when(c.rlike(r"^[-(]"), -F.abs(number)).otherwise(number)
+    value = F.abs(_number(F.regexp_replace(text_of(raw), r"^\s*-|[^0-9,.\-]", "")))
+    return F.when(raw.rlike(r"^\s*[-(]"), -value).otherwise(value)
 
 
 def money_delivery(raw: Column) -> Column:

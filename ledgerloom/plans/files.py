@@ -1,2 +1,103 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Queries of file formats and ledger storage: rows are rendered to text, read as a source would, and compared."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ledgerloom.plans.bank import TXNS
+from ledgerloom.sources import bank_files as B
+from ledgerloom.sources import driver_tables as D
+
+
+def _folder(spark) -> str:
+    """A new folder in the checkpoint folder that driver and executors share; local only where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="ledgerloom-")
+    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def a01_statement_files(spark, sf_dir):
+    """Statements of a few dossiers a file, written as delimited text and read back as movements."""
+    p = D.payments(spark, sf_dir).withColumn("k", F.pmod("dossier", F.lit(8)))
+    row = F.concat_ws(";", F.date_format("date", "dd/MM/yyyy"), F.replace("label", F.lit(","), F.lit(" ")), F.when(F.col("amount") < 0, F.replace((-F.col("amount")).cast("string"), F.lit("."), F.lit(","))).otherwise(""), F.when(F.col("amount") >= 0, F.replace(F.col("amount").cast("string"), F.lit("."), F.lit(","))).otherwise(""), F.concat_ws("/", "dossier", "txn"))
+    path = _folder(spark)
+    lines = p.groupBy("k").agg(F.concat(F.lit("Banque Atlas\nDate opération;Libellé;Débit;Crédit;Référence\n"), F.array_join(F.array_sort(F.collect_list(row)), "\n")).alias("value"))
+    lines.repartition(8, "k").select("value", "k").write.partitionBy("k").text(path)
+    return B.transactions(spark, f"{path}/k=*/*.txt").groupBy("date", "kind").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("amount"))
+
+
+def a05_json_movements(spark, sf_dir):
+    """Movements given as JSON arrays."""
+    p = D.payments(spark, sf_dir)
+    item = F.struct(F.col("date").cast("string").alias("date"), F.col("label").alias("libelle"), F.abs("amount").cast("string").alias("montant"), F.when(F.col("amount") < 0, "debit").otherwise("credit").alias("type"))
+    raw = p.groupBy(F.col("dossier").alias("doc")).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("json"))
+    return B.normalise_json(raw).select("doc", "date", "label", "amount", "kind")
+
+
+def a06_platform_orders(spark, sf_dir):
+    """Orders of the platform's export."""
+    return D.platform_orders(spark, sf_dir).select("order_id", "status", F.col("amount").cast("double").alias("amount"), F.col("fee").cast("double").alias("fee"), "half")
+
+
+def _ledger(spark, sf_dir):
+    return D.invoice_lines(spark, sf_dir).select("dossier", "pos", "fact_num", F.col("ttc").cast("string").alias("ttc"), F.col("pct").cast("string").alias("taux"))
+
+
+def a09_ledger_json(spark, sf_dir):
+    """Ledgers stored as JSON and read as rows."""
+    return B.explode_ledger(B.collect_ledger(_ledger(spark, sf_dir))).select("dossier", "at", "pos", "fact_num", F.col("ttc").cast("double").alias("ttc"))
+
+
+def a10_upsert_ledgers(spark, sf_dir):
+    """Ledgers after replacing those of even dossiers by their first lines."""
+    lines = _ledger(spark, sf_dir)
+    merged = B.upsert_ledgers(B.collect_ledger(lines), B.collect_ledger(lines.where("dossier % 2 = 0 and pos <= 3")))
+    return B.explode_ledger(merged).groupBy("dossier").agg(F.count("*").alias("n"))
+
+
+def a11_parse_lines(spark, sf_dir):
+    """Extracted JSON lines with errors kept."""
+    lines = D.invoice_lines(spark, sf_dir)
+    item = F.struct("pos", "fact_num", F.when(F.col("pos") % 41 == 0, "illisible").otherwise(F.col("ht").cast("string")).alias("m_ht"), F.col("tva").cast("string").alias("tva"), F.when(F.col("pos") % 7 == 0, "33").otherwise(F.col("pct").cast("string")).alias("taux"))
+    raw = lines.groupBy(F.col("dossier").alias("doc")).agg(F.to_json(F.array_sort(F.collect_list(item))).alias("json"))
+    return B.parse_lines(raw).select("doc", (F.col("pos") + 1).cast("long").alias("pos"), "ht", "pct", "warning")
+
+
+def a15_reference(spark, sf_dir):
+    """Lines by VAT code through the reference dimensions."""
+    from ledgerloom.functions.scalars import VAT_CODES
+
+    codes = spark.createDataFrame([(d, p, c) for (d, p), c in VAT_CODES.items()], "designation string, pct int, code int")
+    return D.invoice_lines(spark, sf_dir).join(F.broadcast(codes), ["designation", "pct"]).groupBy("code").agg(F.count("*").alias("n"))
+
+
+def a17_payload(spark, sf_dir):
+    """Bytes of each ledger as JSON against its summary."""
+    ledgers = B.collect_ledger(_ledger(spark, sf_dir))
+    return ledgers.select("dossier", (F.octet_length("lines") > F.octet_length(F.to_json(F.struct("dossier")))).alias("larger"))
+
+
+def a18_newest_statement(spark, sf_dir):
+    """Movements that stay when the newest statement of each dossier replaces the others."""
+    p = D.payments(spark, sf_dir).withColumn("file", F.date_format("date", "yyyy-MM"))
+    newest = p.groupBy("dossier").agg(F.max("file").alias("file"))
+    return p.join(newest, ["dossier", "file"]).groupBy("dossier", "file").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"))
+
+
+QUERIES = {f.__name__: f for f in (a01_statement_files, a05_json_movements, a06_platform_orders, a09_ledger_json, a10_upsert_ledgers, a11_parse_lines, a15_reference, a17_payload, a18_newest_statement)}
+ORACLES = {
+    "a01_statement_files": f"WITH {TXNS} SELECT strftime(date, '%Y-%m-%d') AS date, kind, count(*) AS n, CAST(round(sum(amount), 2) AS DOUBLE) AS amount FROM txns GROUP BY date, kind",
+    "a05_json_movements": f"WITH {TXNS} SELECT dossier AS doc, CAST(date AS VARCHAR) AS date, label, CAST(amount AS DOUBLE) AS amount, kind FROM txns",
+    "a06_platform_orders": f"WITH {D.ORDERS} SELECT order_id, status, CAST(amount AS DOUBLE) AS amount, CAST(fee AS DOUBLE) AS fee, half FROM porders",
+    "a09_ledger_json": f"WITH {D.LINES} SELECT dossier, CAST(pos - 1 AS INTEGER) AS at, pos, fact_num, CAST(ttc AS DOUBLE) AS ttc FROM lines".replace(" AS at,", ' AS "at",'),
+    "a10_upsert_ledgers": f"WITH {D.LINES} SELECT dossier, CASE WHEN dossier % 2 = 0 THEN least(count(*), 3) ELSE count(*) END AS n FROM lines GROUP BY dossier",
+    "a11_parse_lines": f"WITH {D.LINES}, x AS (SELECT *, CASE WHEN pos % 41 = 0 THEN NULL ELSE ht END AS h FROM lines) SELECT dossier AS doc, pos, CAST(h AS DOUBLE) AS ht, CASE WHEN pos % 7 <> 0 THEN pct WHEN h IS NULL OR abs(h) < 0.01 THEN 20 WHEN abs(tva) < 0.05 THEN 0 WHEN abs(tva) BETWEEN abs(h) * 0.075 AND abs(h) * 0.125 THEN 10 ELSE 20 END AS pct, CASE WHEN h IS NULL THEN 'unreadable amount' ELSE '' END AS warning FROM x",
+    "a15_reference": f"WITH {D.LINES}, codes(d, p, code) AS (VALUES ('MATIERES CONSOMMABLES', 20, 146), ('MATIERES CONSOMMABLES', 10, 150), ('PRESTATIONS', 20, 140), ('TELEPHONIE', 20, 140), ('FRAIS BANCAIRE', 10, 142)) SELECT code, count(*) AS n FROM lines JOIN codes ON d = designation AND p = pct GROUP BY code",
+    "a17_payload": f"WITH {D.LINES} SELECT DISTINCT dossier, true AS larger FROM lines",
+    "a18_newest_statement": f"WITH {TXNS}, f AS (SELECT *, strftime(date, '%Y-%m') AS file FROM payments) SELECT dossier, file, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS amount FROM f WHERE file = (SELECT max(file) FROM f g WHERE g.dossier = f.dossier) GROUP BY dossier, file",
+}

@@ -1,2 +1,76 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Streaming queries: the derived tables are replayed as streams of files, and the final state is returned."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ledgerloom.operators import lines as L
+from ledgerloom.plans.files import _folder
+from ledgerloom.sources import driver_tables as D
+from ledgerloom.streaming import jobs as J
+
+
+def _replay(df: DataFrame, files: int = 4) -> DataFrame:
+    """Write a table as files and open them as a stream."""
+    spark, path = df.sparkSession, _folder(df.sparkSession)
+    df.repartition(files).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+
+
+def _settle(stream: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over what is there; every trigger writes to a table of its own, in the shared folder."""
+    spark, path = stream.sparkSession, _folder(stream.sparkSession)
+
+    def put(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").queryName(f"q{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("epoch", T.IntegerType())])
+    return spark.read.schema(schema).parquet(f"{path}/out/epoch=*")
+
+
+def k05_half_months(spark, sf_dir):
+    """Totals of each half-month as the order stream leaves them: the last update of each."""
+    orders = D.platform_orders(spark, sf_dir).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    out = _settle(J.half_month_totals(_replay(orders), "20000 days"), "update")
+    return out.groupBy("month", "half").agg(*[F.max_by(c, "epoch").cast("double").alias(c) for c in ("orders", "collected", "fees")])
+
+
+def k03_first_files(spark, sf_dir):
+    """Source ids taken in once from the document stream."""
+    docs = D.documents(spark, sf_dir).where("source_id <> ''").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    return _settle(J.first_of_each(_replay(docs.select("id", "source_id", "created_at")), "20000 days"), "append").groupBy("source_id").agg(F.count("*").alias("n"))
+
+
+def k01_import(spark, sf_dir):
+    """Ledgers after new lines arrived as a stream: the same as merging them at once, up to which copy came first."""
+    lines = D.invoice_lines(spark, sf_dir).select("dossier", "pos", "source_file", "source_id", "fact_num", "pct")
+    old, path = lines.where("pos % 2 = 0"), _folder(spark)
+    old.withColumn("origin", F.lit(0)).write.parquet(f"{path}/0")
+    state = {"at": 0}
+
+    def read() -> DataFrame:
+        return spark.read.parquet(f"{path}/{state['at']}").drop("origin")
+
+    def write(merged: DataFrame, epoch: int) -> None:
+        merged.write.mode("overwrite").parquet(f"{path}/{epoch + 1}")
+        state["at"] = epoch + 1
+
+    new = _replay(lines.where("pos % 2 = 1"))
+    query = new.writeStream.foreachBatch(J.merge_into(read, write, L.merge_lines)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return read().groupBy("dossier").agg(F.count("*").alias("n"), F.countDistinct(L.merge_key()).alias("keys"))
+
+
+QUERIES = {f.__name__: f for f in (k01_import, k03_first_files, k05_half_months)}
+KEY = "CASE WHEN source_id <> '' THEN source_id WHEN contains(source_file, '/') THEN lower(string_split(source_file, '/')[-2] || '/' || string_split(source_file, '/')[-1]) ELSE lower(source_file) END || '|' || lower(fact_num) || '|' || pct"
+ORACLES = {
+    "k01_import": f"WITH {D.LINES}, o AS (SELECT dossier, pos, CASE WHEN pos % 2 = 0 THEN 0 ELSE 1 END AS origin, {KEY} AS k FROM lines), r AS (SELECT *, row_number() OVER (PARTITION BY dossier, k ORDER BY origin, pos) AS n FROM o) SELECT dossier, count(*) AS n, count(DISTINCT k) AS keys FROM r WHERE origin = 0 OR n = 1 GROUP BY dossier",
+    "k03_first_files": f"WITH {D.DOCUMENTS} SELECT source_id, CAST(1 AS BIGINT) AS n FROM docs WHERE source_id <> '' GROUP BY source_id",
+    "k05_half_months": f"WITH {D.ORDERS} SELECT month, half, CAST(count(*) AS DOUBLE) AS orders, CAST(sum(CASE WHEN status = 'DELIVERED' THEN amount ELSE 0 END) AS DOUBLE) AS collected, CAST(sum(fee) AS DOUBLE) AS fees FROM porders GROUP BY month, half",
+}

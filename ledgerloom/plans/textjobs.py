@@ -37,12 +37,19 @@ INV = f"{D.LINES}, per0 AS (SELECT dossier, fact_num, pct, CAST(sum(ht) AS DECIM
 SENSE = "(tva < 0.05 OR tva BETWEEN ht * 0.08 AND ht * 0.12 OR tva BETWEEN ht * 0.18 AND ht * 0.22)"
 
 
-def _rows(name, column, fn):
-    def query(spark, sf_dir):
-        return invoices(spark, sf_dir).select("dossier", "fact_num", F.inline(fn(F.col(column)))).select("dossier", "fact_num", "pct", "ht", "tva", "ttc")
+def d01_ventilation(spark, sf_dir):
+    """Rate rows printed as TTC with a rate."""
+    return T.ventilation(invoices(spark, sf_dir), ["dossier", "fact_num"])
 
-    query.__name__ = name
-    return query
+
+def d02_rate_table(spark, sf_dir):
+    """Rate rows of tables."""
+    return T.rate_table(invoices(spark, sf_dir), ["dossier", "fact_num"])
+
+
+def d03_best_rows(spark, sf_dir):
+    """Better rate rows of each document."""
+    return T.best_rows(invoices(spark, sf_dir), ["dossier", "fact_num"])
 
 
 def _field(called, **fields):
@@ -60,21 +67,32 @@ def d08_detail_rows(spark, sf_dir):
 
 def d09_details_match(spark, sf_dir):
     """Whether detail rows sum up to the footer."""
-    return invoices(spark, sf_dir).withColumn("t", T.document_totals(T.footer(F.col("detailed")))).select("dossier", "fact_num", T.details_match(T.detail_rows(F.col("detailed")), F.col("t")).alias("match"))
+    d = T.with_footer(invoices(spark, sf_dir), "detailed").withColumns({"t": T.document_totals(F.col("footer")), "rows": T.detail_rows(F.col("detailed"))})
+    return d.select("dossier", "fact_num", T.details_match(F.col("rows"), F.col("t")).alias("match"))
+
+
+def d04_footer(spark, sf_dir):
+    """Totals of each document's footer."""
+    return T.with_footer(invoices(spark, sf_dir)).select("dossier", "fact_num", "footer.*")
+
+
+def d05_document_totals(spark, sf_dir):
+    """Coherent totals of each document."""
+    return T.with_footer(invoices(spark, sf_dir)).select("dossier", "fact_num", T.document_totals(F.col("footer"))["ttc"].alias("ttc"))
 
 
 def d06_credit_totals(spark, sf_dir):
     """Totals of credit notes rendered from the invoices."""
-    i = invoices(spark, sf_dir).withColumn("f", T.footer(F.col("text")))
-    c = lambda x: F.format_number(F.col(f"f.{x}"), "0.00")
+    i = T.with_footer(invoices(spark, sf_dir), into="f")
+    c = lambda x: F.format_string("%.2f", F.col(f"f.{x}"))
     text = F.concat(F.lit("AVOIR N° A1\nNet à payer\n"), F.replace(c("ttc"), F.lit("."), F.lit(",")), F.lit(" DH\n"), F.replace(c("tva"), F.lit("."), F.lit(",")), F.lit(" DH\n"), F.replace(c("ht"), F.lit("."), F.lit(",")), F.lit("\nARRETEE la présente"))
     return i.where("f.tva > 0").select("dossier", "fact_num", T.credit_totals(text).alias("t")).select("dossier", "fact_num", "t.*")
 
 
 def d07_currency_totals(spark, sf_dir):
     """Amounts in currency rendered from the invoices."""
-    i = invoices(spark, sf_dir).withColumn("f", T.footer(F.col("text")))
-    c = lambda x: F.concat(F.format_number(F.col(f"f.{x}"), "0.00"), F.lit("MAD\n"))
+    i = T.with_footer(invoices(spark, sf_dir), into="f")
+    c = lambda x: F.concat(F.format_string("%.2f", F.col(f"f.{x}")), F.lit("MAD\n"))
     return i.where("f.tva > 0").select("dossier", "fact_num", T.currency_totals(F.concat(F.lit("Ticket\n"), c("ttc"), c("ht"), c("tva"))).alias("t")).select("dossier", "fact_num", "t.*")
 
 
@@ -109,13 +127,13 @@ def d17_delivery(spark, sf_dir):
     s = D.platform_services(spark, sf_dir)
     row = F.concat_ws(" ", F.lit("Serv. On Demand"), "order_id", F.concat("month", F.lit("-01")), F.lit("1"), F.col("ht").cast("string"), F.lit("20"), F.round(F.col("ht") * F.lit("0.20").cast("decimal(3,2)"), 2).cast("decimal(18,2)").cast("string"), F.round(F.col("ht") * F.lit("1.20").cast("decimal(3,2)"), 2).cast("decimal(18,2)").cast("string"), F.lit("MAD"))
     t = s.groupBy("month", "half").agg(F.concat(F.lit("MA-FVR1 "), F.array_join(F.collect_list(row), " "), F.lit(" Total de la facture (TTC) "), F.sum("ht").cast("string"), F.lit(" MAD Montant collecté 1,000.50 MAD Montant à payer au partenaire -12.00 MAD")).alias("text"))
-    e = t.select("month", "half", T.delivery_services(F.col("text")).alias("s"), T.delivery_summary(F.col("text")).alias("x"))
-    return e.select("month", "half", F.size("s").alias("services"), F.round(F.aggregate("s", F.lit(0.0), lambda a, r: a + r["ht"]), 2).alias("ht"), "x.number", "x.ttc", "x.collected", "x.payout")
+    rows = T.delivery_services(t, ["month", "half"]).groupBy("month", "half").agg(F.count("*").alias("services"), F.round(F.sum("ht"), 2).alias("ht"))
+    return rows.join(t.select("month", "half", T.delivery_summary(F.col("text")).alias("x")), ["month", "half"]).select("month", "half", "services", "ht", "x.*")
 
 
 def _statements(spark, sf_dir):
     p = D.payments(spark, sf_dir).where("txn like '%1' or txn like '%2'")
-    row = F.concat_ws(" ", "label", F.date_format("date", "dd/MM/yyyy"), F.replace(F.col("amount").cast("string"), F.lit("."), F.lit(",")))
+    row = F.concat_ws(" : ", "label", F.date_format("date", "dd/MM/yyyy"), F.replace(F.col("amount").cast("string"), F.lit("."), F.lit(",")))
     return p.groupBy(F.col("dossier").alias("doc")).agg(F.concat(F.lit("ATTIJARI BANK\nICE : 000111222333444 RC : 333 IF : 1084612\nSolde initial 01/01/2024 100,00\n"), F.array_join(F.array_sort(F.collect_list(row)), "\n")).alias("text"))
 
 
@@ -130,16 +148,11 @@ def d19_bank_rows(spark, sf_dir):
 
 
 QUERIES = {
-    "d01_ventilation": _rows("d01", "text", T.ventilation),
-    "d02_rate_table": _rows("d02", "text", T.rate_table),
-    "d03_best_rows": _rows("d03", "text", T.best_rows),
-    "d04_footer": _field("d04", ht=lambda t: T.footer(t)["ht"], tva=lambda t: T.footer(t)["tva"], ttc=lambda t: T.footer(t)["ttc"]),
-    "d05_document_totals": _field("d05", ttc=lambda t: T.document_totals(T.footer(t))["ttc"]),
     "d10_invoice_number": _field("d10", number=lambda t: T.invoice_number(t, F.col("filename"))),
     "d11_supplier_name": _field("d11", name=lambda t: T.supplier_name(t, F.col("client"))),
     "d12_supplier_ice": _field("d12", ice=lambda t: T.supplier_ice(t, F.col("client_ice"))),
     "d13_supplier_if": _field("d13", fiscal=T.supplier_if, others=lambda t: F.array_join(F.array_sort(T.other_ids(t)), ",")),
-} | {f.__name__: f for f in (d06_credit_totals, d07_currency_totals, d08_detail_rows, d09_details_match, d14_segments, d15_page_groups, d16_extract, d17_delivery, d18_bank_identity, d19_bank_rows)}
+} | {f.__name__: f for f in (d01_ventilation, d02_rate_table, d03_best_rows, d04_footer, d05_document_totals, d06_credit_totals, d07_currency_totals, d08_detail_rows, d09_details_match, d14_segments, d15_page_groups, d16_extract, d17_delivery, d18_bank_identity, d19_bank_rows)}
 
 VALUES = "CAST({0}ht AS DOUBLE) AS ht, CAST({0}tva AS DOUBLE) AS tva, CAST({0}ttc AS DOUBLE) AS ttc"
 ALL = VALUES.format("")
@@ -157,8 +170,8 @@ ORACLES = {
     "d11_supplier_name": f"WITH {INV} SELECT dossier, fact_num, 'ATLAS DISTRIB SARL' AS name FROM inv",
     "d12_supplier_ice": f"WITH {INV} SELECT dossier, fact_num, CASE WHEN ice = '000000000000001' THEN '' ELSE ice END AS ice FROM inv",
     "d13_supplier_if": f"WITH {INV} SELECT dossier, fact_num, fiscal, '4567,7654321' AS others FROM inv",
-    "d16_extract": f"WITH {INV} SELECT dossier || '/' || fact_num AS doc, fact_num, 'ATLAS DISTRIB SARL' AS lib_frss, CASE WHEN ice = '000000000000001' THEN '' ELSE ice END AS ice_frs, fiscal AS if_number, CAST(inv.day AS VARCHAR) AS date_fac, 'MATIERES CONSOMMABLES' AS designation, pct, {VALUES.format('per.')} FROM inv JOIN per USING (dossier, fact_num) WHERE odd = 0 OR (per.tva < 0.05 OR per.tva BETWEEN per.ht * 0.08 AND per.ht * 0.12 OR per.tva BETWEEN per.ht * 0.18 AND per.ht * 0.22)",
-    "d17_delivery": f"WITH {D.ORDERS} SELECT month, half, CAST(count(*) AS INTEGER) AS services, CAST(sum(ht) AS DOUBLE) AS ht, 'MA-FVR1' AS number, CAST(sum(ht) AS DOUBLE) AS ttc, CAST(1000.5 AS DOUBLE) AS collected, CAST(12 AS DOUBLE) AS payout FROM services GROUP BY month, half",
+    "d16_extract": f"WITH {INV}, good AS (SELECT * FROM per WHERE odd = 0 OR {SENSE}), r AS (SELECT dossier, fact_num, pct, {ALL} FROM good UNION ALL SELECT dossier, fact_num, CASE WHEN abs(tva) < 0.05 THEN 0 WHEN tva BETWEEN ht * 0.075 AND ht * 0.125 THEN 10 ELSE 20 END, {ALL} FROM inv WHERE NOT EXISTS (SELECT 1 FROM good WHERE good.dossier = inv.dossier AND good.fact_num = inv.fact_num)) SELECT dossier || '/' || fact_num AS doc, fact_num, 'ATLAS DISTRIB SARL' AS lib_frss, CASE WHEN ice = '000000000000001' THEN '' ELSE ice END AS ice_frs, fiscal AS if_number, CAST(day AS VARCHAR) AS date_fac, 'MATIERES CONSOMMABLES' AS designation, pct, r.ht, r.tva, r.ttc FROM r JOIN (SELECT dossier, fact_num, ice, fiscal, day FROM inv) USING (dossier, fact_num)",
+    "d17_delivery": f"WITH {D.ORDERS} SELECT month, half, count(*) AS services, CAST(sum(ht) AS DOUBLE) AS ht, 'MA-FVR1' AS number, CAST(sum(ht) AS DOUBLE) AS ttc, CAST(1000.5 AS DOUBLE) AS collected, CAST(12 AS DOUBLE) AS payout FROM services GROUP BY month, half",
     "d18_bank_identity": f"WITH {D.LINES}, {D.PAYMENTS} SELECT DISTINCT dossier AS doc, 'ATTIJARI BANK' AS name, '000111222333444' AS ice, '1084612' AS fiscal FROM payments WHERE txn LIKE '%1' OR txn LIKE '%2'",
     "d19_bank_rows": f"WITH {D.LINES}, {D.PAYMENTS} SELECT dossier AS doc, CAST(date AS VARCHAR) AS date, CAST(amount AS DOUBLE) AS amount FROM payments WHERE txn LIKE '%1' OR txn LIKE '%2'",
 }
