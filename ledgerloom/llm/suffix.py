@@ -19,7 +19,7 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_values, mix64, partitions, shared_dir
@@ -30,6 +30,8 @@ GRAM = 64
 PIECE, ARRAY = 1 << 21, 1 << 20
 #: Distinct segments of one minimiser that share a task; more are dealt as pairs of chunks.
 CHUNK = 4096
+#: Salts that the rows of one segment are dealt by.
+SALTS = 64
 
 
 def words_at(buffer: np.ndarray, order: str) -> np.ndarray:
@@ -220,7 +222,11 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
     alike = found.where("alike").select("rid", F.array(whole).alias("spans"))
     mixed = found.where("not alike")
     distinct = mixed.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("rid", "first", "n")).alias("x")).select("h", "g", "c", "x.*")
-    copied = mixed.join(distinct.where("c > 1").select("h", "g"), ["h", "g"]).select("rid", F.array(whole).alias("spans"))
+    # rows of a hot segment recognise each other within a salt; only those alone in theirs look their count up
+    salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS))
+    salted = mixed.select("h", "g", "rid", "first", "n").withColumn("same", F.count("*").over(Window.partitionBy("h", "g", salt)))
+    sure = salted.where("same > 1").select("rid", F.array(whole).alias("spans"))
+    copied = salted.where("same = 1").join(distinct.where("c > 1").select("h", "g"), ["h", "g"]).select("rid", F.array(whole).alias("spans"))
 
     crowd = distinct.groupBy("h").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k"))
     dealt = distinct.join(crowd, "h").withColumn("a", F.pmod("g", F.col("k")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -264,7 +270,7 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
     placed = texts.repartition(n_parts, "rid")
     cut = placed.join(wanted, "rid").select("rid", "text", "wanted").mapInArrow(extract, "h long, ci int, cj int, known boolean, first int, n int, rid long, bytes binary")
     decided = cut.repartition(n_parts, "h", "ci", "cj").sortWithinPartitions("h", "ci", "cj").mapInArrow(decide, "rid long, spans array<struct<s:int,e:int>>")
-    return alike.unionByName(copied).unionByName(decided).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return alike.unionByName(sure).unionByName(copied).unionByName(decided).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def merged(spans: list | None) -> list[tuple[int, int]]:
