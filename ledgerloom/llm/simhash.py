@@ -55,7 +55,7 @@ def fingerprint(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     full = np.empty((n, words), "<u8")
     full[:, 0] = hashes
     for k in range(1, words):
-        full[:, k] = mix64(hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15))
+        full[:, k] = mix64(hashes + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64))
     counts = np.zeros((words * 8, 256), np.int64)
     offsets = np.arange(words * 8, dtype=np.int32) * 256
     for at in range(0, n, 16384):
@@ -255,17 +255,16 @@ def bucket_pairs(keyed: DataFrame) -> DataFrame:
     return both.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).select("key", F.least("x", "y").alias("ci"), F.greatest("x", "y").alias("cj"), "id", "fp")
 
 
-def near_duplicates(docs: DataFrame, ngram: int = 5, words: int = 4, radius: int = 40, distinct: bool = True, parts: list[tuple[list[int], int]] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, ngram: int = 5, words: int = 4, radius: int = 46, distinct: bool = True, parts: list[tuple[list[int], int]] | None = None) -> DataFrame:
     """Near-duplicate components of ``docs(doc_id, text)``: ``(doc_id, fp, component_id)``.
 
     ``ngram``: words in a shingle; ``words``: 64-bit words in a fingerprint;
     ``radius``: differing bits at which two documents still link. With
     ``parts`` None and a radius of at most ``EXACT_RADIUS``, partitions and
     thresholds are allocated so that no link is missed; for wider radii (a
-    similarity of 0.8 is some 40 of 256 bits) probes with that guarantee would
+    similarity of 0.8 is 39 of 256 bits on average) probes with that guarantee would
     reach almost every row, so evenly drawn partitions are probed exactly
-    instead: 40 of 16 bits bring together 95 % of pairs at similarity 0.8 and
-    over 99 % from 0.85. ``parts`` given are probed as they are. Null texts count as empty;
+    instead: 56 of 14 bits bring together some 99 % of pairs at similarity 0.8. ``parts`` given are probed as they are. Null texts count as empty;
     documents with fewer words than a shingle hash their whole word sequence;
     those without words have fingerprint zero and link like any other. Equal
     fingerprints are collapsed before probing, so any number of copies costs
@@ -276,7 +275,7 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, words: int = 4, radius: int
     unique = fps.groupBy("fp").agg(F.min("doc_id").alias("id"))
     unique = cut(unique.select("id", "fp"))
     if parts is None and radius > EXACT_RADIUS:
-        parts = sampled_parts(64 * words, 16, 40)
+        parts = sampled_parts(64 * words, 14, 56)
     elif parts is None:
         rows = unique.count()
         sample = unique.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("fp").toArrow().column(0).combine_chunks()
