@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import langid, packing, rules, simhash, suffix
 
-#: Differing bits of 256 at which 5-word shingle sets count as similar (0.8 and more).
-NEAR_BITS = 46
+#: Jaccard similarity from which 5-word shingle sets are near copies, decided on the sets themselves.
+NEAR = 0.8
+#: Differing bits of 256 up to which they are candidates: mean and three standard deviations at that similarity.
+NEAR_BITS = 57
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +33,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies."""
-    found = simhash.near_duplicates(docs, ngram=5, words=4, radius=NEAR_BITS)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    found = simhash.similar(docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text"), NEAR, ngram=5, words=4, radius=NEAR_BITS)
+    gone = found.where("id <> root").select(F.col("id").alias("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

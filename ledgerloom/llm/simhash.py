@@ -25,6 +25,8 @@ from .common import byte_values, components, cut, mix64, partitions
 CHUNK = 8192
 #: Fingerprints looked at on the driver to group bits and estimate candidates.
 SAMPLE = 20_000
+#: Bytes of text in one chunk of a verification cell, about.
+CELL_BYTES = 16 << 20
 #: Widest radius for which probing misses no link.
 EXACT_RADIUS = 8
 #: What making, shuffling and sorting one probe costs, in candidate verifications.
@@ -289,3 +291,85 @@ def sampled_parts(bits: int, width: int, number: int) -> list[tuple[list[int], i
     """Partitions of evenly drawn bits (fixed sequence), each probed exactly: for radii too wide for a full guarantee."""
     rng = np.random.default_rng(42)
     return [(sorted(rng.choice(bits, width, replace=False).tolist()), 0) for _ in range(number)]
+
+
+def signatures(rows: DataFrame, ngram: int, words: int) -> DataFrame:
+    """``(id, fp, sig, n)`` of each row: fingerprint and 128-bit digest of the shingle set, bytes of the text."""
+
+    def run(batches):
+        for batch in batches:
+            fps, sigs, sizes = [], [], []
+            for text in byte_values(batch.column(1)):
+                h = np.unique(shingle_hashes(text, ngram))
+                fps.append(fingerprint(h, words).view(np.int64).tolist())
+                sigs.append(xxhash.xxh3_128_digest(h.tobytes()))
+                sizes.append(len(text))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["id", "fp", "sig", "n"])
+
+    return rows.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, fp array<long>, sig binary, n long")
+
+
+def similar_in_group(sets: list[np.ndarray], fps: np.ndarray, ids: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """A forest (id, root) of the pairs within the radius whose shingle sets have at least the Jaccard similarity."""
+    size = np.array([len(s) for s in sets])
+    left, out = np.arange(len(ids)), []
+    while len(left) > 1:
+        root, frontier, left = left[0], [left[0]], left[1:]
+        while frontier and len(left):
+            x = frontier.pop()
+            near = np.bitwise_count(fps[left] ^ fps[x]).sum(1) <= radius
+            near &= np.minimum(size[left], size[x]) >= similarity * np.maximum(size[left], size[x]) - 1e-9
+            at = np.flatnonzero(near & (size[left] > 0))
+            if len(at) and size[x]:
+                flat = np.concatenate([sets[y] for y in left[at]])
+                place = np.minimum(np.searchsorted(sets[x], flat), size[x] - 1)
+                both = np.add.reduceat((sets[x][place] == flat).astype(np.int64), np.r_[0, np.cumsum(size[left[at]])[:-1]])
+                at = at[both >= similarity * (size[left[at]] + size[x] - both) - 1e-9]
+                frontier.extend(left[at].tolist())
+                out.extend((int(ids[y]), int(ids[root])) for y in left[at])
+                left = np.delete(left, at)
+    return out
+
+
+def similar(rows: DataFrame, similarity: float = 0.8, ngram: int = 5, words: int = 4, radius: int = 57, parts: list[tuple[list[int], int]] | None = None) -> DataFrame:
+    """Components ``(id, root)`` of ``rows(id, text)`` whose shingle sets have at least the Jaccard ``similarity``.
+
+    ``id`` must be unique and not null; ``root`` is the smallest id of the
+    component. Fingerprints find candidates only: those that share a probed
+    part and differ in at most ``radius`` bits form groups, and within a group
+    a link is kept if the shingle sets themselves are similar enough. Rows of
+    equal shingle sets, without words too, link and cost one row.
+    """
+    spark = rows.sparkSession
+    sets = cut(signatures(rows, ngram, words))
+    unique = cut(sets.groupBy("sig").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.max("n").alias("n")))
+    near = components(links(unique.select("id", "fp"), words, radius, sampled_parts(64 * words, 14, 80) if parts is None else parts))
+    members = near.unionByName(near.select(F.col("root").alias("id"), "root").distinct()).join(unique.select("id", "fp", "n"), "id")
+    # groups too large for a task are dealt as pairs of chunks
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CELL_BYTES)).cast("int")
+    dealt = members.join(members.groupBy("root").agg(chunks.alias("c")), "root").withColumn("x", F.pmod(F.xxhash64("id"), F.col("c")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    cells = dealt.select("root", F.least("x", "y").alias("ci"), F.greatest("x", "y").alias("cj"), "id", "fp").join(rows.select(F.col("id").cast("long").alias("id"), "text"), "id")
+
+    def verify(batches):
+        held: list[tuple] = []
+        last = None
+
+        def settle(rows: list[tuple]):
+            edges = similar_in_group([s for _, _, s in rows], np.array([f for _, f, _ in rows], np.int64).view(np.uint64), np.array([i for i, _, _ in rows], np.int64), radius, similarity) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(j).to_pylist() for j in (0, 1, 2)))
+            for key, i, f, text in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), byte_values(batch.column(5))):
+                if key != last and held:
+                    yield settle(held)
+                    held = []
+                last = key
+                held.append((i, f, np.unique(shingle_hashes(text, ngram))))
+        if held:
+            yield settle(held)
+
+    placed = cells.repartition(partitions(spark), "root", "ci", "cj").sortWithinPartitions("root", "ci", "cj").select("root", "ci", "cj", "id", "fp", "text")
+    roots = components(placed.mapInArrow(verify, "a long, b long"))
+    named = unique.join(roots, "id", "left").select("sig", F.coalesce("root", "id").alias("root"))
+    return sets.join(named, "sig").select("id", "root")
