@@ -258,7 +258,8 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
         for batch in batches:
             for x in batch.to_pylist():
                 key = (x["h"], x["ci"], x["cj"])
-                if key != last and size >= ARRAY:
+                # chunk pairs of one minimiser share segments and must not meet in one array
+                if held and key != last and (size >= ARRAY or key[0] == last[0]):
                     yield settle(held)
                     held, size = [], 0
                 last = key
