@@ -6,10 +6,13 @@ last keep the columns of documents. :func:`run` chains them.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import langid, packing, rules, simhash, suffix
+from ledgerloom.llm.common import shared_dir
 
 #: Jaccard similarity from which 5-word shingle sets are near copies, decided on the sets themselves.
 NEAR = 0.8
@@ -32,10 +35,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
-    found = simhash.similar(docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text"), NEAR, ngram=5, words=4, radius=NEAR_BITS)
-    gone = found.where("id <> root").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies: that of the smallest id, rows without an id last.
+
+    Rows count by themselves: of repeated rows, and of copies without an id, one stays.
+    """
+    folder = f"{shared_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
+    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    found = simhash.similar(rows.select(F.col("__row").alias("id"), "text"), NEAR, ngram=5, words=4, radius=NEAR_BITS)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("__row").alias("row"))
+    first = found.join(rows.select("__row", "doc_id"), F.col("id") == F.col("__row")).groupBy("root").agg(F.min(order).alias("kept"))
+    return rows.join(first.select(F.col("kept.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
