@@ -1,13 +1,13 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 Vectors get 256-bit codes: signs after rotations learned on a bounded sample
-(iterative quantisation). In each index shard the codes are cut into
+(iterative quantisation). In each index shard the codes are cut into 16-bit
 substrings, each indexed. By the pigeonhole principle a code within radius R
 agrees with the query within R // m on one of m substrings. A narrow search
-probes 16-bit substrings with up to one flipped bit, which finds every code
-within 31 bits; queries whose k-th neighbour may lie farther search the 64-bit
-substrings' directories at the wide radius, calibrated on the sample. What is
-within the radius is reranked on the original vectors.
+probes these with up to one flipped bit, which finds every code within 31
+bits; queries whose k-th neighbour may lie farther scan all codes of the shard
+at the wide radius, calibrated on the sample: no substring index is used there.
+What is within the radius is reranked on the original vectors.
 """
 
 from __future__ import annotations
@@ -101,7 +101,7 @@ class Shard:
         return found // n, found % n
 
     def wide(self, query: np.ndarray, radius: int) -> np.ndarray:
-        """Rows within the radius: some 64-bit substring differs in at most a quarter of it."""
+        """Rows within the radius, by a scan of all codes of the shard."""
         parts = np.bitwise_count(self.code ^ query)
         rows = np.flatnonzero((parts <= radius // WORDS).any(1))
         return rows[parts[rows].sum(1, dtype=np.int32) <= radius]
@@ -142,12 +142,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     no neighbour of itself, its copies are. Ties go to the smaller vec_id; with
     fewer than k other rows all are returned. Vectors that are null, zero or hold null or
     non-finite components take no part; an empty table gives no rows; extra
-    columns are ignored; repeated ids count as one id each. All usable vectors
+    columns are ignored; a repeated id counts once, with the least of its vectors by bytes. All usable vectors
     must have the same number of components. Of equal vectors only the k + 1
     smallest ids can be returned, so only those are indexed.
     """
     spark = vectors.sparkSession
-    rows = cut(usable(vectors))
+    rows = cut(usable(vectors).groupBy("vec_id").agg(F.min("vec").alias("vec")))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").toArrow().column(0)
     x = matrix(sample)
     schema = "query_id long, rank int, vec_id long, score double"
@@ -165,7 +165,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     rotation = learn_rotations(lift(x, largest, False))
     radius = calibrate(x, rotation, largest, k)
     one_each = Window.partitionBy("vec").orderBy("vec_id")
-    indexed = rows.dropDuplicates(["vec_id", "vec"]).withColumn("copy", F.row_number().over(one_each)).where(F.col("copy") <= k + 1).drop("copy")
+    indexed = rows.withColumn("copy", F.row_number().over(one_each)).where(F.col("copy") <= k + 1).drop("copy")
     queries = rows.where(is_query)
     n, n_queries = rows.count(), queries.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_queries // BLOCK))
