@@ -298,13 +298,14 @@ def signatures(rows: DataFrame, ngram: int, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            fps, sigs, sizes = [], [], []
-            for text in byte_values(batch.column(1)):
-                h = np.unique(shingle_hashes(text, ngram))
-                fps.append(fingerprint(h, words).view(np.int64).tolist())
-                sigs.append(xxhash.xxh3_128_digest(h.tobytes()))
-                sizes.append(len(text))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["id", "fp", "sig", "n"])
+            for at in range(0, batch.num_rows, 1000):
+                piece, fps, sigs, sizes = batch.slice(at, 1000), [], [], []
+                for text in byte_values(piece.column(1)):
+                    h = np.unique(shingle_hashes(text, ngram))
+                    fps.append(fingerprint(h, words).view(np.int64).tolist())
+                    sigs.append(xxhash.xxh3_128_digest(h.tobytes()))
+                    sizes.append(len(text))
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["id", "fp", "sig", "n"])
 
     return rows.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, fp array<long>, sig binary, n long")
 
