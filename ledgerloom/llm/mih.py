@@ -1,40 +1,49 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 Vectors get 256-bit codes: signs after rotations learned on a bounded sample
-(iterative quantisation). In each index shard the codes are cut into 16-bit
-substrings, each indexed. By the pigeonhole principle a code within radius R
-agrees with the query within R // m on one of m substrings. A narrow search
-probes these with up to one flipped bit, which finds every code within 31
-bits; queries whose k-th neighbour may lie farther scan all codes of the shard
-at the wide radius, calibrated on the sample: no substring index is used there.
-What is within the radius is reranked on the original vectors.
+(iterative quantisation). Codes are cut into sixteen substrings of 16 bits and
+every row stands in the index of each. Bits are weighed by the margin of the
+query's own projection, so the weighted Hamming distance of two codes is the sum
+of the margins of the bits that differ. A query looks in each index up every
+substring value within ``reach`` of its own: by the pigeonhole principle this
+retrieves each code whose weighted distance is below sixteen times that reach,
+and of those farther away the ones with one near substring. Retrieved rows
+within a Hamming radius of the whole code are reranked on the original vectors.
+Reach and radius are calibrated on the sample; queries that found too few rows
+search again with both grown, at last over all values.
+
+Index rows and probes meet by substring number and leading bits of the value, so
+a query travels only to the parts of an index that its probes fall in.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, partitions
-from .vectors import matrix, usable
+from .vectors import exponents, matrix, same_length, shifted, usable
 
-BITS, WORDS = 256, 4
-#: Vectors the rotations and the radius are learned from, at most.
+BITS, WORDS, PARTS = 256, 4, 16
+#: Vectors the rotations and the radii are learned from, at most.
 SAMPLE = 8192
-#: Rows of an index shard and queries of a query block, on average.
-SHARD, BLOCK = 16_384, 16_384
-#: Share of true neighbours (of the sample) that the wide radius must reach.
-TARGET = 0.98
+#: Rows of an index cell and of a rerank shard, on average; larger cells are split.
+SHARD = 16_384
+#: Queries probed together in a cell.
+BLOCK = 256
+#: Share of true neighbours (of the sample) that some probe must meet, and that the Hamming radius must hold.
+TARGET, WITHIN = 0.96, 0.99
+#: Growth of the reach for queries that found too few rows.
+GROWTH = 1.6
 
 
 def lift(x: np.ndarray, largest: float, query: bool) -> np.ndarray:
-    """One more component turns the largest inner product into the smallest angle: stored vectors are filled up to one norm."""
-    rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(largest**2 - (x**2).sum(1), 0))
-    return np.column_stack([x, rest])
+    """One more component turns the largest inner product into the smallest angle: stored vectors are filled up to one norm, queries have norm one."""
+    if query:
+        return np.column_stack([x / np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-300), np.zeros(len(x))])
+    return np.column_stack([x, np.sqrt(np.maximum(largest**2 - (x**2).sum(1), 0))])
 
 
 def learn_rotations(x: np.ndarray) -> np.ndarray:
@@ -55,84 +64,265 @@ def learn_rotations(x: np.ndarray) -> np.ndarray:
     return np.hstack(out)[:, :BITS]
 
 
-def codes(x: np.ndarray, rotation: np.ndarray) -> np.ndarray:
-    return np.packbits(x @ rotation >= 0, axis=1, bitorder="little").view("<u8").reshape(-1, WORDS)
+def codes(projected: np.ndarray) -> np.ndarray:
+    return np.packbits(projected >= 0, axis=1, bitorder="little").view("<u8").reshape(-1, WORDS)
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int32)
 
 
-def calibrate(x: np.ndarray, rotation: np.ndarray, largest: float, k: int) -> int:
-    """Radius that reaches ``TARGET`` of the sample's true neighbours; those of all rows are nearer still."""
+def calibrate(x: np.ndarray, rotation: np.ndarray, largest: float, k: int, rows: int) -> tuple[float, int]:
+    """Reach of the probes and Hamming radius, from the true neighbours within the sample that are as near as the k nearest of all rows."""
     if len(x) < 2:
-        return BITS
-    q = x[:: max(1, len(x) // 256)]
+        return np.inf, BITS
+    step = max(1, len(x) // 256)
+    rank = max(1, min(-(-k * len(x) // max(rows, 1)), len(x) - 1))
+    own, q = np.arange(0, len(x), step), x[::step]
     s = q @ x.T
-    s[np.arange(len(q)), np.arange(0, len(x), max(1, len(x) // 256))[: len(q)]] = -np.inf
-    top = np.argsort(-s, axis=1)[:, : min(k, len(x) - 1)]
-    cx, cq = codes(lift(x, largest, False), rotation), codes(lift(q, largest, True), rotation)
-    return int(np.quantile(np.stack([hamming(cx[t], c) for t, c in zip(top, cq)]), TARGET)) + 1
-
-
-class Shard:
-    """Multi-index over the codes of one shard."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, code: np.ndarray) -> None:
-        self.ids, self.vectors, self.code = ids, vectors, code
-        sub = code.view("<u2").reshape(len(code), 16)
-        self.order = [np.argsort(sub[:, t], kind="stable") for t in range(16)]
-        self.sorted = [sub[o, t] for t, o in enumerate(self.order)]
-
-    def narrow(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (query, row) within 31 bits: some 16-bit substring differs in at most one bit."""
-        sub, n, keys = queries.view("<u2").reshape(len(queries), 16), len(self.ids), []
-        for t in range(16):
-            for mask in (0, *(1 << b for b in range(16))):
-                v = sub[:, t] ^ np.uint16(mask)
-                lo, hi = np.searchsorted(self.sorted[t], v, "left"), np.searchsorted(self.sorted[t], v, "right")
-                size = hi - lo
-                if size.any():
-                    q = np.repeat(np.arange(len(v)), size)
-                    row = self.order[t][np.repeat(lo - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
-                    near = hamming(self.code[row], queries[q]) <= 31
-                    keys.append(q[near] * n + row[near])
-        found = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
-        return found // n, found % n
-
-    def wide(self, query: np.ndarray, radius: int) -> np.ndarray:
-        """Rows within the radius, by a scan of all codes of the shard."""
-        parts = np.bitwise_count(self.code ^ query)
-        rows = np.flatnonzero((parts <= radius // WORDS).any(1))
-        return rows[parts[rows].sum(1, dtype=np.int32) <= radius]
-
-    def best(self, query_id: int, query: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        rows = rows[self.ids[rows] != query_id]
-        score = (self.vectors[rows] * query).sum(1)
-        if len(rows) > 4 * k:
-            keep = score >= np.partition(score, len(score) - k)[len(score) - k]
-            rows, score = rows[keep], score[keep]
-        at = np.lexsort((self.ids[rows], -score))[:k]
-        return self.ids[rows[at]], score[at]
-
-    def search(self, qid: np.ndarray, q: np.ndarray, qcode: np.ndarray, radius: int, k: int, norm: float):
-        """Per query the ids and scores of the k best retrieved in this shard."""
-        at, rows = self.narrow(qcode)
-        edge = np.searchsorted(at, np.arange(len(q) + 1))
-        for i in range(len(q)):
-            ids, score = self.best(qid[i], q[i], rows[edge[i] : edge[i + 1]], k)
-            # how many bits the k-th found may differ in, by its angle and three standard deviations
-            length = norm * float(np.sqrt((q[i] ** 2).sum()))
-            done = False
-            if len(ids) == k:
-                p = math.acos(max(-1.0, min(1.0, float(score[-1]) / length))) / math.pi
-                done = BITS * p + 3 * math.sqrt(BITS * p * (1 - p)) <= 31
-            r = radius
-            while not done:
-                ids, score = self.best(qid[i], q[i], self.wide(qcode[i], r), k)
-                done = len(ids) == k or r >= BITS
-                r = min(BITS, r + 16)
-            yield qid[i], ids, score
+    s[np.arange(len(q)), own] = -np.inf
+    top = np.argpartition(-s, rank - 1, axis=1)[:, :rank]
+    px, pq = lift(x, largest, False) @ rotation, lift(q, largest, True) @ rotation
+    cx, cq = codes(px), codes(pq)
+    nearest, apart = [], []
+    for t, p, c in zip(top, pq, cq):
+        differ = (px[t] >= 0) != (p >= 0)
+        nearest.append((differ * np.abs(p)).reshape(len(t), PARTS, -1).sum(2).min(1))
+        apart.append(hamming(cx[t], c))
+    return float(np.quantile(np.concatenate(nearest), TARGET)) + 1e-9, int(np.quantile(np.concatenate(apart), WITHIN)) + 1
+
+
+def probed(own: np.ndarray, margin: np.ndarray, prefix: int, bits: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, value of the low ``bits`` bits) within ``reach`` of the queries' values, for values that start with ``prefix``."""
+    differ = (own >> bits) ^ prefix
+    cost = np.zeros(len(own))
+    for b in range(margin.shape[1] - bits):
+        cost += np.where(differ >> b & 1, margin[:, bits + b], 0.0)
+    q = np.flatnonzero(cost <= reach)
+    cost, mask = cost[q], np.zeros(len(q), np.int64)
+    for b in range(bits):  # with and without this bit apart, as far as the reach goes
+        more = cost + margin[q, b]
+        near = more <= reach
+        q, mask, cost = np.r_[q, q[near]], np.r_[mask, mask[near] | 1 << b], np.r_[cost, more[near]]
+    by = np.argsort(q, kind="stable")
+    return q[by], (own[q] ^ mask)[by] & ((1 << bits) - 1)
+
+
+def search_cell(keys: np.ndarray, code: np.ndarray, prefix: int, bits: int, own: np.ndarray, margin: np.ndarray, qcode: np.ndarray, reach: float, radius: int, k: int):
+    """Rows of one index cell (sorted by value) that the probes of each query meet within the radius: yields (query, rows, rows met)."""
+    start = np.searchsorted(keys, (prefix << bits) + np.arange((1 << bits) + 1))
+    q, value = probed(own, margin, prefix, bits, reach)
+    size = start[value + 1] - start[value]
+    q, value, size = q[size > 0], value[size > 0], size[size > 0]
+    edge = np.searchsorted(q, np.arange(len(own) + 1))
+    for i in range(len(own)):
+        s, n = start[value[edge[i] : edge[i + 1]]], size[edge[i] : edge[i + 1]]
+        if not len(s):
+            continue
+        rows = np.repeat(s - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        apart = hamming(code[rows], qcode[i])
+        limit = radius
+        if len(rows) > 4 * k:  # far beyond the k-th met here nothing can be among the nearest
+            at = int(np.partition(apart, k)[k])
+            limit = min(radius, at + 8 + int(3 * np.sqrt(at * max(0.0, 1 - at / BITS))))
+        keep = apart <= limit
+        if keep.any():
+            yield i, rows[keep], len(rows)
+
+
+def streamed(batches, keys: int, stored: int):
+    """Arrow batches of sorted rows as (key, kind, slice): rows of one key (first columns) and kind (the next) at a time."""
+    for batch in batches:
+        if batch.num_rows:
+            k = np.stack([np.asarray(batch.column(j)).astype(np.int64) for j in range(keys + 1)], axis=1)
+            edge = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
+            for s, e in zip(edge, edge[1:]):
+                yield tuple(k[s, :keys].tolist()), int(k[s, keys]), batch.slice(s, e - s)
+
+
+def search(index: DataFrame, probes: DataFrame, bits: int, reach: float, radius: int, k: int, shards: int) -> DataFrame:
+    """Candidates ``(shard, query_id, ids, met)`` of the probes in the index, one row per query, cell and rerank shard."""
+    cells = index.groupBy("part", "prefix").agg(F.ceil(F.count("*") / (2 * SHARD)).cast("int").alias("chunks"))
+    rows = index.join(cells, ["part", "prefix"]).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int"))
+    asked = probes.join(cells, ["part", "prefix"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    columns = ["part", "prefix", "chunk", "kind", "value", "id", "code", "margin"]
+    met = rows.withColumn("kind", F.lit(0)).withColumn("margin", F.lit(None).cast("binary")).select(columns).unionByName(asked.withColumn("kind", F.lit(1)).select(columns))
+
+    def run(batches):
+        key, held = None, []
+        cell: tuple = ()
+        for at, kind, part in streamed(batches, 3, 0):
+            if at != key:
+                key, held, cell = at, [], ()
+            value, ids, code = np.asarray(part.column(4)).astype(np.int64), np.asarray(part.column(5)), np.frombuffer(b"".join(part.column(6).to_pylist()), "<u8").reshape(-1, WORDS)
+            if kind == 0:
+                held.append((value, ids, code))
+                continue
+            if not held:
+                continue
+            if not cell:
+                v, i, c = (np.concatenate(x) for x in zip(*held))
+                order = np.argsort(v, kind="stable")
+                cell = v[order], i[order], c[order]
+            keys, row_ids, row_codes = cell
+            margin = np.frombuffer(b"".join(part.column(7).to_pylist()), "<f4").reshape(len(ids), -1)
+            for b in range(0, len(ids), BLOCK):
+                out: list[tuple] = []
+                for i, rows, seen in search_cell(keys, row_codes, key[1], bits, value[b : b + BLOCK], margin[b : b + BLOCK], code[b : b + BLOCK], reach, radius, k):
+                    found = row_ids[rows]
+                    of = found % shards
+                    by = np.argsort(of, kind="stable")
+                    found, of = found[by], of[by]
+                    edge = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+                    for s, e in zip(edge.tolist(), [*edge[1:].tolist(), len(found)]):
+                        out.append((int(of[s]), int(ids[b + i]), found[s:e].tobytes(), seen if s == 0 else 0))
+                cols = list(zip(*out)) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int64()))], names=["shard", "query_id", "ids", "met"])
+
+    placed = met.repartition(partitions(index.sparkSession), "part", "prefix", "chunk").sortWithinPartitions("part", "prefix", "chunk", "kind")
+    return placed.mapInArrow(run, "shard long, query_id long, ids binary, met long")
+
+
+def rerank(found: DataFrame, rows: DataFrame, queries: DataFrame, shards: int, k: int) -> DataFrame:
+    """``(query_id, vec_id, score)``: of each shard the k best candidates of each query, by inner product of the original vectors."""
+    columns = ["shard", "kind", "query_id", "step", "id", "data"]
+    null = F.lit(None).cast("long")
+    vectors = rows.select(F.pmod("vec_id", F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), null.alias("query_id"), F.lit(0).alias("step"), F.col("vec_id").alias("id"), F.col("vec").alias("data"))
+    asked = found.select("shard", "query_id").distinct().join(queries.select(F.col("vec_id").alias("query_id"), "vec"), "query_id")
+    asked = asked.select("shard", F.lit(1).alias("kind"), "query_id", F.lit(0).alias("step"), null.alias("id"), F.col("vec").alias("data"))
+    lists = found.select("shard", F.lit(1).alias("kind"), "query_id", F.lit(1).alias("step"), null.alias("id"), F.col("ids").alias("data"))
+    together = vectors.unionByName(asked).unionByName(lists).select(columns)
+
+    def run(batches):
+        key, held, cell = None, [], ()
+        query, lists = None, []
+
+        def settle() -> pa.RecordBatch:
+            ids = np.unique(np.concatenate([np.frombuffer(x, "<i8") for x in lists])) if lists else np.empty(0, np.int64)
+            ids = ids[ids != query[0]]
+            row_ids, vectors = cell
+            at = np.searchsorted(row_ids, ids)
+            q = np.frombuffer(query[1], "<f8")[None]
+            eq, x = exponents(q), vectors[at]
+            ex = exponents(x)
+            score = np.ldexp((shifted(x, -ex) * shifted(q, -eq)).sum(1), np.clip(ex + eq, -4000, 4000).astype(np.int32))
+            best = np.lexsort((ids, -score))[:k]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(best), query[0])), pa.array(ids[best]), pa.array(score[best])], names=["query_id", "vec_id", "score"])
+
+        for at, kind, part in streamed(batches, 1, 0):
+            if at != key:
+                if query is not None:
+                    yield settle()
+                key, held, cell, query, lists = at, [], (), None, []
+            if kind == 0:
+                held.append((np.asarray(part.column(4)), matrix(part.column(5))))
+                continue
+            if not cell:
+                ids, x = (np.concatenate(c) for c in zip(*held))
+                order = np.argsort(ids, kind="stable")
+                cell = ids[order], x[order]
+            for q, step, data in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(5).to_pylist()):
+                if step == 0:
+                    if query is not None:
+                        yield settle()
+                    query, lists = (q, data), []
+                else:
+                    lists.append(data)
+        if query is not None:
+            yield settle()
+
+    placed = together.repartition(partitions(rows.sparkSession), "shard").sortWithinPartitions("shard", "kind", "query_id", "step")
+    return placed.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+class Search:
+    """The index of usable vectors, learned and dealt; :meth:`nearest` answers queries, :meth:`candidates` tells what the probes met."""
+
+    def __init__(self, vectors: DataFrame, k: int) -> None:
+        self.k = k
+        self.rows = cut(usable(vectors).groupBy("vec_id").agg(F.min("vec").alias("vec")))
+        self.dims = same_length(self.rows)
+        self.n = self.rows.count()
+        if not self.n:
+            return
+
+        def sizes(batches):
+            for batch in batches:
+                m = matrix(batch.column(0))
+                yield pa.RecordBatch.from_pydict({"e": pa.array(exponents(m).tolist(), pa.int64())})
+
+        # everything is looked at relative to the largest component, so that no square overflows
+        self.scale = self.rows.select("vec").mapInArrow(sizes, "e long").agg(F.max("e")).first()[0]
+        scale = self.scale
+
+        def norms(batches):
+            for batch in batches:
+                m = shifted(matrix(batch.column(0)), -scale)
+                yield pa.RecordBatch.from_pydict({"n": [float(np.sqrt((m**2).sum(1)).max(initial=0))]})
+
+        self.largest = self.rows.select("vec").mapInArrow(norms, "n double").agg(F.max("n")).first()[0]
+        sample = self.rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").toArrow().column(0)
+        x = shifted(matrix(sample), -scale)
+        self.rotation = learn_rotations(lift(x, self.largest, False))
+        self.reach, self.radius = calibrate(x, self.rotation, self.largest, k, self.n)
+        self.shards = max(1, -(-self.n // SHARD))
+        self.bits = max(0, 16 - max(0, (self.shards - 1).bit_length()))  # of a value within its cell
+        one_each = Window.partitionBy("vec").orderBy("vec_id")
+        self.indexed = cut(self.rows.withColumn("copy", F.row_number().over(one_each)).where(F.col("copy") <= k + 1).drop("copy"))
+        self.index = self._entries(self.indexed, False, 0.0)
+
+    def _entries(self, rows: DataFrame, query: bool, reach: float) -> DataFrame:
+        """Index rows, or probes of each cell that some value within reach falls in: ``part, prefix, value, id, code`` (, ``margin``)."""
+        rotation, largest, scale, bits = self.rotation, self.largest, self.scale, self.bits
+
+        def run(batches):
+            for batch in batches:
+                for s in range(0, batch.num_rows, 2048):
+                    piece = batch.slice(s, 2048)
+                    x = matrix(piece.column(1))
+                    p = lift(shifted(x, -exponents(x) if query else -scale), largest, query) @ rotation
+                    code = codes(p)
+                    value = code.view("<u2").astype(np.int64)
+                    raw = pa.array([c.tobytes() for c in code], pa.binary())
+                    for t in range(PARTS):
+                        if query:
+                            margin = np.abs(p[:, 16 * t : 16 * t + 16]).astype("<f4")
+                            row, prefix = probed(value[:, t] >> bits, margin[:, bits:].astype(float), 0, 16 - bits, reach)
+                        else:
+                            row, prefix = np.arange(len(x)), value[:, t] >> bits
+                        take = pa.array(row)
+                        cols = [pa.array(np.full(len(row), t), pa.int32()), pa.array(prefix, pa.int32()), pa.array(value[row, t], pa.int32()), piece.column(0).take(take), raw.take(take)]
+                        if query:
+                            cols.append(pa.array([m.tobytes() for m in margin], pa.binary()).take(take))
+                        yield pa.RecordBatch.from_arrays(cols, names=["part", "prefix", "value", "id", "code", "margin"][: len(cols)])
+
+        return rows.select("vec_id", "vec").mapInArrow(run, "part int, prefix int, value int, id long, code binary" + (", margin binary" if query else ""))
+
+    def candidates(self, queries: DataFrame, reach: float, radius: int) -> DataFrame:
+        return search(self.index, self._entries(queries, True, reach), self.bits, reach, radius, self.k, self.shards)
+
+    def nearest(self, queries: DataFrame) -> DataFrame:
+        """The k nearest found of each query row ``(vec_id, vec)``: ``query_id, rank, vec_id, score``."""
+        k, reach, radius = self.k, self.reach, self.radius
+        copies = self.indexed.count()
+        wanted = min(k, self.n - 1)
+        top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        done, left = None, queries
+        while True:
+            found = cut(self.candidates(left, reach, radius))
+            best = rerank(found, self.indexed, left, self.shards, k).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
+            best = cut(best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+            whole = best.groupBy("query_id").count().where(F.col("count") >= wanted).select("query_id")
+            last = radius >= BITS and reach >= 16 * PARTS
+            settled = best if last else best.join(whole, "query_id", "left_semi")
+            done = settled if done is None else done.unionByName(settled)
+            if last:
+                return done
+            left = cut(left.join(whole, F.col("vec_id") == F.col("query_id"), "left_anti"))
+            if not left.head(1):
+                return done
+            # at the end every value is probed and every code lies within the radius
+            reach, radius = (reach * GROWTH, min(BITS, radius + 24)) if reach < 4 and copies > 4 * k else (16.0 * PARTS, BITS)
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
@@ -140,47 +330,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
 
     ``vectors(vec_id, embedding)``; ``is_query``: condition on vec_id. A row is
     no neighbour of itself, its copies are. Ties go to the smaller vec_id; with
-    fewer than k other rows all are returned. Vectors that are null, zero or hold null or
-    non-finite components take no part; an empty table gives no rows; extra
-    columns are ignored; a repeated id counts once, with the least of its vectors by bytes. All usable vectors
-    must have the same number of components. Of equal vectors only the k + 1
-    smallest ids can be returned, so only those are indexed.
+    fewer than k other rows all are returned. Vectors that are null, zero or
+    hold null or non-finite components take no part; an empty table gives no
+    rows; extra columns are ignored; a repeated id counts once, with the least
+    of its vectors by bytes. Products beyond the range of doubles are infinite
+    or zero. Usable vectors of unequal length raise ``ValueError``. Of equal
+    vectors only the k + 1 smallest ids can be returned, so only those are
+    indexed.
     """
-    spark = vectors.sparkSession
-    rows = cut(usable(vectors).groupBy("vec_id").agg(F.min("vec").alias("vec")))
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").toArrow().column(0)
-    x = matrix(sample)
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not len(x):
-        return spark.createDataFrame([], schema)
-
-    def norm(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            m = matrix(batch.column(0))
-            yield pa.RecordBatch.from_pydict({"n": [float(np.sqrt((m**2).sum(1)).max(initial=0))]})
-
-    largest = rows.select("vec").mapInArrow(norm, "n double").agg(F.max("n")).first()[0]
-    rotation = learn_rotations(lift(x, largest, False))
-    radius = calibrate(x, rotation, largest, k)
-    one_each = Window.partitionBy("vec").orderBy("vec_id")
-    indexed = rows.withColumn("copy", F.row_number().over(one_each)).where(F.col("copy") <= k + 1).drop("copy")
-    queries = rows.where(is_query)
-    n, n_queries = rows.count(), queries.count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_queries // BLOCK))
-    index = indexed.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "vec")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "vec")
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(left) and len(right):
-            q, v = matrix(left["vec"]), matrix(right["vec"])
-            shard = Shard(right["vec_id"].to_numpy(), v, codes(lift(v, largest, False), rotation))
-            for qid, ids, score in shard.search(left["vec_id"].to_numpy(), q, codes(lift(q, largest, True), rotation), radius, k, largest):
-                out.extend(zip([qid] * len(ids), ids.tolist(), score.tolist()))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = asked.groupBy("shard", "block").cogroup(index.groupBy("shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
-    top = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = Search(vectors, k)
+    if not found.n:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return found.nearest(found.rows.where(is_query))

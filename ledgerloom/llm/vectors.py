@@ -1,4 +1,4 @@
-"""Vectors as Spark rows: validity, packing into bytes, copies."""
+"""Vectors as Spark rows: validity, packing into bytes, copies, magnitudes."""
 
 from __future__ import annotations
 
@@ -30,9 +30,35 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     return vectors.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).mapInArrow(run, "vec_id long, vec binary")
 
 
+def same_length(rows: DataFrame, vec: str = "vec") -> int:
+    """Number of components of the vectors (0 if there are none); unequal lengths are refused."""
+    low, high = rows.agg(F.min(F.octet_length(vec)), F.max(F.octet_length(vec))).first()
+    if low != high:
+        raise ValueError(f"vectors of unequal length: {low // 8} to {high // 8} components")
+    return (low or 0) // 8
+
+
 def matrix(column, dims: int | None = None) -> np.ndarray:
     """Rows of packed doubles as a matrix."""
     values = column.to_pylist() if hasattr(column, "to_pylist") else list(column)
     if not values:
         return np.empty((0, dims or 0))
     return np.frombuffer(b"".join(values), "<f8").reshape(len(values), -1)
+
+
+def exponents(x: np.ndarray) -> np.ndarray:
+    """Binary exponent of the largest component of each row."""
+    return np.frexp(np.abs(x).max(1, initial=0.0))[1].astype(np.int64)
+
+
+def shifted(x: np.ndarray, by: np.ndarray | int) -> np.ndarray:
+    """Rows times a power of two: exact unless components fall below the smallest double."""
+    by = np.broadcast_to(np.asarray(by, np.int64), (len(x),))
+    half = by // 2  # 2**-1074 to 2**1023 needs two steps
+    return np.ldexp(np.ldexp(x, half[:, None].astype(np.int32)), (by - half)[:, None].astype(np.int32))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length one, whatever their magnitude."""
+    y = shifted(x, -exponents(x))
+    return y / np.sqrt((y**2).sum(1, keepdims=True))
