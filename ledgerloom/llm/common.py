@@ -7,6 +7,7 @@ sees aggregates of a fixed size.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session sets none (tests on one machine), a new local folder is
-    made and used as checkpoint folder.
+    Where a session on one machine sets none (tests), a new local folder is
+    made and used as checkpoint folder; on a cluster that raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     made = spark.conf.get("ledgerloom.shared.dir", None)
     if not made:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         made = tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("ledgerloom.shared.dir", made)
         spark.sparkContext.setCheckpointDir(made)
@@ -42,6 +45,38 @@ def byte_values(column: pa.Array) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for internal columns that no column of ``df`` has, upper or lower case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` as a Parquet table of the shared folder, read again."""
+    folder = f"{shared_dir(df.sparkSession).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str | list[str], total: int) -> DataFrame:
+    """Inner equi-join of ``rows`` with ``table``, whose column ``rows_of_key`` counts the rows of each key among ``total``.
+
+    Keys with more than a five-hundredth of all rows, of which there are fewer
+    than 500, are broadcast, so that no task gets all rows of a hot key; the
+    others are joined by shuffle.
+    """
+    limit = max(100, total // 500)
+    keys = [key] if isinstance(key, str) else key
+    hot, usual = table.where(F.col("rows_of_key") > limit), table.where(F.col("rows_of_key") <= limit)
+    cold = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(cold.join(usual, keys)).drop("rows_of_key")
+
+
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -108,8 +143,8 @@ def components(edges: DataFrame) -> DataFrame:
     and loops are ignored, repeated edges count once. Each partition first
     contracts its edges to a forest; then large-star and small-star steps
     alternate until the stars no longer change. Every step is an aggregation
-    with map-side combine and an equi-join that adaptive execution can split,
-    and each round is checkpointed, so a lost executor costs one round.
+    with map-side combine and an equi-join in which the few hot centres are
+    broadcast; each round is checkpointed, so a lost executor costs one round.
     """
     spark = edges.sparkSession
     cur = (
@@ -124,10 +159,10 @@ def components(edges: DataFrame) -> DataFrame:
         if not now[0] or now == sign:
             return cur.select(F.col("u").alias("id"), F.col("v").alias("root"))
         sign = now
-        low = cur.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(cur.select(F.col("v").alias("x"), F.col("u").alias("y"))).groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("m"))
-        large = cur.join(low, cur.v == low.x).select("u", F.col("m").alias("v")).where("u != v").distinct()
-        large = cut(large)
-        first = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(first.withColumnRenamed("u", "x"), F.col("u") == F.col("x"))
+        edges = int(now[0])
+        low = cur.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(cur.select(F.col("v").alias("x"), F.col("u").alias("y"))).groupBy("x").agg(F.min("y").alias("y"), F.count("*").alias("rows_of_key")).select(F.col("x").alias("v"), F.least("x", "y").alias("m"), "rows_of_key")
+        large = cut(join_counted(cur, low, "v", 2 * edges).select("u", F.col("m").alias("v")).where("u != v").distinct())
+        first = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("rows_of_key"))
+        pairs = join_counted(large, first, "u", edges)
         cur = pairs.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u != v").distinct()
         cur = cut(cur)

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, cut, partitions
-from .vectors import matrix, usable
+from .common import Forest, components, cut, join_counted, partitions
+from .vectors import matrix, same_length, unit, usable
 
 #: Vectors the pivots are chosen from, at most, and rows of a cell that share a task.
 SAMPLE, HOMES = 8192, 4096
@@ -27,10 +27,6 @@ SAMPLE, HOMES = 8192, 4096
 PIVOTS = 1024
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.sqrt((x**2).sum(1, keepdims=True))
-
-
 def choose_pivots(sample: np.ndarray, number: int) -> np.ndarray:
     """Farthest-first traversal of the sample."""
     u = unit(sample)
@@ -58,15 +54,16 @@ def linked(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     ``n_links``: other vectors at cosine >= ``cosine`` (double precision);
     ``component_id``: smallest vec_id reachable by links; ``kept``: it is its
     own. Vectors that are null, zero or hold null or non-finite components
-    link with nothing. Equal vectors are joined once and count as many. Rows
-    with a null vec_id are left out, repeated rows count once; an empty table
-    gives no rows; extra columns are ignored. All usable vectors must have the
-    same number of components.
+    link with nothing; magnitudes do not matter, up to the largest double.
+    Equal vectors are joined once and count as many. Rows with a null vec_id
+    are left out, repeated rows count once; an empty table gives no rows; extra
+    columns are ignored. Usable vectors of unequal length raise ``ValueError``.
     """
     spark = vectors.sparkSession
     n_parts, eps = partitions(spark), math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-7
     rows = cut(usable(vectors).dropDuplicates(["vec_id", "vec"]))
     unique = cut(rows.groupBy("vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))
+    same_length(unique)
     n = unique.count()
     sample = matrix(unique.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").toArrow().column(0))
     everything = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).where("vec_id is not null").distinct()
@@ -168,6 +165,6 @@ def linked(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     found = cut(ordered.mapInArrow(join, "id long, root long, links long"))
     roots = components(found.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = found.where("root is null").groupBy("id").agg(F.sum("links").alias("n_links"))
-    of_unique = unique.select("vec", "id").join(counts, "id").join(roots, "id", "left").select("vec", "n_links", F.coalesce("root", "id").alias("component_id"))
-    of_rows = rows.join(of_unique, "vec").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    of_unique = unique.withColumnRenamed("copies", "rows_of_key").join(counts, "id").join(roots, "id", "left").select("vec", "rows_of_key", "n_links", F.coalesce("root", "id").alias("component_id"))
+    of_rows = join_counted(rows, of_unique, "vec", rows.count()).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     return everything.join(of_rows, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id") == F.col("component_id"))

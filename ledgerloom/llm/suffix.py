@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import uuid
 
 import numpy as np
 import pandas as pd
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_values, mix64, partitions, shared_dir
+from .common import byte_values, fresh, join_counted, mix64, partitions, written
 
 #: Bytes of a minimiser gram.
 GRAM = 64
@@ -30,8 +29,6 @@ GRAM = 64
 PIECE, ARRAY = 1 << 21, 1 << 20
 #: Distinct segments of one minimiser that share a task; more are dealt as pairs of chunks.
 CHUNK = 4096
-#: Salts that the rows of one segment are dealt by.
-SALTS = 64
 
 
 def words_at(buffer: np.ndarray, order: str) -> np.ndarray:
@@ -50,22 +47,25 @@ def gram_hashes(buffer: np.ndarray) -> np.ndarray:
     return mix64(h)
 
 
-@functools.lru_cache(maxsize=1)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0x5851F42D4C957F2D
+#: Odd numbers whose powers weigh the bytes of a segment in its two hashes.
+BASES = (0x5851F42D4C957F2D, 0xC2B2AE3D27D4EB4F)
+
+
+@functools.lru_cache(maxsize=4)
+def _powers(size: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(np.full(size, base, np.uint64)), np.cumprod(np.full(size, pow(base, -1, 1 << 64), np.uint64))
 
 
-def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(size: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number modulo 2**64 and their inverses, at least ``size`` of them."""
-    return _powers(1 << 18 if size <= 1 << 18 else PIECE + (1 << 16))
+    return _powers(1 << 18 if size <= 1 << 18 else PIECE + (1 << 16), base)
 
 
-def segments(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Segments of a text: minimiser hash, hash of the segment, first window, windows."""
+def segments(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments of a text: minimiser hash, 128 bits of hash of the segment in two halves, first window, windows."""
     n = len(text) - length + 1
     if n < 1:
-        return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
+        return (np.empty(0, np.uint64),) * 3 + (np.empty(0, np.int64),) * 2
     h = gram_hashes(text)
     # high bits decide, then the leftmost position: both depend on the window's content alone
     key = (h & ~np.uint64((1 << 23) - 1)) | np.arange(len(h), dtype=np.uint64)
@@ -77,29 +77,34 @@ def segments(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
     at = (low & np.uint64((1 << 23) - 1)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     count = np.diff(np.r_[first, n])
-    # of the segment: its grams at both ends and in steps cover it; a polynomial sum over all its bytes tells the rest
-    power, inverse = powers(len(text))
-    total = np.r_[np.uint64(0), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[: len(text)], dtype=np.uint64)]
-    body = (total[first + count - 1 + length] - total[first]) * inverse[first]
-    whole = mix64(body ^ mix64(h[first] + h[first + count - 1 + length - GRAM] * np.uint64(3) + h[first + length - GRAM] * np.uint64(7) + count.astype(np.uint64)))
-    return h[at[first]], whole, first, count
+    # of the segment: its grams at both ends and in steps cover it; polynomial sums over all its bytes tell the rest
+    ends = h[first] + h[first + count - 1 + length - GRAM] * np.uint64(3) + h[first + length - GRAM] * np.uint64(7) + count.astype(np.uint64)
+    bytes_, whole = text.astype(np.uint64) + np.uint64(1), []
+    for base in BASES:
+        power, inverse = powers(len(text), base)
+        total = np.r_[np.uint64(0), np.cumsum(bytes_ * power[: len(text)], dtype=np.uint64)]
+        body = (total[first + count - 1 + length] - total[first]) * inverse[first]
+        whole.append(mix64(body ^ mix64(ends ^ np.uint64(base))))
+    return h[at[first]], whole[0], whole[1], first, count
 
 
 def anchors(docs: DataFrame, length: int) -> DataFrame:
-    """Segments of all texts ``(rid, text)``: ``h, g, rid, first, n``."""
+    """Segments of all texts ``(rid, text)``: ``h, g, g2, rid, first, n``."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for rid, text in zip(batch.column(0).to_pylist(), byte_values(batch.column(1))):
-                raw = np.frombuffer(text, np.uint8)
-                for s in range(0, max(1, len(raw) - length + 1), PIECE):
-                    h, g, first, n = segments(raw[s : s + PIECE + length - 1], length)
-                    for c, x in zip(out, (h.view(np.int64), g.view(np.int64), np.full(len(h), rid), first + s, n)):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["h", "g", "rid", "first", "n"])
+            for start in range(0, batch.num_rows, 1000):
+                piece, out = batch.slice(start, 1000), [[] for _ in types]
+                for rid, text in zip(piece.column(0).to_pylist(), byte_values(piece.column(1))):
+                    raw = np.frombuffer(text, np.uint8)
+                    for s in range(0, max(1, len(raw) - length + 1), PIECE):
+                        h, g, g2, first, n = segments(raw[s : s + PIECE + length - 1], length)
+                        for c, x in zip(out, (h.view(np.int64), g.view(np.int64), g2.view(np.int64), np.full(len(h), rid), first + s, n)):
+                            c.append(x)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, types)], names=["h", "g", "g2", "rid", "first", "n"])
 
-    return docs.mapInArrow(run, "h long, g long, rid long, first int, n int")
+    return docs.mapInArrow(run, "h long, g long, g2 long, rid long, first int, n int")
 
 
 def smaller_than_successor(t: np.ndarray) -> np.ndarray:
@@ -207,29 +212,31 @@ def spans_of(first: int, hit: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 
 def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
-    """Ranges of ``texts(rid, text)`` covered by strings of ``length`` bytes that occur again: ``rid, spans``."""
+    """Ranges of ``texts(rid, text)`` covered by strings of ``length`` bytes that occur again: ``rid, spans``.
+
+    Segments count as equal where minimiser and 128 bits of hash agree. Lists
+    are of one document each, and no longer than its text.
+    """
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
     spark = texts.sparkSession
     n_parts = partitions(spark)
-    folder = f"{shared_dir(spark).rstrip('/')}/suffix-{uuid.uuid4().hex}"
-    anchors(texts, length).write.parquet(f"{folder}/anchors")
-    every = spark.read.parquet(f"{folder}/anchors")
-    again = every.groupBy("h").agg(F.count("*").alias("c"), F.min("g").alias("g0"), F.max("g").alias("g1")).where("c > 1").select("h", (F.col("g0") == F.col("g1")).alias("alike"))
-    every.join(again, "h").write.parquet(f"{folder}/candidates")
-    found = spark.read.parquet(f"{folder}/candidates")
+    every = written(anchors(texts, length), "anchors")
+    total = every.count()
+    again = every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    # rows of a minimiser meet by shuffle and are counted there; the few hot ones are counted by aggregation
+    limit, segment = max(100, total // 500), ["h", "g", "g2"]
+    usual = every.join(again.where(F.col("c") <= limit).select("h"), "h").withColumn("same", F.count("*").over(Window.partitionBy("h", "g", "g2")))
+    hot = every.join(F.broadcast(again.where(F.col("c") > limit).select("h")), "h")
+    counts = hot.groupBy(*segment).agg(F.count("*").alias("same")).withColumn("rows_of_key", F.col("same"))
+    found = written(usual.unionByName(join_counted(hot, counts, segment, total)), "candidates")
     whole = F.struct(F.col("first").alias("s"), (F.col("first") + F.col("n") - 1 + length).alias("e"))
-    alike = found.where("alike").select("rid", F.array(whole).alias("spans"))
-    mixed = found.where("not alike")
-    distinct = mixed.groupBy("h", "g").agg(F.count("*").alias("c"), F.min(F.struct("rid", "first", "n")).alias("x")).select("h", "g", "c", "x.*")
-    # rows of a hot segment recognise each other within a salt; only those alone in theirs look their count up
-    salt = F.pmod(F.xxhash64("rid"), F.lit(SALTS))
-    salted = mixed.select("h", "g", "rid", "first", "n").withColumn("same", F.count("*").over(Window.partitionBy("h", "g", salt)))
-    sure = salted.where("same > 1").select("rid", F.array(whole).alias("spans"))
-    copied = salted.where("same = 1").join(distinct.where("c > 1").select("h", "g"), ["h", "g"]).select("rid", F.array(whole).alias("spans"))
-
-    crowd = distinct.groupBy("h").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k"))
-    dealt = distinct.join(crowd, "h").withColumn("a", F.pmod("g", F.col("k")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    copied = found.where("same > 1").select("rid", F.array(whole).alias("spans"))
+    distinct = written(found.groupBy(*segment).agg(F.max("same").alias("c"), F.min(F.struct("rid", "first", "n")).alias("x")).select(*segment, "c", "x.*"), "segments")
+
+    # distinct segments of one minimiser are compared; one that is alone in it was settled by its count
+    crowd = distinct.groupBy("h").agg(F.count("*").alias("rows_of_key")).where("rows_of_key > 1").withColumn("k", F.ceil(F.col("rows_of_key") / CHUNK).cast("int"))
+    dealt = join_counted(distinct, crowd, "h", distinct.count()).withColumn("a", F.pmod("g", F.col("k")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select("rid", F.struct("h", F.least("a", "b").alias("ci"), F.greatest("a", "b").alias("cj"), (F.col("c") > 1).alias("known"), "first", "n").alias("x"))
     wanted = dealt.groupBy("rid").agg(F.collect_list("x").alias("wanted"))
 
@@ -271,7 +278,7 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
     placed = texts.repartition(n_parts, "rid")
     cut = placed.join(wanted, "rid").select("rid", "text", "wanted").mapInArrow(extract, "h long, ci int, cj int, known boolean, first int, n int, rid long, bytes binary")
     decided = cut.repartition(n_parts, "h", "ci", "cj").sortWithinPartitions("h", "ci", "cj").mapInArrow(decide, "rid long, spans array<struct<s:int,e:int>>")
-    return alike.unionByName(sure).unionByName(copied).unionByName(decided).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return copied.unionByName(decided).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def merged(spans: list | None) -> list[tuple[int, int]]:
@@ -293,9 +300,15 @@ def keep_rest(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, text[at:]]) if runs else text
 
 
-def with_row_ids(docs: DataFrame) -> DataFrame:
-    """A 64-bit number of each row by its id and text: equal rows share it, which is right for them."""
-    return docs.withColumn("__rid", F.xxhash64("doc_id", "text"))
+def with_row_ids(docs: DataFrame, name: str) -> DataFrame:
+    """A 64-bit number of each row by its id and text: equal rows share it, which is right for them; should others, a second hash tells them apart."""
+    second = F.xxhash64(F.lit(1), "text", "doc_id")
+    rows = docs.withColumn(name, F.xxhash64("doc_id", "text"))
+    low, high = fresh(rows, "low", "high")
+    clash = rows.groupBy(name).agg(F.min(second).alias(low), F.max(second).alias(high)).where(F.col(low) != F.col(high)).select(name, low)
+    if clash.head(1):
+        rows = rows.join(clash, name, "left").withColumn(name, F.when(F.col(low).isNull(), F.col(name)).otherwise(second)).drop(low)
+    return rows
 
 
 def digests(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -307,8 +320,8 @@ def digests(docs: DataFrame, length: int = 200) -> DataFrame:
     places and so lose all of a long text; null ids are kept; an empty table
     gives no rows; extra columns are ignored.
     """
-    rows = with_row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    spans = repeated_spans(rows.select(F.col("__rid").alias("rid"), "text"), length)
+    rows = with_row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "rid")
+    spans = repeated_spans(rows.select("rid", "text"), length)
 
     def run(batches):
         for batch in batches:
@@ -320,12 +333,19 @@ def digests(docs: DataFrame, length: int = 200) -> DataFrame:
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    placed = rows.repartition(partitions(docs.sparkSession), "__rid")
-    return placed.join(spans, F.col("__rid") == F.col("rid"), "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    placed = rows.repartition(partitions(docs.sparkSession), "rid").join(spans, "rid", "left").select("doc_id", "text", "spans")
+    return placed.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """``docs`` with repeated byte strings taken out of ``text``; characters cut in half go too; other columns stay."""
+    """``docs`` with repeated byte strings taken out of ``text``; characters cut in half go too; other columns stay.
+
+    Needs columns ``doc_id`` and ``text``; every row stays, in no order. A null
+    text stays null, an empty one empty; repeated rows and rows with a null id
+    count as places of their own, so of repeated rows every long string goes
+    from each; columns of any other name are kept as they are; an empty table
+    gives no rows.
+    """
 
     @F.pandas_udf("string")
     def rest(texts: pd.Series, found: pd.Series) -> pd.Series:
@@ -335,7 +355,8 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             out.append(keep_rest(t.encode(), runs).decode("utf-8", "ignore") if runs else t)
         return pd.Series(out, dtype=object)
 
-    rows = with_row_ids(docs)
-    spans = repeated_spans(rows.select(F.col("__rid").alias("rid"), "text"), length).select(F.col("rid").alias("__of"), F.col("spans").alias("__spans"))
-    placed = rows.repartition(partitions(docs.sparkSession), "__rid")
-    return placed.join(spans, F.col("__rid") == F.col("__of"), "left").withColumn("text", rest("text", "__spans")).select(*docs.columns)
+    rid, spans = fresh(docs, "rid", "spans")
+    rows = with_row_ids(docs, rid)
+    found = repeated_spans(rows.select(F.col(rid).alias("rid"), "text"), length).select(F.col("rid").alias(rid), F.col("spans").alias(spans))
+    placed = rows.repartition(partitions(docs.sparkSession), rid).join(found, rid, "left")
+    return placed.withColumn("text", rest("text", spans)).select(*docs.columns)

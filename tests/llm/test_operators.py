@@ -200,10 +200,21 @@ def test_allocation_covers_radius():
         assert sum(t + 1 for _, t in parts) >= 5 and len({b for p, _ in parts for b in p}) == sum(len(p) for p, _ in parts)
 
 
-def test_wide_fingerprints_find_near_copies(docs, texts):
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, 5, 4, 40, True, simhash.sampled_parts(256, 16, 48)).collect()}
-    copies = [i for i, t in texts.items() if "edit" in t]
-    assert len({got[i] for i in copies}) == 1
+def test_similar_finds_near_copies(docs, texts):
+    rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    got = {r.id: r.root for r in simhash.similar(rows, 0.8, 5).collect()}
+
+    def shingles(t):
+        w = re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode()).split()
+        return frozenset(b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    assert got == classes(sorted(sets), lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) > 0)
+
+
+def test_radius_beyond_thresholds_is_refused(spark):
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), radius=60).count()
 
 
 def test_lexicon(docs, texts):
