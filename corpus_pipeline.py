@@ -6,55 +6,72 @@ last keep the columns of documents. :func:`run` chains them.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import langid, packing, rules, simhash, suffix
-from ledgerloom.llm.common import shared_dir
+from ledgerloom.llm.common import fresh, written
 
 #: Jaccard similarity from which 5-word shingle sets are near copies, decided on the sets themselves.
 NEAR = 0.8
-#: Differing bits of 256 up to which they are candidates: mean and three standard deviations at that similarity.
-NEAR_BITS = 57
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those without letters or in none of the languages go."""
-    found = langid.identify(docs, declared=F.col("lang"), host=F.col("source"), into="__language")
-    return found.where(F.col("__language.accepted")).select(*docs.columns)
+    """Documents whose language is identified; those without letters or in none of the languages go.
+
+    Null and empty texts have no letters. Repeated rows and null ids are judged
+    like any others; an empty table gives no rows; columns of any name stay.
+    """
+    (found,) = fresh(docs, "found")
+    return langid.identify(docs, declared=F.col("lang"), host=F.col("source"), into=found).where(F.col(f"{found}.accepted")).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules learned from ``labels`` find good."""
+    """Documents that the rules learned from ``labels`` find good.
+
+    Null and empty texts are scored by their zero statistics. Repeated rows are
+    scored alike, those with a null id too; without usable labels all stay; an
+    empty table gives no rows; columns of any name stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
-    model = rules.learn(rules.statistics_table(docs), labels)
-    scored = docs.withColumn("__stats", rules.statistics_of("text"))
-    return scored.where(model.score(F.col("__stats")) >= 0.5).select(*docs.columns)
+    (stats,) = fresh(docs, "stats")
+    rows = written(docs.withColumn(stats, rules.statistics_of("text")), "statistics")
+    model = rules.learn(rows.select("doc_id", F.col(stats).alias("stats")), labels)
+    return rows.where(model.score(F.col(stats)) >= 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that of the smallest id, rows without an id last.
 
-    Rows count by themselves: of repeated rows, and of copies without an id, one stays.
+    Rows count by themselves: of repeated rows, and of copies without an id, one
+    stays. Null and empty texts are copies of each other; an empty table gives
+    no rows; columns of any name stay.
     """
-    folder = f"{shared_dir(spark).rstrip('/')}/rows-{uuid.uuid4().hex}"
-    docs.withColumn("__row", F.monotonically_increasing_id()).write.parquet(folder)
-    rows = spark.read.parquet(folder)
-    found = simhash.similar(rows.select(F.col("__row").alias("id"), "text"), NEAR, ngram=5, words=4, radius=NEAR_BITS)
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col("__row").alias("row"))
-    first = found.join(rows.select("__row", "doc_id"), F.col("id") == F.col("__row")).groupBy("root").agg(F.min(order).alias("kept"))
-    return rows.join(first.select(F.col("kept.row").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    (row,) = fresh(docs, "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = simhash.similar(rows.select(F.col(row).alias("id"), "text"), NEAR, ngram=5)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc"), F.col(row).alias("row"))
+    first = found.join(rows.select(F.col(row).alias("id"), order.alias("place")), "id").groupBy("root").agg(F.min("place").alias("kept"))
+    return rows.join(first.select(F.col("kept.row").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the strings of 200 bytes that occur again."""
+    """Documents without the strings of 200 bytes that occur again; ``n_chars`` follows the text.
+
+    Every row stays, if need be with an empty text; a null text stays null;
+    repeated rows are places of their own; an empty table gives no rows; columns
+    of any name stay.
+    """
     return suffix.without_repeats(docs, 200).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rest in sequences of 1024 tokens."""
+    """The rest in sequences of 1024 tokens: one row per piece.
+
+    A null or empty text is the end id alone; repeated rows and null ids are
+    packed as documents of their own; an empty table gives no rows; other
+    columns are left out.
+    """
     return packing.pack(docs, end_id=0, window=1024)
 
 
