@@ -138,44 +138,134 @@ def merge_lines(existing: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("__n", rank).where((F.col("origin") == 0) | (F.col("__n") == 1)).drop("__k", "__n")
 
 
-LEVELS = "struct<level:string,reason:string>"
+#: Mark of a line that was checked as a whole, among the verified fields.
+REVIEWED = "__line_review__"
+#: Engines that read images, and words in a document's warnings that tell of a poor image.
+IMAGE_ENGINES = ["ai", "scan", "tesseract"]
+POOR_IMAGE = ["scan difficile", "relu avec", "contrôle ia", "ocr", "non détectés", "saisie manuelle", "illisible"]
+#: Fields whose warnings do not hold a line up.
+SOFT = ["date_paie", "if"]
 
 
 def confidence(df: DataFrame, client_ice: Column) -> DataFrame:
-    """Level and reason for each field of a line (J1), first matching rule wins; adds ``conf`` map.
+    """Level and reason for each field of a line (J1, J2), first matching rule wins; adds the map ``conf``.
 
-    Needs ``duplicate`` and ``verified``; a verified line is ok throughout.
+    ``verified``: fields that a user has confirmed; they are ok. Amounts that
+    contradict each other are an error of all three amounts. A zero rate that
+    fits its amounts needs confirmation only where the image was poor.
     """
     C = F.col
-    ocr = C("engine") == "ocr"
-    sums = F.abs(C("ht") + C("tva") - C("ttc")) <= F.greatest(A.money("0.05").cast("decimal(22,4)"), (F.abs(C("ttc")) * F.lit("0.01").cast("decimal(4,2)")).cast("decimal(22,4)"))
-    rate_ok = F.when(C("pct") == 0, F.abs("tva") <= A.money("0.05")).when(C("pct") == 10, S.near_ratio(C("tva"), C("ht"), 0.1)).otherwise(S.near_ratio(C("tva"), C("ht"), 0.2))
-
-    def pick(*rules: tuple[Column, str, str]) -> Column:
+    h, v, t = F.abs("ht"), F.abs("tva"), F.abs("ttc")
+    cent, slack = A.money("0.01"), A.money("0.05")
+    signs = F.array_distinct(F.filter(F.array(*[F.when(F.abs(c) >= cent, F.signum(c)) for c in ("ht", "tva", "ttc")]), lambda x: x.isNotNull()))
+    issue = (
+        F.when((h < cent) & (t < cent), "zero").when(F.size(signs) > 1, "sign")
+        .when((h >= cent) & (v > h + slack), "vat above ht").when(F.abs(h + v - t) > slack, "sum")
+    )
+    implied = F.when(h < cent, None).when(v < slack, 0).when(S.near_ratio(C("tva"), C("ht"), 0.1), 10).when(S.near_ratio(C("tva"), C("ht"), 0.2), 20)
+    df = df.withColumns({
+        "__poor": C("engine").isin(IMAGE_ENGINES) & F.lower(S.text_of(C("warnings"))).rlike("|".join(POOR_IMAGE)),
+        "__free": (C("pct") == 0) & (h >= cent) & (v <= slack) & (F.abs(h - t) <= slack),
+        "__issue": issue, "__implied": implied, "__code": S.vat_code(C("designation"), C("pct")), "__ice": S.ice(C("ice_frs")),
+    })
+    poor, sure, unsure = C("__poor"), C("__free") & ~C("__poor"), C("__free") & C("__poor")
+
+    def pick(field: str, *rules: tuple[Column, str, str]) -> Column:
         out = F.struct(F.lit("ok").alias("level"), F.lit("").alias("reason"))
         for test, level, reason in reversed(rules):
-            out = F.when(test, F.struct(F.lit(level).alias("level"), F.lit(reason).alias("reason"))).otherwise(out)
-        return F.when(C("verified"), F.struct(F.lit("ok").alias("level"), F.lit("verified").alias("reason"))).otherwise(out)
+            said = F.lit(reason) if isinstance(reason, str) else reason
+            out = F.when(test, F.struct(F.lit(level).alias("level"), said.alias("reason"))).otherwise(out)
+        return F.when(F.array_contains(C("verified"), field), F.struct(F.lit("ok").alias("level"), F.lit("verified").alias("reason"))).otherwise(out)
+
+    def amount(field: str, *own: tuple[Column, str, str]) -> Column:
+        last = [(C("duplicate"), "warn", "duplicate")] if field == "m_ttc" else []
+        return pick(field, (C("__issue").isNotNull(), "error", C("__issue")), (C("sanitized"), "warn", "repaired"), *own, (poor, "warn", "poor scan"), *last)
 
     fields = {
-        "fact_num": pick((S.text_of(C("fact_num")) == "", "error", "missing"), (C("duplicate"), "warn", "duplicate"), (ocr, "warn", "scan")),
-        "lib_frss": pick((S.text_of(C("lib_frss")) == "", "error", "missing"), (~S.plausible_name(C("lib_frss")), "warn", "implausible")),
-        "ice": pick((S.ice(C("ice_frs")) == "", "error", "missing"), (S.ice(C("ice_frs")) == client_ice, "error", "client"), (C("ice_inferred"), "warn", "inferred")),
-        "if": pick((S.digits(C("if_number")) == "", "warn", "missing"), (C("if_inferred"), "warn", "inferred")),
-        "m_ht": pick((F.abs("ht") < A.money("0.01"), "error", "zero"), (~sums, "error", "sum"), (C("sanitized"), "warn", "repaired")),
-        "tva": pick((F.signum("ht") * F.signum("tva") < 0, "error", "sign"), (~rate_ok, "warn", "rate")),
-        "m_ttc": pick((F.abs("ttc") < A.money("0.01"), "error", "zero"), (~sums, "error", "sum"), (C("reconstructed"), "warn", "computed")),
-        "taux": pick((A.blended(C("ht"), C("tva")), "warn", "blended"), (~rate_ok, "warn", "rate")),
-        "date_fac": pick((C("date_fac").isNull(), "error", "missing")),
-        "date_paie": pick((C("date_paie").isNull(), "warn", "missing")),
-        "designation": pick((S.text_of(C("designation")) == "", "warn", "missing")),
-    }
-    return df.withColumn("conf", F.map_from_arrays(F.array(*[F.lit(k) for k in fields]), F.array(*fields.values())))
+        "fact_num": pick("fact_num", (F.trim(S.text_of(C("fact_num"))) == "", "error", "missing"), (C("duplicate"), "warn", "duplicate"), (poor, "warn", "poor scan")),
+        "lib_frss": pick("lib_frss", (F.trim(S.text_of(C("lib_frss"))) == "", "error", "missing"), (C("from_folder"), "warn", "from folder"), (~S.plausible_name(C("lib_frss")), "warn", "implausible"), (poor, "warn", "poor scan")),
+        "ice_frs": pick("ice_frs", (C("__ice") == "", "error", "missing"), (F.coalesce(C("__ice") == client_ice, F.lit(False)), "error", "client"), (C("ice_inferred"), "warn", "inferred"), (poor, "warn", "poor scan")),
+        "if": pick("if", (F.trim(S.text_of(C("if_number"))) == "", "warn", "missing"), (C("if_inferred"), "warn", "inferred")),
+        "designation": pick("designation", (C("__code").isNull() & (C("pct") == 0) & sure, "ok", "zero rate"), (C("__code").isNull() & (C("pct") == 0) & unsure, "warn", "confirm zero rate"), (C("__code").isNull() & (C("pct") == 0), "warn", "zero rate without code"), (C("__code").isNull(), "warn", "no code")),
+        "m_ht": amount("m_ht", (unsure, "ok", "zero rate")),
+        "tva": amount("tva", (C("tva_calculated") & sure, "ok", "zero rate"), (C("tva_calculated") & unsure, "warn", "confirm zero rate"), (C("tva_calculated"), "warn", "computed"), (unsure, "warn", "confirm zero rate")),
+        "m_ttc": amount("m_ttc", (C("reconstructed") & sure, "ok", "zero rate"), (C("reconstructed"), "warn", "computed"), (unsure, "ok", "zero rate")),
+        "taux": pick(
+            "taux", (~C("pct").isin(0, 10, 20), "error", "unknown rate"), ((C("pct") == 0) & (v > slack), "error", "vat at zero rate"), (A.blended(C("ht"), C("tva")) & (F.abs(h + v - t) <= slack), "warn", "blended"),
+            (F.coalesce(C("__implied") != C("pct"), F.lit(False)) & (v >= slack), "warn", "rate"), (poor & unsure, "warn", "confirm zero rate"), (poor, "warn", "poor scan"),
+        ),
+        "date_fac": pick("date_fac", (C("date_fac").isNull(), "warn", "missing"), (poor, "warn", "poor scan")),
+        "date_paie": pick("date_paie", (C("date_paie").isNull(), "warn", "missing")),
+    }
+    return df.withColumn("conf", F.map_from_arrays(F.array(*[F.lit(k) for k in fields]), F.array(*fields.values()))).drop("__poor", "__free", "__issue", "__implied", "__code", "__ice")
 
 
-SOFT = ["date_paie", "if"]
+def line_reviewed(verified: Column) -> Column:
+    """Whether the line as a whole was checked."""
+    return F.array_contains(verified, REVIEWED)
+
+
+def soft(field: Column, level: Column) -> Column:
+    """A warning that does not hold the line up."""
+    return (level == "warn") & field.isin(SOFT)
+
+
+def needs_review(conf: Column, duplicate: Column) -> Column:
+    """A duplicate, or any field that is not ok."""
+    return duplicate | F.exists(F.map_values(conf), lambda e: e["level"] != "ok")
+
+
+def has_anomaly(conf: Column, verified: Column, duplicate: Column, dismissed: Column) -> Column:
+    """What a user must act on (J3, F14): a duplicate not dismissed, an error, or a warning that is not soft, on a line not yet checked."""
+    return ~line_reviewed(verified) & ((duplicate & ~dismissed) | F.exists(F.map_entries(conf), lambda e: (e["value"]["level"] != "ok") & ~soft(e["key"], e["value"]["level"])))
+
+
+def issues(conf: Column, verified: Column, duplicate: Column, dismissed: Column) -> Column:
+    """Issues of a line (J4): ``array<struct<level, field, reason>>``, a duplicate first, without soft ones; none once the line is checked."""
+    own = F.transform(F.filter(F.map_entries(conf), lambda e: (e["value"]["level"] != "ok") & ~soft(e["key"], e["value"]["level"])), lambda e: F.struct(e["value"]["level"].alias("level"), e["key"].alias("field"), e["value"]["reason"].alias("reason")))
+    twice = F.array(F.struct(F.lit("warn").alias("level"), F.lit("duplicate").alias("field"), F.lit("duplicate").alias("reason")))
+    return F.when(line_reviewed(verified), F.slice(own, 1, 0)).when(duplicate & ~dismissed, F.concat(twice, own)).otherwise(own)
 
 
-def has_anomaly(conf: Column, verified: Column) -> Column:
-    """An error, or a warning outside the soft fields, on a line nobody verified."""
-    return ~verified & F.exists(F.map_entries(conf), lambda e: (e["value"]["level"] == "error") | ((e["value"]["level"] == "warn") & ~e["key"].isin(SOFT)))
+def label(fact_num: Column, lib_frss: Column, pos: Column) -> Column:
+    """How a line is called in lists (J5): its invoice and supplier, else its position."""
+    number, name = F.trim(S.text_of(fact_num)), F.trim(S.text_of(lib_frss))
+    head = F.when(number != "", F.concat(F.lit("Facture "), number)).otherwise(F.concat(F.lit("Ligne "), pos.cast("string")))
+    return F.when(name != "", F.concat(head, F.lit(" ("), name, F.lit(")"))).otherwise(head)
+
+
+def review_list(df: DataFrame) -> DataFrame:
+    """Distinct issues of each dossier's unchecked lines, errors before warnings (J5): ``dossier, rank, label, field, level, reason``."""
+    open_lines = df.where(~line_reviewed(F.col("verified"))).withColumn("label", label(F.col("fact_num"), F.col("lib_frss"), F.col("pos")))
+    each = open_lines.select("dossier", "label", F.explode("conf").alias("field", "c")).where("c.level <> 'ok'").select("dossier", "label", "field", "c.level", "c.reason")
+    twice = open_lines.where("duplicate and not dismissed").select("dossier", "label", F.lit("duplicate").alias("field"), F.lit("warn").alias("level"), F.lit("duplicate").alias("reason"))
+    return each.unionByName(twice).distinct().select("dossier", F.when(F.col("level") == "error", 0).otherwise(1).alias("rank"), "label", "field", "level", "reason")
+
+
+def verify_line(df: DataFrame, which: Column) -> DataFrame:
+    """Mark lines as checked (C15); a duplicate among them is thereby dismissed."""
+    return df.withColumns({"verified": F.when(which, F.array_union("verified", F.array(F.lit(REVIEWED)))).otherwise(F.col("verified")), "dismissed": F.col("dismissed") | (which & F.col("duplicate"))})
+
+
+def unverify_line(df: DataFrame, which: Column) -> DataFrame:
+    """Take the mark and the dismissal back."""
+    return df.withColumns({"verified": F.when(which, F.array_remove("verified", REVIEWED)).otherwise(F.col("verified")), "dismissed": F.col("dismissed") & ~which})
+
+
+def verify_field(df: DataFrame, which: Column, field: str) -> DataFrame:
+    """Confirm one field (C15): the line must be checked again, and an inferred id counts as given."""
+    out = unverify_line(df, which)
+    out = out.withColumn("verified", F.when(which, F.array_union("verified", F.array(F.lit(field)))).otherwise(F.col("verified")))
+    flag = {"ice_frs": "ice_inferred", "if": "if_inferred"}.get(field)
+    return out.withColumn(flag, F.col(flag) & ~which) if flag else out
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Lines as they are kept in a ledger (C18): 24 fields under their stored names; each field's confidence with its reason."""
+    C = F.col
+    text = lambda c: F.coalesce(C(c).cast("string"), F.lit(""))
+    return df.select(
+        "source_file", "source_id", "fact_num", "designation", C("ht").alias("m_ht"), "tva", C("ttc").alias("m_ttc"), text("if_number").alias("if"), text("lib_frss").alias("lib_frss"), text("ice_frs").alias("ice_frs"),
+        "ice_inferred", "if_inferred", C("reconstructed").alias("ttc_reconstructed"), "tva_calculated", C("sanitized").alias("amounts_sanitized"), C("from_folder").alias("supplier_from_folder"), F.lit(False).alias("date_paie_from_bank"),
+        C("engine").alias("extraction_engine"), C("verified").alias("user_verified_fields"), C("conf").alias("field_confidence"), (C("pct") / F.lit(100)).cast("decimal(4,2)").alias("taux"), F.lit(None).cast("int").alias("id_paie"), text("date_paie").alias("date_paie"), text("date_fac").alias("date_fac"),
+    )

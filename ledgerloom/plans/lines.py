@@ -161,29 +161,47 @@ def j01_confidence(spark, sf_dir):
     return reviewed(spark, sf_dir).select(*KEY, F.explode("conf").alias("field", "c")).select(*KEY, "field", "c.level", "c.reason")
 
 
+def _anomaly():
+    return L.has_anomaly(F.col("conf"), F.col("verified"), F.col("duplicate"), F.col("dismissed"))
+
+
 def j03_anomalies(spark, sf_dir):
-    """Lines that need action."""
-    return reviewed(spark, sf_dir).select(*KEY, L.has_anomaly(F.col("conf"), F.col("verified")).alias("anomaly"))
+    """Lines that need action, and lines with anything to review."""
+    return reviewed(spark, sf_dir).select(*KEY, _anomaly().alias("anomaly"), L.needs_review(F.col("conf"), F.col("duplicate")).alias("review"))
 
 
 def j04_issue_summary(spark, sf_dir):
-    """Per line its issues, errors first."""
-    c = F.filter(F.map_entries("conf"), lambda e: e["value"]["level"] != "ok")
-    names = lambda level: F.array_sort(F.transform(F.filter(c, lambda e: e["value"]["level"] == level), lambda e: e["key"]))
-    return reviewed(spark, sf_dir).select(*KEY, F.array_join(names("error"), ",").alias("errors"), F.array_join(names("warn"), ",").alias("warns"))
+    """Per line its issues that are not soft."""
+    found = L.issues(F.col("conf"), F.col("verified"), F.col("duplicate"), F.col("dismissed"))
+    names = lambda level: F.array_join(F.array_sort(F.transform(F.filter("found", lambda e: e["level"] == level), lambda e: e["field"])), ",")
+    return reviewed(spark, sf_dir).select(*KEY, found.alias("found")).select(*KEY, names("error").alias("errors"), names("warn").alias("warns"))
 
 
 def j05_review_list(spark, sf_dir):
-    """Distinct issues of each dossier with their number, worst first."""
-    e = reviewed(spark, sf_dir).where("not verified").select("dossier", F.explode("conf").alias("field", "c")).where("c.level <> 'ok'")
-    n = e.groupBy("dossier", "field", "c.level", "c.reason").agg(F.count("*").alias("n"))
-    return n.withColumn("rank", F.when(F.col("level") == "error", 0).otherwise(1))
+    """Distinct issues of each dossier's lines, worst first."""
+    return L.review_list(reviewed(spark, sf_dir))
 
 
 def f14_anomaly_count(spark, sf_dir):
     """Lines, anomalies and missing payment dates of each dossier (with F15 and F17)."""
     df = reviewed(spark, sf_dir)
-    return df.groupBy("dossier").agg(F.count("*").alias("n"), F.count_if(L.has_anomaly(F.col("conf"), F.col("verified"))).alias("anomalies"), F.count_if(F.col("date_paie").isNull() & (F.col("designation") != S.BANK_FEES)).alias("unpaid"))
+    return df.groupBy("dossier").agg(F.count("*").alias("n"), F.count_if(_anomaly()).alias("anomalies"), F.count_if(F.col("date_paie").isNull() & (F.col("designation") != S.BANK_FEES)).alias("unpaid"))
+
+
+def c15_review_marks(spark, sf_dir):
+    """Marks after a user checked some lines, confirmed company ids on others and took marks back."""
+    df = L.mark_duplicates(D.invoice_lines(spark, sf_dir)).withColumn("ice_inferred", F.col("ice_frs") == "")
+    df = L.verify_line(df, F.col("ht") > 50000)
+    df = L.verify_field(df, F.col("pct") == 10, "ice_frs")
+    df = L.unverify_line(df, F.col("ttc") == 0)
+    return df.select(*KEY, F.array_join(F.array_sort("verified"), ",").alias("marks"), "dismissed", "ice_inferred")
+
+
+def c18_stored(spark, sf_dir):
+    """Reviewed lines as stored records, the confidence as text."""
+    c = F.array_join(F.array_sort(F.transform(F.map_entries("field_confidence"), lambda e: F.concat_ws(":", e["key"], e["value"]["level"], e["value"]["reason"]))), ",")
+    df = L.stored(reviewed(spark, sf_dir))
+    return df.withColumns({"field_confidence": c, "user_verified_fields": F.array_join("user_verified_fields", ",")}).withColumns({k: F.col(k).cast("double") for k in ("m_ht", "tva", "m_ttc", "taux")})
 
 
 def f26_issue_counts(spark, sf_dir):
@@ -211,7 +229,7 @@ def a12_declaration_rows(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     c01_credit_signs, c04_repair, c05_fill_total, c06_coherent, c07_blended, c08_escalation, c11_recompute, c12_fee_lines, c13_bulk_replace, c14_supplier_fill, c16_apply_payment, c17_status,
     f02_most_common_name, f03_best_ice, f04_canonical_name, f05_first_identifier, f06_complete_identifiers, f07_normalise_groups, f08_consolidate, g01_duplicates, g02_remove_duplicates, g03_merge,
-    j01_confidence, j03_anomalies, j04_issue_summary, j05_review_list, f14_anomaly_count, f26_issue_counts, declaration, a12_declaration_rows,
+    c15_review_marks, c18_stored, j01_confidence, j03_anomalies, j04_issue_summary, j05_review_list, f14_anomaly_count, f26_issue_counts, declaration, a12_declaration_rows,
 )}
 
 # Twins ---------------------------------------------------------------------
@@ -265,25 +283,33 @@ later AS (SELECT DISTINCT dossier, pos FROM (SELECT dossier, pos, min(pos) OVER
 marked AS (SELECT s.*, l.pos IS NOT NULL AS duplicate FROM {source} s LEFT JOIN later l ON s.dossier = l.dossier AND s.pos = l.pos)"""
 
 
-SUMS = "abs(ht + tva - ttc) <= greatest(0.05, abs(ttc) * 0.01)"
-RATE_OK = f"CASE WHEN pct = 0 THEN abs(tva) <= 0.05 WHEN pct = 10 THEN {near('tva', 'ht', 0.075, 0.125)} ELSE {near('tva', 'ht', 0.175, 0.225)} END"
 PLAUSIBLE = "(length(lib_frss) BETWEEN 4 AND 60 AND length(regexp_replace(lib_frss, '[^\\p{L}]', '', 'g')) >= 4 AND length(regexp_replace(lib_frss, '[^0-9]', '', 'g')) * 4 <= length(lib_frss) AND regexp_matches(lower(lib_frss), '[aeiouyàâéèêîôûü]'))"
+#: Rules of each field in order; ``poor``, ``free``, ``issue``, ``implied`` and ``code`` are columns of ``judged``.
+AMOUNT_RULES = [("issue IS NOT NULL", "error", None), ("sanitized", "warn", "repaired")]
 FIELDS = {
-    "fact_num": [("duplicate", "warn", "duplicate"), ("engine = 'ocr'", "warn", "scan")],
-    "lib_frss": [(f"NOT {PLAUSIBLE}", "warn", "implausible")],
-    "ice": [("ice_frs = ''", "error", "missing"), ("ice_frs = lpad(CAST(client + 1 AS VARCHAR), 15, '0')", "error", "client"), ("ice_inferred", "warn", "inferred")],
+    "fact_num": [("duplicate", "warn", "duplicate"), ("poor", "warn", "poor scan")],
+    "lib_frss": [("from_folder", "warn", "from folder"), (f"NOT {PLAUSIBLE}", "warn", "implausible"), ("poor", "warn", "poor scan")],
+    "ice_frs": [("ice_frs = ''", "error", "missing"), ("ice_frs = lpad(CAST(client + 1 AS VARCHAR), 15, '0')", "error", "client"), ("ice_inferred", "warn", "inferred"), ("poor", "warn", "poor scan")],
     "if": [("if_number = ''", "warn", "missing"), ("if_inferred", "warn", "inferred")],
-    "m_ht": [("abs(ht) < 0.01", "error", "zero"), (f"NOT ({SUMS})", "error", "sum"), ("sanitized", "warn", "repaired")],
-    "tva": [("sign(ht) * sign(tva) < 0", "error", "sign"), (f"NOT ({RATE_OK})", "warn", "rate")],
-    "m_ttc": [("abs(ttc) < 0.01", "error", "zero"), (f"NOT ({SUMS})", "error", "sum"), ("reconstructed", "warn", "computed")],
-    "taux": [(BLEND("ht", "tva"), "warn", "blended"), (f"NOT ({RATE_OK})", "warn", "rate")],
-    "date_fac": [],
+    "designation": [("code IS NULL AND pct = 0 AND free AND NOT poor", "ok", "zero rate"), ("code IS NULL AND pct = 0 AND free", "warn", "confirm zero rate"), ("code IS NULL AND pct = 0", "warn", "zero rate without code"), ("code IS NULL", "warn", "no code")],
+    "m_ht": [*AMOUNT_RULES, ("free AND poor", "ok", "zero rate"), ("poor", "warn", "poor scan")],
+    "tva": [*AMOUNT_RULES, ("tva_calculated AND free AND NOT poor", "ok", "zero rate"), ("tva_calculated AND free", "warn", "confirm zero rate"), ("tva_calculated", "warn", "computed"), ("free AND poor", "warn", "confirm zero rate"), ("poor", "warn", "poor scan")],
+    "m_ttc": [*AMOUNT_RULES, ("reconstructed AND free AND NOT poor", "ok", "zero rate"), ("reconstructed", "warn", "computed"), ("free AND poor", "ok", "zero rate"), ("poor", "warn", "poor scan"), ("duplicate", "warn", "duplicate")],
+    "taux": [("pct = 0 AND abs(tva) > 0.05", "error", "vat at zero rate"), (f"{BLEND('ht', 'tva')} AND abs(abs(ht) + abs(tva) - abs(ttc)) <= 0.05", "warn", "blended"), ("implied <> pct AND abs(tva) >= 0.05", "warn", "rate"), ("poor AND free", "warn", "confirm zero rate"), ("poor", "warn", "poor scan")],
+    "date_fac": [("date_fac IS NULL", "warn", "missing"), ("poor", "warn", "poor scan")],
     "date_paie": [("date_paie IS NULL", "warn", "missing")],
-    "designation": [],
 }
-CONF = f"""{FILLED}, {completed('(SELECT *, ttc <> ttc0 AS reconstructed FROM filled)')}, {signed_lines('completed')},
-conf AS (SELECT dossier, pos, verified, date_paie, designation, unnest([{', '.join("{'field': '" + f + "', 'c': " + 'CASE WHEN verified THEN ' + "{'level': 'ok', 'reason': 'verified'} " + ' '.join(f"WHEN {t} THEN {{'level': '{lv}', 'reason': '{why}'}}" for t, lv, why in rules) + " ELSE {'level': 'ok', 'reason': ''} END}" for f, rules in FIELDS.items())}], recursive := true) FROM marked)"""
-ANOMALY = "bool_or(NOT verified AND (level = 'error' OR (level = 'warn' AND field NOT IN ('date_paie', 'if'))))"
+CODES = "codes(d, p, code) AS (VALUES ('MATIERES CONSOMMABLES', 20, 146), ('MATIERES CONSOMMABLES', 10, 150), ('PRESTATIONS', 20, 140), ('TELEPHONIE', 20, 140), ('FRAIS BANCAIRE', 10, 142))"
+JUDGED = f"""{FILLED}, {completed('(SELECT *, ttc <> ttc0 AS reconstructed FROM filled)')}, {signed_lines('completed')}, {CODES},
+judged AS (SELECT marked.*, code, engine = 'ai' AND contains(lower(warnings), 'scan difficile') AS poor, pct = 0 AND abs(ht) >= 0.01 AND abs(tva) <= 0.05 AND abs(abs(ht) - abs(ttc)) <= 0.05 AS free,
+  CASE WHEN abs(ht) < 0.01 AND abs(ttc) < 0.01 THEN 'zero' WHEN greatest(ht, tva, ttc) >= 0.01 AND least(ht, tva, ttc) <= -0.01 THEN 'sign' WHEN abs(ht) >= 0.01 AND abs(tva) > abs(ht) + 0.05 THEN 'vat above ht' WHEN abs(abs(ht) + abs(tva) - abs(ttc)) > 0.05 THEN 'sum' END AS issue,
+  CASE WHEN abs(ht) < 0.01 THEN NULL WHEN abs(tva) < 0.05 THEN 0 WHEN {near('tva', 'ht', 0.075, 0.125)} THEN 10 WHEN {near('tva', 'ht', 0.175, 0.225)} THEN 20 END AS implied
+  FROM marked LEFT JOIN codes ON d = designation AND p = pct)"""
+CONF = f"""{JUDGED},
+conf AS (SELECT dossier, pos, verified, duplicate, dismissed, fact_num, lib_frss, date_paie, designation, unnest([{', '.join("{'field': '" + f + "', 'c': " + f"CASE WHEN list_contains(verified, '{f}') THEN " + "{'level': 'ok', 'reason': 'verified'} " + ' '.join(f"WHEN {t} THEN {{'level': '{lv}', 'reason': {'issue' if why is None else chr(39) + why + chr(39)}}}" for t, lv, why in rules) + " ELSE {'level': 'ok', 'reason': ''} END}" for f, rules in FIELDS.items())}], recursive := true) FROM judged)"""
+CHECKED = "list_contains(verified, '__line_review__')"
+HARD = "(level = 'error' OR (level = 'warn' AND field NOT IN ('date_paie', 'if')))"
+ANOMALY = f"bool_or(NOT {CHECKED} AND ((duplicate AND NOT dismissed) OR {HARD}))"
 
 ORACLES = {
     "c01_credit_signs": f"WITH {CREDIT} SELECT dossier, pos, {', '.join(f'CAST(CASE WHEN credit AND {c} > 0 THEN -{c} ELSE {c} END AS DOUBLE) AS {c}' for c in ('ht', 'tva', 'ttc'))} FROM credited",
@@ -309,9 +335,11 @@ ORACLES = {
     "g02_remove_duplicates": f"WITH {D.LINES}, {KEYED.format('lines')}, {signed_lines('keyed')} SELECT dossier, pos, fact_num FROM marked WHERE NOT duplicate",
     "g03_merge": f"WITH {D.LINES}, o AS (SELECT *, CASE WHEN copy = 0 AND pos % 2 = 0 THEN 0 ELSE 1 END AS origin, CASE WHEN source_id <> '' THEN source_id WHEN contains(source_file, '/') THEN lower(string_split(source_file, '/')[-2] || '/' || string_split(source_file, '/')[-1]) ELSE lower(source_file) END || '|' || lower(fact_num) || '|' || pct AS k FROM lines), r AS (SELECT *, row_number() OVER (PARTITION BY dossier, k ORDER BY origin, pos) AS n FROM o) SELECT dossier, pos, origin FROM r WHERE origin = 0 OR n = 1",
     "j01_confidence": f"WITH {CONF} SELECT dossier, pos, field, level, reason FROM conf",
-    "j03_anomalies": f"WITH {CONF} SELECT dossier, pos, {ANOMALY} AS anomaly FROM conf GROUP BY dossier, pos",
-    "j04_issue_summary": f"WITH {CONF} SELECT dossier, pos, coalesce(string_agg(field, ',' ORDER BY field) FILTER (level = 'error'), '') AS errors, coalesce(string_agg(field, ',' ORDER BY field) FILTER (level = 'warn'), '') AS warns FROM conf GROUP BY dossier, pos",
-    "j05_review_list": f"WITH {CONF} SELECT dossier, field, level, reason, count(*) AS n, CASE WHEN level = 'error' THEN 0 ELSE 1 END AS rank FROM conf WHERE NOT verified AND level <> 'ok' GROUP BY ALL",
+    "j03_anomalies": f"WITH {CONF} SELECT dossier, pos, {ANOMALY} AS anomaly, bool_or(duplicate OR level <> 'ok') AS review FROM conf GROUP BY dossier, pos",
+    "j04_issue_summary": f"WITH {CONF}, i AS (SELECT dossier, pos, field, level, {CHECKED} AS checked FROM conf UNION ALL SELECT DISTINCT dossier, pos, 'duplicate', CASE WHEN duplicate AND NOT dismissed THEN 'warn' ELSE 'ok' END, {CHECKED} FROM conf) SELECT dossier, pos, coalesce(string_agg(field, ',' ORDER BY field) FILTER (level = 'error' AND NOT checked), '') AS errors, coalesce(string_agg(field, ',' ORDER BY field) FILTER (level = 'warn' AND {HARD} AND NOT checked), '') AS warns FROM i GROUP BY dossier, pos",
+    "j05_review_list": f"WITH {CONF}, i AS (SELECT dossier, fact_num, lib_frss, field, level, reason FROM conf WHERE NOT {CHECKED} AND level <> 'ok' UNION SELECT dossier, fact_num, lib_frss, 'duplicate', 'warn', 'duplicate' FROM conf WHERE NOT {CHECKED} AND duplicate AND NOT dismissed) SELECT DISTINCT dossier, CASE WHEN level = 'error' THEN 0 ELSE 1 END AS rank, 'Facture ' || fact_num || ' (' || lib_frss || ')' AS label, field, level, reason FROM i",
+    "c15_review_marks": f"WITH {D.LINES}, {KEYED.format('lines')}, {signed_lines('keyed')}, a AS (SELECT *, CASE WHEN ht > 50000 AND NOT {CHECKED} THEN list_append(verified, '__line_review__') ELSE verified END AS v1, dismissed OR (ht > 50000 AND duplicate) AS d1 FROM marked), b AS (SELECT *, CASE WHEN pct = 10 THEN list_distinct(list_append(list_filter(v1, lambda x: x <> '__line_review__'), 'ice_frs')) ELSE v1 END AS v2, d1 AND pct <> 10 AS d2 FROM a) SELECT dossier, pos, array_to_string(list_sort(CASE WHEN ttc = 0 THEN list_filter(v2, lambda x: x <> '__line_review__') ELSE v2 END), ',') AS marks, d2 AND ttc <> 0 AS dismissed, ice_frs = '' AND pct <> 10 AS ice_inferred FROM b",
+    "c18_stored": f"WITH {CONF}, c AS (SELECT dossier, pos, string_agg(field || ':' || level || ':' || reason, ',' ORDER BY field || ':' || level || ':' || reason) AS field_confidence FROM conf GROUP BY ALL) SELECT source_file, source_id, fact_num, designation, CAST(ht AS DOUBLE) AS m_ht, CAST(tva AS DOUBLE) AS tva, CAST(ttc AS DOUBLE) AS m_ttc, if_number AS if, lib_frss, ice_frs, ice_inferred, if_inferred, reconstructed AS ttc_reconstructed, tva_calculated, sanitized AS amounts_sanitized, from_folder AS supplier_from_folder, false AS date_paie_from_bank, engine AS extraction_engine, array_to_string(verified, ',') AS user_verified_fields, field_confidence, pct / 100.0 AS taux, CAST(NULL AS INTEGER) AS id_paie, coalesce(CAST(date_paie AS VARCHAR), '') AS date_paie, coalesce(CAST(date_fac AS VARCHAR), '') AS date_fac FROM judged JOIN c USING (dossier, pos)",
     "f14_anomaly_count": f"WITH {CONF}, a AS (SELECT dossier, pos, any_value(date_paie) AS paid, any_value(designation) AS d, {ANOMALY} AS anomaly FROM conf GROUP BY dossier, pos) SELECT dossier, count(*) AS n, count(*) FILTER (anomaly) AS anomalies, count(*) FILTER (paid IS NULL AND d <> 'FRAIS BANCAIRE') AS unpaid FROM a GROUP BY dossier",
     "f26_issue_counts": f"WITH {CONF} SELECT dossier, field, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warn') AS warns FROM conf GROUP BY dossier, field",
     "declaration": f"WITH {FILLED}, codes(d, p, code) AS (VALUES ('MATIERES CONSOMMABLES', 20, 146), ('MATIERES CONSOMMABLES', 10, 150), ('PRESTATIONS', 20, 140), ('TELEPHONIE', 20, 140), ('FRAIS BANCAIRE', 10, 142)), s AS (SELECT client, period, designation, pct, count(*) AS n, CAST(sum(ht) AS DOUBLE) AS ht, CAST(sum(tva) AS DOUBLE) AS tva, CAST(sum(ttc) AS DOUBLE) AS ttc FROM filled WHERE copy = 0 GROUP BY ALL) SELECT s.*, code FROM s LEFT JOIN codes ON d = designation AND p = pct",

@@ -27,7 +27,10 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items.withColumn("copy", F.explode(F.when(F.col("l_partkey") % 19 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    rows = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers, F.col("s_suppkey") == F.col("o_orderkey") % 10)
+    known = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0] or 0
+    # numbered within each order: the partitioning by order key serves the join with orders as well
+    items = items.withColumn("pos", F.col("l_orderkey") * 1000 + F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER)))
+    rows = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers, F.col("s_suppkey") == F.col("o_orderkey") % F.lit(known + 1))
     k, p = F.col("l_orderkey"), F.col("l_partkey")
     pct = F.when(F.col("l_tax") < 0.03, 0).when(F.col("l_tax") < 0.06, 10).otherwise(20)
     ht = F.round(F.col("l_extendedprice").cast(MONEY) * (1 - F.col("l_discount").cast("decimal(3,2)")), 2).cast(MONEY)
@@ -44,7 +47,7 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.floor(F.col("o_custkey") / 300).alias("client"),
             "dossier",
             F.date_format("o_orderdate", "yyyy-MM").alias("period"),
-            F.row_number().over(Window.partitionBy("dossier").orderBy(*ORDER)).alias("pos"),
+            "pos",
             F.when(k % 3 == 0, F.concat(number, F.lit(".pdf"))).otherwise(F.concat(F.lit("factures/"), F.col("s_name"), F.lit("/"), number, F.lit(".pdf"))).alias("source_file"),
             F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("src-"), (k % 5000).cast("string"))).alias("source_id"),
             number.alias("fact_num"),
@@ -58,8 +61,12 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(p % 6 == 0, "").otherwise((F.col("s_suppkey") + 40000000).cast("string")).alias("if_number"),
             F.to_date("o_orderdate").alias("date_fac"),
             F.when(p % 3 == 0, F.to_date("l_shipdate")).alias("date_paie"),
-            F.when(F.col("l_linenumber") % 2 == 0, "ai").otherwise("ocr").alias("engine"),
-            (p % 37 == 0).alias("verified"),
+            F.when(k % 2 == 0, "ai").otherwise("pdf").alias("engine"),
+            F.when(k % 5 == 0, "Scan difficile : relu").otherwise("").alias("warnings"),
+            (p % 41 == 0).alias("from_folder"),
+            (p % 43 == 0).alias("tva_calculated"),
+            F.when(p % 37 == 0, F.array(F.lit("__line_review__"))).when(p % 29 == 0, F.array(F.lit("ice_frs"), F.lit("m_ht"))).otherwise(F.array().cast("array<string>")).alias("verified"),
+            (p % 53 == 0).alias("dismissed"),
             "copy",
         )
     )
@@ -68,7 +75,7 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Twin of :func:`invoice_lines`.
 LINES = """
 lines AS (
-  SELECT client, dossier, period, row_number() OVER (PARTITION BY dossier ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate, copy) AS pos,
+  SELECT client, dossier, period, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate, copy) AS pos,
     CASE WHEN l_orderkey % 3 = 0 THEN fact_num || '.pdf' ELSE 'factures/' || s_name || '/' || fact_num || '.pdf' END AS source_file,
     CASE WHEN l_orderkey % 5 = 0 THEN '' ELSE 'src-' || (l_orderkey % 5000) END AS source_id, fact_num,
     CASE l_partkey % 5 WHEN 0 THEN 'PRESTATIONS' WHEN 1 THEN 'TELEPHONIE' WHEN 2 THEN 'FRAIS BANCAIRE' ELSE 'MATIERES CONSOMMABLES' END AS designation,
@@ -79,14 +86,15 @@ lines AS (
     CASE WHEN l_partkey % 7 = 0 THEN '' WHEN l_partkey % 31 = 0 THEN lpad(CAST(s_suppkey + 901 AS VARCHAR), 15, '0') ELSE lpad(CAST(s_suppkey + 1 AS VARCHAR), 15, '0') END AS ice_frs,
     CASE WHEN l_partkey % 6 = 0 THEN '' ELSE CAST(s_suppkey + 40000000 AS VARCHAR) END AS if_number,
     CAST(o_orderdate AS DATE) AS date_fac, CASE WHEN l_partkey % 3 = 0 THEN CAST(l_shipdate AS DATE) END AS date_paie,
-    CASE WHEN l_linenumber % 2 = 0 THEN 'ai' ELSE 'ocr' END AS engine, l_partkey % 37 = 0 AS verified, copy
+    CASE WHEN l_orderkey % 2 = 0 THEN 'ai' ELSE 'pdf' END AS engine, CASE WHEN l_orderkey % 5 = 0 THEN 'Scan difficile : relu' ELSE '' END AS warnings, l_partkey % 41 = 0 AS from_folder, l_partkey % 43 = 0 AS tva_calculated,
+    CASE WHEN l_partkey % 37 = 0 THEN ['__line_review__'] WHEN l_partkey % 29 = 0 THEN ['ice_frs', 'm_ht'] ELSE [] END AS verified, l_partkey % 53 = 0 AS dismissed, copy
   FROM (
     SELECT *, CAST(round(true_ht * CAST(CASE pct WHEN 10 THEN 0.10 WHEN 20 THEN 0.20 ELSE 0.00 END AS DECIMAL(3,2)), 2) AS DECIMAL(18,2)) AS true_tva FROM (
       SELECT *, CASE WHEN l_tax < 0.03 THEN 0 WHEN l_tax < 0.06 THEN 10 ELSE 20 END AS pct,
         CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(3,2))), 2) AS DECIMAL(18,2)) AS true_ht,
         o_custkey // 300 AS client, (o_custkey // 300) * 1000 + (year(o_orderdate) - 1990) * 12 + month(o_orderdate) AS dossier, strftime(o_orderdate, '%Y-%m') AS period,
         CASE WHEN l_orderkey % 29 = 0 THEN 'AVOIR' ELSE 'F' END || l_orderkey AS fact_num
-      FROM (SELECT *, unnest(CASE WHEN l_partkey % 19 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM lineitem) JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = o_orderkey % 10)))"""
+      FROM (SELECT *, unnest(CASE WHEN l_partkey % 19 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM lineitem) JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = o_orderkey % (SELECT max(s_suppkey) + 1 FROM supplier))))"""
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
