@@ -15,8 +15,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-
 STATISTICS = ["bytes", "words", "word_bytes", "longest_word", "upper", "digits", "symbols", "stops", "bars", "high", "lines", "line_bytes", "distinct_words", "top_word", "distinct_lines", "distinct_pairs", "ending_symbols", "upper_words"]
 #: Labelled rows that the rules are learned from, at most (a stable sample).
 TRAINING_ROWS = 20_000
@@ -155,19 +153,21 @@ class Ensemble:
         return 1 / (1 + F.exp(-total))
 
 
-def learn(stats: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Ensemble:
-    """Fit on at most ``rows`` labelled rows of ``stats(doc_id, stats)`` and ``labels(doc_id, label)``, chosen by a hash of the id."""
+def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Ensemble:
+    """Fit on at most ``rows`` labelled documents of ``docs(doc_id, text)`` and ``labels(doc_id, label)``.
+
+    The labels are chosen by a hash of the id; of those not marked alike the
+    greater counts, and of documents with one id each. Only the chosen, which
+    are few enough to broadcast, get statistics here.
+    """
     marked = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    sample = stats.join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("stats", "label").toArrow()
-    x = np.array(sample.column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(-1, len(STATISTICS))
+    chosen = F.broadcast(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "label"), "doc_id")
+    sample = texts.select("doc_id", "label", statistics_of("text").alias("stats")).orderBy("doc_id", "stats").limit(2 * rows).toArrow()
+    x = np.array(sample.column(2).combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(-1, len(STATISTICS))
     return Ensemble.fit(x, sample.column(1).to_numpy().astype(float))
 
 
-def statistics_table(docs: DataFrame) -> DataFrame:
-    """``(doc_id, stats)`` of every document, checkpointed: small rows that learning and scoring share."""
-    return cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), statistics_of("text").alias("stats")))
-
-
 def quality(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     """Score ``docs(doc_id, text)``: ``doc_id, held_out, score, predicted``.
 
@@ -177,6 +177,6 @@ def quality(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     score is constant; repeated rows and null ids are kept; extra columns are
     ignored; an empty table gives no rows.
     """
-    stats = statistics_table(docs)
-    model = learn(stats, labels.where(~held_out))
+    model = learn(docs, labels.where(~held_out))
+    stats = docs.select(F.col("doc_id").cast("long").alias("doc_id"), statistics_of("text").alias("stats"))
     return stats.select("doc_id", held_out.alias("held_out"), model.score(F.col("stats")).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

@@ -23,10 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, components, cut, join_counted, mix64, partitions
+from .common import byte_values, components, cut, fresh, join_counted, mix64, partitions
 
 #: Rows of a probing cell on average, and at most; larger cells are dealt as pairs of chunks.
-CELL, CHUNK = 32_768, 65_536
+CELL, CHUNK = 131_072, 524_288
 #: Fingerprints looked at on the driver to group bits, and of these to estimate candidates.
 SAMPLE, ESTIMATE = 20_000, 1024
 #: Bytes of text, and documents, in one chunk of a verification cell, about.
@@ -34,7 +34,7 @@ CELL_BYTES, CELL_DOCS = 16 << 20, 8192
 #: Expected share of pairs at the wanted similarity that the probes may miss.
 MISS = 1e-3
 #: What looking one probe up, and shuffling one row, costs, in candidate verifications.
-LOOKUP_COST, ROW_COST = 2.0, 100.0
+LOOKUP_COST, ROW_COST = 4.0, 200.0
 #: Steps that gains are counted in when thresholds are allocated.
 STEP = 1 / 64
 #: Contents (bit counts) of each byte value, least significant bit first.
@@ -259,10 +259,14 @@ def near_in_group(fps: np.ndarray, ids: np.ndarray, radius: int) -> tuple[np.nda
     return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def cell_links(values: np.ndarray, fps: np.ndarray, ids: np.ndarray, width: int, t: int, radius: int, small: int = 4096, block: int = 1 << 19):
-    """Links (a, b) among rows whose values differ in at most t bits: pairs of small buckets, forests of large ones."""
+def cell_links(values: np.ndarray, fps: np.ndarray, ids: np.ndarray, width: int, t: int, radius: int, first: int, small: int = 4096, block: int = 1 << 19):
+    """Links (a, b) among rows whose values differ in at most t bits: pairs of small buckets, forests of large ones.
+
+    Pairs whose first words differ in more than ``first`` bits are not looked at further.
+    """
     order = np.argsort(values, kind="stable")
     values, fps, ids = values[order], fps[order], ids[order]
+    head = np.ascontiguousarray(fps[:, 0])
     start = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
     u, n = values[start], np.diff(np.r_[start, len(values)])
     for mask in flips(width, t):
@@ -286,17 +290,22 @@ def cell_links(values: np.ndarray, fps: np.ndarray, ids: np.ndarray, width: int,
             if e > s:
                 q = np.repeat(np.arange(s, e), pairs[s:e])
                 k = np.arange(len(q)) - np.repeat(ends[s:e] - pairs[s:e] - (ends[s - 1] if s else 0), pairs[s:e])
-                x, y = start[a[q]] + k // n[b[q]], start[b[q]] + k % n[b[q]]
-                if not mask:
-                    x, y = x[x < y], y[x < y]
+                of = n[b[q]]
+                x = k // of
+                x, y = start[a[q]] + x, start[b[q]] + (k - x * of)
+                near = np.flatnonzero(np.bitwise_count(head[x] ^ head[y]) <= first)
+                x, y = x[near], y[near]
                 near = np.bitwise_count(fps[x] ^ fps[y]).sum(1) <= radius
+                if not mask:
+                    near &= x < y
                 yield ids[x[near]], ids[y[near]]
 
 
-def links(distinct: DataFrame, words: int, radius: int, parts: list[tuple[list[int], int]], rows: int) -> DataFrame:
+def links(distinct: DataFrame, words: int, radius: int, parts: list[tuple[list[int], int]], rows: int, first: int | None = None) -> DataFrame:
     """Edges ``(a, b)`` that connect all ``(id, fp)`` within the radius that some partition brings together.
 
-    A row goes to the cell of the leading bits of each partition's value, and
+    ``first``: bits in which the first words may differ (by default those of
+    the radius). A row goes to the cell of the leading bits of each partition's value, and
     as a guest to the lower cells that its threshold reaches; all probing of
     the other bits is done within the cell.
     """
@@ -324,7 +333,7 @@ def links(distinct: DataFrame, words: int, radius: int, parts: list[tuple[list[i
         def settle():
             fps, ids = np.concatenate([f for f, _ in held]), np.concatenate([i for _, i in held])
             p, t = parts[last[0]]
-            for a, b in cell_links(part_values(fps, p), fps, ids, len(p), t, radius):
+            for a, b in cell_links(part_values(fps, p), fps, ids, len(p), t, radius, radius if first is None else first):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
@@ -393,22 +402,28 @@ def near_duplicates(docs: DataFrame, ngram: int = 4, words: int = 1, radius: int
     return join_counted(fps, classed, "fp", fps.count()).select("doc_id", "fp", "component_id")
 
 
-def signatures(rows: DataFrame, ngram: int, words: int) -> DataFrame:
-    """``(id, fp, sig, n)`` of each row: fingerprint and 128-bit digest of the shingle set, bytes of the text."""
+def signatures(docs: DataFrame, ngram: int, words: int) -> DataFrame:
+    """``(doc_id, k1, k2, fp, sig, n)`` of each row of ``docs(doc_id, text)``: hashes of the text, fingerprint and 128-bit digest of the shingle set, bytes of the text."""
+    schema = "doc_id long, k1 long, k2 long, fp array<long>, sig binary, n long"
 
     def run(batches):
         memo = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 piece, fps, sigs, sizes = batch.slice(at, 500), [], [], []
-                for text in byte_values(piece.column(1)):
+                for text in byte_values(piece.column(3)):
                     h = shingle_set(text, ngram, memo)
                     fps.append(fingerprint(h, words).view(np.int64).tolist())
                     sigs.append(xxhash.xxh3_128_digest(h.tobytes()))
                     sizes.append(len(text))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(fps, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["id", "fp", "sig", "n"])
+                yield pa.RecordBatch.from_arrays([*(piece.column(j) for j in range(3)), pa.array(fps, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "k1", "k2", "fp", "sig", "n"])
+
+    return keyed(docs).mapInArrow(run, schema)
+
 
-    return rows.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, fp array<long>, sig binary, n long")
+def keyed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, k1, k2, text)``, the text named by two hashes."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
 
 
 def similar_in_group(sets: list[np.ndarray], fps: np.ndarray, ids: np.ndarray, radius: int, similarity: float) -> list[tuple[int, int]]:
@@ -437,34 +452,42 @@ def similar_in_group(sets: list[np.ndarray], fps: np.ndarray, ids: np.ndarray, r
     return out
 
 
-def similar(rows: DataFrame, similarity: float = 0.8, ngram: int = 5, miss: float = MISS) -> DataFrame:
-    """Components ``(id, root)`` of ``rows(id, text)`` whose shingle sets have at least the Jaccard ``similarity``.
+def groups(docs: DataFrame, similarity: float = 0.8, ngram: int = 5, miss: float = MISS) -> DataFrame:
+    """Groups of near copies among ``docs(doc_id, text)``: ``(doc_id, k1, k2, root)``, one row per document.
 
-    ``id`` must be unique and not null; ``root`` is the smallest id of the
-    component. Fingerprints find candidates only: those that share a probed
-    partition within its threshold, and differ in no more bits than the mean at
-    that similarity and three standard deviations, form groups; within a group
-    a link is kept if the shingle sets themselves are similar enough. ``miss``:
-    expected share of pairs at just this similarity that no probe brings
-    together (nearer ones are missed less). Rows of equal shingle sets, without
-    words too, link and cost one row; null texts count as empty; an empty table
-    gives no rows.
+    Documents whose sets of word shingles have at least the Jaccard
+    ``similarity`` are in one group, numbered ``root``; k1 and k2 name the text.
+    Fingerprints find candidates only: those that share a probed partition
+    within its threshold, and differ in no more bits than the mean at that
+    similarity and three standard deviations, form crowds; within a crowd a link
+    is kept if the shingle sets themselves are similar enough. ``miss``: expected
+    share of pairs at just this similarity that no probe brings together (nearer
+    ones are missed less). Rows of equal shingle sets, without words too, link
+    and cost one row; null texts count as empty; null ids and repeated rows are
+    rows like others; an empty table gives no rows; other columns are ignored.
     """
-    spark = rows.sparkSession
-    total = rows.count()
+    spark = docs.sparkSession
+    total = docs.count()
     words, p = words_for(total, similarity, miss), bit_error(similarity)
-    radius = math.ceil(64 * words * p + 3.3 * math.sqrt(64 * words * p * (1 - p)))
-    sets = cut(signatures(rows, ngram, words))
-    unique = cut(sets.groupBy("sig").agg(F.min("id").alias("id"), F.min("fp").alias("fp"), F.max("n").alias("n"), F.count("*").alias("rows_of_key")))
+
+    def most(bits: int, deviations: float) -> int:
+        return math.ceil(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
+
+    radius = most(64 * words, 3.3)
+    sets = cut(signatures(docs, ngram, words))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")
+    unique = sets.groupBy("sig").agg(F.min(place).alias("rep"), F.min("fp").alias("fp"), F.max("n").alias("n"), F.count("*").alias("rows_of_key"))
+    unique = cut(unique.withColumn("id", F.monotonically_increasing_id()))  # numbered once, as checkpointed
     number = unique.count()
     parts = allocate_similar(sampled(unique, words), 64 * words, number, similarity, miss)
-    near = components(links(unique.select("id", "fp"), words, radius, parts, number))
-    members = cut(near.unionByName(near.select(F.col("root").alias("id"), "root").distinct()).join(unique.select("id", "fp", "n"), "id"))
-    # groups too large for a task are dealt as pairs of chunks
+    near = components(links(unique.select("id", "fp"), words, radius, parts, number, most(64, 4.0)))
+    members = cut(near.unionByName(near.select(F.col("root").alias("id"), "root").distinct()).join(unique.select("id", "fp", "n", "rep"), "id"))
+    # crowds too large for a task are dealt as pairs of chunks
     chunks = F.greatest(F.ceil(F.count("*") / CELL_DOCS), F.ceil(F.sum("n") / CELL_BYTES)).cast("int")
-    groups = members.groupBy("root").agg(chunks.alias("c"), F.count("*").alias("rows_of_key"))
-    dealt = chunk_pairs(join_counted(members, groups, "root", members.count()), "root")
-    cells = dealt.select("root", "ci", "cj", "id", "fp").join(rows.select(F.col("id").cast("long").alias("id"), "text"), "id")
+    crowds = members.groupBy("root").agg(chunks.alias("c"), F.count("*").alias("rows_of_key"))
+    dealt = chunk_pairs(join_counted(members, crowds, "root", members.count()), "root").select("root", "ci", "cj", "id", "fp", *[F.col(f"rep.{c}").alias(f"{c}_") for c in ("doc_id", "k1", "k2")])
+    texts = keyed(docs)
+    cells = texts.join(dealt, (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_")) & F.col("doc_id").eqNullSafe(F.col("doc_id_"))).select("root", "ci", "cj", "id", "fp", "text")
 
     def verify(batches):
         held: list[tuple] = []
@@ -483,12 +506,46 @@ def similar(rows: DataFrame, similarity: float = 0.8, ngram: int = 5, miss: floa
                     if key != last and held:
                         yield from settle()
                         held = []
+                    if key == last and held and held[-1][0] == i:
+                        continue  # a repeated row
                     last = key
                     held.append((i, f, shingle_set(text, ngram, memo)))
         if held:
             yield from settle()
 
-    placed = cells.repartition(partitions(spark), "root", "ci", "cj").sortWithinPartitions("root", "ci", "cj").select("root", "ci", "cj", "id", "fp", "text")
+    placed = cells.repartition(partitions(spark), "root", "ci", "cj").sortWithinPartitions("root", "ci", "cj", "id")
     roots = components(placed.mapInArrow(verify, "a long, b long"))
     named = unique.join(roots, "id", "left").select("sig", "rows_of_key", F.coalesce("root", "id").alias("root"))
-    return join_counted(sets, named, "sig", total).select("id", "root")
+    return join_counted(sets.select("sig", "doc_id", "k1", "k2"), named, "sig", total).select("doc_id", "k1", "k2", "root")
+
+
+def one_of_each(docs: DataFrame, similarity: float = 0.8, ngram: int = 5) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that of the smallest id, rows without an id last.
+
+    Groups as in :func:`groups`. Of repeated rows one stays; all columns are
+    kept as they are.
+    """
+    found = cut(groups(docs, similarity, ngram))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")
+    kept = found.groupBy("root").agg(F.min(order).alias("x")).select("root", "x.doc_id", "x.k1", "x.k2")
+    rows = found.groupBy("root", "doc_id", "k1", "k2").count().withColumnsRenamed({c: f"{c}_" for c in ("root", "doc_id", "k1", "k2")})
+    same = (F.col("root") == F.col("root_")) & (F.col("k1") == F.col("k1_")) & (F.col("k2") == F.col("k2_")) & F.col("doc_id").eqNullSafe(F.col("doc_id_"))
+    kept = cut(kept.join(rows, same).select("doc_id", "k1", "k2", "count"))
+    doc, k1, k2 = fresh(docs, "doc", "k1", "k2")
+    texts = docs.withColumns({k1: F.xxhash64("text"), k2: F.xxhash64(F.lit(1), "text")})
+
+    def these(some: DataFrame) -> DataFrame:
+        some = some.select(F.col("doc_id").alias(doc), F.col("k1").alias(f"{k1}_"), F.col("k2").alias(f"{k2}_"))
+        return texts.join(some, (texts[k1] == F.col(f"{k1}_")) & (texts[k2] == F.col(f"{k2}_")) & texts["doc_id"].eqNullSafe(F.col(doc)), "left_semi")
+
+    single, repeated = kept.where(F.col("count") == 1), kept.where(F.col("count") > 1)
+    if not repeated.head(1):
+        return these(single).select(*docs.columns)
+    return these(single).unionByName(these(repeated).dropDuplicates(["doc_id", k1, k2])).select(*docs.columns)
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, ngram: int = 5) -> DataFrame:
+    """Components ``(doc_id, root)`` of near copies, ``root`` the smallest doc_id of the group; groups as in :func:`groups`."""
+    found = cut(groups(docs, similarity, ngram))
+    least = found.groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows_of_key"))
+    return join_counted(found, least, "root", found.count()).select("doc_id", F.col("least").alias("root"))

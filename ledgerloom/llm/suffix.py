@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_values, fresh, join_counted, mix64, partitions, written
+from .common import byte_values, cut, fresh, join_counted, mix64, partitions, written
 
 #: Bytes of a minimiser gram.
 GRAM = 64
@@ -29,6 +29,10 @@ GRAM = 64
 PIECE, ARRAY = 1 << 21, 1 << 20
 #: Distinct segments of one minimiser that share a task; more are dealt as pairs of chunks.
 CHUNK = 4096
+#: Salts that the rows of a hot segment are dealt by.
+SALTS = 64
+#: Segments that hot minimisers are found on, about.
+SAMPLE = 500_000
 
 
 def words_at(buffer: np.ndarray, order: str) -> np.ndarray:
@@ -211,25 +215,45 @@ def spans_of(first: int, hit: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(first + int(a), first + int(b) - 1 + length) for a, b in zip(edge[::2], edge[1::2])]
 
 
-def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
-    """Ranges of ``texts(rid, text)`` covered by strings of ``length`` bytes that occur again: ``rid, spans``.
+def hot_minimisers(every: DataFrame, total: int) -> DataFrame:
+    """Minimisers of more than about a thousandth of the segments, of which there are fewer than a thousand: counted on a bounded sample, which steers cost only."""
+    share = min(1.0, SAMPLE / max(1, total))
+    counts = every.sample(share, seed=42).groupBy("h").count()
+    return counts.where(F.col("count") > max(100, share * total / 1000)).select("h")
 
-    Segments count as equal where minimiser and 128 bits of hash agree. Lists
-    are of one document each, and no longer than its text.
+
+def candidates(every: DataFrame) -> DataFrame:
+    """Segments whose minimiser occurs elsewhere, with ``same``: 1 where no other segment is equal, else more.
+
+    Segments meet by minimiser in one shuffle and are counted there. Rows of the
+    few hot minimisers are dealt by segment and salt; those alone in their salt
+    look up whether an equal one lies in another.
+    """
+    total = every.count()
+    hot, segment = F.broadcast(cut(hot_minimisers(every, total))), ["h", "g", "g2"]
+    usual = every.join(hot, "h", "left_anti").repartition(partitions(every.sparkSession), "h")
+    usual = usual.withColumn("same", F.count("*").over(Window.partitionBy(*segment))).withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1").drop("c")
+    often = every.join(hot, "h", "left_semi")
+    salted = often.withColumn("same", F.count("*").over(Window.partitionBy(*segment, F.pmod(F.xxhash64("rid", "first"), F.lit(SALTS)))))
+    several = often.groupBy(*segment).agg(F.count("*").alias("all")).where(F.col("all") > 1)
+    alone = salted.where("same = 1").join(several, segment, "left").withColumn("same", F.coalesce("all", "same")).drop("all")
+    return usual.unionByName(salted.where("same > 1")).unionByName(alone)
+
+
+def repeated_spans(placed: DataFrame, text: str = "text", rid: str = "rid", length: int = 200) -> DataFrame:
+    """Ranges of the texts covered by strings of ``length`` bytes that occur again: ``rid, spans``.
+
+    ``placed``: rows dealt by ``rid`` (the shuffle serves the caller as well,
+    so all columns stay). Segments count as equal where minimiser and 128 bits
+    of hash agree. Lists are of one document each, and no longer than its text.
     """
     if length < GRAM + 8:
         raise ValueError(f"length must be at least {GRAM + 8}")
-    spark = texts.sparkSession
+    spark = placed.sparkSession
     n_parts = partitions(spark)
-    every = written(anchors(texts, length), "anchors")
-    total = every.count()
-    again = every.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    # rows of a minimiser meet by shuffle and are counted there; the few hot ones are counted by aggregation
-    limit, segment = max(100, total // 500), ["h", "g", "g2"]
-    usual = every.join(again.where(F.col("c") <= limit).select("h"), "h").withColumn("same", F.count("*").over(Window.partitionBy("h", "g", "g2")))
-    hot = every.join(F.broadcast(again.where(F.col("c") > limit).select("h")), "h")
-    counts = hot.groupBy(*segment).agg(F.count("*").alias("same")).withColumn("rows_of_key", F.col("same"))
-    found = written(usual.unionByName(join_counted(hot, counts, segment, total)), "candidates")
+    every = written(anchors(placed.select(F.col(rid).alias("rid"), F.col(text).alias("text")), length), "anchors")
+    found = written(candidates(every), "candidates")
+    segment = ["h", "g", "g2"]
     whole = F.struct(F.col("first").alias("s"), (F.col("first") + F.col("n") - 1 + length).alias("e"))
     copied = found.where("same > 1").select("rid", F.array(whole).alias("spans"))
     distinct = written(found.groupBy(*segment).agg(F.max("same").alias("c"), F.min(F.struct("rid", "first", "n")).alias("x")).select(*segment, "c", "x.*"), "segments")
@@ -240,16 +264,20 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
     dealt = dealt.select("rid", F.struct("h", F.least("a", "b").alias("ci"), F.greatest("a", "b").alias("cj"), (F.col("c") > 1).alias("known"), "first", "n").alias("x"))
     wanted = dealt.groupBy("rid").agg(F.collect_list("x").alias("wanted"))
 
+    (rid_, wanted_), at = fresh(placed, "wanted_by", "wanted"), {c: i for i, c in enumerate(placed.columns)}
+
     def extract(batches):
         for batch in batches:
-            for rid, text, rows in zip(batch.column(0).to_pylist(), byte_values(batch.column(1)), batch.column(2).to_pylist()):
-                for a in range(0, len(rows), 5000):
-                    part = rows[a : a + 5000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([x[c] for x in part], t) for c, t in (("h", pa.int64()), ("ci", pa.int32()), ("cj", pa.int32()), ("known", pa.bool_()), ("first", pa.int32()), ("n", pa.int32()))]
-                        + [pa.array([rid] * len(part), pa.int64()), pa.array([text[x["first"] : x["first"] + x["n"] - 1 + length] for x in part], pa.binary())],
-                        names=["h", "ci", "cj", "known", "first", "n", "rid", "bytes"],
-                    )
+            for start in range(0, batch.num_rows, 500):
+                piece = batch.slice(start, 500)
+                for number, raw, rows in zip(piece.column(at[rid]).to_pylist(), byte_values(piece.column(at[text])), piece.column(len(at) + 1).to_pylist()):
+                    for a in range(0, len(rows), 5000):
+                        part = rows[a : a + 5000]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([x[c] for x in part], t) for c, t in (("h", pa.int64()), ("ci", pa.int32()), ("cj", pa.int32()), ("known", pa.bool_()), ("first", pa.int32()), ("n", pa.int32()))]
+                            + [pa.array([number] * len(part), pa.int64()), pa.array([raw[x["first"] : x["first"] + x["n"] - 1 + length] for x in part], pa.binary())],
+                            names=["h", "ci", "cj", "known", "first", "n", "rid", "bytes"],
+                        )
 
     def decide(batches):
         held: list[dict] = []
@@ -275,9 +303,9 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
         if held:
             yield settle(held)
 
-    placed = texts.repartition(n_parts, "rid")
-    cut = placed.join(wanted, "rid").select("rid", "text", "wanted").mapInArrow(extract, "h long, ci int, cj int, known boolean, first int, n int, rid long, bytes binary")
-    decided = cut.repartition(n_parts, "h", "ci", "cj").sortWithinPartitions("h", "ci", "cj").mapInArrow(decide, "rid long, spans array<struct<s:int,e:int>>")
+    wanted = wanted.withColumnsRenamed({"rid": rid_, "wanted": wanted_})
+    met = placed.join(wanted, F.col(rid) == F.col(rid_)).mapInArrow(extract, "h long, ci int, cj int, known boolean, first int, n int, rid long, bytes binary")
+    decided = met.repartition(n_parts, "h", "ci", "cj").sortWithinPartitions("h", "ci", "cj").mapInArrow(decide, "rid long, spans array<struct<s:int,e:int>>")
     return copied.unionByName(decided).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
@@ -321,7 +349,8 @@ def digests(docs: DataFrame, length: int = 200) -> DataFrame:
     gives no rows; extra columns are ignored.
     """
     rows = with_row_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "rid")
-    spans = repeated_spans(rows.select("rid", "text"), length)
+    placed = rows.repartition(partitions(docs.sparkSession), "rid")
+    spans = repeated_spans(placed, length=length)
 
     def run(batches):
         for batch in batches:
@@ -333,8 +362,7 @@ def digests(docs: DataFrame, length: int = 200) -> DataFrame:
             cols = list(zip(*out)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    placed = rows.repartition(partitions(docs.sparkSession), "rid").join(spans, "rid", "left").select("doc_id", "text", "spans")
-    return placed.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return placed.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -356,7 +384,6 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     rid, spans = fresh(docs, "rid", "spans")
-    rows = with_row_ids(docs, rid)
-    found = repeated_spans(rows.select(F.col(rid).alias("rid"), "text"), length).select(F.col("rid").alias(rid), F.col("spans").alias(spans))
-    placed = rows.repartition(partitions(docs.sparkSession), rid).join(found, rid, "left")
-    return placed.withColumn("text", rest("text", spans)).select(*docs.columns)
+    placed = with_row_ids(docs, rid).repartition(partitions(docs.sparkSession), rid)
+    found = repeated_spans(placed, "text", rid, length).select(F.col("rid").alias(rid), F.col("spans").alias(spans))
+    return placed.join(found, rid, "left").withColumn("text", rest("text", spans)).select(*docs.columns)

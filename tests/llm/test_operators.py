@@ -201,8 +201,7 @@ def test_allocation_covers_radius():
 
 
 def test_similar_finds_near_copies(docs, texts):
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    got = {r.id: r.root for r in simhash.similar(rows, 0.8, 5).collect()}
+    got = {r.doc_id: r.root for r in simhash.similar(docs, 0.8, 5).collect()}
 
     def shingles(t):
         w = re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode()).split()
