@@ -35,9 +35,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     (stats,) = fresh(docs, "stats")
-    rows = written(docs.withColumn(stats, rules.statistics_of("text")), "statistics")
-    model = rules.learn(rows.select("doc_id", F.col(stats).alias("stats")), labels)
-    return rows.where(model.score(F.col(stats)) >= 0.5).select(*docs.columns)
+    model = rules.learn(docs, labels)
+    return docs.withColumn(stats, rules.statistics_of("text")).where(model.score(F.col(stats)) >= 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays. Null and empty texts are copies of each other; an empty table gives
     no rows; columns of any name stay.
     """
-    (row,) = fresh(docs, "row")
-    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    found = simhash.similar(rows.select(F.col(row).alias("id"), "text"), NEAR, ngram=5)
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("doc"), F.col(row).alias("row"))
-    first = found.join(rows.select(F.col(row).alias("id"), order.alias("place")), "id").groupBy("root").agg(F.min("place").alias("kept"))
-    return rows.join(first.select(F.col("kept.row").alias(row)), row, "left_semi").select(*docs.columns)
+    return simhash.one_of_each(docs, NEAR, ngram=5)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,8 +76,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
+    """Apply the stages to ``documents``; each but the last is written and read again, so that none is computed twice."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
