@@ -6,19 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.lineage import shared_dir
 from ledgerloom.plans.bank import TXNS
 from ledgerloom.sources import bank_files as B
 from ledgerloom.sources import driver_tables as D
 
 
 def _folder(spark) -> str:
-    """A new folder in the checkpoint folder that driver and executors share; local only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="ledgerloom-")
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    """A new folder in the one that driver and executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
 def a01_statement_files(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import amounts as A
 from ledgerloom.functions import scalars as S
+from ledgerloom.functions.lineage import cut
 from ledgerloom.operators import lines as L
 from ledgerloom.plans.scalars import key_sql
 from ledgerloom.sources import driver_tables as D
@@ -151,8 +152,8 @@ def g03_merge(spark, sf_dir):
 
 def reviewed(spark, sf_dir) -> DataFrame:
     """Lines after signs, repair, completion and duplicate marks, with the confidence of each field."""
-    df = L.repair(base(spark, sf_dir))
-    df = L.mark_duplicates(L.complete_identifiers(df, ["dossier"]))
+    df = cut(L.repair(base(spark, sf_dir)))
+    df = L.mark_duplicates(cut(L.complete_identifiers(df, ["dossier"])))
     return L.confidence(df, F.lpad((F.col("client") + 1).cast("string"), 15, "0"))
 
 
