@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
+from ledgerloom.functions.lineage import cut
 from ledgerloom.functions.scalars import MONEY
 
-# Minutes without a sign of life after which a job in a state counts as stale; its share of progress
-STALE_MINUTES = {"uploading": 5, "queued": 15, "processing": 25}
-ACTIVE = ["uploading", "queued", "processing"]
+# Seconds without a sign of life after which a job counts as stale, by state: once something is done, and before;
+# the third where the job reads documents that are stored already.
+STALE = {"uploading": (300, 90, 90), "queued": (120, 120, 900), "processing": (1200, 480, 1500)}
+ACTIVE = list(STALE)
 #: Strongest state first.
 STRENGTH = {"processing": 3, "queued": 2, "uploading": 1}
 
@@ -34,14 +36,52 @@ def priority(status: Column, progressed: Column, anomalies: Column, days: Column
     )
 
 
-def next_action(status: Column, lines: Column, bank: Column, anomalies: Column, invoices_waiting: Column) -> Column:
-    """What to do next in a period."""
+def next_action(status: Column, lines: Column, bank: Column, anomalies: Column, bank_pending: Column, invoices_pending: Column, documents: Column) -> Column:
+    """What to do next in a period (J8); a null status is a client without one.
+
+    ``bank_pending, invoices_pending``: documents not read yet; ``documents``:
+    invoice documents there are.
+    """
+    pending = bank_pending + invoices_pending
     return (
-        F.when(status == "exported", "done").when(bank == 0, "bank").when((lines == 0) & (invoices_waiting > 0), "extract")
-        .when(lines == 0, "invoices").when(anomalies > 0, "review").when(status == "in_review", "export").otherwise("validate")
+        F.when(status.isNull(), "create_period").when(status == "exported", "done")
+        .when((bank == 0) & (bank_pending == 0), "bank").when((bank == 0) & (lines == 0), "extract_bank")
+        .when((lines == 0) & (pending > 0), "analysis").when((lines == 0) & (bank > 0) & (documents > 0), "bank_match")
+        .when((lines == 0) & ((bank > 0) | (documents > 0)), "review").when(lines == 0, "purchases")
+        .when(anomalies > 0, "fix").otherwise("declare")
     )
 
 
+def pipeline_steps(status: Column, lines: Column, bank: Column, anomalies: Column, bank_pending: Column, invoices_pending: Column, documents: Column) -> Column:
+    """States of a period's five steps (J9): ``array<struct<step, state>>``, each done, current or pending."""
+    exported, has_bank, has_lines = status == "exported", bank > 0, lines > 0
+    statement = has_bank | (bank_pending > 0)
+    invoices = has_lines | (invoices_pending > 0) | (documents > 0)
+    waiting = (bank_pending > 0) | (invoices_pending > 0)
+    settled = ~waiting & ~exported
+    ready = settled & (has_lines | has_bank | (documents > 0))
+    steps = {
+        "bank": (statement, ~statement & ~exported),
+        "purchases": (invoices, settled & statement & ~invoices & ~ready),
+        "analysis": (settled & (has_lines | has_bank | ~statement), waiting & ~exported),
+        "review": (has_lines & (anomalies == 0), ready & F.when(has_lines, anomalies > 0).otherwise(True)),
+        "export": (exported, has_lines & (anomalies == 0) & ~exported),
+    }
+    return F.array(*[F.struct(F.lit(k).alias("step"), F.when(done, "done").when(now, "current").otherwise("pending").alias("state")) for k, (done, now) in steps.items()])
+
+
+#: Counts of a period that a cockpit needs, zero where it has none.
+COUNTS = ["lines", "bank", "anomalies", "bank_pending", "invoices_pending", "documents"]
+
+
+def cockpit(periods: DataFrame, summary: DataFrame, as_of: Column) -> DataFrame:
+    """Cockpit state of every period (J9): counts, progress, days, priority, next action and steps."""
+    c = [F.col("status"), *[F.col(k) for k in COUNTS]]
+    df = periods.join(summary, "dossier", "left").fillna(0, COUNTS)
+    df = df.withColumns({"progress": progress(*c[:4]), "days": S.days_left(F.col("year"), F.col("month"), as_of), "action": next_action(*c), "steps": pipeline_steps(*c), "operations": F.col("lines") + F.col("bank")})
+    return df.withColumns({"priority": priority(F.col("status"), F.col("progress"), F.col("anomalies"), F.col("days")), "late": (F.col("days") < 0) & (F.col("status") != "exported")})
+
+
 def active_period(periods: DataFrame) -> DataFrame:
     """Newest open period of each client, else the newest."""
     open_first = F.struct((F.col("status") != "exported").cast("int"), F.col("updated_at"), F.col("dossier"))
@@ -60,16 +100,20 @@ def year_grid(periods: DataFrame) -> DataFrame:
 
 
 def portfolio(periods: DataFrame, summary: DataFrame, jobs: DataFrame, as_of: Column) -> DataFrame:
-    """One row per client: its active period with counts, progress, priority and next action."""
-    p = active_period(periods).join(summary, "dossier", "left").join(jobs, "dossier", "left").fillna(0, ["lines", "bank", "anomalies"])
+    """One row per client: the cockpit of its active period, its open periods and running imports."""
     opened = periods.groupBy("client").agg(F.count_if(F.col("status") != "exported").alias("open"))
-    p = p.join(opened, "client").withColumns({"progress": progress(F.col("status"), F.col("lines"), F.col("bank"), F.col("anomalies")), "days": S.days_left(F.col("year"), F.col("month"), as_of)})
-    return p.withColumns({
-        "priority": priority(F.col("status"), F.col("progress"), F.col("anomalies"), F.col("days")),
-        "action": next_action(F.col("status"), F.col("lines"), F.col("bank"), F.col("anomalies"), F.lit(0)),
-        "late": (F.col("days") < 0) & (F.col("status") != "exported"), "done": F.col("status") == "exported",
-        "validate": (F.col("status") == "in_review") | (F.col("anomalies") > 0), "importing": F.coalesce(F.col("active"), F.lit(0)) > 0,
-    })
+    p = cockpit(active_period(periods), summary, as_of).join(jobs, "dossier", "left").join(opened, "client")
+    return p.withColumns({"done": F.col("status") == "exported", "validate": (F.col("status") == "in_review") | (F.col("anomalies") > 0), "importing": F.coalesce(F.col("active"), F.lit(0)) > 0})
+
+
+def ranked(df: DataFrame, order: list[Column], into: str = "position") -> DataFrame:
+    """Position of each row in an overall order (H1): rows are sorted by range, and each partition counts on from those before it."""
+    sorted_rows = cut(df.orderBy(*order)).withColumn("__at", F.monotonically_increasing_id())
+    part = F.shiftright("__at", 33)
+    before = sorted_rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = before.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = sorted_rows.withColumn("__part", part).join(before, "__part")
+    return at.withColumn(into, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__at", "__part", "__n", "__before")
 
 
 def priority_rank(c: Column) -> Column:
@@ -83,12 +127,22 @@ def kpis(rows: DataFrame) -> DataFrame:
 
 # Import jobs ---------------------------------------------------------------
 def active_jobs(jobs: DataFrame, as_of: Column) -> DataFrame:
-    """Jobs with their progress and whether they are active or stale."""
-    idle = (F.unix_timestamp(as_of) - F.unix_timestamp("touched_at")) / 60.0
-    limit = F.coalesce(*[F.when(F.col("status") == s, F.lit(float(m))) for s, m in STALE_MINUTES.items()])
-    share = F.when(F.col("status") == "done", 100).when(F.col("total") > 0, F.least(F.floor((F.col("processed") + F.col("failed")) * 100 / F.col("total")), F.lit(99))).otherwise(0)
-    stale = F.col("status").isin(ACTIVE) & (idle > limit)
-    return jobs.withColumns({"progress": share.cast("int"), "stale": F.coalesce(stale, F.lit(False)), "active": F.col("status").isin(ACTIVE) & ~F.coalesce(stale, F.lit(False))})
+    """Jobs with their progress and whether they are active or stale.
+
+    ``uploaded, processed``: files so far; ``from_documents``: the job reads
+    stored documents. A job never touched is stale.
+    """
+    C = F.col
+    idle = F.unix_timestamp(as_of) - F.unix_timestamp("touched_at")
+    begun = F.when(C("status") == "uploading", C("uploaded") > 0).otherwise(C("processed") > 0)
+    limit = F.coalesce(*[F.when(C("status") == s, F.when(begun, late).when(C("from_documents"), stored).otherwise(early)) for s, (late, early, stored) in STALE.items()])
+    share = lambda c: F.round(C(c) * 100 / C("total"))
+    done = (
+        F.when(C("total") <= 0, 0).when(C("status") == "uploading", share("uploaded")).when(C("status").isin("processing", "done", "failed"), share("processed"))
+        .when((C("status") == "queued") & (C("uploaded") < C("total")), share("uploaded")).otherwise(0)
+    )
+    stale = C("touched_at").isNull() | F.coalesce(idle > limit, F.lit(False))
+    return jobs.withColumns({"progress": done.cast("int"), "stale": stale, "active": C("status").isin(ACTIVE) & ~stale})
 
 
 def roll_up_jobs(jobs: DataFrame) -> DataFrame:
@@ -128,10 +182,20 @@ def order_totals(orders: DataFrame) -> DataFrame:
     return out.withColumn("payout", (F.col("collected") - F.col("fees_ttc")).cast(MONEY))
 
 
-def invoice_totals(services: DataFrame) -> DataFrame:
-    """Billed services of each half-month."""
-    out = services.groupBy("month", "half").agg(F.count("*").alias("services"), F.sum("ht").cast(MONEY).alias("billed"))
-    return out.withColumn("billed_ttc", F.round(F.col("billed") * F.lit("1.20").cast("decimal(3,2)"), 2).cast(MONEY))
+def invoice_totals(services: DataFrame, refunds: DataFrame, summary: DataFrame) -> DataFrame:
+    """Delivery invoice of each half-month (F11): services and refunds without tax, total, collected, payout.
+
+    ``summary(month, half, invoice_ttc, collected, payout)`` is what the invoice
+    states; what it does not is computed. A negative payout is money received.
+    """
+    by = ["month", "half"]
+    s = services.groupBy(*by).agg(F.count("*").alias("services"), F.sum("ht").cast(MONEY).alias("services_ht"))
+    r = refunds.groupBy(*by).agg(F.count("*").alias("refunds"), F.sum("ht").cast(MONEY).alias("refunds_ht"))
+    zero = F.lit(0).cast(MONEY)
+    out = s.join(r, by, "full_outer").join(summary, by, "left").fillna(0, ["services", "refunds"]).withColumns({"services_ht": F.coalesce("services_ht", zero), "refunds_ht": F.coalesce("refunds_ht", zero), "collected": F.coalesce("collected", zero)})
+    out = out.withColumn("billed", (F.col("services_ht") + F.col("refunds_ht")).cast(MONEY))
+    out = out.withColumn("billed_ttc", F.coalesce("invoice_ttc", F.round(F.col("billed") * F.lit("1.20").cast("decimal(3,2)"), 2).cast(MONEY)))
+    return out.withColumn("payout", F.coalesce(F.abs("payout"), (F.col("collected") - F.col("billed_ttc")).cast(MONEY))).drop("invoice_ttc")
 
 
 def match_orders(orders: DataFrame, services: DataFrame) -> DataFrame:
@@ -143,18 +207,46 @@ def match_orders(orders: DataFrame, services: DataFrame) -> DataFrame:
     return both.withColumn("kind", kind)
 
 
-def reconcile(orders: DataFrame, services: DataFrame) -> DataFrame:
-    """Half-months and months with their differences and whether missing orders explain them."""
-    m = match_orders(orders, services).groupBy("month", "half").agg(
-        F.count_if(F.col("kind") == "not in orders").alias("extra"), F.count_if(F.col("kind") == "not billed").alias("unbilled"), F.count_if(F.col("kind") == "other fee").alias("other_fee"),
-        F.sum(F.when(F.col("kind") == "not in orders", F.col("billed")).otherwise(0)).cast(MONEY).alias("extra_fees"),
+def reconcile(orders: DataFrame, services: DataFrame, refunds: DataFrame, summary: DataFrame) -> DataFrame:
+    """Half-months that have an invoice, and their months, with differences, whether they are explained, and how.
+
+    ``explanations``: kinds in order; ``gap``: why the payout differs; ``ok``:
+    fees, collected and payout agree or are explained, and no order lacks its
+    line or has another fee. A month is ok if all its halves are.
+    """
+    C, by = F.col, ["month", "half"]
+    ttc = F.round(C("billed") * F.lit("1.20").cast("decimal(3,2)"), 2)
+    extra = C("kind") == "not in orders"
+    m = match_orders(orders, services).groupBy(*by).agg(
+        F.count_if(extra).alias("extra"), F.count_if(C("kind") == "not billed").alias("unbilled"), F.count_if(C("kind") == "other fee").alias("other_fee"),
+        F.sum(F.when(extra, C("billed")).otherwise(0)).cast(MONEY).alias("extra_fees"), F.sum(F.when(extra, ttc).otherwise(0)).cast(MONEY).alias("extra_ttc"),
     )
-    rows = order_totals(orders).join(invoice_totals(services), ["month", "half"], "left").join(m, ["month", "half"]).fillna(0, ["services"])
-    rows = rows.withColumn("delta", (F.coalesce("billed", F.lit(0)) - F.col("fees")).cast(MONEY))
-    rows = rows.withColumn("delta_after", (F.col("delta") - F.col("extra_fees")).cast(MONEY))
-    sums = [F.sum(c).alias(c) for c in ("orders", "services", "extra", "unbilled", "other_fee", "collected", "fees", "delta", "delta_after")]
-    out = rows.groupBy("month", "half").agg(*sums).unionByName(rows.groupBy("month").agg(*sums).withColumn("half", F.lit("all")))
-    return out.withColumn("ok", (F.col("extra") == 0) & (F.col("unbilled") == 0) & (F.abs("delta_after") <= F.lit(TOTAL_TOLERANCE).cast(MONEY)))
+    billed = invoice_totals(services, refunds, summary).withColumnsRenamed({"collected": "stated", "payout": "paid"})
+    rows = billed.join(order_totals(orders), by).join(m, by)
+    close = lambda x, by=FEE_TOLERANCE: F.abs(x) <= F.lit(by).cast(MONEY)
+    near = lambda x: close(x, TOTAL_TOLERANCE)
+    rows = rows.withColumns({"delta": (C("billed") - C("fees")).cast(MONEY), "collected_delta": (C("stated") - C("collected")).cast(MONEY), "payout_delta": (C("paid") - C("payout")).cast(MONEY)})
+    rows = rows.withColumn("delta_after", (C("delta") - C("extra_fees")).cast(MONEY))
+    rows = rows.withColumn("by_refunds", (C("refunds_ht") != 0) & close(C("delta") - C("refunds_ht")))
+    rows = rows.withColumns({
+        "paid_by_refunds": C("by_refunds") & near(C("collected") - C("billed_ttc") - C("paid")),
+        "by_missing": (C("extra") > 0) & near(C("delta_after")) & near(C("stated") - C("fees_ttc") - C("extra_ttc") - C("paid")),
+    })
+    fees_ok = near(C("delta")) | C("by_refunds") | near(C("delta_after"))
+    collected_ok, paid_ok = near(C("collected_delta")) | C("by_missing"), near(C("payout_delta")) | C("by_missing") | C("paid_by_refunds")
+    kinds = [
+        (C("refunds") > 0, "refunds"), (C("by_refunds"), "refunds-fees"), (C("extra") > 0, "missing-orders"), (C("unbilled") > 0, "missing-lines"), (C("other_fee") > 0, "fee-mismatch"),
+        (~close(C("collected_delta")), F.when(C("extra") > 0, "collected-missing-orders").otherwise("collected-unexplained")),
+        (~close(C("delta")) & close(C("delta_after")), "fees-explained"), (~close(C("delta")) & ~close(C("delta_after")) & ~C("by_refunds"), "fees-unexplained"),
+    ]
+    rows = rows.withColumns({
+        "explanations": F.array_compact(F.array(*[F.when(test, kind) for test, kind in kinds])),
+        "gap": F.when(near(C("payout_delta")), "none").when(C("paid_by_refunds"), "refunds").when(C("by_missing"), "missing-orders").otherwise("unexplained"),
+        "ok": collected_ok & fees_ok & paid_ok & (C("other_fee") == 0) & (C("unbilled") == 0),
+    })
+    sums = ["orders", "services", "refunds", "extra", "unbilled", "other_fee", "collected", "fees", "refunds_ht", "delta", "delta_after", "collected_delta", "payout_delta"]
+    months = rows.groupBy("month").agg(*[F.sum(c).alias(c) for c in sums], F.every("ok").alias("ok")).withColumns({"half": F.lit("all"), "explanations": F.array().cast("array<string>"), "gap": F.lit(None).cast("string")})
+    return rows.select(*by, *sums, "explanations", "gap", "ok").unionByName(months)
 
 
 # Suppliers -------------------------------------------------------------------

@@ -52,7 +52,7 @@ def a09_ledger_json(spark, sf_dir):
 def a10_upsert_ledgers(spark, sf_dir):
     """Ledgers after replacing those of even dossiers by their first lines."""
     lines = _ledger(spark, sf_dir)
-    merged = B.upsert_ledgers(B.collect_ledger(lines), B.collect_ledger(lines.where("dossier % 2 = 0 and pos <= 3")))
+    merged = B.upsert_ledgers(B.collect_ledger(lines), B.collect_ledger(lines.where("dossier % 2 = 0 and pos % 1000 = 1")))
     return B.explode_ledger(merged).groupBy("dossier").agg(F.count("*").alias("n"))
 
 
@@ -90,9 +90,9 @@ ORACLES = {
     "a01_statement_files": f"WITH {TXNS} SELECT strftime(date, '%Y-%m-%d') AS date, kind, count(*) AS n, CAST(round(sum(amount), 2) AS DOUBLE) AS amount FROM txns GROUP BY date, kind",
     "a05_json_movements": f"WITH {TXNS} SELECT dossier AS doc, CAST(date AS VARCHAR) AS date, label, CAST(amount AS DOUBLE) AS amount, kind FROM txns",
     "a06_platform_orders": f"WITH {D.ORDERS} SELECT order_id, status, CAST(amount AS DOUBLE) AS amount, CAST(fee AS DOUBLE) AS fee, half FROM porders",
-    "a09_ledger_json": f"WITH {D.LINES} SELECT dossier, CAST(pos - 1 AS INTEGER) AS at, pos, fact_num, CAST(ttc AS DOUBLE) AS ttc FROM lines".replace(" AS at,", ' AS "at",'),
-    "a10_upsert_ledgers": f"WITH {D.LINES} SELECT dossier, CASE WHEN dossier % 2 = 0 THEN least(count(*), 3) ELSE count(*) END AS n FROM lines GROUP BY dossier",
-    "a11_parse_lines": f"WITH {D.LINES}, x AS (SELECT *, CASE WHEN pos % 41 = 0 THEN NULL ELSE ht END AS h FROM lines) SELECT dossier AS doc, pos, CAST(h AS DOUBLE) AS ht, CASE WHEN pos % 7 <> 0 THEN pct WHEN h IS NULL OR abs(h) < 0.01 THEN 20 WHEN abs(tva) < 0.05 THEN 0 WHEN abs(tva) BETWEEN abs(h) * 0.075 AND abs(h) * 0.125 THEN 10 ELSE 20 END AS pct, CASE WHEN h IS NULL THEN 'unreadable amount' ELSE '' END AS warning FROM x",
+    "a09_ledger_json": f"WITH {D.LINES} SELECT dossier, CAST(row_number() OVER (PARTITION BY dossier ORDER BY pos) - 1 AS INTEGER) AS at, pos, fact_num, CAST(ttc AS DOUBLE) AS ttc FROM lines".replace(" AS at,", ' AS "at",'),
+    "a10_upsert_ledgers": f"WITH {D.LINES} SELECT dossier, CASE WHEN dossier % 2 = 0 AND count(*) FILTER (pos % 1000 = 1) > 0 THEN count(*) FILTER (pos % 1000 = 1) ELSE count(*) END AS n FROM lines GROUP BY dossier",
+    "a11_parse_lines": f"WITH {D.LINES}, x AS (SELECT *, CASE WHEN pos % 41 = 0 THEN NULL ELSE ht END AS h FROM lines) SELECT dossier AS doc, row_number() OVER (PARTITION BY dossier ORDER BY pos) AS pos, CAST(h AS DOUBLE) AS ht, CASE WHEN pos % 7 <> 0 THEN pct WHEN h IS NULL OR abs(h) < 0.01 THEN 20 WHEN abs(tva) < 0.05 THEN 0 WHEN abs(tva) BETWEEN abs(h) * 0.075 AND abs(h) * 0.125 THEN 10 ELSE 20 END AS pct, CASE WHEN h IS NULL THEN 'unreadable amount' ELSE '' END AS warning FROM x",
     "a15_reference": f"WITH {D.LINES}, codes(d, p, code) AS (VALUES ('MATIERES CONSOMMABLES', 20, 146), ('MATIERES CONSOMMABLES', 10, 150), ('PRESTATIONS', 20, 140), ('TELEPHONIE', 20, 140), ('FRAIS BANCAIRE', 10, 142)) SELECT code, count(*) AS n FROM lines JOIN codes ON d = designation AND p = pct GROUP BY code",
     "a17_payload": f"WITH {D.LINES} SELECT DISTINCT dossier, true AS larger FROM lines",
     "a18_newest_statement": f"WITH {TXNS}, f AS (SELECT *, strftime(date, '%Y-%m') AS file FROM payments) SELECT dossier, file, count(*) AS n, CAST(sum(amount) AS DOUBLE) AS amount FROM f WHERE file = (SELECT max(file) FROM f g WHERE g.dossier = f.dossier) GROUP BY dossier, file",

@@ -121,14 +121,14 @@ def import_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "click", "queued").when(F.col("event_type") == "view", "processing").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "uploading").otherwise("done")
     n = F.get_json_object("props", "$.k").cast("int")
-    return e.select(F.col("event_id").alias("job"), F.col("user_id").alias("dossier"), F.col("ts").alias("created_at"), F.expr("ts + make_dt_interval(0, 0, 0, cast(event_id % 1500 as int))").alias("touched_at"), status.alias("status"), F.coalesce(n, F.lit(0)).alias("total"), F.floor(F.coalesce(n, F.lit(0)) * (F.col("event_id") % 4) / 3).cast("int").alias("processed"), (F.col("event_id") % 3 == 0).cast("int").alias("failed"))
+    return e.select(F.col("event_id").alias("job"), F.col("user_id").alias("dossier"), F.col("ts").alias("created_at"), F.expr("ts + make_dt_interval(0, 0, 0, cast(event_id % 1500 as int))").alias("touched_at"), status.alias("status"), F.coalesce(n, F.lit(0)).alias("total"), F.floor(F.coalesce(n, F.lit(0)) * (F.col("event_id") % 4) / 3).cast("int").alias("processed"), (F.col("event_id") % 3 == 0).cast("int").alias("failed"), F.floor(F.coalesce(n, F.lit(0)) * (F.col("event_id") % 5) / 4).cast("int").alias("uploaded"), (F.col("event_id") % 2 == 0).alias("from_documents"))
 
 
 JOBS = """
 jobs AS (
   SELECT event_id AS job, user_id AS dossier, ts AS created_at, ts + to_seconds(event_id % 1500) AS touched_at,
     CASE event_type WHEN 'click' THEN 'queued' WHEN 'view' THEN 'processing' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'uploading' ELSE 'done' END AS status,
-    n AS total, CAST(floor(n * (event_id % 4) / 3) AS INTEGER) AS processed, CAST(event_id % 3 = 0 AS INTEGER) AS failed
+    n AS total, CAST(floor(n * (event_id % 4) / 3) AS INTEGER) AS processed, CAST(event_id % 3 = 0 AS INTEGER) AS failed, CAST(floor(n * (event_id % 5) / 4) AS INTEGER) AS uploaded, event_id % 2 = 0 AS from_documents
   FROM (SELECT *, coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS n FROM events))"""
 
 
@@ -154,11 +154,27 @@ def platform_services(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.where(k % 13 != 0).select(F.when(k % 31 == 0, F.concat(F.lit("X"), k.cast("string"))).otherwise(F.col("order_id")).alias("order_id"), "month", "half", F.when(k % 17 == 0, (F.col("fee") + 1).cast(MONEY)).otherwise(F.col("fee")).alias("ht"))
 
 
+def platform_refunds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fees that the platform gave back, on the invoice only."""
+    o = platform_orders(spark, sf_dir)
+    return o.where(F.substring("order_id", 2, 20).cast("long") % 97 == 0).select("order_id", "month", "half", (-F.col("fee")).cast(MONEY).alias("ht"))
+
+
+def platform_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What delivery invoices state: total (missing in April), collected (more in May), payout (missing in June)."""
+    o = platform_orders(spark, sf_dir).groupBy("month", "half").agg(F.sum(F.when(F.col("status") == "DELIVERED", F.col("amount")).otherwise(0)).cast(MONEY).alias("collected"), F.sum("fee").cast(MONEY).alias("fees"))
+    o = o.withColumns({"m": F.substring("month", 6, 2), "total": F.round(F.col("fees") * F.lit("1.20").cast("decimal(3,2)"), 2).cast(MONEY)})
+    return o.select("month", "half", F.when(F.col("m") != "04", F.col("total")).alias("invoice_ttc"), F.when(F.col("m") == "05", F.col("collected") + 100).otherwise(F.col("collected")).cast(MONEY).alias("collected"), F.when(F.col("m") != "06", F.col("total") - F.col("collected")).cast(MONEY).alias("payout"))
+
+
 ORDERS = """
 porders AS (
   SELECT 'O' || o_orderkey AS order_id, CASE o_orderstatus WHEN 'F' THEN 'DELIVERED' WHEN 'O' THEN 'RETURNED_TO_SHOP' ELSE 'CANCELLED' END AS status, CAST(o_totalprice AS DECIMAL(18,2)) AS amount,
     CAST(round(CAST(o_totalprice AS DECIMAL(18,2)) * CAST(0.12 AS DECIMAL(3,2)), 2) AS DECIMAL(18,2)) AS fee, o_orderdate AS created_at, strftime(o_orderdate, '%Y-%m') AS month, CASE WHEN day(o_orderdate) <= 15 THEN 'q1' ELSE 'q2' END AS half, o_orderkey AS k FROM orders),
-services AS (SELECT CASE WHEN k % 31 = 0 THEN 'X' || k ELSE order_id END AS order_id, month, half, CASE WHEN k % 17 = 0 THEN CAST(fee + 1 AS DECIMAL(18,2)) ELSE fee END AS ht FROM porders WHERE k % 13 <> 0)"""
+services AS (SELECT CASE WHEN k % 31 = 0 THEN 'X' || k ELSE order_id END AS order_id, month, half, CASE WHEN k % 17 = 0 THEN CAST(fee + 1 AS DECIMAL(18,2)) ELSE fee END AS ht FROM porders WHERE k % 13 <> 0),
+refunds AS (SELECT order_id, month, half, CAST(-fee AS DECIMAL(18,2)) AS ht FROM porders WHERE k % 97 = 0),
+stated0 AS (SELECT month, half, CAST(sum(CASE WHEN status = 'DELIVERED' THEN amount ELSE 0 END) AS DECIMAL(18,2)) AS collected, CAST(round(CAST(sum(fee) AS DECIMAL(18,2)) * CAST(1.20 AS DECIMAL(3,2)), 2) AS DECIMAL(18,2)) AS total, substr(month, 6, 2) AS m FROM porders GROUP BY month, half),
+stated AS (SELECT month, half, CASE WHEN m <> '04' THEN total END AS invoice_ttc, CASE WHEN m = '05' THEN collected + 100 ELSE collected END AS collected, CASE WHEN m <> '06' THEN total - collected END AS payout FROM stated0)"""
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
