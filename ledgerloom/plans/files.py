@@ -17,14 +17,47 @@ def _folder(spark) -> str:
     return f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
 
 
-def a01_statement_files(spark, sf_dir):
-    """Statements of a few dossiers a file, written as delimited text and read back as movements."""
-    p = D.payments(spark, sf_dir).withColumn("k", F.pmod("dossier", F.lit(8)))
+def _statement_files(spark, sf_dir) -> str:
+    """Statements as delimited text, one file per dossier, so that files grow in number and not in length."""
     row = F.concat_ws(";", F.date_format("date", "dd/MM/yyyy"), F.replace("label", F.lit(","), F.lit(" ")), F.when(F.col("amount") < 0, F.replace((-F.col("amount")).cast("string"), F.lit("."), F.lit(","))).otherwise(""), F.when(F.col("amount") >= 0, F.replace(F.col("amount").cast("string"), F.lit("."), F.lit(","))).otherwise(""), F.concat_ws("/", "dossier", "txn"))
     path = _folder(spark)
-    lines = p.groupBy("k").agg(F.concat(F.lit("Banque Atlas\nDate opération;Libellé;Débit;Crédit;Référence\n"), F.array_join(F.array_sort(F.collect_list(row)), "\n")).alias("value"))
-    lines.repartition(8, "k").select("value", "k").write.partitionBy("k").text(path)
-    return B.transactions(spark, f"{path}/k=*/*.txt").groupBy("date", "kind").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("amount"))
+    lines = D.payments(spark, sf_dir).groupBy(F.col("dossier").alias("k")).agg(F.concat(F.lit("Banque Atlas\nDate opération;Libellé;Débit;Crédit;Référence\n"), F.array_join(F.array_sort(F.collect_list(row)), "\n")).alias("value"))
+    lines.select("value", "k").write.partitionBy("k").text(path)
+    return f"{path}/k=*/*.txt"
+
+
+def _dossier():
+    return F.regexp_extract("file", "k=(\\d+)", 1).cast("long").alias("dossier")
+
+
+def a01_statement_files(spark, sf_dir):
+    """Statement files read back as movements."""
+    return B.transactions(spark, _statement_files(spark, sf_dir)).groupBy("date", "kind").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("amount"))
+
+
+def a02_headers(spark, sf_dir):
+    """Header row of each statement file."""
+    return B.headers(B.rows(spark, _statement_files(spark, sf_dir))).select(_dossier(), "header")
+
+
+def a03_roles(spark, sf_dir):
+    """Columns of each role in every statement file."""
+    return B.roles(B.rows(spark, _statement_files(spark, sf_dir))).select(_dossier(), *B.ROLES)
+
+
+def a13_export_names(spark, sf_dir):
+    """Sheet and file of every period's declaration."""
+    o = D.table(spark, sf_dir, "orders").select(F.floor(F.col("o_custkey") / 300).alias("client"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).distinct()
+    return o.select("client", "year", "month", B.export_names(F.concat(F.lit("Café & Fils n°"), F.col("client").cast("string")), F.col("month"), F.col("year")).alias("x")).select("client", "year", "month", "x.*")
+
+
+def a14_activity(spark, sf_dir):
+    """The activity log after two appends, entries by dossier and type."""
+    e = D.table(spark, sf_dir, "events").select(F.col("user_id").alias("dossier"), "event_id", "event_type")
+    path = _folder(spark)
+    B.append_activity(e.where("event_id % 2 = 0"), path)
+    B.append_activity(e.where("event_id % 2 = 1"), path)
+    return spark.read.schema(e.schema).json(path).groupBy("dossier", "event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
 
 
 def a05_json_movements(spark, sf_dir):
@@ -85,8 +118,12 @@ def a18_newest_statement(spark, sf_dir):
     return p.join(newest, ["dossier", "file"]).groupBy("dossier", "file").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"))
 
 
-QUERIES = {f.__name__: f for f in (a01_statement_files, a05_json_movements, a06_platform_orders, a09_ledger_json, a10_upsert_ledgers, a11_parse_lines, a15_reference, a17_payload, a18_newest_statement)}
+QUERIES = {f.__name__: f for f in (a01_statement_files, a02_headers, a03_roles, a13_export_names, a14_activity, a05_json_movements, a06_platform_orders, a09_ledger_json, a10_upsert_ledgers, a11_parse_lines, a15_reference, a17_payload, a18_newest_statement)}
 ORACLES = {
+    "a02_headers": f"WITH {D.LINES}, {D.PAYMENTS} SELECT DISTINCT dossier, CAST(1 AS INTEGER) AS header FROM payments",
+    "a03_roles": f"WITH {D.LINES}, {D.PAYMENTS} SELECT DISTINCT dossier, CAST(0 AS INTEGER) AS date, CAST(1 AS INTEGER) AS label, CAST(2 AS INTEGER) AS debit, CAST(3 AS INTEGER) AS credit, CAST(NULL AS INTEGER) AS amount FROM payments",
+    "a13_export_names": "SELECT DISTINCT o_custkey // 300 AS client, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, 'EDI' || strftime(o_orderdate, '%m%y') AS sheet, 'Café___Fils_n_' || (o_custkey // 300) || '_DED_TVA_' || strftime(o_orderdate, '%m%Y') AS file FROM orders",
+    "a14_activity": "SELECT user_id AS dossier, event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY ALL",
     "a01_statement_files": f"WITH {TXNS} SELECT strftime(date, '%Y-%m-%d') AS date, kind, count(*) AS n, CAST(round(sum(amount), 2) AS DOUBLE) AS amount FROM txns GROUP BY date, kind",
     "a05_json_movements": f"WITH {TXNS} SELECT dossier AS doc, CAST(date AS VARCHAR) AS date, label, CAST(amount AS DOUBLE) AS amount, kind FROM txns",
     "a06_platform_orders": f"WITH {D.ORDERS} SELECT order_id, status, CAST(amount AS DOUBLE) AS amount, CAST(fee AS DOUBLE) AS fee, half FROM porders",

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.functions import amounts as A
 from ledgerloom.operators import lines as L
 from ledgerloom.plans.files import _folder
+from ledgerloom.plans.lines import COHERENT
 from ledgerloom.sources import driver_tables as D
 from ledgerloom.streaming import jobs as J
 
@@ -67,10 +69,45 @@ def k01_import(spark, sf_dir):
     return read().groupBy("dossier").agg(F.count("*").alias("n"), F.countDistinct(L.merge_key()).alias("keys"))
 
 
-QUERIES = {f.__name__: f for f in (k01_import, k03_first_files, k05_half_months)}
+class _Versions:
+    """Versions of a stored table, one folder each; the newest is read."""
+
+    def __init__(self, spark, first: DataFrame) -> None:
+        self.spark, self.path, self.at = spark, _folder(spark), 0
+        first.write.parquet(f"{self.path}/0")
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{self.at}")
+
+    def write(self, df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{epoch + 1}")
+        self.at = epoch + 1
+
+
+def k04_recount(spark, sf_dir):
+    """Lines and incoherent lines of each ledger, kept up to date while new lines arrive; a dossier's new lines come in one file."""
+    lines = D.invoice_lines(spark, sf_dir).select("dossier", "pos", "source_file", "source_id", "fact_num", "pct", "ht", "tva", "ttc")
+
+    def count(df: DataFrame) -> DataFrame:
+        return df.groupBy("dossier").agg(F.count("*").alias("n"), F.count_if(~A.coherent(F.col("ht"), F.col("tva"), F.col("ttc"), F.col("pct"))).alias("anomalies"))
+
+    old, path = lines.where("pos % 2 = 0"), _folder(spark)
+    ledger = _Versions(spark, old)
+    counts = _Versions(spark, count(ledger.read()))
+    new = lines.where("pos % 2 = 1")
+    new.repartition(4, "dossier").write.parquet(f"{path}/new")
+    stream = spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/new")
+    merge = lambda a, b: L.merge_lines(a, b).drop("origin")
+    put = J.merge_and_recount(ledger.read, ledger.write, merge, count, counts.read, counts.write)
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return counts.read()
+
+
+QUERIES = {f.__name__: f for f in (k01_import, k04_recount, k03_first_files, k05_half_months)}
 KEY = "CASE WHEN source_id <> '' THEN source_id WHEN contains(source_file, '/') THEN lower(string_split(source_file, '/')[-2] || '/' || string_split(source_file, '/')[-1]) ELSE lower(source_file) END || '|' || lower(fact_num) || '|' || pct"
 ORACLES = {
     "k01_import": f"WITH {D.LINES}, o AS (SELECT dossier, pos, CASE WHEN pos % 2 = 0 THEN 0 ELSE 1 END AS origin, {KEY} AS k FROM lines), r AS (SELECT *, row_number() OVER (PARTITION BY dossier, k ORDER BY origin, pos) AS n FROM o) SELECT dossier, count(*) AS n, count(DISTINCT k) AS keys FROM r WHERE origin = 0 OR n = 1 GROUP BY dossier",
+    "k04_recount": f"WITH {D.LINES}, o AS (SELECT *, CASE WHEN pos % 2 = 0 THEN 0 ELSE 1 END AS origin, {KEY} AS k FROM lines), r AS (SELECT *, row_number() OVER (PARTITION BY dossier, k ORDER BY origin, pos) AS n FROM o) SELECT dossier, count(*) AS n, count(*) FILTER (NOT {COHERENT}) AS anomalies FROM r WHERE origin = 0 OR n = 1 GROUP BY dossier",
     "k03_first_files": f"WITH {D.DOCUMENTS} SELECT source_id, CAST(1 AS BIGINT) AS n FROM docs WHERE source_id <> '' GROUP BY source_id",
     "k05_half_months": f"WITH {D.ORDERS} SELECT month, half, CAST(count(*) AS DOUBLE) AS orders, CAST(sum(CASE WHEN status = 'DELIVERED' THEN amount ELSE 0 END) AS DOUBLE) AS collected, CAST(sum(fee) AS DOUBLE) AS fees FROM porders GROUP BY month, half",
 }

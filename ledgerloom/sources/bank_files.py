@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,10 +85,10 @@ def parse_lines(raw: DataFrame) -> DataFrame:
     return x.select("doc", "pos", "fact_num", F.col("ht").cast("double").alias("ht"), F.col("vat").cast("double").alias("tva"), F.coalesce(F.round(F.col("given") * 100).cast("int"), S.rate_from_amounts(F.col("ht"), F.col("vat"))).alias("pct"), F.when(F.col("ht").isNull(), "unreadable amount").otherwise("").alias("warning"))
 
 
-def export_name(client: str, month: int, year: int) -> tuple[str, str]:
-    """Sheet and file name of a declaration."""
-    safe = "".join(c if c.isalnum() or c in "-_" else "_" for c in client)
-    return f"EDI{month:02d}{year % 100:02d}", f"{safe}_DED_TVA_{month:02d}{year}"
+def export_names(client: Column, month: Column, year: Column) -> Column:
+    """Sheet and file name of a declaration (A13): ``struct<sheet, file>``; what is no letter, digit, dash or underscore becomes one."""
+    mm, yyyy = F.lpad(month.cast("string"), 2, "0"), year.cast("string")
+    return F.struct(F.concat(F.lit("EDI"), mm, F.substring(yyyy, 3, 2)).alias("sheet"), F.concat(F.regexp_replace(client, r"[^\p{L}\p{N}_-]", "_"), F.lit("_DED_TVA_"), mm, yyyy).alias("file"))
 
 
 def write_declaration(rows: DataFrame, path: str) -> None:

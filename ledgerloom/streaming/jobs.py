@@ -23,7 +23,7 @@ def first_of_each(files: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def merge_into(read, write, merge):
-    """A ``foreachBatch`` writer that merges each batch into a stored ledger (K1, K4); replays give the same ledger."""
+    """A ``foreachBatch`` writer that merges each batch into a stored ledger (K1); replays give the same ledger."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         write(merge(read(), batch), epoch)
@@ -31,6 +31,21 @@ def merge_into(read, write, merge):
     return run
 
 
+def merge_and_recount(read, write, merge, count, read_counts, write_counts):
+    """Like :func:`merge_into`, and then recounts the dossiers that the batch touched, and only those (K4).
+
+    ``count(lines)``: one row per dossier; counts of other dossiers stay.
+    """
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        write(merge(read(), batch), epoch)
+        touched = batch.select("dossier").distinct()
+        anew = count(read().join(touched, "dossier", "left_semi"))
+        write_counts(read_counts().join(touched, "dossier", "left_anti").unionByName(anew), epoch)
+
+    return run
+
+
 def stale_jobs(jobs: DataFrame, minutes: int = 30, delay: str = "1 minute") -> DataFrame:
     """Jobs with no sign of life for ``minutes`` of event time (K2): one row ``job, last`` each time one goes stale."""
 
