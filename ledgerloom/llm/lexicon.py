@@ -3,8 +3,9 @@
 Frequent words of the corpus (counted over all of it) are compiled, with their
 ids as output, into a minimal acyclic automaton with shared suffixes. Arcs
 carry partial sums that add up to a word's number; the number selects its ids.
-The automaton is sent to the tasks as bytes and memory-mapped there. Words it
-does not hold are merged exactly.
+The automaton is a file that Spark hands to every executor once; its tasks map
+the same file, so its pages are shared. Words it does not hold are merged
+exactly.
 """
 
 from __future__ import annotations
@@ -12,15 +13,18 @@ from __future__ import annotations
 import functools
 import hashlib
 import mmap
-import tempfile
+import uuid
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import shared_dir
+from .pfor import filesystem
 from .tokens import encoding, vocabulary, vocabulary_path
 
 #: Words compiled into the automaton, and the longest of them.
@@ -141,13 +145,22 @@ def build(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> bytes:
     return compile_lexicon(entries)
 
 
-@functools.lru_cache(maxsize=2)
-def mapped(raw: bytes) -> Transducer:
-    """Memory-map an automaton through an unnamed temporary file of the task's process."""
-    with tempfile.TemporaryFile() as f:
+def hand_out(spark: SparkSession, raw: bytes) -> str:
+    """Write the automaton into the shared folder and let Spark copy it to every executor, later ones too; returns the file's name."""
+    folder, name = shared_dir(spark).rstrip("/"), f"lexicon-{uuid.uuid4().hex}.bin"
+    store, base = filesystem(folder)
+    store.create_dir(base, recursive=True)
+    with store.open_output_stream(f"{base}/{name}") as f:
         f.write(raw)
-        f.flush()
-        return Transducer(mmap.mmap(f.fileno(), len(raw), access=mmap.ACCESS_READ))
+    spark.sparkContext.addFile(f"{folder}/{name}")
+    return name
+
+
+@functools.lru_cache(maxsize=2)
+def mapped(name: str) -> Transducer:
+    """Memory-map an automaton that Spark handed out."""
+    with open(SparkFiles.get(name), "rb") as f:
+        return Transducer(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
 class Codec(dict):
@@ -187,10 +200,10 @@ def encode_decode(docs: DataFrame, path: str | None = None, words: int = LEXICON
     table gives no rows.
     """
     path = path or vocabulary_path()
-    shared = docs.sparkSession.sparkContext.broadcast(build(docs, path, words))
+    name = hand_out(docs.sparkSession, build(docs, path, words))
 
     def run(batches):
-        codec = Codec(path, mapped(shared.value))
+        codec = Codec(path, mapped(name))
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -22,8 +22,8 @@ from .common import Forest, components, cut, join_counted, partitions
 from .vectors import matrix, same_length, unit, usable
 
 #: Vectors the pivots are chosen from, at most, and rows of a cell that share a task.
-SAMPLE, HOMES = 8192, 4096
-#: Pivots at most.
+SAMPLE, HOMES = 8192, 16_384
+#: Pivots at most: beyond, cells are dealt as more chunks.
 PIVOTS = 1024
 
 

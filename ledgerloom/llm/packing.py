@@ -81,9 +81,9 @@ def pieces(docs: DataFrame, path: str | None = None, end_id: int = 0, window: in
     path = path or vocabulary_path()
 
     def run(batches):
-        for batch in batches:
+        for piece in (batch.slice(at, 1000) for batch in batches for at in range(0, batch.num_rows, 1000)):
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
                 ids = np.append(encode(path, text or "").astype("<u4"), np.array([end_id], "<u4"))
                 raw, n = ids.tobytes(), len(ids)
                 for start in range(0, n, window):
@@ -107,5 +107,7 @@ def pack(docs: DataFrame, path: str | None = None, end_id: int = 0, window: int
         bins, offsets = best_fit_decreasing(pdf["length"].to_numpy(), window)
         return pdf.assign(sequence_id=pdf["grp"].astype("int64") * (1 << 36) + bins, offset=offsets).drop(columns="grp")
 
-    dealt = pieces(docs, path, end_id, window).withColumn("grp", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    # by content and partition, so that repeated rows and null ids are spread as well
+    spread = F.xxhash64("doc_id", "start", "ids_crc32", F.spark_partition_id())
+    dealt = pieces(docs, path, end_id, window).withColumn("grp", F.pmod(spread, F.lit(groups)))
     return dealt.groupBy("grp").applyInPandas(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -46,7 +46,7 @@ def op6_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document from its text, the language it is declared in and its source's prior."""
     docs = table(spark, sf_dir, "documents")
-    found = langid.identify(docs, declared=F.col("lang"), host=F.col("source"))
+    found = langid.identify(docs.select("doc_id", "text", "lang", "source"), declared=F.col("lang"), host=F.col("source"))
     return found.select("doc_id", F.col("language.lang").alias("lang"), F.col("language.probability").alias("probability"), F.col("language.accepted").alias("accepted"))
 
 
@@ -68,7 +68,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of each web page: text, ``lang`` of its markup, and its host with the address suffix."""
+    """Language of each web page: text, ``lang`` of its markup, and its host with the address suffix.
+
+    Pages without text, null ones too, are ``und``; a page without the attribute
+    or with an address that names no host is judged by the rest; repeated rows
+    are judged alike; an empty table gives no rows.
+    """
     pages = table(spark, sf_dir, "pages")
     text = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", " "), r"<[^>]*>", " ")
     declared = F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-z]+)", 1), F.lit(""))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, components, cut, fresh, join_counted, mix64, partitions
+from .common import Forest, byte_values, components, cut, fresh, join_counted, mix64, partitions
 
 #: Rows of a probing cell on average, and at most; larger cells are dealt as pairs of chunks.
 CELL, CHUNK = 131_072, 524_288
@@ -307,7 +307,8 @@ def links(distinct: DataFrame, words: int, radius: int, parts: list[tuple[list[i
     ``first``: bits in which the first words may differ (by default those of
     the radius). A row goes to the cell of the leading bits of each partition's value, and
     as a guest to the lower cells that its threshold reaches; all probing of
-    the other bits is done within the cell.
+    the other bits is done within the cell, which gives a spanning forest of its
+    links: no more edges than rows.
     """
     spark = distinct.sparkSession
     prefix = [prefix_bits(rows, len(p)) for p, _ in parts]
@@ -332,10 +333,13 @@ def links(distinct: DataFrame, words: int, radius: int, parts: list[tuple[list[i
 
         def settle():
             fps, ids = np.concatenate([f for f, _ in held]), np.concatenate([i for _, i in held])
-            p, t = parts[last[0]]
+            (p, t), forest = parts[last[0]], Forest()
             for a, b in cell_links(part_values(fps, p), fps, ids, len(p), t, radius, radius if first is None else first):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                for x, y in zip(a.tolist(), b.tolist()):
+                    forest.union(x, y)
+            stars = forest.stars()
+            if stars:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*stars)], names=["a", "b"])
 
         for batch in batches:
             k = np.stack([np.asarray(batch.column(j)).astype(np.int64) for j in range(4)], axis=1)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import byte_values, cut, fresh, join_counted, mix64, partitions, written
+from .common import byte_values, fresh, join_counted, mix64, partitions, written
 
 #: Bytes of a minimiser gram.
 GRAM = 64
@@ -30,7 +30,7 @@ PIECE, ARRAY = 1 << 21, 1 << 20
 #: Distinct segments of one minimiser that share a task; more are dealt as pairs of chunks.
 CHUNK = 4096
 #: Salts that the rows of a hot segment are dealt by.
-SALTS = 64
+SALTS = 256
 #: Segments that hot minimisers are found on, about.
 SAMPLE = 500_000
 
@@ -215,11 +215,11 @@ def spans_of(first: int, hit: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(first + int(a), first + int(b) - 1 + length) for a, b in zip(edge[::2], edge[1::2])]
 
 
-def hot_minimisers(every: DataFrame, total: int) -> DataFrame:
+def hot_minimisers(every: DataFrame, total: int) -> list[int]:
     """Minimisers of more than about a thousandth of the segments, of which there are fewer than a thousand: counted on a bounded sample, which steers cost only."""
     share = min(1.0, SAMPLE / max(1, total))
     counts = every.sample(share, seed=42).groupBy("h").count()
-    return counts.where(F.col("count") > max(100, share * total / 1000)).select("h")
+    return [r.h for r in counts.where(F.col("count") > max(100, share * total / 1000)).orderBy(F.desc("count"), "h").limit(1000).collect()]
 
 
 def candidates(every: DataFrame) -> DataFrame:
@@ -230,10 +230,10 @@ def candidates(every: DataFrame) -> DataFrame:
     look up whether an equal one lies in another.
     """
     total = every.count()
-    hot, segment = F.broadcast(cut(hot_minimisers(every, total))), ["h", "g", "g2"]
-    usual = every.join(hot, "h", "left_anti").repartition(partitions(every.sparkSession), "h")
+    hot, segment = F.col("h").isin(hot_minimisers(every, total)), ["h", "g", "g2"]
+    usual = every.where(~hot).repartition(partitions(every.sparkSession), "h")
     usual = usual.withColumn("same", F.count("*").over(Window.partitionBy(*segment))).withColumn("c", F.count("*").over(Window.partitionBy("h"))).where("c > 1").drop("c")
-    often = every.join(hot, "h", "left_semi")
+    often = every.where(hot)
     salted = often.withColumn("same", F.count("*").over(Window.partitionBy(*segment, F.pmod(F.xxhash64("rid", "first"), F.lit(SALTS)))))
     several = often.groupBy(*segment).agg(F.count("*").alias("all")).where(F.col("all") > 1)
     alone = salted.where("same = 1").join(several, segment, "left").withColumn("same", F.coalesce("all", "same")).drop("all")
