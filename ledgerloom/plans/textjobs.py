@@ -98,7 +98,7 @@ def d07_currency_totals(spark, sf_dir):
 
 def _bundles(spark, sf_dir):
     """Up to a hundred invoices of a dossier in one text."""
-    i = invoices(spark, sf_dir).withColumn("doc", F.concat_ws(":", "dossier", (F.crc32(F.col("fact_num").cast("binary")) % 7).cast("string")))
+    i = invoices(spark, sf_dir).withColumn("doc", F.concat_ws(":", "dossier", (F.regexp_extract("fact_num", r"(\d+)", 1).cast("long") % 7).cast("string")))
     return i.select("doc", "fact_num", "text")
 
 
@@ -173,6 +173,9 @@ ORACLES = {
     "d11_supplier_name": f"WITH {INV} SELECT dossier, fact_num, 'ATLAS DISTRIB SARL' AS name FROM inv",
     "d12_supplier_ice": f"WITH {INV} SELECT dossier, fact_num, CASE WHEN ice = '000000000000001' THEN '' ELSE ice END AS ice FROM inv",
     "d13_supplier_if": f"WITH {INV} SELECT dossier, fact_num, fiscal, '4567,7654321' AS others FROM inv",
+    # a number of the word AVOIR alone opens no document: such texts belong to what stands before them
+    "d14_segments": f"WITH {INV}, b AS (SELECT dossier || ':' || (CAST(regexp_extract(fact_num, '[0-9]+') AS BIGINT) % 7) AS doc, fact_num FROM inv) SELECT doc, greatest(count(*) FILTER (fact_num LIKE 'F%'), 1) AS segments, coalesce(string_agg(fact_num, ',' ORDER BY fact_num) FILTER (fact_num LIKE 'F%'), '') AS numbers FROM b GROUP BY doc",
+    "d15_page_groups": f"WITH {INV}, b AS (SELECT dossier || ':' || (CAST(regexp_extract(fact_num, '[0-9]+') AS BIGINT) % 7) AS doc, CASE WHEN fact_num LIKE 'F%' THEN fact_num END AS number FROM inv) SELECT doc, number, 2 * count(*) AS pages FROM b GROUP BY doc, number",
     "d16_extract": f"WITH {INV}, good AS (SELECT * FROM per WHERE odd = 0 OR {SENSE}), r AS (SELECT dossier, fact_num, pct, {ALL} FROM good UNION ALL SELECT dossier, fact_num, CASE WHEN abs(tva) < 0.05 THEN 0 WHEN tva BETWEEN ht * 0.075 AND ht * 0.125 THEN 10 ELSE 20 END, {ALL} FROM inv WHERE NOT EXISTS (SELECT 1 FROM good WHERE good.dossier = inv.dossier AND good.fact_num = inv.fact_num)) SELECT dossier || '/' || fact_num AS doc, fact_num, 'ATLAS DISTRIB SARL' AS lib_frss, CASE WHEN ice = '000000000000001' THEN '' ELSE ice END AS ice_frs, fiscal AS if_number, CAST(day AS VARCHAR) AS date_fac, 'MATIERES CONSOMMABLES' AS designation, pct, r.ht, r.tva, r.ttc FROM r JOIN (SELECT dossier, fact_num, ice, fiscal, day FROM inv) USING (dossier, fact_num)",
     "d17_delivery": f"WITH {D.ORDERS} SELECT month, half, count(*) AS services, CAST(sum(ht) AS DOUBLE) AS ht, 'MA-FVR1' AS number, CAST(sum(ht) AS DOUBLE) AS ttc, CAST(1000.5 AS DOUBLE) AS collected, CAST(12 AS DOUBLE) AS payout FROM services GROUP BY month, half",
     "d18_bank_identity": f"WITH {D.LINES}, {D.PAYMENTS} SELECT DISTINCT dossier AS doc, 'ATTIJARI BANK' AS name, '000111222333444' AS ice, '1084612' AS fiscal FROM payments",
