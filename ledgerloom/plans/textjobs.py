@@ -33,6 +33,8 @@ def invoices(spark, sf_dir):
 
 
 INV = f"{D.LINES}, per0 AS (SELECT dossier, fact_num, pct, CAST(sum(ht) AS DECIMAL(18,2)) AS ht, CAST(sum(tva) AS DECIMAL(18,2)) AS tva, max(date_fac) AS day, max(ice_frs) AS ice, max(if_number) AS fiscal FROM lines WHERE copy = 0 AND ht > 20 AND tva >= 0 AND ttc > 0 AND ttc = ht + tva GROUP BY ALL), per AS (SELECT *, CAST(ht + tva AS DECIMAL(18,2)) AS ttc, CAST(right(fact_num, 1) AS INTEGER) % 2 AS odd FROM per0), inv AS (SELECT dossier, fact_num, sum(ht) AS ht, sum(tva) AS tva, sum(ttc) AS ttc, max(day) AS day, CASE WHEN max(ice) = '' THEN '000000000000777' ELSE max(ice) END AS ice, CASE WHEN max(fiscal) = '' THEN '40000777' ELSE max(fiscal) END AS fiscal, count(*) AS n FROM per GROUP BY ALL)"
+#: Bundled invoices, each with the number it opens a document with, if any.
+BUNDLES = "bundles AS (SELECT dossier || ':' || (CAST(regexp_extract(fact_num, '[0-9]+') AS BIGINT) % 7) AS doc, fact_num, CASE WHEN fact_num LIKE 'F%' AND length(fact_num) > 2 THEN fact_num END AS own FROM inv)"
 #: Rows of the rate table that make sense by their ratio.
 SENSE = "(tva < 0.05 OR tva BETWEEN ht * 0.08 AND ht * 0.12 OR tva BETWEEN ht * 0.18 AND ht * 0.22)"
 
@@ -173,9 +175,9 @@ ORACLES = {
     "d11_supplier_name": f"WITH {INV} SELECT dossier, fact_num, 'ATLAS DISTRIB SARL' AS name FROM inv",
     "d12_supplier_ice": f"WITH {INV} SELECT dossier, fact_num, CASE WHEN ice = '000000000000001' THEN '' ELSE ice END AS ice FROM inv",
     "d13_supplier_if": f"WITH {INV} SELECT dossier, fact_num, fiscal, '4567,7654321' AS others FROM inv",
-    # a number of the word AVOIR alone opens no document: such texts belong to what stands before them
-    "d14_segments": f"WITH {INV}, b AS (SELECT dossier || ':' || (CAST(regexp_extract(fact_num, '[0-9]+') AS BIGINT) % 7) AS doc, fact_num FROM inv) SELECT doc, greatest(count(*) FILTER (fact_num LIKE 'F%'), 1) AS segments, coalesce(string_agg(fact_num, ',' ORDER BY fact_num) FILTER (fact_num LIKE 'F%'), '') AS numbers FROM b GROUP BY doc",
-    "d15_page_groups": f"WITH {INV}, b AS (SELECT dossier || ':' || (CAST(regexp_extract(fact_num, '[0-9]+') AS BIGINT) % 7) AS doc, CASE WHEN fact_num LIKE 'F%' THEN fact_num END AS number FROM inv) SELECT doc, number, 2 * count(*) AS pages FROM b GROUP BY doc, number",
+    # a number of the word AVOIR alone, or of two signs, opens no document: such texts belong to what stands before them
+    "d14_segments": f"WITH {INV}, {BUNDLES} SELECT doc, greatest(count(own), 1) AS segments, coalesce(string_agg(own, ',' ORDER BY own), '') AS numbers FROM bundles GROUP BY doc",
+    "d15_page_groups": f"WITH {INV}, {BUNDLES}, n AS (SELECT doc, last_value(own IGNORE NULLS) OVER (PARTITION BY doc ORDER BY fact_num) AS number FROM bundles) SELECT doc, number, 2 * count(*) AS pages FROM n GROUP BY doc, number",
     "d16_extract": f"WITH {INV}, good AS (SELECT * FROM per WHERE odd = 0 OR {SENSE}), r AS (SELECT dossier, fact_num, pct, {ALL} FROM good UNION ALL SELECT dossier, fact_num, CASE WHEN abs(tva) < 0.05 THEN 0 WHEN tva BETWEEN ht * 0.075 AND ht * 0.125 THEN 10 ELSE 20 END, {ALL} FROM inv WHERE NOT EXISTS (SELECT 1 FROM good WHERE good.dossier = inv.dossier AND good.fact_num = inv.fact_num)) SELECT dossier || '/' || fact_num AS doc, fact_num, 'ATLAS DISTRIB SARL' AS lib_frss, CASE WHEN ice = '000000000000001' THEN '' ELSE ice END AS ice_frs, fiscal AS if_number, CAST(day AS VARCHAR) AS date_fac, 'MATIERES CONSOMMABLES' AS designation, pct, r.ht, r.tva, r.ttc FROM r JOIN (SELECT dossier, fact_num, ice, fiscal, day FROM inv) USING (dossier, fact_num)",
     "d17_delivery": f"WITH {D.ORDERS} SELECT month, half, count(*) AS services, CAST(sum(ht) AS DOUBLE) AS ht, 'MA-FVR1' AS number, CAST(sum(ht) AS DOUBLE) AS ttc, CAST(1000.5 AS DOUBLE) AS collected, CAST(12 AS DOUBLE) AS payout FROM services GROUP BY month, half",
     "d18_bank_identity": f"WITH {D.LINES}, {D.PAYMENTS} SELECT DISTINCT dossier AS doc, 'ATTIJARI BANK' AS name, '000111222333444' AS ice, '1084612' AS fiscal FROM payments",
