@@ -6,7 +6,9 @@ copied to every other cell whose boundary it may reach across: by the triangle
 inequality only where the distance to the separating hyperplane is at most e.
 Then the home cell of a vector holds all vectors within e of it, cells join
 independently, and each home row counts its links there without any pair
-being shuffled.
+being shuffled. A cell of many vectors is cut into rings by the distance to its
+pivot, and by the same inequality a copy goes to the rings within e of its own
+distance only.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from pyspark.sql import functions as F
 from .common import Forest, components, cut, join_counted, partitions
 from .vectors import matrix, same_length, unit, usable
 
-#: Vectors the pivots are chosen from, at most, and rows of a cell that share a task.
+#: Vectors the pivots are chosen from, at most, and rows of a cell or ring that share a task, about.
 SAMPLE, HOMES = 8192, 16_384
-#: Pivots at most: beyond, cells are dealt as more chunks.
-PIVOTS = 1024
+#: Pivots at most: beyond, cells are cut into more rings, at most one for each of these quantiles of the distances.
+PIVOTS, QUANTILES = 8192, 256
 
 
 def choose_pivots(sample: np.ndarray, number: int) -> np.ndarray:
@@ -37,15 +39,15 @@ def choose_pivots(sample: np.ndarray, number: int) -> np.ndarray:
     return u[chosen]
 
 
-def reach(u: np.ndarray, pivots: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest pivot of each row, and for each pivot whether the row may lie within eps of its cell."""
+def reach(u: np.ndarray, pivots: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nearest pivot of each row, for each pivot whether the row may lie within eps of its cell, and the distances to the pivots."""
     d2 = np.maximum(2 - 2 * u @ pivots.T, 0)
     home = d2.argmin(1)
     apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
     gap = d2 - d2[np.arange(len(u)), home][:, None]
     near = gap <= 2 * eps * apart[home] + 1e-9
     near[np.arange(len(u)), home] = True
-    return home, near
+    return home, near, np.sqrt(d2)
 
 
 def linked(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
@@ -71,27 +73,35 @@ def linked(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
         return everything.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     pivots = choose_pivots(sample, max(1, min(PIVOTS, -(-n // HOMES))))
 
+    step = max(64, min(4096, 2_000_000 // len(pivots)))  # rows whose distances to all pivots are held at once
+
     def homes(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(reach(unit(matrix(batch.column(0))), pivots, eps)[0] if batch.num_rows else [], pa.int32())], names=["cell"])
+            for at in range(0, batch.num_rows, step):
+                home, _, far = reach(unit(matrix(batch.column(0).slice(at, step))), pivots, eps)
+                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(far[np.arange(len(home)), home])], names=["cell", "far"])
 
-    sizes = {r[0]: r[1] for r in unique.select("vec").mapInArrow(homes, "cell int").groupBy("cell").count().collect()}
-    chunks = np.array([max(1, -(-sizes.get(c, 0) // HOMES)) for c in range(len(pivots))])
+    steps = F.array(*[F.lit((i + 1) / (QUANTILES + 1)) for i in range(QUANTILES)])
+    placed = unique.select("vec").mapInArrow(homes, "cell int, far double")
+    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.percentile_approx("far", steps, 10_000).alias("q")).where(F.col("n") > HOMES).collect()
+    # inner bounds of the rings of each crowded cell
+    rings = {r["cell"]: np.array(r["q"])[np.linspace(0, QUANTILES - 1, min(QUANTILES, -(-r["n"] // HOMES) + 1)).round().astype(int)[1:-1]] for r in sizes}
 
     def deal(batches):
-        """Home rows go to one chunk of their cell; copies, and home rows as partners, to all of them."""
+        """Home rows go to their ring of their cell; copies, and home rows as partners, to all rings within reach."""
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                piece = batch.slice(at, 4096)
-                ids = np.asarray(piece.column(1))
-                home, near = reach(unit(matrix(piece.column(0))), pivots, eps)
-                row, cell = np.nonzero(near)
-                times = chunks[cell]
-                row, cell = np.repeat(row, times), np.repeat(cell, times)
-                chunk = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                own = (home[row] == cell) & (ids[row] % chunks[cell] == chunk)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(chunk, pa.int32()), pa.array(~own), piece.column(1).take(take), piece.column(2).take(take), piece.column(0).take(take)], names=["cell", "chunk", "guest", "id", "copies", "vec"])
+            for at in range(0, batch.num_rows, step):
+                piece = batch.slice(at, step)
+                home, near, far = reach(unit(matrix(piece.column(0))), pivots, eps)
+                for c in np.flatnonzero(near.any(0)).tolist():
+                    row = np.flatnonzero(near[:, c])
+                    bounds, d = rings.get(c, np.empty(0)), far[row, c]
+                    low, high = np.searchsorted(bounds, d - eps - 1e-9, "right"), np.searchsorted(bounds, d + eps + 1e-9, "right")
+                    times = high - low + 1
+                    ring = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times - low, times)
+                    own = np.repeat((home[row] == c), times) & (ring == np.repeat(np.searchsorted(bounds, d, "right"), times))
+                    take = pa.array(np.repeat(row, times))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ring), c), pa.int32()), pa.array(ring, pa.int32()), pa.array(~own), piece.column(1).take(take), piece.column(2).take(take), piece.column(0).take(take)], names=["cell", "chunk", "guest", "id", "copies", "vec"])
 
     def join(batches):
         key, held = None, []
@@ -161,7 +171,7 @@ def linked(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
             yield finish(forest, own_ids, links)
 
     dealt = unique.select("vec", "id", "copies").mapInArrow(deal, "cell int, chunk int, guest boolean, id long, copies long, vec binary")
-    ordered = dealt.repartition(max(n_parts, min(int(chunks.sum()), 4 * n_parts)), "cell", "chunk").sortWithinPartitions("cell", "chunk", "guest")
+    ordered = dealt.repartition(n_parts, "cell", "chunk").sortWithinPartitions("cell", "chunk", "guest")
     found = cut(ordered.mapInArrow(join, "id long, root long, links long"))
     roots = components(found.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = found.where("root is null").groupBy("id").agg(F.sum("links").alias("n_links"))
