@@ -94,7 +94,7 @@ lines AS (
         CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(3,2))), 2) AS DECIMAL(18,2)) AS true_ht,
         o_custkey // 300 AS client, (o_custkey // 300) * 1000 + (year(o_orderdate) - 1990) * 12 + month(o_orderdate) AS dossier, strftime(o_orderdate, '%Y-%m') AS period,
         CASE WHEN l_orderkey % 29 = 0 THEN 'AVOIR' ELSE 'F' END || l_orderkey AS fact_num
-      FROM (SELECT *, unnest(CASE WHEN l_partkey % 19 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM lineitem) JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = o_orderkey % (SELECT max(s_suppkey) + 1 FROM supplier))))"""
+      FROM (SELECT *, unnest(CASE WHEN l_partkey % 19 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM lineitem) JOIN orders ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = o_orderkey % (SELECT max(s_suppkey) + 1 FROM supplier))))"""
 
 
 def payments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,19 @@ def test_query(spark, duck, name):
     assert got == sorted(tuple(value(r[i]) for i in order) for r in cur.fetchall())
 
 
+@pytest.fixture(scope="module")
+def larger():
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
+def test_twin_runs_on_larger_tables(larger, name):
+    assert larger.execute(entry_point.oracle_sql()[name]).description
+
+
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
 
