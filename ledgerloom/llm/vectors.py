@@ -62,3 +62,72 @@ def unit(x: np.ndarray) -> np.ndarray:
     """Rows at length one, whatever their magnitude."""
     y = shifted(x, -exponents(x))
     return y / np.sqrt((y**2).sum(1, keepdims=True))
+
+
+def finite_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a list column: which rows have components, none of them null or non-finite; their lengths; all components one after another."""
+    lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)  # nulls become NaN
+    bad = np.r_[0, np.cumsum(~np.isfinite(flat))]
+    edge = np.r_[0, np.cumsum(lengths)]
+    return (lengths > 0) & (bad[edge[1:]] == bad[edge[:-1]]), lengths, flat
+
+
+def narrow(x: np.ndarray) -> list[bytes]:
+    """Integer rows packed at the narrowest of 1, 2, 4 or 8 bytes a component, which a first byte names; equal rows have equal bytes."""
+    width = np.full(len(x), 8)
+    for w in (4, 2, 1):
+        top = 1 << (8 * w - 1)
+        width[((x >= -top) & (x < top)).all(1)] = w
+    out: list[bytes] = [b""] * len(x)
+    for w in (1, 2, 4, 8):
+        rows = np.flatnonzero(width == w)
+        mark = bytes([w])
+        for i, row in zip(rows.tolist(), x[rows].astype(f"<i{w}")):
+            out[i] = mark + row.tobytes()
+    return out
+
+
+def wide(column) -> np.ndarray:
+    """Rows of :func:`narrow`, all of one length, as a matrix of 64-bit integers."""
+    values = column.to_pylist() if hasattr(column, "to_pylist") else list(column)
+    if not values:
+        return np.empty((0, 0), np.int64)
+    out = np.empty((len(values), (len(values[0]) - 1) // values[0][0]), np.int64)
+    width = np.array([v[0] for v in values])
+    for w in (1, 2, 4, 8):
+        rows = np.flatnonzero(width == w)
+        if len(rows):
+            out[rows] = np.frombuffer(b"".join([values[i][1:] for i in rows.tolist()]), f"<i{w}").reshape(len(rows), -1)
+    return out
+
+
+#: Bits of a limb: sums over many partitions of integers of any size stay exact in three columns.
+LIMB = 42
+
+
+def limbs(values) -> list[list[int]]:
+    """Python integers as three columns, the lower two without sign."""
+    mask = (1 << LIMB) - 1
+    return [[v >> 2 * LIMB for v in values], [(v >> LIMB) & mask for v in values], [v & mask for v in values]]
+
+
+LIMBS = "high long, middle long, low long"
+
+
+def summed(rows: DataFrame, *keys: str) -> dict[tuple, int]:
+    """Exact sums of the limbs of each key, of which there are few."""
+    total = [F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in ("high", "middle", "low")]
+    return {tuple(r[k] for k in keys): (int(r["high"]) << 2 * LIMB) + (int(r["middle"]) << LIMB) + int(r["low"]) for r in rows.groupBy(*keys).agg(*total).collect()}
+
+
+def gram(y: np.ndarray) -> np.ndarray:
+    """Exact ``y' y`` of integer rows, as Python integers where 64 bits do not hold it."""
+    top = int(np.abs(y).max(initial=0))
+    if len(y) * top * top < 1 << 53:
+        f = y.astype(float)
+        return (f.T @ f).astype(np.int64)
+    if len(y) * top * top < 1 << 62:
+        return y.T @ y
+    big = y.astype(object)
+    return big.T @ big
