@@ -139,11 +139,9 @@ def _format(path: str, learned: tuple[str, ...]):
 def turns_in_order(conversations: DataFrame) -> DataFrame:
     """Turns with escaped roles and texts, sorted by conversation and turn; ties by role, then text."""
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
-    rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.substring(text, 1, PREFIX).alias("prefix"), escaped(role).alias("said_by"), escaped(text).alias("body"), text.alias("raw")
-    )
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.substring(text, 1, PREFIX).alias("prefix"), text.alias("text"))
     placed = rows.repartitionByRange(partitions(conversations.sparkSession), *ORDER)
-    return placed.sortWithinPartitions(*ORDER, "raw").select(*ORDER, "said_by", "body")
+    return placed.sortWithinPartitions(*ORDER, "text").select(*ORDER, escaped(F.col("role")).alias("said_by"), escaped(F.col("text")).alias("body"))
 
 
 def format_conversations(conversations: DataFrame, learned: tuple[str, ...] = ("assistant",), path: str | None = None) -> DataFrame:
