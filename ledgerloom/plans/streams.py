@@ -12,8 +12,11 @@ from ledgerloom.functions import amounts as A
 from ledgerloom.operators import lines as L
 from ledgerloom.plans.files import _folder
 from ledgerloom.plans.lines import COHERENT
+from ledgerloom.plans.portfolio import ORACLES as PORTFOLIO
+from ledgerloom.plans.portfolio import as_of
 from ledgerloom.sources import driver_tables as D
 from ledgerloom.streaming import jobs as J
+from ledgerloom.streaming import store as ST
 
 
 def _replay(df: DataFrame, files: int = 4) -> DataFrame:
@@ -49,64 +52,65 @@ def k03_first_files(spark, sf_dir):
     return _settle(J.first_of_each(_replay(docs.select("id", "source_id", "created_at")), "20000 days"), "append").groupBy("source_id").agg(F.count("*").alias("n"))
 
 
-def k01_import(spark, sf_dir):
-    """Ledgers after new lines arrived as a stream: the same as merging them at once, up to which copy came first."""
-    lines = D.invoice_lines(spark, sf_dir).select("dossier", "pos", "source_file", "source_id", "fact_num", "pct")
-    old, path = lines.where("pos % 2 = 0"), _folder(spark)
-    old.withColumn("origin", F.lit(0)).write.parquet(f"{path}/0")
-    state = {"at": 0}
-
-    def read() -> DataFrame:
-        return spark.read.parquet(f"{path}/{state['at']}").drop("origin")
+LEDGER = ["dossier", "pos", "source_file", "source_id", "fact_num", "pct"]
 
-    def write(merged: DataFrame, epoch: int) -> None:
-        merged.write.mode("overwrite").parquet(f"{path}/{epoch + 1}")
-        state["at"] = epoch + 1
-
-    new = _replay(lines.where("pos % 2 = 1"))
-    query = new.writeStream.foreachBatch(J.merge_into(read, write, L.merge_lines)).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return read().groupBy("dossier").agg(F.count("*").alias("n"), F.countDistinct(L.merge_key()).alias("keys"))
 
+def _merged(old: DataFrame, new: DataFrame) -> DataFrame:
+    return L.merge_lines(old, new).drop("origin")
 
-class _Versions:
-    """Versions of a stored table, one folder each; the newest is read."""
 
-    def __init__(self, spark, first: DataFrame) -> None:
-        self.spark, self.path, self.at = spark, _folder(spark), 0
-        first.write.parquet(f"{self.path}/0")
+def _ledgers(spark, old: DataFrame, count=None) -> ST.Ledgers:
+    """A store that holds these lines, and their counts, as first version."""
+    tables = {"lines": old.schema} | ({"counts": count(old).schema} if count else {})
+    store = ST.Ledgers(spark, _folder(spark), tables)
+    store.commit("start", 0, list(range(store.buckets)), {"lines": old} | ({"counts": count(old)} if count else {}))
+    return store
 
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.at}")
 
-    def write(self, df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{epoch + 1}")
-        self.at = epoch + 1
+def k01_import(spark, sf_dir):
+    """Ledgers after new lines arrived as a stream: the same as merging them at once, up to which copy came first."""
+    lines = D.invoice_lines(spark, sf_dir).select(*LEDGER)
+    store = _ledgers(spark, lines.where("pos % 2 = 0"))
+    query = _replay(lines.where("pos % 2 = 1")).writeStream.foreachBatch(ST.merging(store, "import", _merged))
+    query.option("checkpointLocation", f"{store.path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return store.read("lines").groupBy("dossier").agg(F.count("*").alias("n"), F.countDistinct(L.merge_key()).alias("keys"))
 
 
 def k04_recount(spark, sf_dir):
     """Lines and incoherent lines of each ledger, kept up to date while new lines arrive; a dossier's new lines come in one file."""
-    lines = D.invoice_lines(spark, sf_dir).select("dossier", "pos", "source_file", "source_id", "fact_num", "pct", "ht", "tva", "ttc")
+    lines = D.invoice_lines(spark, sf_dir).select(*LEDGER, "ht", "tva", "ttc")
 
     def count(df: DataFrame) -> DataFrame:
         return df.groupBy("dossier").agg(F.count("*").alias("n"), F.count_if(~A.coherent(F.col("ht"), F.col("tva"), F.col("ttc"), F.col("pct"))).alias("anomalies"))
 
-    old, path = lines.where("pos % 2 = 0"), _folder(spark)
-    ledger = _Versions(spark, old)
-    counts = _Versions(spark, count(ledger.read()))
+    store = _ledgers(spark, lines.where("pos % 2 = 0"), count)
     new = lines.where("pos % 2 = 1")
-    new.repartition(4, "dossier").write.parquet(f"{path}/new")
-    stream = spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/new")
-    merge = lambda a, b: L.merge_lines(a, b).drop("origin")
-    put = J.merge_and_recount(ledger.read, ledger.write, merge, count, counts.read, counts.write)
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return counts.read()
-
-
-QUERIES = {f.__name__: f for f in (k01_import, k04_recount, k03_first_files, k05_half_months)}
+    new.repartition(4, "dossier").write.parquet(f"{store.path}/new")
+    stream = spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(f"{store.path}/new")
+    query = stream.writeStream.foreachBatch(ST.merging(store, "import", _merged, count=count))
+    query.option("checkpointLocation", f"{store.path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return store.read("counts")
+
+
+def k02_stale_stream(spark, sf_dir):
+    """Next state of every job as the stream of signs of life tells it once the clock stands at the given moment."""
+    days = 20_000  # replayed files are in no order of time, so that none of their rows may be late
+    jobs = D.import_jobs(spark, sf_dir).select("job", "status", "total", F.col("touched_at").cast("timestamp").alias("touched_at"))
+    clock = spark.range(1).select(F.lit(-1).cast("long").alias("job"), F.lit("done").alias("status"), F.lit(0).alias("total"), F.date_add(as_of(), days).cast("timestamp").alias("touched_at"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.STORE)
+    try:
+        told = _settle(J.stale_jobs(_replay(jobs.unionByName(clock)), f"{days} days"), "append")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return jobs.join(told.select("job", "next"), "job", "left").select("job", "status", F.coalesce("next", "status").alias("next"))
+
+
+QUERIES = {f.__name__: f for f in (k01_import, k02_stale_stream, k04_recount, k03_first_files, k05_half_months)}
 KEY = "CASE WHEN source_id <> '' THEN source_id WHEN contains(source_file, '/') THEN lower(string_split(source_file, '/')[-2] || '/' || string_split(source_file, '/')[-1]) ELSE lower(source_file) END || '|' || lower(fact_num) || '|' || pct"
 ORACLES = {
     "k01_import": f"WITH {D.LINES}, o AS (SELECT dossier, pos, CASE WHEN pos % 2 = 0 THEN 0 ELSE 1 END AS origin, {KEY} AS k FROM lines), r AS (SELECT *, row_number() OVER (PARTITION BY dossier, k ORDER BY origin, pos) AS n FROM o) SELECT dossier, count(*) AS n, count(DISTINCT k) AS keys FROM r WHERE origin = 0 OR n = 1 GROUP BY dossier",
+    "k02_stale_stream": PORTFOLIO["k02_sweep"],
     "k04_recount": f"WITH {D.LINES}, o AS (SELECT *, CASE WHEN pos % 2 = 0 THEN 0 ELSE 1 END AS origin, {KEY} AS k FROM lines), r AS (SELECT *, row_number() OVER (PARTITION BY dossier, k ORDER BY origin, pos) AS n FROM o) SELECT dossier, count(*) AS n, count(*) FILTER (NOT {COHERENT}) AS anomalies FROM r WHERE origin = 0 OR n = 1 GROUP BY dossier",
     "k03_first_files": f"WITH {D.DOCUMENTS} SELECT source_id, CAST(1 AS BIGINT) AS n FROM docs WHERE source_id <> '' GROUP BY source_id",
     "k05_half_months": f"WITH {D.ORDERS} SELECT month, half, CAST(count(*) AS DOUBLE) AS orders, CAST(sum(CASE WHEN status = 'DELIVERED' THEN amount ELSE 0 END) AS DOUBLE) AS collected, CAST(sum(fee) AS DOUBLE) AS fees FROM porders GROUP BY month, half",

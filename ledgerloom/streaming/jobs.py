@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ledgerloom.functions import scalars as S
 
@@ -22,50 +22,68 @@ def first_of_each(files: DataFrame, delay: str = "1 day") -> DataFrame:
     return files.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["source_id"])
 
 
-def merge_into(read, write, merge):
-    """A ``foreachBatch`` writer that merges each batch into a stored ledger (K1); replays give the same ledger."""
-
-    def run(batch: DataFrame, epoch: int) -> None:
-        write(merge(read(), batch), epoch)
-
-    return run
-
-
-def merge_and_recount(read, write, merge, count, read_counts, write_counts):
-    """Like :func:`merge_into`, and then recounts the dossiers that the batch touched, and only those (K4).
-
-    ``count(lines)``: one row per dossier; counts of other dossiers stay.
-    """
+#: Seconds without a sign of life after which an upload without files fails, and one with files and a running job queue again; fixed values.
+EMPTY_UPLOAD, PARTIAL_UPLOAD, PROCESSING = 300, 90, 1800
+#: Milliseconds of event time for which a job that needs no more watching is remembered, so that rows out of order do not revive it.
+KEEP = 3_600_000
+
+
+def limit_of(status: str, total: int) -> tuple[int, str] | None:
+    """Seconds that a job may stay silent, and what it becomes then."""
+    if status == "uploading":
+        return (PARTIAL_UPLOAD, "queued") if total else (EMPTY_UPLOAD, "failed")
+    return (PROCESSING, "queued") if status == "processing" else None
+
+
+class StaleJobs(StatefulProcessor):
+    """One timer a job. Its newest sign of life sets it; when it fires the job is told, remembered for a while and then forgotten."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "status string, total int, millis long, told boolean")
+
+    def _wake(self, at: int, now: int) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(int(old))
+        self.handle.registerTimer(max(at, now) + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        before = tuple(self.seen.get()) if self.seen.exists() else None
+        best = before
+        for pdf in rows:
+            for status, total, millis in zip(pdf["status"].tolist(), pdf["total"].tolist(), pdf["millis"].tolist()):
+                if best is None or (millis, status) > (best[2], best[0]):
+                    best = (status, int(total), int(millis), False)
+        if best != before:
+            self.seen.update(best)
+            limit = limit_of(best[0], best[1])
+            self._wake(best[2] // 1000 * 1000 + limit[0] * 1000 if limit else best[2] + KEEP, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        status, total, millis, told = self.seen.get()
+        limit = limit_of(status, total)
+        if told or limit is None:
+            self.seen.clear()
+            yield pd.DataFrame()
+            return
+        self.seen.update((status, total, millis, True))
+        self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + KEEP)
+        yield pd.DataFrame({"job": [key[0]], "status": [status], "next": [limit[1]], "last": [millis]})
 
-    def run(batch: DataFrame, epoch: int) -> None:
-        write(merge(read(), batch), epoch)
-        touched = batch.select("dossier").distinct()
-        anew = count(read().join(touched, "dossier", "left_semi"))
-        write_counts(read_counts().join(touched, "dossier", "left_anti").unionByName(anew), epoch)
+    def close(self) -> None:
+        pass
 
-    return run
 
+#: State store that timers need; set as ``spark.sql.streaming.stateStore.providerClass`` where the query starts.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def stale_jobs(jobs: DataFrame, minutes: int = 30, delay: str = "1 minute") -> DataFrame:
-    """Jobs with no sign of life for ``minutes`` of event time (K2): one row ``job, last`` each time one goes stale."""
 
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({"job": [key[0]], "last": [last]})
-            return
-        last = state.get[0] if state.exists else 0
-        done = False
-        for pdf in batches:
-            last = max(last, int(pdf["millis"].max()))
-            done = done or bool(pdf["status"].isin(["done", "failed"]).any())
-        if done:
-            if state.exists:
-                state.remove()
-            return
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+def stale_jobs(jobs: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """Jobs that went stale by event time (K2): ``job, status, next, last`` each time one passes its limit.
 
-    timed = jobs.withWatermark("touched_at", delay).select("job", "status", "touched_at", F.unix_millis("touched_at").alias("millis"))
-    return timed.groupBy("job").applyInPandasWithState(watch, "job long, last long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    ``jobs(job, status, total, touched_at)`` are signs of life, of which the
+    newest of a job counts. Needs the state store :data:`STORE`.
+    """
+    timed = jobs.withWatermark("touched_at", delay).select("job", "status", F.coalesce("total", F.lit(0)).alias("total"), "touched_at", F.unix_millis("touched_at").alias("millis"))
+    return timed.groupBy("job").transformWithStateInPandas(StaleJobs(), "job long, status string, next string, last long", "Append", "EventTime")

@@ -12,7 +12,6 @@ from ledgerloom.functions import scalars as S
 from ledgerloom.operators import bank as B
 from ledgerloom.operators import lines as L
 from ledgerloom.sources import bank_files as BF
-from ledgerloom.streaming import jobs as J
 
 AMOUNTS = "k int, ht decimal(18,2), tva decimal(18,2), ttc decimal(18,2), pct int, credit boolean"
 
@@ -122,16 +121,6 @@ def test_statement_file(spark, tmp_path):
     assert rows == [("2026-06-02", "Achat", -1234.5, "payment"), ("2026-06-03", "Commission", -12.0, "fee"), ("2026-06-04", "Client", 99.1, "credit")]
 
 
-def test_stale_jobs_stream(spark, tmp_path):
-    schema = "job long, status string, touched_at timestamp"
-    for k, rows in enumerate([[(1, "processing", datetime(2026, 1, 1, 10)), (2, "processing", datetime(2026, 1, 1, 10))], [(2, "done", datetime(2026, 1, 1, 10, 5)), (3, "processing", datetime(2026, 1, 1, 12))], [(4, "processing", datetime(2026, 1, 1, 12, 10))]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
-    q = J.stale_jobs(stream).writeStream.format("memory").queryName("stale").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert {r.job for r in spark.table("stale").collect()} == {1}
-
-
 def test_synthetic_ledger(spark):
     df = BF.synthetic_lines(spark, 200, 10)
     assert df.count() == 200 and df.where("ice_frs = ''").count() == 20
