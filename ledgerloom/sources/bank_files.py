@@ -7,46 +7,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions import scalars as S
+from ledgerloom.sources import statements
 
 # Header patterns of each column role, in order of precedence
 ROLES = {"date": "DATE|VALEUR|OPERATION", "label": "LIBELL|DESCRIPTION|INTITUL|MOTIF|DETAIL", "debit": "DEBIT", "credit": "CREDIT", "amount": "^MONTANT$|AMOUNT|SOMME"}
 LINE = T.StructType([T.StructField("pos", T.LongType()), T.StructField("fact_num", T.StringType()), T.StructField("ttc", T.StringType()), T.StructField("taux", T.StringType())])
 
 
-def rows(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of every line (A1): ``file, row, cells``; the delimiter follows the file's first line."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    first = F.substring_index("value", "\n", 1)
-    count = lambda m: F.length(first) - F.length(F.replace(first, F.lit(m), F.lit("")))
-    mark = F.when(count(";") >= count(","), ";").otherwise(",")
-    return whole.select("file", mark.alias("mark"), F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("row", "line")).where("line <> ''").select("file", "row", F.when(F.col("mark") == ";", F.split("line", ";")).otherwise(F.split("line", ",")).alias("cells"))
+def rows(spark: SparkSession, path: str, head: int | None = None) -> DataFrame:
+    """Cells of every line below a folder (A1), or of the first ``head`` rows of each file: ``file, offset, row, cells``; the delimiter follows the file's first line."""
+    statements.register(spark)
+    source = spark.read.format("statement").option("path", path)
+    lines = (source if head is None else source.option("head", head)).load()
+    return lines.select("file", "offset", "row", F.when(F.col("mark") == ";", F.split("line", ";")).otherwise(F.split("line", ",")).alias("cells"))
 
 
-def headers(cells: DataFrame) -> DataFrame:
-    """Header row of each file (A2): first of 15 rows that names a date and a label, debit or amount; else row 0."""
+#: Rows of a file among which its header is looked for.
+HEAD = 15
+
+
+def headers(head: DataFrame) -> DataFrame:
+    """Header row of each file (A2): first of its 15 rows that names a date and a label, debit or amount; else the first row."""
     text = S.fold(F.array_join("cells", " "))
     hit = text.rlike(ROLES["date"]) & (text.rlike(ROLES["label"]) | text.rlike(ROLES["debit"]) | text.rlike(ROLES["amount"]))
-    return cells.groupBy("file").agg(F.coalesce(F.min(F.when((F.col("row") < 15) & hit, F.col("row"))), F.lit(0)).alias("header"))
+    return head.where(F.col("row") < HEAD).groupBy("file").agg(F.coalesce(F.min(F.when(hit, F.col("row"))), F.lit(0)).cast("int").alias("header"))
 
 
-def roles(cells: DataFrame) -> DataFrame:
+def roles(head: DataFrame) -> DataFrame:
     """Column of each role (A3): each header cell takes the first role that is free; the label falls back on the first telling cell."""
-    head = cells.join(headers(cells), "file").where("row = header").select("file", "header", F.posexplode("cells").alias("col", "cell")).withColumn("h", S.fold(F.col("cell")))
+    at = head.join(headers(head), "file").where("row = header").select("file", "header", F.col("offset").alias("header_offset"), F.posexplode("cells").alias("col", "cell")).withColumn("h", S.fold(F.col("cell")))
     kind = F.coalesce(*[F.when(F.col("h").rlike(p), F.lit(r)) for r, p in ROLES.items()])
-    first = head.groupBy("file", "header").agg(*[F.min(F.when(kind == r, F.col("col"))).alias(r) for r in ROLES], F.min(F.when(F.length(F.trim("cell")) > 2, F.col("col"))).alias("fallback"))
+    first = at.groupBy("file", "header", "header_offset").agg(*[F.min(F.when(kind == r, F.col("col"))).alias(r) for r in ROLES], F.min(F.when(F.length(F.trim("cell")) > 2, F.col("col"))).alias("fallback"))
     return first.withColumn("label", F.coalesce("label", "fallback")).drop("fallback")
 
 
 def transactions(spark: SparkSession, path: str) -> DataFrame:
     """Movements of statement files (A4): debit wins, then credit, then the signed amount; rows without date or amount, and balances, go."""
-    cells = rows(spark, path)
-    at = cells.join(roles(cells), "file").where("row > header")
+    at = rows(spark, path).join(roles(rows(spark, path, HEAD)), "file").where(F.col("offset") > F.col("header_offset"))
     cell = lambda r: F.get("cells", F.col(r).cast("int"))
-    raw = at.select("file", "row", S.date_bank(cell("date")).alias("date"), F.trim(F.coalesce(cell("label"), F.lit(""))).alias("label"), S.money_bank(cell("debit")).alias("d"), S.money_bank(cell("credit")).alias("c"), S.money_bank(cell("amount")).alias("a"))
+    raw = at.select("file", "offset", S.date_bank(cell("date")).alias("date"), F.trim(F.coalesce(cell("label"), F.lit(""))).alias("label"), S.money_bank(cell("debit")).alias("d"), S.money_bank(cell("credit")).alias("c"), S.money_bank(cell("amount")).alias("a"))
     amount = F.when(F.abs("d") > 0, -F.abs("d")).when(F.abs("c") > 0, F.abs("c")).otherwise(F.col("a"))
     label = S.fold(F.col("label"))
     out = raw.withColumn("amount", amount).where((F.col("date") != "") & (F.abs("amount") >= 0.01) & ~label.rlike(S.SKIP_WORDS))
-    return out.select("file", "row", "date", "label", "amount", F.when(label.rlike(S.FEE_WORDS) & (F.col("amount") < 0), "fee").when(F.col("amount") < 0, "payment").otherwise("credit").alias("kind"))
+    return out.select("file", "offset", "date", "label", "amount", F.when(label.rlike(S.FEE_WORDS) & (F.col("amount") < 0), "fee").when(F.col("amount") < 0, "payment").otherwise("credit").alias("kind"))
 
 
 def normalise_json(raw: DataFrame) -> DataFrame:
@@ -91,9 +94,25 @@ def export_names(client: Column, month: Column, year: Column) -> Column:
     return F.struct(F.concat(F.lit("EDI"), mm, F.substring(yyyy, 3, 2)).alias("sheet"), F.concat(F.regexp_replace(client, r"[^\p{L}\p{N}_-]", "_"), F.lit("_DED_TVA_"), mm, yyyy).alias("file"))
 
 
-def write_declaration(rows: DataFrame, path: str) -> None:
-    """Declaration files by client and period."""
-    rows.repartition("client", "period").write.mode("overwrite").partitionBy("client", "period").option("header", True).csv(path)
+#: Columns of a declaration, in order.
+DECLARED = "or_ long, fact_num string, designation string, m_ht double, tva double, m_ttc double, if_frs string, lib_frss string, ice_frs string, taux double, id_paie int, date_paie int, date_fac int, code_tva int"
+
+
+def write_declaration(rows: DataFrame, name: Column, path: str) -> None:
+    """Declaration files (A12): rows of the columns :data:`DECLARED` by the file that ``name`` (A13) gives, in order of ``or_``.
+
+    All files are replaced together; a reader sees the earlier set or this one.
+    """
+    statements.register(rows.sparkSession)
+    columns = [c.split()[0] for c in DECLARED.split(", ")]
+    named = rows.withColumn("file_name", name).repartition("file_name").sortWithinPartitions("file_name", "or_").select("file_name", *columns)
+    named.write.format("declaration").option("path", path).mode("append").save()
+
+
+def read_declaration(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the declaration files that count, with the file's name."""
+    lines = spark.read.schema(DECLARED).option("header", True).csv(statements.declared_files(path))
+    return lines.withColumn("file_name", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.\d+-[0-9a-f]+\.csv$", 1))
 
 
 def append_activity(rows: DataFrame, path: str) -> None:
@@ -107,6 +126,7 @@ def synthetic_lines(spark: SparkSession, count: int, anomaly_every: int) -> Data
     return spark.range(1, count + 1).select(F.lit(1).cast("long").alias("dossier"), i.alias("pos"), F.concat(F.lit("F"), i.cast("string")).alias("fact_num"), F.when(i % anomaly_every == 0, "").otherwise(F.lpad(i.cast("string"), 15, "1")).alias("ice_frs"))
 
 
-def payload_bytes(df: DataFrame) -> DataFrame:
-    """Bytes of each row as JSON."""
-    return df.select("dossier", F.octet_length(F.to_json(F.struct(*df.columns))).alias("bytes"))
+def payload_bytes(ledgers: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Bytes of each stored ledger and of its summary as JSON, and how many times larger the ledger is."""
+    size = lambda df, name: df.select("dossier", F.octet_length(F.to_json(F.struct(*df.columns))).alias(name))
+    return size(ledgers, "payload_bytes").join(size(summaries, "summary_bytes"), "dossier").withColumn("ratio", F.round(F.col("payload_bytes") / F.col("summary_bytes"), 2))

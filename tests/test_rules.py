@@ -117,7 +117,7 @@ def test_duplicates_against_python(spark):
 
 def test_statement_file(spark, tmp_path):
     (tmp_path / "r.csv").write_text("﻿Relevé;\nDate;Libellé;Débit;Crédit\n01/06/2026;Solde initial;;10\n02/06/26;Achat;1 234,50;\n03/06/2026;Commission;12,00;\n04/06/2026;Client;;99,10\n;vide;5;\n", encoding="utf-8")
-    rows = [(r.date, r.label, r.amount, r.kind) for r in BF.transactions(spark, str(tmp_path)).orderBy("row").collect()]
+    rows = [(r.date, r.label, r.amount, r.kind) for r in BF.transactions(spark, str(tmp_path)).orderBy("offset").collect()]
     assert rows == [("2026-06-02", "Achat", -1234.5, "payment"), ("2026-06-03", "Commission", -12.0, "fee"), ("2026-06-04", "Client", 99.1, "credit")]
 
 
