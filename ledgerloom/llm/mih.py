@@ -1,19 +1,26 @@
 """Approximate nearest neighbours by multi-index hashing.
 
-Vectors get 256-bit codes: signs after rotations learned on a bounded sample
-(iterative quantisation). Codes are cut into sixteen substrings of 16 bits and
-every row stands in the index of each. Bits are weighed by the margin of the
-query's own projection, so the weighted Hamming distance of two codes is the sum
-of the margins of the bits that differ. A query looks in each index up every
-substring value within ``reach`` of its own: by the pigeonhole principle this
-retrieves each code whose weighted distance is below sixteen times that reach,
-and of those farther away the ones with one near substring. Retrieved rows
-within a Hamming radius of the whole code are reranked on the original vectors.
-Reach and radius are calibrated on the sample; queries that found too few rows
-search again with both grown, at last over all values.
-
-Index rows and probes meet by substring number and leading bits of the value, so
-a query travels only to the parts of an index that its probes fall in.
+Rows are parted by the size of their norms, a factor of two each, and within a
+range one more component fills every vector up to the same norm, so that the
+largest inner product is the smallest angle. Vectors get 256-bit codes: signs
+after rotations learned on a bounded sample (iterative quantisation). Codes are
+cut into sixteen substrings of 16 bits and every row stands in the index of each.
+
+A query looks in each index up every substring value that differs from its own
+in at most ``WITHIN_BITS`` bits. By the pigeonhole principle this retrieves each
+code within a Hamming radius of ``COVERED``. Beyond that radius bits are weighed
+by the margin of the query's own projection: all values within a ``reach`` are
+looked up too, which retrieves each code whose weighted distance is below
+sixteen times that reach, and of those farther away the ones with one near
+substring. Retrieved rows within a Hamming radius of the whole code are reranked
+on the original vectors. Reach and radius of every range are calibrated on the
+sample; queries that found too few rows search again with both grown, at last
+over all values. A range whose largest norm cannot lift a product over the k-th
+best one that a query has with the rows of largest norm is not searched for it.
+
+Index rows and probes meet by range, substring number and leading bits of the
+value, so a query travels only to the parts of an index that its probes fall in.
+A row that several substrings retrieve is passed on by the first of them alone.
 """
 
 from __future__ import annotations
@@ -37,10 +44,20 @@ BLOCK = 256
 TARGET, WITHIN = 0.96, 0.99
 #: Growth of the reach for queries that found too few rows.
 GROWTH = 1.6
-
-
-def lift(x: np.ndarray, largest: float, query: bool) -> np.ndarray:
-    """One more component turns the largest inner product into the smallest angle: stored vectors are filled up to one norm, queries have norm one."""
+#: Bits of a substring that may always differ, and the Hamming radius which that covers.
+WITHIN_BITS = 2
+COVERED = PARTS * (WITHIN_BITS + 1) - 1
+#: Margins are counted in whole steps of a unit vector's projection, up to the largest; the reach that takes in every value.
+STEPS, LARGEST = 512, 255
+FULL = 16.0 * LARGEST
+#: Rows of largest norm whose products bound a query's k-th best from below.
+PILOTS = 256
+#: Neighbours of the sample in a range that are enough to calibrate it by itself.
+ENOUGH = 64
+
+
+def lift(x: np.ndarray, largest, query: bool) -> np.ndarray:
+    """One more component turns the largest inner product into the smallest angle: stored vectors are filled up to one norm (of their range), queries have norm one."""
     if query:
         return np.column_stack([x / np.maximum(np.sqrt((x**2).sum(1, keepdims=True)), 1e-300), np.zeros(len(x))])
     return np.column_stack([x, np.sqrt(np.maximum(largest**2 - (x**2).sum(1), 0))])
@@ -72,46 +89,77 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int32)
 
 
-def calibrate(x: np.ndarray, rotation: np.ndarray, largest: float, k: int, rows: int) -> tuple[float, int]:
-    """Reach of the probes and Hamming radius, from the true neighbours within the sample that are as near as the k nearest of all rows."""
+def margins(projected: np.ndarray) -> np.ndarray:
+    """Margins of the bits of unit queries, in steps."""
+    return np.minimum(np.abs(projected) * STEPS, LARGEST).astype(np.uint8)
+
+
+def graded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors as ``2**exponent`` times vectors of norm 0.5 to 1: exponents, scaled vectors, their norms."""
+    e = exponents(x)
+    y = shifted(x, -e)
+    m, more = np.frexp(np.sqrt((y**2).sum(1)))
+    return e + more, shifted(y, -more.astype(np.int64)), m
+
+
+def calibrate(x: np.ndarray, rotation: np.ndarray, ranges: dict[int, tuple[int, float]], k: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Reach of the probes and Hamming radius in each range, from the true neighbours within the sample that are as near as the k nearest of all rows."""
+    reach, radius = np.full(len(ranges), FULL), np.full(len(ranges), BITS)
     if len(x) < 2:
-        return np.inf, BITS
+        return reach, radius
+    e, y, _ = graded(x)
+    of, top_norm = np.array([ranges[i][0] for i in e.tolist()]), np.array([ranges[i][1] for i in e.tolist()])
     step = max(1, len(x) // 256)
     rank = max(1, min(-(-k * len(x) // max(rows, 1)), len(x) - 1))
-    own, q = np.arange(0, len(x), step), x[::step]
-    s = q @ x.T
+    own, q = np.arange(0, len(x), step), y[::step]
+    s = q @ shifted(y, np.maximum(e - e.max(), -1000)).T
     s[np.arange(len(q)), own] = -np.inf
     top = np.argpartition(-s, rank - 1, axis=1)[:, :rank]
-    px, pq = lift(x, largest, False) @ rotation, lift(q, largest, True) @ rotation
-    cx, cq = codes(px), codes(pq)
+    px, pq = lift(y, top_norm, False) @ rotation, lift(q, 1.0, True) @ rotation
+    cx, cq, margin = codes(px), codes(pq), margins(pq).astype(float)
     nearest, apart = [], []
-    for t, p, c in zip(top, pq, cq):
+    for t, p, c, m in zip(top, pq, cq, margin):
         differ = (px[t] >= 0) != (p >= 0)
-        nearest.append((differ * np.abs(p)).reshape(len(t), PARTS, -1).sum(2).min(1))
+        nearest.append((differ * m).reshape(len(t), PARTS, -1).sum(2).min(1))
         apart.append(hamming(cx[t], c))
-    return float(np.quantile(np.concatenate(nearest), TARGET)) + 1e-9, int(np.quantile(np.concatenate(apart), WITHIN)) + 1
+    nearest, apart, label = np.concatenate(nearest), np.concatenate(apart), of[np.concatenate(top)]
+    for j in range(len(ranges)):
+        mine = label == j if (label == j).sum() >= ENOUGH else np.ones(len(label), bool)
+        reach[j] = np.quantile(nearest[mine], TARGET) + 1e-9
+        radius[j] = max(COVERED, int(np.quantile(apart[mine], WITHIN)) + 1)
+    return reach, radius
 
 
-def probed(own: np.ndarray, margin: np.ndarray, prefix: int, bits: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, value of the low ``bits`` bits) within ``reach`` of the queries' values, for values that start with ``prefix``."""
+def probed(own: np.ndarray, margin: np.ndarray, prefix: int, bits: int, reach: float, within: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, value of the low ``bits`` bits) of the values that start with ``prefix`` and lie within ``reach`` of the queries' values, or differ from them in at most ``within`` bits."""
     differ = (own >> bits) ^ prefix
-    cost = np.zeros(len(own))
+    cost, apart = np.zeros(len(own)), np.zeros(len(own), np.int64)
     for b in range(margin.shape[1] - bits):
         cost += np.where(differ >> b & 1, margin[:, bits + b], 0.0)
-    q = np.flatnonzero(cost <= reach)
-    cost, mask = cost[q], np.zeros(len(q), np.int64)
-    for b in range(bits):  # with and without this bit apart, as far as the reach goes
-        more = cost + margin[q, b]
-        near = more <= reach
-        q, mask, cost = np.r_[q, q[near]], np.r_[mask, mask[near] | 1 << b], np.r_[cost, more[near]]
+        apart += differ >> b & 1
+    q = np.flatnonzero((cost <= reach) | (apart <= within))
+    cost, apart, mask = cost[q], apart[q], np.zeros(len(q), np.int64)
+    for b in range(bits):  # with and without this bit apart, as far as the reach or the number of bits goes
+        more, count = cost + margin[q, b], apart + 1
+        near = (more <= reach) | (count <= within)
+        q, mask, cost, apart = np.r_[q, q[near]], np.r_[mask, mask[near] | 1 << b], np.r_[cost, more[near]], np.r_[apart, count[near]]
     by = np.argsort(q, kind="stable")
     return q[by], (own[q] ^ mask)[by] & ((1 << bits) - 1)
 
 
-def search_cell(keys: np.ndarray, code: np.ndarray, prefix: int, bits: int, own: np.ndarray, margin: np.ndarray, qcode: np.ndarray, reach: float, radius: int, k: int):
-    """Rows of one index cell (sorted by value) that the probes of each query meet within the radius: yields (query, rows, rows met)."""
+def first_met(code: np.ndarray, qcode: np.ndarray, margin: np.ndarray, part: int, reach: float) -> np.ndarray:
+    """Whether no earlier substring than ``part`` has a probe for these codes."""
+    if not part or not len(code):
+        return np.ones(len(code), bool)
+    differ = np.unpackbits((code ^ qcode).view(np.uint8).reshape(len(code), -1), axis=1, bitorder="little")[:, : 16 * part].reshape(len(code), part, 16)
+    cost = (differ * margin[: 16 * part].reshape(part, 16).astype(np.int64)).sum(2)
+    return ~((cost <= reach) | (differ.sum(2, dtype=np.int64) <= WITHIN_BITS)).any(1)
+
+
+def search_cell(keys: np.ndarray, code: np.ndarray, part: int, prefix: int, bits: int, own: np.ndarray, margin: np.ndarray, qcode: np.ndarray, reach: float, radius: int):
+    """Rows of one index cell (sorted by value) that the probes of each query meet within the radius, those that an earlier substring meets left out: yields (query, rows, rows met)."""
     start = np.searchsorted(keys, (prefix << bits) + np.arange((1 << bits) + 1))
-    q, value = probed(own, margin, prefix, bits, reach)
+    q, value = probed(own, margin[:, 16 * part : 16 * part + 16].astype(float), prefix, bits, reach, WITHIN_BITS)
     size = start[value + 1] - start[value]
     q, value, size = q[size > 0], value[size > 0], size[size > 0]
     edge = np.searchsorted(q, np.arange(len(own) + 1))
@@ -120,14 +168,11 @@ def search_cell(keys: np.ndarray, code: np.ndarray, prefix: int, bits: int, own:
         if not len(s):
             continue
         rows = np.repeat(s - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        apart = hamming(code[rows], qcode[i])
-        limit = radius
-        if len(rows) > 4 * k:  # far beyond the k-th met here nothing can be among the nearest
-            at = int(np.partition(apart, k)[k])
-            limit = min(radius, at + 8 + int(3 * np.sqrt(at * max(0.0, 1 - at / BITS))))
-        keep = apart <= limit
-        if keep.any():
-            yield i, rows[keep], len(rows)
+        met = len(rows)
+        rows = rows[hamming(code[rows], qcode[i]) <= radius]
+        rows = rows[first_met(code[rows], qcode[i], margin[i], part, reach)]
+        if len(rows):
+            yield i, rows, met
 
 
 def streamed(batches, keys: int, stored: int):
@@ -140,7 +185,7 @@ def streamed(batches, keys: int, stored: int):
                 yield tuple(k[s, :keys].tolist()), int(k[s, keys]), batch.slice(s, e - s)
 
 
-def search(index: DataFrame, probes: DataFrame, bits: int, reach: float, radius: int, k: int, shards: int) -> DataFrame:
+def search(index: DataFrame, probes: DataFrame, bits: int, reach: np.ndarray, radius: np.ndarray, shards: int) -> DataFrame:
     """Candidates ``(shard, query_id, ids, met)`` of the probes in the index, one row per query, cell and rerank shard."""
     cells = index.groupBy("part", "prefix").agg(F.ceil(F.count("*") / (2 * SHARD)).cast("int").alias("chunks"))
     rows = index.join(cells, ["part", "prefix"]).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int"))
@@ -165,10 +210,11 @@ def search(index: DataFrame, probes: DataFrame, bits: int, reach: float, radius:
                 order = np.argsort(v, kind="stable")
                 cell = v[order], i[order], c[order]
             keys, row_ids, row_codes = cell
-            margin = np.frombuffer(b"".join(part.column(7).to_pylist()), "<f4").reshape(len(ids), -1)
+            margin = np.frombuffer(b"".join(part.column(7).to_pylist()), np.uint8).reshape(len(ids), -1)
+            span, index_part = divmod(key[0], PARTS)
             for b in range(0, len(ids), BLOCK):
                 out: list[tuple] = []
-                for i, rows, seen in search_cell(keys, row_codes, key[1], bits, value[b : b + BLOCK], margin[b : b + BLOCK], code[b : b + BLOCK], reach, radius, k):
+                for i, rows, seen in search_cell(keys, row_codes, index_part, key[1], bits, value[b : b + BLOCK], margin[b : b + BLOCK], code[b : b + BLOCK], reach[span], radius[span]):
                     found = row_ids[rows]
                     of = found % shards
                     by = np.argsort(of, kind="stable")
@@ -246,60 +292,80 @@ class Search:
         if not self.n:
             return
 
-        def sizes(batches):
+        def grade(batches):
             for batch in batches:
-                m = matrix(batch.column(0))
-                yield pa.RecordBatch.from_pydict({"e": pa.array(exponents(m).tolist(), pa.int64())})
-
-        # everything is looked at relative to the largest component, so that no square overflows
-        self.scale = self.rows.select("vec").mapInArrow(sizes, "e long").agg(F.max("e")).first()[0]
-        scale = self.scale
-
-        def norms(batches):
-            for batch in batches:
-                m = shifted(matrix(batch.column(0)), -scale)
-                yield pa.RecordBatch.from_pydict({"n": [float(np.sqrt((m**2).sum(1)).max(initial=0))]})
-
-        self.largest = self.rows.select("vec").mapInArrow(norms, "n double").agg(F.max("n")).first()[0]
+                e, _, m = graded(matrix(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(e, pa.int64()), pa.array(m)], names=["vec_id", "vec", "e", "m"])
+
+        norms = self.rows.select("vec_id", "vec").mapInArrow(grade, "vec_id long, vec binary, e long, m double")
+        # one row for each power of two: few, whatever the number of vectors
+        tops = norms.groupBy("e").agg(F.max("m").alias("m")).orderBy(F.desc("e")).collect()
+        self.ranges = {r["e"]: (j, r["m"]) for j, r in enumerate(tops)}
+        self.highest = tops[0]["e"]
+        pilots = norms.orderBy(F.desc("e"), F.desc("m"), "vec_id").limit(PILOTS).select("vec").toArrow().column(0)
+        self.pilots = shifted(matrix(pilots), -self.highest)
         sample = self.rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").toArrow().column(0)
-        x = shifted(matrix(sample), -scale)
-        self.rotation = learn_rotations(lift(x, self.largest, False))
-        self.reach, self.radius = calibrate(x, self.rotation, self.largest, k, self.n)
+        x = matrix(sample)
+        e, y, _ = graded(x)
+        self.rotation = learn_rotations(lift(y, np.array([self.ranges[i][1] for i in e.tolist()]), False))
+        self.reach, self.radius = calibrate(x, self.rotation, self.ranges, k, self.n)
         self.shards = max(1, -(-self.n // SHARD))
         self.bits = max(0, 16 - max(0, (self.shards - 1).bit_length()))  # of a value within its cell
         one_each = Window.partitionBy("vec").orderBy("vec_id")
         self.indexed = cut(self.rows.withColumn("copy", F.row_number().over(one_each)).where(F.col("copy") <= k + 1).drop("copy"))
-        self.index = self._entries(self.indexed, False, 0.0)
+        self.index = self._entries(self.indexed)
+
+    def _entries(self, rows: DataFrame, reach: np.ndarray | None = None) -> DataFrame:
+        """Index rows, or with a reach the probes of each cell that some value within it falls in: ``part, prefix, value, id, code`` (, ``margin``); ``part`` counts ranges and substrings."""
+        rotation, ranges, bits, pilots, k, highest = self.rotation, self.ranges, self.bits, self.pilots, self.k, self.highest
+        spans = sorted(ranges.items(), reverse=True)
+        # largest norms of the ranges as seen from the pilots' scale
+        norm = np.array([m * 2.0 ** max(e - highest, -1000) for e, (_, m) in spans])
 
-    def _entries(self, rows: DataFrame, query: bool, reach: float) -> DataFrame:
-        """Index rows, or probes of each cell that some value within reach falls in: ``part, prefix, value, id, code`` (, ``margin``)."""
-        rotation, largest, scale, bits = self.rotation, self.largest, self.scale, self.bits
+        def entries(part, row, prefix, value, ids, raw):
+            take = pa.array(row)
+            return [pa.array(np.full(len(row), part), pa.int32()), pa.array(prefix, pa.int32()), pa.array(value, pa.int32()), ids.take(take), raw.take(take)]
 
-        def run(batches):
+        def stored(batches):
             for batch in batches:
                 for s in range(0, batch.num_rows, 2048):
                     piece = batch.slice(s, 2048)
-                    x = matrix(piece.column(1))
-                    p = lift(shifted(x, -exponents(x) if query else -scale), largest, query) @ rotation
-                    code = codes(p)
-                    value = code.view("<u2").astype(np.int64)
-                    raw = pa.array([c.tobytes() for c in code], pa.binary())
+                    e, y, _ = graded(matrix(piece.column(1)))
+                    of = np.array([ranges[i][0] for i in e.tolist()], np.int64)
+                    code = codes(lift(y, np.array([ranges[i][1] for i in e.tolist()]), False) @ rotation)
+                    value, raw = code.view("<u2").astype(np.int64), pa.array([c.tobytes() for c in code], pa.binary())
+                    everyone = np.arange(len(y))
                     for t in range(PARTS):
-                        if query:
-                            margin = np.abs(p[:, 16 * t : 16 * t + 16]).astype("<f4")
-                            row, prefix = probed(value[:, t] >> bits, margin[:, bits:].astype(float), 0, 16 - bits, reach)
-                        else:
-                            row, prefix = np.arange(len(x)), value[:, t] >> bits
-                        take = pa.array(row)
-                        cols = [pa.array(np.full(len(row), t), pa.int32()), pa.array(prefix, pa.int32()), pa.array(value[row, t], pa.int32()), piece.column(0).take(take), raw.take(take)]
-                        if query:
-                            cols.append(pa.array([m.tobytes() for m in margin], pa.binary()).take(take))
-                        yield pa.RecordBatch.from_arrays(cols, names=["part", "prefix", "value", "id", "code", "margin"][: len(cols)])
-
-        return rows.select("vec_id", "vec").mapInArrow(run, "part int, prefix int, value int, id long, code binary" + (", margin binary" if query else ""))
-
-    def candidates(self, queries: DataFrame, reach: float, radius: int) -> DataFrame:
-        return search(self.index, self._entries(queries, True, reach), self.bits, reach, radius, self.k, self.shards)
+                        cols = entries(t, everyone, value[:, t] >> bits, value[:, t], piece.column(0), raw)
+                        cols[0] = pa.array(of * PARTS + t, pa.int32())
+                        yield pa.RecordBatch.from_arrays(cols, names=["part", "prefix", "value", "id", "code"])
+
+        def asked(batches):
+            for batch in batches:
+                for s in range(0, batch.num_rows, 2048):
+                    piece = batch.slice(s, 2048)
+                    _, y, _ = graded(matrix(piece.column(1)))
+                    unit = lift(y, 1.0, True)
+                    p = unit @ rotation
+                    code, margin = codes(p), margins(p)
+                    value, raw = code.view("<u2").astype(np.int64), pa.array([c.tobytes() for c in code], pa.binary())
+                    weights = pa.array([m.tobytes() for m in margin], pa.binary())
+                    bound = np.full(len(y), -np.inf)
+                    if len(pilots) > k:  # one more than k, as a query may be a pilot itself
+                        s_pilot = unit[:, :-1] @ pilots.T
+                        bound = -np.partition(-s_pilot, k, axis=1)[:, k]
+                    for j in range(len(spans)):
+                        able = np.flatnonzero(norm[j] >= bound - 1e-9 * np.abs(bound))
+                        for t in range(PARTS if len(able) else 0):
+                            row, prefix = probed(value[able, t] >> bits, margin[able, 16 * t + bits : 16 * t + 16].astype(float), 0, 16 - bits, reach[j], WITHIN_BITS)
+                            row = able[row]
+                            cols = entries(j * PARTS + t, row, prefix, value[row, t], piece.column(0), raw)
+                            yield pa.RecordBatch.from_arrays([*cols, weights.take(pa.array(row))], names=["part", "prefix", "value", "id", "code", "margin"])
+
+        return rows.select("vec_id", "vec").mapInArrow(stored if reach is None else asked, "part int, prefix int, value int, id long, code binary" + ("" if reach is None else ", margin binary"))
+
+    def candidates(self, queries: DataFrame, reach: np.ndarray, radius: np.ndarray) -> DataFrame:
+        return search(self.index, self._entries(queries, reach), self.bits, reach, radius, self.shards)
 
     def nearest(self, queries: DataFrame) -> DataFrame:
         """The k nearest found of each query row ``(vec_id, vec)``: ``query_id, rank, vec_id, score``."""
@@ -313,7 +379,7 @@ class Search:
             best = rerank(found, self.indexed, left, self.shards, k).withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k)
             best = cut(best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
             whole = best.groupBy("query_id").count().where(F.col("count") >= wanted).select("query_id")
-            last = radius >= BITS and reach >= 16 * PARTS
+            last = bool((reach >= FULL).all())
             settled = best if last else best.join(whole, "query_id", "left_semi")
             done = settled if done is None else done.unionByName(settled)
             if last:
@@ -322,7 +388,10 @@ class Search:
             if not left.head(1):
                 return done
             # at the end every value is probed and every code lies within the radius
-            reach, radius = (reach * GROWTH, min(BITS, radius + 24)) if reach < 4 and copies > 4 * k else (16.0 * PARTS, BITS)
+            if reach.max() < FULL / 4 and copies > 4 * k:
+                reach, radius = reach * GROWTH + 1, np.minimum(BITS, radius + 24)
+            else:
+                reach, radius = np.full(len(reach), FULL), np.full(len(radius), BITS)
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:

@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from ledgerloom.llm import chat, clustering, queries, tokens, whitening
+from ledgerloom.llm import chat, clustering, mih, queries, tokens, whitening
 
 SF = "/root/testdata/sf0.001"
 
@@ -221,3 +221,63 @@ def test_bounds_stay_below_the_distances():
         assert (loosened <= lowest + 1e-9).all()
         assert (np.sqrt(d2.astype(float)) + b.moved[at, own] >= d[np.arange(400), own] - 1e-9).all()
         state = own, d2, at, low, low_at
+
+
+# multi-index hashing: norms, and the radius that the probes cover
+
+
+def searched(spark, x, k=20):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    search = mih.Search(df, k)
+    queries = search.rows.where("vec_id % 20 = 0")
+    got: dict[int, list] = {}
+    for r in search.nearest(queries).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(got[q]) & set(np.argsort(-s, kind="stable")[:k].tolist()))
+    found = search.candidates(queries, search.reach, search.radius).collect()
+    met, passed = sum(r.met for r in found), sum(len(r.ids) // 8 for r in found)
+    pairs = len(got) * len(x)
+    return hits / (k * len(got)), met / pairs, passed / pairs, search
+
+
+@pytest.mark.parametrize("kind", ["equal", "outlier", "lognormal", "decades"])
+def test_index_prunes_whatever_the_norms(spark, kind):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(3000, 64))
+    if kind == "outlier":
+        x[1234] *= 100
+    elif kind == "lognormal":
+        x *= np.exp(1.5 * rng.normal(size=(3000, 1)))
+    elif kind == "decades":
+        x *= 10.0 ** rng.integers(-30, 30, (3000, 1))
+    recall, met, passed, _ = searched(spark, x)
+    assert recall >= 0.9 and passed < 0.3 and met < 1.0, (recall, met, passed)
+
+
+def test_every_code_within_the_radius_is_retrieved(spark):
+    """Codes within COVERED bits come through the probes whatever the reach; none comes twice."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(60, 64))
+    x = np.vstack([base[rng.integers(0, 60, 1500)] + rng.choice([0.05, 0.2, 0.5], (1500, 1)) * rng.normal(size=(1500, 64)), rng.normal(size=(1500, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    search = mih.Search(df, 10)
+    queries = search.rows.where("vec_id % 20 = 0")
+    for reach in (search.reach, np.zeros(len(search.reach))):
+        got = {}
+        for r in search.candidates(queries, reach, search.radius).collect():
+            got.setdefault(r.query_id, []).extend(np.frombuffer(r.ids, "<i8").tolist())
+        assert all(len(set(v)) == len(v) for v in got.values())
+        codes = {r.id: (r.part // mih.PARTS, np.frombuffer(r.code, "<u8")) for r in search.index.where(f"part % {mih.PARTS} = 0").collect()}
+        ids, matrix = np.array(list(codes)), np.stack([c for _, c in codes.values()])
+        span = np.array([j for j, _ in codes.values()])
+        asked = {(r.id, r.part // mih.PARTS): np.frombuffer(r.code, "<u8") for r in search._entries(queries, reach).collect()}
+        near = 0
+        for (q, j), code in asked.items():
+            inside = ids[(span == j) & (mih.hamming(matrix, code) <= mih.COVERED)]
+            assert set(inside.tolist()) <= set(got.get(q, [])), (q, j)
+            near += len(inside)
+        assert near > 500
