@@ -66,19 +66,23 @@ def complete_identifiers(df: DataFrame, scope: list[str]) -> DataFrame:
 def normalise_groups(df: DataFrame, client_ice: Column | None = None) -> DataFrame:
     """Fill ids and names by group (F7): lines of one top folder, else of one supplier, else ``unknown`` of their dossier.
 
-    Adds ``group`` and whether an id came from it: ``group_ice, group_if``. The
-    client's own id is never a group's, and is replaced where a line bears it.
+    Adds ``group`` and whether an id came from it: ``group_ice, group_if``. A
+    missing name is that of the folder of the group's first file (``from_folder``
+    is set then), else the group's most frequent. The client's own id is never a group's, and is replaced where a line bears it.
     """
     folder, key = S.top_folder(F.col("source_file")), S.supplier_key(F.col("lib_frss"))
     grouped = df.withColumn("__g", F.when(folder != "", F.concat(F.lit("folder:"), folder)).when(key != "", F.concat(F.lit("supplier:"), key)).otherwise("unknown"))
     by = ["dossier", "__g"]
     ices, names = best_ice(grouped, by, client_ice), most_common(grouped, by, F.col("lib_frss"), "__name")
     fiscal = most_common(grouped, by, S.fiscal_id(F.col("if_number")), "__if")
-    out = grouped.join(ices, by, "left").join(names, by, "left").join(fiscal, by, "left")
+    hints = grouped.groupBy(*by).agg(S.supplier_hint(F.min_by("source_file", "pos")).alias("__hint"))
+    out = grouped.join(ices, by, "left").join(names, by, "left").join(fiscal, by, "left").join(hints, by, "left")
+    unnamed = S.text_of(F.col("lib_frss")) == ""
+    told = F.coalesce(F.col("from_folder"), F.lit(False)) if "from_folder" in df.columns else F.lit(False)
     own = S.ice(F.col("ice_frs"))
     lacks = (own == "") if client_ice is None else (own == "") | F.coalesce(own == client_ice, F.lit(False))
     no_ice, no_if = lacks & F.col("best_ice").isNotNull(), (S.fiscal_id(F.col("if_number")) == "") & F.col("__if").isNotNull()
-    return out.withColumns({"group": F.col("__g"), "group_ice": no_ice, "group_if": no_if, "ice_frs": F.when(no_ice, F.col("best_ice")).otherwise(F.col("ice_frs")), "if_number": F.when(no_if, F.col("__if")).otherwise(F.col("if_number")), "lib_frss": F.when(S.text_of(F.col("lib_frss")) == "", F.col("__name")).otherwise(F.col("lib_frss"))}).select(*df.columns, "group", "group_ice", "group_if")
+    return out.withColumns({"group": F.col("__g"), "group_ice": no_ice, "group_if": no_if, "ice_frs": F.when(no_ice, F.col("best_ice")).otherwise(F.col("ice_frs")), "if_number": F.when(no_if, F.col("__if")).otherwise(F.col("if_number")), "from_folder": told | (unnamed & F.col("__hint").isNotNull()), "lib_frss": F.when(unnamed, F.coalesce("__hint", "__name", "lib_frss")).otherwise(F.col("lib_frss"))}).select(*dict.fromkeys([*df.columns, "from_folder"]), "group", "group_ice", "group_if")
 
 
 def consolidate(df: DataFrame) -> DataFrame:

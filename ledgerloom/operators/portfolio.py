@@ -250,17 +250,41 @@ def reconcile(orders: DataFrame, services: DataFrame, refunds: DataFrame, summar
 
 
 # Suppliers -------------------------------------------------------------------
-def supplier_tree(lines: DataFrame) -> DataFrame:
-    """Invoices and TTC of each supplier of a client: overall, by year, and by month.
+#: Invoices listed with a supplier, a year or a month of the tree.
+LISTED = 10
+
+
+def supplier_invoices(lines: DataFrame) -> DataFrame:
+    """Invoices of each supplier of a client: ``client, key, year, month, fact_num, ttc``.
 
     Identity is the company id, else the fiscal id, else the name key.
     """
     key = F.when(S.ice(F.col("ice_frs")) != "", F.concat(F.lit("ice:"), "ice_frs")).when(F.col("if_number") != "", F.concat(F.lit("if:"), "if_number")).otherwise(F.concat(F.lit("name:"), S.supplier_key(F.col("lib_frss"))))
     base = lines.select("client", key.alias("key"), F.year("date_fac").alias("year"), F.month("date_fac").alias("month"), "fact_num", "ttc")
+    return base.groupBy("client", "key", "year", "month", "fact_num").agg(F.sum("ttc").cast(MONEY).alias("ttc"))
+
+
+def supplier_tree(lines: DataFrame) -> DataFrame:
+    """Suppliers of a client, their years and months (F18): how many invoices, their TTC, and the newest ``LISTED`` of them nested.
+
+    A node's list is made of its children's: months keep their first numbers,
+    years and suppliers the newest of those, so no supplier is ever collected
+    whole. All invoices are the rows of :func:`supplier_invoices`.
+    """
+    levels = [["client", "key"], ["client", "key", "year"], ["client", "key", "year", "month"]]
     # one row per invoice first: distinct counts need no expansion later
-    per = base.groupBy("client", "key", "year", "month", "fact_num").agg(F.sum("ttc").cast(MONEY).alias("ttc"))
-    month = per.groupBy("client", "key", "year", "month").agg(F.count("*").alias("invoices"), F.sum("ttc").alias("ttc"))
-    return month.groupingSets([["client", "key"], ["client", "key", "year"], ["client", "key", "year", "month"]], "client", "key", "year", "month").agg(F.sum("invoices").alias("invoices"), F.sum("ttc").alias("ttc"))
+    per = supplier_invoices(lines)
+    month = per.groupBy(*levels[2]).agg(F.count("*").alias("invoices"), F.sum("ttc").alias("ttc"))
+    counted = month.groupingSets(levels, *levels[2]).agg(F.sum("invoices").alias("invoices"), F.sum("ttc").alias("ttc"))
+    newest, top, lists = [F.desc("year"), F.desc("month"), F.col("fact_num")], per, None
+    for level in reversed(levels):
+        top = top.withColumn("rank", F.row_number().over(Window.partitionBy(*level).orderBy(*newest))).where(F.col("rank") <= LISTED)
+        node = top.groupBy(*level).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "year", "month", "fact_num", "ttc"))), lambda x: x.dropFields("rank")).alias("listed"))
+        node = node.select("client", "key", *[F.col(c) if c in level else F.lit(None).cast("int").alias(c) for c in ("year", "month")], "listed")
+        lists = node if lists is None else lists.unionByName(node)
+        top = top.drop("rank")
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"l.{c}")) for c in levels[2]]
+    return counted.alias("c").join(lists.alias("l"), same).select("c.*", "l.listed")
 
 
 def official_names(lines: DataFrame, notebook: DataFrame) -> DataFrame:

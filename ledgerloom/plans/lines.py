@@ -49,12 +49,6 @@ def c07_blended(spark, sf_dir):
     return df.groupBy("dossier", "source_file").agg(F.min("pos").alias("pos"), F.min_by("fact_num", "pos").alias("fact_num"))
 
 
-def c08_escalation(spark, sf_dir):
-    """Documents that should be read again: an incoherent or blended line."""
-    bad = ~A.coherent(F.col("ht"), F.col("tva"), F.col("ttc"), F.col("pct")) | A.blended(F.col("ht"), F.col("tva"))
-    return base(spark, sf_dir).groupBy("dossier", "source_file").agg(F.max(bad).alias("again"), F.count("*").alias("n"))
-
-
 def c11_recompute(spark, sf_dir):
     """VAT and TTC computed anew from HT and rate."""
     r = D.invoice_lines(spark, sf_dir).withColumn("r", A.recompute(F.col("ht"), F.col("pct")))
@@ -125,8 +119,9 @@ def f06_complete_identifiers(spark, sf_dir):
 
 
 def f07_normalise_groups(spark, sf_dir):
-    """Identifiers filled by folder or supplier group."""
-    return L.normalise_groups(D.invoice_lines(spark, sf_dir)).select(*KEY, "group", "ice_frs", "if_number")
+    """Identifiers and missing names filled by folder or supplier group."""
+    df = D.invoice_lines(spark, sf_dir).withColumns({"lib_frss": F.when(F.col("pos") % 8 == 3, "").otherwise(F.col("lib_frss")), "source_file": F.regexp_replace("source_file", r"Supplier#0*(?=\d)", "maison_du-RIAD ")})
+    return L.normalise_groups(df).select(*KEY, "group", "ice_frs", "if_number", "lib_frss", "from_folder")
 
 
 def f08_consolidate(spark, sf_dir):
@@ -228,7 +223,7 @@ def a12_declaration_rows(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    c01_credit_signs, c04_repair, c05_fill_total, c06_coherent, c07_blended, c08_escalation, c11_recompute, c12_fee_lines, c13_bulk_replace, c14_supplier_fill, c16_apply_payment, c17_status,
+    c01_credit_signs, c04_repair, c05_fill_total, c06_coherent, c07_blended, c11_recompute, c12_fee_lines, c13_bulk_replace, c14_supplier_fill, c16_apply_payment, c17_status,
     f02_most_common_name, f03_best_ice, f04_canonical_name, f05_first_identifier, f06_complete_identifiers, f07_normalise_groups, f08_consolidate, g01_duplicates, g02_remove_duplicates, g03_merge,
     c15_review_marks, c18_stored, j01_confidence, j03_anomalies, j04_issue_summary, j05_review_list, f14_anomaly_count, f26_issue_counts, declaration, a12_declaration_rows,
 )}
@@ -318,7 +313,6 @@ ORACLES = {
     "c05_fill_total": f"WITH {CREDIT} SELECT dossier, pos, CAST({FILL('ttc')} AS DOUBLE) AS ttc FROM credited",
     "c06_coherent": f"WITH {CREDIT} SELECT dossier, pos, {COHERENT} AS coherent FROM credited",
     "c07_blended": f"WITH {CREDIT} SELECT dossier, source_file, min(pos) AS pos, arg_min(fact_num, pos) AS fact_num FROM credited WHERE {BLEND('ht', 'tva')} GROUP BY dossier, source_file",
-    "c08_escalation": f"WITH {CREDIT} SELECT dossier, source_file, bool_or(NOT {COHERENT} OR {BLEND('ht', 'tva')}) AS again, count(*) AS n FROM credited GROUP BY dossier, source_file",
     "c11_recompute": f"WITH {D.LINES}, r AS (SELECT *, CAST(round(ht * CAST(CASE pct WHEN 10 THEN 0.10 WHEN 20 THEN 0.20 ELSE 0.00 END AS DECIMAL(3,2)), 2) AS DECIMAL(18,2)) AS v FROM lines) SELECT dossier, pos, CAST(v AS DOUBLE) AS tva, CAST(ht + v AS DOUBLE) AS ttc FROM r",
     "c12_fee_lines": f"WITH {D.LINES}, {D.PAYMENTS}, f AS (SELECT *, -amount AS total FROM payments WHERE regexp_matches(label, 'commission|tenue', 'i') AND amount < 0), g AS (SELECT *, {HT('total', '10')} AS h FROM f) SELECT dossier, txn, 'FRAIS-' || date AS fact_num, CAST(h AS DOUBLE) AS ht, CAST(total - h AS DOUBLE) AS tva, CAST(total AS DOUBLE) AS ttc FROM g",
     "c13_bulk_replace": f"WITH {D.LINES} SELECT dossier, pos, CASE WHEN ice_frs <> '' AND CAST(nullif(ice_frs, '') AS BIGINT) % 3 = 0 THEN lpad(CAST(CAST(nullif(ice_frs, '') AS BIGINT) + 5000 AS VARCHAR), 15, '0') ELSE ice_frs END AS ice_frs, coalesce(ice_frs <> '' AND CAST(nullif(ice_frs, '') AS BIGINT) % 3 = 0, false) AS changed FROM lines",
@@ -330,7 +324,7 @@ ORACLES = {
     "f04_canonical_name": f"WITH {D.LINES}, {KEYED.format('lines')}, c AS (SELECT key, lib_frss, count(*) AS n FROM keyed GROUP BY ALL) SELECT key, arg_max(lib_frss, (n, length(lib_frss), lib_frss)) AS name FROM c GROUP BY key",
     "f05_first_identifier": f"WITH {D.LINES}, {KEYED.format('lines')} SELECT dossier, key, arg_min(if_number, pos) AS if_number FROM keyed WHERE if_number <> '' GROUP BY dossier, key",
     "f06_complete_identifiers": f"WITH {D.LINES}, {completed('lines')} SELECT dossier, pos, ice_frs, if_number, ice_inferred, if_inferred FROM completed",
-    "f07_normalise_groups": f"WITH {D.LINES}, k AS (SELECT *, {key_sql('lib_frss')} AS key FROM lines), g AS (SELECT *, CASE WHEN contains(source_file, '/') THEN 'folder:' || lower(split_part(source_file, '/', 1)) ELSE 'supplier:' || key END AS grp FROM k) SELECT g.dossier, g.pos, g.grp AS \"group\", CASE WHEN ice_frs = '' THEN coalesce(b, '') ELSE ice_frs END AS ice_frs, CASE WHEN if_number = '' THEN coalesce(f, '') ELSE if_number END AS if_number FROM g LEFT JOIN {mode('g', 'dossier, grp', 'ice_frs', 'b')} USING (dossier, grp) LEFT JOIN {mode('g', 'dossier, grp', 'if_number', 'f')} USING (dossier, grp)",
+    "f07_normalise_groups": f"WITH {D.LINES}, l AS (SELECT * REPLACE (CASE WHEN pos % 8 = 3 THEN '' ELSE lib_frss END AS lib_frss), {key_sql('CASE WHEN pos % 8 = 3 THEN NULL ELSE lib_frss END')} AS key, regexp_extract(source_file, 'Supplier#0*([0-9]+)', 1) AS sup FROM lines), g AS (SELECT *, CASE WHEN sup <> '' THEN 'folder:factures' WHEN key <> '' THEN 'supplier:' || key ELSE 'unknown' END AS grp FROM l), h AS (SELECT dossier, grp, arg_min(sup, pos) AS hint FROM g GROUP BY ALL) SELECT g.dossier, g.pos, g.grp AS \"group\", CASE WHEN ice_frs = '' THEN coalesce(b, '') ELSE ice_frs END AS ice_frs, CASE WHEN if_number = '' THEN coalesce(f, '') ELSE if_number END AS if_number, CASE WHEN lib_frss <> '' THEN lib_frss WHEN hint <> '' THEN 'Maison Du Riad ' || hint ELSE coalesce(n, '') END AS lib_frss, from_folder OR (lib_frss = '' AND hint <> '') AS from_folder FROM g JOIN h USING (dossier, grp) LEFT JOIN {mode('g', 'dossier, grp', 'ice_frs', 'b')} USING (dossier, grp) LEFT JOIN {mode('g', 'dossier, grp', 'if_number', 'f')} USING (dossier, grp) LEFT JOIN {mode('g', 'dossier, grp', 'lib_frss', 'n')} USING (dossier, grp)",
     "f08_consolidate": f"WITH {D.LINES}, w AS (SELECT *, count(*) OVER k AS n, bool_or(abs(tva) < 0.01) OVER k AS z, bool_or(abs(tva) >= 0.01) OVER k AS s, min(pos) OVER k AS first, CAST(sum(ht) OVER k AS DECIMAL(18,2)) AS sh, CAST(sum(ttc) OVER k AS DECIMAL(18,2)) AS st, CAST(sum(tva) OVER k AS DECIMAL(18,2)) AS sv, bool_or(ht < 0) OVER k AS neg, bool_or(abs(ttc) <= abs(ht)) OVER k AS flat FROM lines WINDOW k AS (PARTITION BY dossier, source_file, fact_num, pct)), x AS (SELECT *, n > 1 AND z AND s AS merged, CASE WHEN abs(sh) > 0 THEN round(abs(sh) * CAST(CASE pct WHEN 10 THEN 0.10 WHEN 20 THEN 0.20 ELSE 0.00 END AS DECIMAL(3,2)), 2) * CASE WHEN sh < 0 OR neg THEN -1 ELSE 1 END ELSE sv END AS v FROM w) SELECT dossier, pos, CAST(CASE WHEN merged THEN sh ELSE ht END AS DOUBLE) AS ht, CAST(CASE WHEN merged THEN v ELSE tva END AS DOUBLE) AS tva, CAST(CASE WHEN merged THEN CASE WHEN abs(sh) > 0 AND (abs(st) <= abs(sh) OR flat) THEN sh + v ELSE st END ELSE ttc END AS DOUBLE) AS ttc, merged FROM x WHERE NOT merged OR pos = first",
     "g01_duplicates": f"WITH {D.LINES}, {KEYED.format('lines')}, {signed_lines('keyed')} SELECT dossier, pos, duplicate FROM marked",
     "g02_remove_duplicates": f"WITH {D.LINES}, {KEYED.format('lines')}, {signed_lines('keyed')} SELECT dossier, pos, fact_num FROM marked WHERE NOT duplicate",

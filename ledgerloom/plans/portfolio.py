@@ -180,8 +180,15 @@ def f12_reconcile(spark, sf_dir):
 
 
 def f18_suppliers(spark, sf_dir):
-    """Suppliers of each client: overall, by year and by month."""
-    return _double(P.supplier_tree(D.invoice_lines(spark, sf_dir)), "ttc")
+    """Suppliers of each client, overall, by year and by month, with their newest invoices."""
+    tree = P.supplier_tree(D.invoice_lines(spark, sf_dir))
+    listed = F.array_join(F.transform("listed", lambda x: F.concat_ws(":", x["year"].cast("string"), x["month"].cast("string"), x["fact_num"], x["ttc"].cast("string"))), ";")
+    return _double(tree.withColumn("listed", listed), "ttc")
+
+
+def f18_supplier_invoices(spark, sf_dir):
+    """All invoices of each supplier."""
+    return _double(P.supplier_invoices(D.invoice_lines(spark, sf_dir)), "ttc")
 
 
 def notebook(spark, sf_dir):
@@ -237,7 +244,7 @@ def _double(df, *cols):
 
 QUERIES = {f.__name__: f for f in (
     f15_ledger_summary, f16_cockpit, g05_active_period, f19_client_stats, f20_year_grid, f30_periods_by_year, e16_portfolio, f21_kpis, h01_portfolio_order, h02_portfolio_filters, j06_progress, j08_next_action, j09_cockpit, j10_jobs, f22_roll_up_jobs, f23_import_summary, k02_sweep,
-    h04_activity, h05_queue, h07_jobs, f10_order_totals, f11_invoice_totals, e13_match_orders, f12_reconcile, f18_suppliers, e07_official_names, e20_merge_notebook, h03_supplier_search, e19_visible, e22_firms, e21_clients,
+    h04_activity, h05_queue, h07_jobs, f10_order_totals, f11_invoice_totals, e13_match_orders, f12_reconcile, f18_suppliers, f18_supplier_invoices, e07_official_names, e20_merge_notebook, h03_supplier_search, e19_visible, e22_firms, e21_clients,
 )}
 
 
@@ -319,7 +326,8 @@ ORACLES = {
     "f11_invoice_totals": f"WITH {TOTALS} SELECT month, half, services, refunds, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in ('services_ht', 'refunds_ht', 'collected', 'billed', 'billed_ttc', 'payout'))} FROM st",
     "e13_match_orders": f"WITH {D.ORDERS}, {MATCH} SELECT month, half, order_id, kind FROM mt",
     "f12_reconcile": f"WITH {RECONCILED} SELECT month, half, {', '.join(COUNTS)}, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in AMOUNTS)}, explanations, gap, ok FROM r UNION ALL SELECT month, 'all', {', '.join(f'CAST(sum({c}) AS BIGINT)' for c in COUNTS)}, {', '.join(f'CAST(sum({c}) AS DOUBLE)' for c in AMOUNTS)}, '', NULL, bool_and(ok) FROM r GROUP BY month",
-    "f18_suppliers": f"WITH {SUPPLIER} SELECT client, key, year, month, count(*) AS invoices, CAST(sum(ttc) AS DOUBLE) AS ttc FROM sk GROUP BY GROUPING SETS ((client, key), (client, key, year), (client, key, year, month))",
+    "f18_suppliers": f"WITH {SUPPLIER}, tree AS (SELECT client, key, year, month, count(*) AS invoices, CAST(sum(ttc) AS DOUBLE) AS ttc, list(year || ':' || month || ':' || fact_num || ':' || CAST(ttc AS VARCHAR) ORDER BY year DESC, month DESC, fact_num) AS every FROM sk GROUP BY GROUPING SETS ((client, key), (client, key, year), (client, key, year, month))) SELECT client, key, year, month, invoices, ttc, array_to_string(every[1:10], ';') AS listed FROM tree",
+    "f18_supplier_invoices": f"WITH {SUPPLIER} SELECT client, key, year, month, fact_num, CAST(ttc AS DOUBLE) AS ttc FROM sk",
     "e07_official_names": f"WITH {D.LINES}, {NOTEBOOK}, a AS (SELECT client, ice, arg_max(name, entry) AS n1 FROM nb WHERE ice <> '' GROUP BY ALL), b AS (SELECT client, fiscal, arg_max(name, entry) AS n2 FROM nb GROUP BY ALL) SELECT dossier, pos, coalesce(n1, n2, lib_frss) AS lib_frss, coalesce(n1, n2, lib_frss) <> lib_frss AS changed FROM lines LEFT JOIN a ON a.client = lines.client AND a.ice = ice_frs LEFT JOIN b ON b.client = lines.client AND b.fiscal = if_number",
     "e20_merge_notebook": f"WITH {D.LINES}, {NOTEBOOK}, u AS (SELECT *, entry % 2 AS o, CASE WHEN ice <> '' THEN 'ice:' || ice ELSE 'if:' || fiscal END AS k FROM nb) SELECT client, max(ice) AS ice, arg_max(fiscal, (CASE WHEN fiscal <> '' THEN 1 ELSE 0 END, o, entry)) AS fiscal, arg_max(CASE WHEN o = 1 THEN name || ' SARL' ELSE name END, (o, entry)) AS name FROM u GROUP BY client, k",
     "h03_supplier_search": f"WITH {D.LINES} SELECT client, {key_sql('lib_frss')} AS key, CAST(sum(ttc) AS DOUBLE) AS ttc FROM lines WHERE copy = 0 AND contains(lower(lib_frss || ' ' || ice_frs || ' ' || if_number), '0003') GROUP BY ALL",

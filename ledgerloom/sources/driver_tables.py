@@ -27,11 +27,12 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items.withColumn("copy", F.explode(F.when(F.col("l_partkey") % 19 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    known = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey")).first()[0] or 0
+    known = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey").alias("known"))  # one row
     # numbered within each order: the partitioning by order key serves the join with orders as well
     items = items.withColumn("pos", F.col("l_orderkey") * 1000 + F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*ORDER)))
-    rows = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers, F.col("s_suppkey") == F.col("o_orderkey") % F.lit(known + 1))
+    rows = items.join(orders.join(F.broadcast(known)).withColumn("issuer", F.col("o_orderkey") % (F.col("known") + 1)), F.col("l_orderkey") == F.col("o_orderkey")).join(suppliers, F.col("s_suppkey") == F.col("issuer"))
     k, p = F.col("l_orderkey"), F.col("l_partkey")
+    blend = p % 59 == 0  # several rates summed up in one line
     pct = F.when(F.col("l_tax") < 0.03, 0).when(F.col("l_tax") < 0.06, 10).otherwise(20)
     ht = F.round(F.col("l_extendedprice").cast(MONEY) * (1 - F.col("l_discount").cast("decimal(3,2)")), 2).cast(MONEY)
     tva = F.round(F.col("true_ht") * F.when(F.col("pct") == 10, F.lit("0.10")).when(F.col("pct") == 20, F.lit("0.20")).otherwise("0.00").cast("decimal(3,2)"), 2).cast(MONEY)
@@ -42,6 +43,7 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.withColumn("pct", pct)
         .withColumn("true_ht", ht)
         .withColumn("true_tva", tva)
+        .withColumn("mixed_tva", F.round(F.col("true_ht") * F.lit("0.15").cast("decimal(3,2)"), 2).cast(MONEY))
         .withColumn("dossier", F.floor(F.col("o_custkey") / 300) * 1000 + (F.year("o_orderdate") - 1990) * 12 + F.month("o_orderdate"))
         .select(
             F.floor(F.col("o_custkey") / 300).alias("client"),
@@ -52,9 +54,9 @@ def invoice_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("src-"), (k % 5000).cast("string"))).alias("source_id"),
             number.alias("fact_num"),
             F.when(p % 5 == 0, "PRESTATIONS").when(p % 5 == 1, "TELEPHONIE").when(p % 5 == 2, "FRAIS BANCAIRE").otherwise("MATIERES CONSOMMABLES").alias("designation"),
-            F.when(p % 17 == 0, F.lit(20).cast(MONEY)).when(p % 13 == 0, F.col("true_tva")).otherwise(F.col("true_ht")).alias("ht"),
-            F.when(p % 7 == 0, F.lit(0).cast(MONEY)).when(p % 13 == 0, F.col("true_ht")).when(p % 23 == 0, (-F.col("true_tva")).cast(MONEY)).otherwise(F.col("true_tva")).alias("tva"),
-            F.when(p % 11 == 0, F.lit(0).cast(MONEY)).otherwise((F.col("true_ht") + F.col("true_tva")).cast(MONEY)).alias("ttc"),
+            F.when(blend, F.col("true_ht")).when(p % 17 == 0, F.lit(20).cast(MONEY)).when(p % 13 == 0, F.col("true_tva")).otherwise(F.col("true_ht")).alias("ht"),
+            F.when(blend, F.col("mixed_tva")).when(p % 7 == 0, F.lit(0).cast(MONEY)).when(p % 13 == 0, F.col("true_ht")).when(p % 23 == 0, (-F.col("true_tva")).cast(MONEY)).otherwise(F.col("true_tva")).alias("tva"),
+            F.when(blend, (F.col("true_ht") + F.col("mixed_tva")).cast(MONEY)).when(p % 11 == 0, F.lit(0).cast(MONEY)).otherwise((F.col("true_ht") + F.col("true_tva")).cast(MONEY)).alias("ttc"),
             "pct",
             name.alias("lib_frss"),
             tva_id.alias("ice_frs"),
@@ -79,9 +81,9 @@ lines AS (
     CASE WHEN l_orderkey % 3 = 0 THEN fact_num || '.pdf' ELSE 'factures/' || s_name || '/' || fact_num || '.pdf' END AS source_file,
     CASE WHEN l_orderkey % 5 = 0 THEN '' ELSE 'src-' || (l_orderkey % 5000) END AS source_id, fact_num,
     CASE l_partkey % 5 WHEN 0 THEN 'PRESTATIONS' WHEN 1 THEN 'TELEPHONIE' WHEN 2 THEN 'FRAIS BANCAIRE' ELSE 'MATIERES CONSOMMABLES' END AS designation,
-    CASE WHEN l_partkey % 17 = 0 THEN CAST(20 AS DECIMAL(18,2)) WHEN l_partkey % 13 = 0 THEN true_tva ELSE true_ht END AS ht,
-    CASE WHEN l_partkey % 7 = 0 THEN CAST(0 AS DECIMAL(18,2)) WHEN l_partkey % 13 = 0 THEN true_ht WHEN l_partkey % 23 = 0 THEN -true_tva ELSE true_tva END AS tva,
-    CASE WHEN l_partkey % 11 = 0 THEN CAST(0 AS DECIMAL(18,2)) ELSE CAST(true_ht + true_tva AS DECIMAL(18,2)) END AS ttc, pct,
+    CASE WHEN l_partkey % 59 = 0 THEN true_ht WHEN l_partkey % 17 = 0 THEN CAST(20 AS DECIMAL(18,2)) WHEN l_partkey % 13 = 0 THEN true_tva ELSE true_ht END AS ht,
+    CASE WHEN l_partkey % 59 = 0 THEN mixed_tva WHEN l_partkey % 7 = 0 THEN CAST(0 AS DECIMAL(18,2)) WHEN l_partkey % 13 = 0 THEN true_ht WHEN l_partkey % 23 = 0 THEN -true_tva ELSE true_tva END AS tva,
+    CASE WHEN l_partkey % 59 = 0 THEN CAST(true_ht + mixed_tva AS DECIMAL(18,2)) WHEN l_partkey % 11 = 0 THEN CAST(0 AS DECIMAL(18,2)) ELSE CAST(true_ht + true_tva AS DECIMAL(18,2)) END AS ttc, pct,
     s_name || CASE l_partkey % 4 WHEN 0 THEN ' SARL' WHEN 1 THEN ' S.A.' WHEN 2 THEN '' ELSE ' Société' END AS lib_frss,
     CASE WHEN l_partkey % 7 = 0 THEN '' WHEN l_partkey % 31 = 0 THEN lpad(CAST(s_suppkey + 901 AS VARCHAR), 15, '0') ELSE lpad(CAST(s_suppkey + 1 AS VARCHAR), 15, '0') END AS ice_frs,
     CASE WHEN l_partkey % 6 = 0 THEN '' ELSE CAST(s_suppkey + 40000000 AS VARCHAR) END AS if_number,
@@ -89,7 +91,7 @@ lines AS (
     CASE WHEN l_orderkey % 2 = 0 THEN 'ai' ELSE 'pdf' END AS engine, CASE WHEN l_orderkey % 5 = 0 THEN 'Scan difficile : relu' ELSE '' END AS warnings, l_partkey % 41 = 0 AS from_folder, l_partkey % 43 = 0 AS tva_calculated,
     CASE WHEN l_partkey % 37 = 0 THEN ['__line_review__'] WHEN l_partkey % 29 = 0 THEN ['ice_frs', 'm_ht'] ELSE [] END AS verified, l_partkey % 53 = 0 AS dismissed, copy
   FROM (
-    SELECT *, CAST(round(true_ht * CAST(CASE pct WHEN 10 THEN 0.10 WHEN 20 THEN 0.20 ELSE 0.00 END AS DECIMAL(3,2)), 2) AS DECIMAL(18,2)) AS true_tva FROM (
+    SELECT *, CAST(round(true_ht * CAST(CASE pct WHEN 10 THEN 0.10 WHEN 20 THEN 0.20 ELSE 0.00 END AS DECIMAL(3,2)), 2) AS DECIMAL(18,2)) AS true_tva, CAST(round(true_ht * CAST(0.15 AS DECIMAL(3,2)), 2) AS DECIMAL(18,2)) AS mixed_tva FROM (
       SELECT *, CASE WHEN l_tax < 0.03 THEN 0 WHEN l_tax < 0.06 THEN 10 ELSE 20 END AS pct,
         CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(3,2))), 2) AS DECIMAL(18,2)) AS true_ht,
         o_custkey // 300 AS client, (o_custkey // 300) * 1000 + (year(o_orderdate) - 1990) * 12 + month(o_orderdate) AS dossier, strftime(o_orderdate, '%Y-%m') AS period,
