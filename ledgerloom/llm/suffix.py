@@ -7,7 +7,10 @@ segments whose minimiser occurs elsewhere can hold repeats. Equal segments are
 pre-aggregated and repeat as a whole; the distinct segments of a minimiser
 meet in one task, where a suffix array decides window by window: suffixes
 smaller than their successors are sorted directly, the others are induced by
-scanning the buckets, and common prefixes of neighbours mark what repeats.
+scanning the buckets, and common prefixes of neighbours mark what repeats. A
+minimiser with too many distinct segments for one task, as of a common passage
+in ever new surroundings, has its windows compared one by one instead: they are
+counted by 128 bits of hash, which is linear in the segments.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from .common import byte_values, fresh, join_counted, mix64, partitions, written
 GRAM = 64
 #: Window starts looked at together, and bytes of a suffix array.
 PIECE, ARRAY = 1 << 21, 1 << 20
-#: Distinct segments of one minimiser that share a task; more are dealt as pairs of chunks.
+#: Distinct segments of one minimiser that meet in a suffix array; the windows of more are counted by their hashes.
 CHUNK = 4096
 #: Salts that the rows of a hot segment are dealt by.
 SALTS = 256
@@ -92,6 +95,20 @@ def segments(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
     return h[at[first]], whole[0], whole[1], first, count
 
 
+def window_hashes(text: np.ndarray, count: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash of each of the first ``count`` windows of a segment, in two halves: its grams in steps and at its end, and polynomial sums over all its bytes."""
+    h, at = gram_hashes(text), np.arange(count)
+    grams = np.zeros(count, np.uint64)
+    for k, d in enumerate([*range(0, length - GRAM, GRAM), length - GRAM]):
+        grams += h[at + d] * np.uint64(2 * k + 1)
+    bytes_, out = text.astype(np.uint64) + np.uint64(1), []
+    for base in BASES:
+        power, inverse = powers(len(text), base)
+        total = np.r_[np.uint64(0), np.cumsum(bytes_ * power[: len(text)], dtype=np.uint64)]
+        out.append(mix64(((total[at + length] - total[at]) * inverse[at]) ^ mix64(grams ^ np.uint64(base))))
+    return out[0], out[1]
+
+
 def anchors(docs: DataFrame, length: int) -> DataFrame:
     """Segments of all texts ``(rid, text)``: ``h, g, g2, rid, first, n``."""
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
@@ -259,10 +276,11 @@ def repeated_spans(placed: DataFrame, text: str = "text", rid: str = "rid", leng
     distinct = written(found.groupBy(*segment).agg(F.max("same").alias("c"), F.min(F.struct("rid", "first", "n")).alias("x")).select(*segment, "c", "x.*"), "segments")
 
     # distinct segments of one minimiser are compared; one that is alone in it was settled by its count
-    crowd = distinct.groupBy("h").agg(F.count("*").alias("rows_of_key")).where("rows_of_key > 1").withColumn("k", F.ceil(F.col("rows_of_key") / CHUNK).cast("int"))
-    dealt = join_counted(distinct, crowd, "h", distinct.count()).withColumn("a", F.pmod("g", F.col("k")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("rid", F.struct("h", F.least("a", "b").alias("ci"), F.greatest("a", "b").alias("cj"), (F.col("c") > 1).alias("known"), "first", "n").alias("x"))
+    total = distinct.count()
+    crowd = distinct.groupBy("h").agg(F.count("*").alias("rows_of_key")).where("rows_of_key > 1")
+    dealt = join_counted(distinct, crowd.where(F.col("rows_of_key") <= CHUNK), "h", total).select("rid", F.struct("h", (F.col("c") > 1).alias("known"), "first", "n").alias("x"))
     wanted = dealt.groupBy("rid").agg(F.collect_list("x").alias("wanted"))
+    crowded = crowd.where(F.col("rows_of_key") > CHUNK)
 
     (rid_, wanted_), at = fresh(placed, "wanted_by", "wanted"), {c: i for i, c in enumerate(placed.columns)}
 
@@ -274,9 +292,9 @@ def repeated_spans(placed: DataFrame, text: str = "text", rid: str = "rid", leng
                     for a in range(0, len(rows), 5000):
                         part = rows[a : a + 5000]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([x[c] for x in part], t) for c, t in (("h", pa.int64()), ("ci", pa.int32()), ("cj", pa.int32()), ("known", pa.bool_()), ("first", pa.int32()), ("n", pa.int32()))]
+                            [pa.array([x[c] for x in part], t) for c, t in (("h", pa.int64()), ("known", pa.bool_()), ("first", pa.int32()), ("n", pa.int32()))]
                             + [pa.array([number] * len(part), pa.int64()), pa.array([raw[x["first"] : x["first"] + x["n"] - 1 + length] for x in part], pa.binary())],
-                            names=["h", "ci", "cj", "known", "first", "n", "rid", "bytes"],
+                            names=["h", "known", "first", "n", "rid", "bytes"],
                         )
 
     def decide(batches):
@@ -292,21 +310,44 @@ def repeated_spans(placed: DataFrame, text: str = "text", rid: str = "rid", leng
 
         for batch in batches:
             for x in batch.to_pylist():
-                key = (x["h"], x["ci"], x["cj"])
-                # chunk pairs of one minimiser share segments and must not meet in one array
-                if held and key != last and (size >= ARRAY or key[0] == last[0]):
+                if held and x["h"] != last and size >= ARRAY:
                     yield settle(held)
                     held, size = [], 0
-                last = key
+                last = x["h"]
                 held.append(x)
                 size += len(x["bytes"])
         if held:
             yield settle(held)
 
-    wanted = wanted.withColumnsRenamed({"rid": rid_, "wanted": wanted_})
-    met = placed.join(wanted, F.col(rid) == F.col(rid_)).mapInArrow(extract, "h long, ci int, cj int, known boolean, first int, n int, rid long, bytes binary")
-    decided = met.repartition(n_parts, "h", "ci", "cj").sortWithinPartitions("h", "ci", "cj").mapInArrow(decide, "rid long, spans array<struct<s:int,e:int>>")
-    return copied.unionByName(decided).groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    def windows(batches):
+        """Hashes of all windows of the segments of crowded minimisers."""
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
+        for batch in batches:
+            for start in range(0, batch.num_rows, 100):
+                piece, out = batch.slice(start, 100), [[] for _ in types]
+                for number, raw, rows in zip(piece.column(at[rid]).to_pylist(), byte_values(piece.column(at[text])), piece.column(len(at) + 1).to_pylist()):
+                    for x in rows:
+                        n = x["n"]
+                        w1, w2 = window_hashes(np.frombuffer(raw[x["first"] : x["first"] + n - 1 + length], np.uint8), n, length)
+                        for c, v in zip(out, (np.full(n, number), np.full(n, x["first"]), np.arange(n), np.full(n, x["known"]), w1.view(np.int64), w2.view(np.int64))):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], t) for c, t in zip(out, types)], names=["rid", "first", "k", "known", "w1", "w2"])
+
+    def texts_with(lists: DataFrame) -> DataFrame:
+        return placed.join(lists.withColumnsRenamed({"rid": rid_, "wanted": wanted_}), F.col(rid) == F.col(rid_))
+
+    met = texts_with(wanted).mapInArrow(extract, "h long, known boolean, first int, n int, rid long, bytes binary")
+    decided = met.repartition(n_parts, "h").sortWithinPartitions("h").mapInArrow(decide, "rid long, spans array<struct<s:int,e:int>>")
+    all_spans = copied.unionByName(decided)
+    if crowded.head(1):
+        of_crowd = join_counted(distinct, crowded, "h", total).select("rid", F.struct((F.col("c") > 1).alias("known"), "first", "n").alias("x")).groupBy("rid").agg(F.collect_list("x").alias("wanted"))
+        each = written(texts_with(of_crowd).mapInArrow(windows, "rid long, first int, k int, known boolean, w1 long, w2 long"), "windows")
+        again = each.groupBy("w1", "w2").agg(F.count("*").alias("rows_of_key")).where("rows_of_key > 1")
+        # windows of a segment that repeats as a whole are covered already
+        hits = join_counted(each.where("not known"), again, ["w1", "w2"], each.count())
+        window = F.struct((F.col("first") + F.col("k")).alias("s"), (F.col("first") + F.col("k") + length).alias("e"))
+        all_spans = all_spans.unionByName(hits.groupBy("rid", "first").agg(F.collect_list(window).alias("spans")).select("rid", "spans"))
+    return all_spans.groupBy("rid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def merged(spans: list | None) -> list[tuple[int, int]]:
