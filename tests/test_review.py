@@ -118,7 +118,7 @@ def test_weak_results(spark):
     "text, want",
     [
         ("FACTURE N° F100\n", ["F100"]), ("Transformé de : Facture N° F99\nFACTURE N° F100", ["F100"]), ("Objet : facture F99", []), ("annule  et\tremplace FACTURE F77", []), ("relatif à la FACTURE N° F55", ["F55"]), ("relatif à : FACTURE N° F55", []),
-        ("AVOIR N° A12 suivant facture F12", ["A12"]), ("FACTURE\nNUMERO : FAC0111/2026", ["FAC0111/2026"]), ("référence" + " " * 70 + "FACTURE F31", ["F31"]),
+        ("AVOIR N° A12 suivant facture F12", ["A12"]), ("FACTURE\nNUMERO : FAC0111/2026", ["FAC0111/2026"]), ("référence" + " " * 70 + "FACTURE F31", []), ("référence" + " " * 72 + "FACTURE F31", ["F31"]),
     ],
 )
 def test_numbers_of_cited_documents(spark, text, want):
