@@ -208,13 +208,13 @@ def f26_issue_counts(spark, sf_dir):
 
 def declaration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """VAT declaration of repaired lines: totals by client, period, designation and rate with the VAT code."""
-    df = L.repair(base(spark, sf_dir).where("copy = 0"))
+    df = L.repair(base(spark, sf_dir))
     return df.groupBy("client", "period", "designation", "pct").agg(F.count("*").alias("n"), *[F.sum(c).cast("double").alias(c) for c in ("ht", "tva", "ttc")]).withColumn("code", S.vat_code(F.col("designation"), F.col("pct")))
 
 
 def a12_declaration_rows(spark, sf_dir):
     """Rows of the declaration: 14 columns in order, one per line."""
-    df = L.repair(base(spark, sf_dir).where("copy = 0"))
+    df = L.repair(base(spark, sf_dir))
     cols = {
         "or_": F.col("pos"), "fact_num": F.col("fact_num"), "designation": F.col("designation"), "m_ht": F.col("ht").cast("double"), "tva": F.col("tva").cast("double"), "m_ttc": F.col("ttc").cast("double"),
         "if_frs": S.fiscal_id(F.col("if_number")), "lib_frss": F.col("lib_frss"), "ice_frs": S.ice(F.col("ice_frs")), "taux": (F.col("pct") / 100.0), "id_paie": F.lit(4), "date_paie": S.serial(F.col("date_paie")), "date_fac": S.serial(F.col("date_fac")), "code_tva": S.vat_code(F.col("designation"), F.col("pct")),
@@ -337,6 +337,6 @@ ORACLES = {
     "c18_stored": f"WITH {CONF}, c AS (SELECT dossier, pos, string_agg(field || ':' || level || ':' || reason, ',' ORDER BY field || ':' || level || ':' || reason) AS field_confidence FROM conf GROUP BY ALL) SELECT source_file, source_id, fact_num, designation, CAST(ht AS DOUBLE) AS m_ht, CAST(tva AS DOUBLE) AS tva, CAST(ttc AS DOUBLE) AS m_ttc, if_number AS if, lib_frss, ice_frs, ice_inferred, if_inferred, reconstructed AS ttc_reconstructed, tva_calculated, sanitized AS amounts_sanitized, from_folder AS supplier_from_folder, false AS date_paie_from_bank, engine AS extraction_engine, array_to_string(verified, ',') AS user_verified_fields, field_confidence, pct / 100.0 AS taux, CAST(NULL AS INTEGER) AS id_paie, coalesce(CAST(date_paie AS VARCHAR), '') AS date_paie, coalesce(CAST(date_fac AS VARCHAR), '') AS date_fac FROM judged JOIN c USING (dossier, pos)",
     "f14_anomaly_count": f"WITH {CONF}, a AS (SELECT dossier, pos, any_value(date_paie) AS paid, any_value(designation) AS d, {ANOMALY} AS anomaly FROM conf GROUP BY dossier, pos) SELECT dossier, count(*) AS n, count(*) FILTER (anomaly) AS anomalies, count(*) FILTER (paid IS NULL AND d <> 'FRAIS BANCAIRE') AS unpaid FROM a GROUP BY dossier",
     "f26_issue_counts": f"WITH {CONF} SELECT dossier, field, count(*) FILTER (level = 'error') AS errors, count(*) FILTER (level = 'warn') AS warns FROM conf GROUP BY dossier, field",
-    "declaration": f"WITH {FILLED}, codes(d, p, code) AS (VALUES ('MATIERES CONSOMMABLES', 20, 146), ('MATIERES CONSOMMABLES', 10, 150), ('PRESTATIONS', 20, 140), ('TELEPHONIE', 20, 140), ('FRAIS BANCAIRE', 10, 142)), s AS (SELECT client, period, designation, pct, count(*) AS n, CAST(sum(ht) AS DOUBLE) AS ht, CAST(sum(tva) AS DOUBLE) AS tva, CAST(sum(ttc) AS DOUBLE) AS ttc FROM filled WHERE copy = 0 GROUP BY ALL) SELECT s.*, code FROM s LEFT JOIN codes ON d = designation AND p = pct",
-    "a12_declaration_rows": f"WITH {FILLED}, codes(d, p, code) AS (VALUES ('MATIERES CONSOMMABLES', 20, 146), ('MATIERES CONSOMMABLES', 10, 150), ('PRESTATIONS', 20, 140), ('TELEPHONIE', 20, 140), ('FRAIS BANCAIRE', 10, 142)) SELECT dossier, pos AS or_, fact_num, designation, CAST(ht AS DOUBLE) AS m_ht, CAST(tva AS DOUBLE) AS tva, CAST(ttc AS DOUBLE) AS m_ttc, if_number AS if_frs, lib_frss, ice_frs, CAST(pct / 100.0 AS DOUBLE) AS taux, 4 AS id_paie, CAST(datediff('day', DATE '1899-12-30', date_paie) AS INTEGER) AS date_paie, CAST(datediff('day', DATE '1899-12-30', date_fac) AS INTEGER) AS date_fac, code AS code_tva FROM filled LEFT JOIN codes ON d = designation AND p = pct WHERE copy = 0",
+    "declaration": f"WITH {FILLED}, codes(d, p, code) AS (VALUES ('MATIERES CONSOMMABLES', 20, 146), ('MATIERES CONSOMMABLES', 10, 150), ('PRESTATIONS', 20, 140), ('TELEPHONIE', 20, 140), ('FRAIS BANCAIRE', 10, 142)), s AS (SELECT client, period, designation, pct, count(*) AS n, CAST(sum(ht) AS DOUBLE) AS ht, CAST(sum(tva) AS DOUBLE) AS tva, CAST(sum(ttc) AS DOUBLE) AS ttc FROM filled GROUP BY ALL) SELECT s.*, code FROM s LEFT JOIN codes ON d = designation AND p = pct",
+    "a12_declaration_rows": f"WITH {FILLED}, codes(d, p, code) AS (VALUES ('MATIERES CONSOMMABLES', 20, 146), ('MATIERES CONSOMMABLES', 10, 150), ('PRESTATIONS', 20, 140), ('TELEPHONIE', 20, 140), ('FRAIS BANCAIRE', 10, 142)) SELECT dossier, pos AS or_, fact_num, designation, CAST(ht AS DOUBLE) AS m_ht, CAST(tva AS DOUBLE) AS tva, CAST(ttc AS DOUBLE) AS m_ttc, if_number AS if_frs, lib_frss, ice_frs, CAST(pct / 100.0 AS DOUBLE) AS taux, 4 AS id_paie, CAST(datediff('day', DATE '1899-12-30', date_paie) AS INTEGER) AS date_paie, CAST(datediff('day', DATE '1899-12-30', date_fac) AS INTEGER) AS date_fac, code AS code_tva FROM filled LEFT JOIN codes ON d = designation AND p = pct",
 }

@@ -31,7 +31,7 @@ PERIODS = "periods AS (SELECT *, CASE dossier % 3 WHEN 0 THEN 'exported' WHEN 1
 
 def summary(spark, sf_dir):
     """Counts of lines, incoherent lines, bank movements and documents of each dossier (F15); documents without a source id count as not read yet."""
-    lines = D.invoice_lines(spark, sf_dir).where("copy = 0")
+    lines = D.invoice_lines(spark, sf_dir)
     bad = ~A.coherent(F.col("ht"), F.col("tva"), F.col("ttc"), F.col("pct"))
     # one row per document first, so that documents are counted without expansion
     docs = lines.groupBy("dossier", "source_file").agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.max(F.col("source_id") == "").alias("unread"))
@@ -48,7 +48,7 @@ def f15_ledger_summary(spark, sf_dir):
 
 def f16_cockpit(spark, sf_dir):
     """Cockpit row of each period, zeros where it has no ledger."""
-    lines = D.invoice_lines(spark, sf_dir).where("copy = 0")
+    lines = D.invoice_lines(spark, sf_dir)
     a = lines.groupBy("dossier").agg(F.count("*").alias("lines"), F.count_if(F.col("date_paie").isNull()).alias("undated"), F.array_join(F.slice(F.array_sort(F.collect_set("fact_num")), 1, 3), ",").alias("refs"))
     return periods(spark, sf_dir).select("dossier", "status").join(a, "dossier", "left").select("dossier", "status", F.coalesce("lines", F.lit(0)).alias("lines"), F.coalesce("undated", F.lit(0)).alias("undated"), F.coalesce("refs", F.lit("")).alias("refs"))
 
@@ -193,12 +193,12 @@ def f18_supplier_invoices(spark, sf_dir):
 
 def notebook(spark, sf_dir):
     """A supplier notebook out of the lines: some suppliers by company id, others by fiscal id."""
-    s = D.invoice_lines(spark, sf_dir).where("copy = 0 and ice_frs <> '' and if_number <> ''").select("client", "ice_frs", "if_number").distinct()
+    s = D.invoice_lines(spark, sf_dir).where("ice_frs <> '' and if_number <> ''").select("client", "ice_frs", "if_number").distinct()
     k = F.col("if_number").try_cast("long")
     return s.where(k % 3 != 0).select("client", F.when(k % 3 == 1, F.col("ice_frs")).otherwise("").alias("ice"), F.col("if_number").alias("fiscal"), F.concat(F.lit("OFFICIEL "), "if_number").alias("name"), F.col("ice_frs").try_cast("long").alias("entry"))
 
 
-NOTEBOOK = "nb AS (SELECT DISTINCT client, CASE WHEN CAST(if_number AS BIGINT) % 3 = 1 THEN ice_frs ELSE '' END AS ice, if_number AS fiscal, 'OFFICIEL ' || if_number AS name, CAST(ice_frs AS BIGINT) AS entry FROM (SELECT * FROM lines WHERE copy = 0 AND ice_frs <> '' AND if_number <> '') WHERE CAST(if_number AS BIGINT) % 3 <> 0)"
+NOTEBOOK = "nb AS (SELECT DISTINCT client, CASE WHEN CAST(if_number AS BIGINT) % 3 = 1 THEN ice_frs ELSE '' END AS ice, if_number AS fiscal, 'OFFICIEL ' || if_number AS name, CAST(ice_frs AS BIGINT) AS entry FROM (SELECT * FROM lines WHERE ice_frs <> '' AND if_number <> '') WHERE CAST(if_number AS BIGINT) % 3 <> 0)"
 
 
 def e07_official_names(spark, sf_dir):
@@ -214,7 +214,7 @@ def e20_merge_notebook(spark, sf_dir):
 
 def h03_supplier_search(spark, sf_dir):
     """Suppliers of each client whose name or ids hold a term, by total."""
-    lines = D.invoice_lines(spark, sf_dir).where("copy = 0")
+    lines = D.invoice_lines(spark, sf_dir)
     hit = F.lower(F.concat_ws(" ", "lib_frss", "ice_frs", "if_number")).contains("0003")
     return lines.where(hit).groupBy("client", S.supplier_key(F.col("lib_frss")).alias("key")).agg(F.sum("ttc").cast("double").alias("ttc"))
 
@@ -253,7 +253,7 @@ def _near(a, b, lo, hi):
 
 
 COHERENT = f"(NOT (abs(ht) < 0.01 AND abs(ttc) < 0.01) AND abs(abs(ht) + abs(tva) - abs(ttc)) <= greatest(0.05, abs(ttc) * 0.01) AND CASE WHEN abs(ht) <= 0.01 THEN true WHEN pct = 0 THEN abs(tva) <= 0.05 AND abs(abs(ht) - abs(ttc)) <= 0.05 WHEN pct = 10 THEN {_near('tva', 'ht', 0.075, 0.125)} ELSE {_near('tva', 'ht', 0.175, 0.225)} END)"
-SUMMARY = f"""{D.LINES}, {D.PAYMENTS}, la AS (SELECT dossier, count(*) AS lines, count(*) FILTER (NOT {COHERENT}) AS anomalies, count(DISTINCT source_file) AS documents, count(DISTINCT source_file) FILTER (source_id = '') AS invoices_pending FROM lines WHERE copy = 0 GROUP BY dossier), lb AS (SELECT dossier, count(*) AS bank FROM payments GROUP BY dossier),
+SUMMARY = f"""{D.LINES}, {D.PAYMENTS}, la AS (SELECT dossier, count(*) AS lines, count(*) FILTER (NOT {COHERENT}) AS anomalies, count(DISTINCT source_file) AS documents, count(DISTINCT source_file) FILTER (source_id = '') AS invoices_pending FROM lines GROUP BY dossier), lb AS (SELECT dossier, count(*) AS bank FROM payments GROUP BY dossier),
 summary AS (SELECT dossier, coalesce(lines, 0) AS lines, coalesce(anomalies, 0) AS anomalies, coalesce(bank, 0) AS bank, coalesce(documents, 0) AS documents, coalesce(invoices_pending, 0) AS invoices_pending, CAST(CASE WHEN dossier % 4 = 0 THEN 1 ELSE 0 END AS BIGINT) AS bank_pending FROM la FULL JOIN lb USING (dossier))"""
 #: Counts of a joined summary, zero where there is none.
 COUNTED = ", ".join(f"coalesce({c}, 0) AS {c}" for c in P.COUNTS)
@@ -303,7 +303,7 @@ SUPPLIER = f"{D.LINES}, sk AS (SELECT client, CASE WHEN ice_frs <> '' THEN 'ice:
 
 ORACLES = {
     "f15_ledger_summary": f"WITH {SUMMARY} SELECT * FROM summary",
-    "f16_cockpit": f"WITH {D.LINES}, {PERIODS}, a AS (SELECT dossier, count(*) AS lines, count(*) FILTER (date_paie IS NULL) AS undated, array_to_string(list_sort(list_distinct(list(fact_num)))[:3], ',') AS refs FROM lines WHERE copy = 0 GROUP BY dossier) SELECT dossier, status, coalesce(lines, 0) AS lines, coalesce(undated, 0) AS undated, coalesce(refs, '') AS refs FROM periods LEFT JOIN a USING (dossier)",
+    "f16_cockpit": f"WITH {D.LINES}, {PERIODS}, a AS (SELECT dossier, count(*) AS lines, count(*) FILTER (date_paie IS NULL) AS undated, array_to_string(list_sort(list_distinct(list(fact_num)))[:3], ',') AS refs FROM lines GROUP BY dossier) SELECT dossier, status, coalesce(lines, 0) AS lines, coalesce(undated, 0) AS undated, coalesce(refs, '') AS refs FROM periods LEFT JOIN a USING (dossier)",
     "g05_active_period": f"WITH {PERIODS} SELECT client, dossier, status FROM periods QUALIFY row_number() OVER (PARTITION BY client ORDER BY CASE WHEN status <> 'exported' THEN 1 ELSE 0 END DESC, updated_at DESC, dossier DESC) = 1",
     "f19_client_stats": f"WITH {PERIODS} SELECT client, count(*) AS periods, count(*) FILTER (status <> 'exported') AS open, strftime(max(updated_at), '%Y-%m-%d') AS last, arg_max(status, year * 100 + month) AS last_status FROM periods GROUP BY client",
     "f20_year_grid": f"WITH {PERIODS}, m AS (SELECT DISTINCT client, year, CAST(unnest(range(1, 13)) AS INTEGER) AS month FROM periods) SELECT client, year, month, status FROM m LEFT JOIN periods USING (client, year, month)",
@@ -330,7 +330,7 @@ ORACLES = {
     "f18_supplier_invoices": f"WITH {SUPPLIER} SELECT client, key, year, month, fact_num, CAST(ttc AS DOUBLE) AS ttc FROM sk",
     "e07_official_names": f"WITH {D.LINES}, {NOTEBOOK}, a AS (SELECT client, ice, arg_max(name, entry) AS n1 FROM nb WHERE ice <> '' GROUP BY ALL), b AS (SELECT client, fiscal, arg_max(name, entry) AS n2 FROM nb GROUP BY ALL) SELECT dossier, pos, coalesce(n1, n2, lib_frss) AS lib_frss, coalesce(n1, n2, lib_frss) <> lib_frss AS changed FROM lines LEFT JOIN a ON a.client = lines.client AND a.ice = ice_frs LEFT JOIN b ON b.client = lines.client AND b.fiscal = if_number",
     "e20_merge_notebook": f"WITH {D.LINES}, {NOTEBOOK}, u AS (SELECT *, entry % 2 AS o, CASE WHEN ice <> '' THEN 'ice:' || ice ELSE 'if:' || fiscal END AS k FROM nb) SELECT client, max(ice) AS ice, arg_max(fiscal, (CASE WHEN fiscal <> '' THEN 1 ELSE 0 END, o, entry)) AS fiscal, arg_max(CASE WHEN o = 1 THEN name || ' SARL' ELSE name END, (o, entry)) AS name FROM u GROUP BY client, k",
-    "h03_supplier_search": f"WITH {D.LINES} SELECT client, {key_sql('lib_frss')} AS key, CAST(sum(ttc) AS DOUBLE) AS ttc FROM lines WHERE copy = 0 AND contains(lower(lib_frss || ' ' || ice_frs || ' ' || if_number), '0003') GROUP BY ALL",
+    "h03_supplier_search": f"WITH {D.LINES} SELECT client, {key_sql('lib_frss')} AS key, CAST(sum(ttc) AS DOUBLE) AS ttc FROM lines WHERE contains(lower(lib_frss || ' ' || ice_frs || ' ' || if_number), '0003') GROUP BY ALL",
     "e19_visible": "SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS orders FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)) GROUP BY 1",
     "e22_firms": "SELECT n_name, owner FROM nation LEFT JOIN (SELECT c_nationkey, arg_min(c_name, c_custkey) AS owner FROM customer WHERE c_acctbal > 0 GROUP BY 1) ON n_nationkey = c_nationkey",
     "e21_clients": f"WITH {PERIODS} SELECT client, string_agg(year || ':' || month || ':' || status, ' ' ORDER BY year DESC, month DESC) AS periods FROM periods GROUP BY client",

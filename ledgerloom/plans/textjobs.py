@@ -13,9 +13,9 @@ def comma(c):
 
 
 def invoices(spark, sf_dir):
-    """One text per invoice of positive lines: header, rate rows, footer."""
-    lines = D.invoice_lines(spark, sf_dir).where("copy = 0 and ht > 20 and tva >= 0 and ttc > 0 and ttc = ht + tva")
-    per = lines.groupBy("dossier", "fact_num", "pct").agg(F.sum("ht").cast("decimal(18,2)").alias("ht"), F.sum("tva").cast("decimal(18,2)").alias("tva"), F.max("date_fac").alias("day"), F.max("ice_frs").alias("ice"), F.max("if_number").alias("fiscal"), F.min("lib_frss").alias("name"))
+    """One text per invoice, of all its lines, amounts without signs: header, rate rows, footer."""
+    lines = D.invoice_lines(spark, sf_dir)
+    per = lines.groupBy("dossier", "fact_num", "pct").agg(F.abs(F.sum("ht")).cast("decimal(18,2)").alias("ht"), F.abs(F.sum("tva")).cast("decimal(18,2)").alias("tva"), F.max("date_fac").alias("day"), F.max("ice_frs").alias("ice"), F.max("if_number").alias("fiscal"), F.min("lib_frss").alias("name"))
     per = per.withColumn("ttc", (F.col("ht") + F.col("tva")).cast("decimal(18,2)"))
     line = F.concat_ws(" ", F.concat(comma("ttc"), F.lit("TTC")), F.concat(F.col("pct").cast("string"), F.lit(",00%")), comma("tva"))
     table = F.concat_ws(" ", F.concat(F.col("pct").cast("string"), F.lit(",00")), comma("ht"), comma("tva"))
@@ -73,11 +73,11 @@ inv AS (SELECT *, fact_num LIKE 'AVOIR%' AS credit, k % 5 AS t, (k // 5) % 5 AS
   FROM (SELECT dossier, fact_num, sum(ht) AS ht, sum(tva) AS tva, sum(ttc) AS ttc, max(day) AS day, CASE WHEN max(ice) = '' THEN '000000000000777' ELSE max(ice) END AS ice, CASE WHEN max(fiscal) = '' THEN '40000777' ELSE max(fiscal) END AS fiscal, CAST(regexp_extract(fact_num, '[0-9]+') AS BIGINT) AS k FROM per GROUP BY ALL)),
 docs AS (SELECT *, CASE WHEN credit THEN lpad(CAST(k AS VARCHAR), 9, '0') WHEN t = 2 THEN 'FV' || lpad(CAST(k AS VARCHAR), 9, '0') ELSE fact_num END AS number, CASE WHEN credit THEN lpad(CAST(k AS VARCHAR), 9, '0') WHEN t IN (0, 4) AND length(fact_num) > 2 THEN fact_num END AS own FROM inv)"""
 
-INV = f"{D.LINES}, per0 AS (SELECT dossier, fact_num, pct, CAST(sum(ht) AS DECIMAL(18,2)) AS ht, CAST(sum(tva) AS DECIMAL(18,2)) AS tva, max(date_fac) AS day, max(ice_frs) AS ice, max(if_number) AS fiscal FROM lines WHERE copy = 0 AND ht > 20 AND tva >= 0 AND ttc > 0 AND ttc = ht + tva GROUP BY ALL), per AS (SELECT *, CAST(ht + tva AS DECIMAL(18,2)) AS ttc, CAST(right(fact_num, 1) AS INTEGER) % 2 AS odd FROM per0), inv AS (SELECT dossier, fact_num, sum(ht) AS ht, sum(tva) AS tva, sum(ttc) AS ttc, max(day) AS day, CASE WHEN max(ice) = '' THEN '000000000000777' ELSE max(ice) END AS ice, CASE WHEN max(fiscal) = '' THEN '40000777' ELSE max(fiscal) END AS fiscal, count(*) AS n FROM per GROUP BY ALL)"
+INV = f"{D.LINES}, per0 AS (SELECT dossier, fact_num, pct, CAST(abs(sum(ht)) AS DECIMAL(18,2)) AS ht, CAST(abs(sum(tva)) AS DECIMAL(18,2)) AS tva, max(date_fac) AS day, max(ice_frs) AS ice, max(if_number) AS fiscal FROM lines GROUP BY ALL), per AS (SELECT *, CAST(ht + tva AS DECIMAL(18,2)) AS ttc, CAST(right(fact_num, 1) AS INTEGER) % 2 AS odd FROM per0), inv AS (SELECT dossier, fact_num, sum(ht) AS ht, sum(tva) AS tva, sum(ttc) AS ttc, max(day) AS day, CASE WHEN max(ice) = '' THEN '000000000000777' ELSE max(ice) END AS ice, CASE WHEN max(fiscal) = '' THEN '40000777' ELSE max(fiscal) END AS fiscal, count(*) AS n FROM per GROUP BY ALL)"
 #: Bundled documents, each with the number it opens with, if any.
 BUNDLES = "bundles AS (SELECT dossier || ':' || (k % 7) AS doc, fact_num, own FROM docs)"
 #: Rows of the rate table that make sense by their ratio.
-SENSE = "(tva < 0.05 OR tva BETWEEN ht * 0.08 AND ht * 0.12 OR tva BETWEEN ht * 0.18 AND ht * 0.22)"
+SENSE = "((ht >= 0.01 OR tva >= 0.01) AND (ht = 0 OR tva < 0.05 OR tva BETWEEN ht * 0.08 AND ht * 0.12 OR tva BETWEEN ht * 0.18 AND ht * 0.22))"
 
 
 def d01_ventilation(spark, sf_dir):
@@ -129,14 +129,14 @@ def d06_credit_totals(spark, sf_dir):
     i = T.with_footer(invoices(spark, sf_dir), into="f")
     c = lambda x: F.format_string("%.2f", F.col(f"f.{x}"))
     text = F.concat(F.lit("AVOIR N° A1\nNet à payer\n"), F.replace(c("ttc"), F.lit("."), F.lit(",")), F.lit(" DH\n"), F.replace(c("tva"), F.lit("."), F.lit(",")), F.lit(" DH\n"), F.replace(c("ht"), F.lit("."), F.lit(",")), F.lit("\nARRETEE la présente"))
-    return i.where("f.tva > 0").select("dossier", "fact_num", T.credit_totals(text).alias("t")).select("dossier", "fact_num", "t.*")
+    return i.select("dossier", "fact_num", T.credit_totals(text).alias("t")).select("dossier", "fact_num", "t.*")
 
 
 def d07_currency_totals(spark, sf_dir):
     """Amounts in currency rendered from the invoices."""
     i = T.with_footer(invoices(spark, sf_dir), into="f")
     c = lambda x: F.concat(F.format_string("%.2f", F.col(f"f.{x}")), F.lit("MAD\n"))
-    return i.where("f.tva > 0").select("dossier", "fact_num", T.currency_totals(F.concat(F.lit("Ticket\n"), c("ttc"), c("ht"), c("tva"))).alias("t")).select("dossier", "fact_num", "t.*")
+    return i.select("dossier", "fact_num", T.currency_totals(F.concat(F.lit("Ticket\n"), c("ttc"), c("ht"), c("tva"))).alias("t")).select("dossier", "fact_num", "t.*")
 
 
 def _bundles(spark, sf_dir):
@@ -207,11 +207,11 @@ ORACLES = {
     "d02_rate_table": f"WITH {INV} SELECT dossier, fact_num, pct, {ALL} FROM per WHERE odd = 1 AND {SENSE}",
     "d03_best_rows": f"WITH {INV} SELECT dossier, fact_num, pct, {ALL} FROM per WHERE odd = 0 OR {SENSE}",
     "d04_footer": f"WITH {INV} SELECT dossier, fact_num, {ALL} FROM inv",
-    "d05_document_totals": f"WITH {INV} SELECT dossier, fact_num, CAST(ttc AS DOUBLE) AS ttc FROM inv",
-    "d06_credit_totals": f"WITH {INV}, s AS (SELECT dossier, fact_num, list_sort(list_distinct([ht, tva, ttc])) AS o FROM inv WHERE tva > 0) SELECT dossier, fact_num, CAST(-o[2] AS DOUBLE) AS ht, CAST(-o[1] AS DOUBLE) AS tva, CAST(-o[3] AS DOUBLE) AS ttc FROM s",
-    "d07_currency_totals": f"WITH {INV} SELECT dossier, fact_num, CAST(greatest(ht, tva) AS DOUBLE) AS ht, CAST(least(ht, tva) AS DOUBLE) AS tva, CAST(ttc AS DOUBLE) AS ttc FROM inv WHERE tva > 0",
+    "d05_document_totals": f"WITH {INV} SELECT dossier, fact_num, CAST(CASE WHEN ht > 0 AND ttc > 0 THEN ttc END AS DOUBLE) AS ttc FROM inv",
+    "d06_credit_totals": f"WITH {INV}, s AS (SELECT dossier, fact_num, list_sort(list_distinct([x FOR x IN [ht, tva, ttc] IF x > 0])) AS o FROM inv) SELECT dossier, fact_num, CAST(CASE WHEN len(o) > 2 THEN -o[2] END AS DOUBLE) AS ht, CAST(CASE WHEN len(o) > 2 THEN -o[1] END AS DOUBLE) AS tva, CAST(CASE WHEN len(o) > 2 THEN -o[3] END AS DOUBLE) AS ttc FROM s",
+    "d07_currency_totals": f"WITH {INV}, s AS (SELECT dossier, fact_num, list_sort([x FOR x IN [ht, tva, ttc] IF x > 0]) AS o FROM inv) SELECT dossier, fact_num, CAST(CASE WHEN len(o) > 2 THEN o[2] END AS DOUBLE) AS ht, CAST(CASE WHEN len(o) > 2 THEN o[1] END AS DOUBLE) AS tva, CAST(CASE WHEN len(o) > 2 THEN o[3] END AS DOUBLE) AS ttc FROM s",
     "d08_detail_rows": f"WITH {INV} SELECT dossier, fact_num, 'Poste ' || pct AS label, {ALL} FROM per",
-    "d09_details_match": f"WITH {INV} SELECT dossier, fact_num, true AS match FROM inv",
+    "d09_details_match": f"WITH {INV} SELECT dossier, fact_num, bool_and(ht > 0 AND ttc > 0) AS match FROM per GROUP BY ALL",
     "d10_invoice_number": f"WITH {PRINTED} SELECT dossier, fact_num, number FROM docs",
     "d11_supplier_name": f"WITH {PRINTED} SELECT dossier, fact_num, name FROM docs",
     "d12_supplier_ice": f"WITH {PRINTED} SELECT dossier, fact_num, CASE WHEN ice = '000000000000001' THEN '' ELSE ice END AS ice FROM docs",
@@ -219,7 +219,7 @@ ORACLES = {
     # texts that open with no number belong to what stands before them
     "d14_segments": f"WITH {PRINTED}, {BUNDLES} SELECT doc, greatest(count(own), 1) AS segments, coalesce(string_agg(own, ',' ORDER BY own), '') AS numbers FROM bundles GROUP BY doc",
     "d15_page_groups": f"WITH {PRINTED}, {BUNDLES}, n AS (SELECT doc, last_value(own IGNORE NULLS) OVER (PARTITION BY doc ORDER BY fact_num) AS number FROM bundles) SELECT doc, number, 2 * count(*) AS pages FROM n GROUP BY doc, number",
-    "d16_extract": f"""WITH {PRINTED}, good AS (SELECT per.*, row_number() OVER (PARTITION BY dossier, fact_num ORDER BY pct) AS n FROM per JOIN docs USING (dossier, fact_num) WHERE NOT credit AND (b = 0 OR (b = 1 AND (per.ht >= 0.01 OR per.tva >= 0.01) AND (per.ht = 0 OR {SENSE.replace('tva', 'per.tva').replace('ht ', 'per.ht ')})))),
+    "d16_extract": f"""WITH {PRINTED}, good AS (SELECT per.*, row_number() OVER (PARTITION BY dossier, fact_num ORDER BY pct) AS n FROM per JOIN docs USING (dossier, fact_num) WHERE NOT credit AND (b = 0 OR (b = 1 AND {SENSE.replace('tva', 'per.tva').replace('ht ', 'per.ht ')}))),
 test AS (SELECT d.*, credit OR b = 4 AS free, coalesce(g.n, 0) AS rated, abs(coalesce(g.ht, 0) - d.ht * times) <= greatest(0.05, d.ht * times * 0.01) AS agree, b = 2 AND NOT credit AS listed, coalesce(p.sound, false) AND abs(d.ht - d.ht * times) <= greatest(0.05, d.ht * times * 0.01) AS matching, d.ht * times > 0 AND d.ttc * times > 0 AS whole
   FROM docs d LEFT JOIN (SELECT dossier, fact_num, count(*) AS n, sum(ht) AS ht FROM good GROUP BY ALL) g ON g.dossier = d.dossier AND g.fact_num = d.fact_num LEFT JOIN (SELECT dossier, fact_num, bool_and(ht > 0 AND ttc > 0) AS sound FROM per GROUP BY ALL) p ON p.dossier = d.dossier AND p.fact_num = d.fact_num),
 picked AS (SELECT *, CASE WHEN free THEN 'single' WHEN rated > 0 AND (NOT whole OR agree) THEN 'rated' WHEN listed AND (NOT whole OR matching) THEN 'listed' ELSE 'single' END AS source, list_sort([x FOR x IN [ht, tva, ttc] IF x > 0]) AS mad, list_sort(list_distinct([x FOR x IN [ht, tva, ttc] IF x > 0])) AS net FROM test),
