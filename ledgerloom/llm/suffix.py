@@ -9,8 +9,9 @@ meet in one task, where a suffix array decides window by window: suffixes
 smaller than their successors are sorted directly, the others are induced by
 scanning the buckets, and common prefixes of neighbours mark what repeats. A
 minimiser with too many distinct segments for one task, as of a common passage
-in ever new surroundings, has its windows compared one by one instead: they are
-counted by 128 bits of hash, which is linear in the segments.
+in ever new surroundings, is dealt as pairs of a few chunks; beyond a dozen
+chunks its windows are compared one by one instead: they are counted by 128 bits
+of hash, which is linear in the segments.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from .common import byte_values, fresh, join_counted, mix64, partitions, written
 GRAM = 64
 #: Window starts looked at together, and bytes of a suffix array.
 PIECE, ARRAY = 1 << 21, 1 << 20
-#: Distinct segments of one minimiser that meet in a suffix array; the windows of more are counted by their hashes.
+#: Distinct segments of one minimiser that meet in a suffix array; more are dealt as pairs of chunks.
 CHUNK = 4096
+#: Chunks up to which that moves fewer bytes than the windows of the segments would; those of more are counted by their hashes.
+PAIRED = 12
 #: Salts that the rows of a hot segment are dealt by.
 SALTS = 256
 #: Segments that hot minimisers are found on, about.
@@ -277,10 +280,11 @@ def repeated_spans(placed: DataFrame, text: str = "text", rid: str = "rid", leng
 
     # distinct segments of one minimiser are compared; one that is alone in it was settled by its count
     total = distinct.count()
-    crowd = distinct.groupBy("h").agg(F.count("*").alias("rows_of_key")).where("rows_of_key > 1")
-    dealt = join_counted(distinct, crowd.where(F.col("rows_of_key") <= CHUNK), "h", total).select("rid", F.struct("h", (F.col("c") > 1).alias("known"), "first", "n").alias("x"))
+    crowd = distinct.groupBy("h").agg(F.count("*").alias("rows_of_key")).where("rows_of_key > 1").withColumn("k", F.ceil(F.col("rows_of_key") / CHUNK).cast("int"))
+    dealt = join_counted(distinct, crowd.where(F.col("k") <= PAIRED), "h", total).withColumn("a", F.pmod("g", F.col("k")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("rid", F.struct("h", F.least("a", "b").alias("ci"), F.greatest("a", "b").alias("cj"), (F.col("c") > 1).alias("known"), "first", "n").alias("x"))
     wanted = dealt.groupBy("rid").agg(F.collect_list("x").alias("wanted"))
-    crowded = crowd.where(F.col("rows_of_key") > CHUNK)
+    crowded = crowd.where(F.col("k") > PAIRED).drop("k")
 
     (rid_, wanted_), at = fresh(placed, "wanted_by", "wanted"), {c: i for i, c in enumerate(placed.columns)}
 
@@ -292,9 +296,9 @@ def repeated_spans(placed: DataFrame, text: str = "text", rid: str = "rid", leng
                     for a in range(0, len(rows), 5000):
                         part = rows[a : a + 5000]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([x[c] for x in part], t) for c, t in (("h", pa.int64()), ("known", pa.bool_()), ("first", pa.int32()), ("n", pa.int32()))]
+                            [pa.array([x[c] for x in part], t) for c, t in (("h", pa.int64()), ("ci", pa.int32()), ("cj", pa.int32()), ("known", pa.bool_()), ("first", pa.int32()), ("n", pa.int32()))]
                             + [pa.array([number] * len(part), pa.int64()), pa.array([raw[x["first"] : x["first"] + x["n"] - 1 + length] for x in part], pa.binary())],
-                            names=["h", "known", "first", "n", "rid", "bytes"],
+                            names=["h", "ci", "cj", "known", "first", "n", "rid", "bytes"],
                         )
 
     def decide(batches):
@@ -310,10 +314,12 @@ def repeated_spans(placed: DataFrame, text: str = "text", rid: str = "rid", leng
 
         for batch in batches:
             for x in batch.to_pylist():
-                if held and x["h"] != last and size >= ARRAY:
+                key = (x["h"], x["ci"], x["cj"])
+                # chunk pairs of one minimiser share segments and must not meet in one array
+                if held and key != last and (size >= ARRAY or key[0] == last[0]):
                     yield settle(held)
                     held, size = [], 0
-                last = x["h"]
+                last = key
                 held.append(x)
                 size += len(x["bytes"])
         if held:
@@ -336,8 +342,8 @@ def repeated_spans(placed: DataFrame, text: str = "text", rid: str = "rid", leng
     def texts_with(lists: DataFrame) -> DataFrame:
         return placed.join(lists.withColumnsRenamed({"rid": rid_, "wanted": wanted_}), F.col(rid) == F.col(rid_))
 
-    met = texts_with(wanted).mapInArrow(extract, "h long, known boolean, first int, n int, rid long, bytes binary")
-    decided = met.repartition(n_parts, "h").sortWithinPartitions("h").mapInArrow(decide, "rid long, spans array<struct<s:int,e:int>>")
+    met = texts_with(wanted).mapInArrow(extract, "h long, ci int, cj int, known boolean, first int, n int, rid long, bytes binary")
+    decided = met.repartition(n_parts, "h", "ci", "cj").sortWithinPartitions("h", "ci", "cj").mapInArrow(decide, "rid long, spans array<struct<s:int,e:int>>")
     all_spans = copied.unionByName(decided)
     if crowded.head(1):
         of_crowd = join_counted(distinct, crowded, "h", total).select("rid", F.struct((F.col("c") > 1).alias("known"), "first", "n").alias("x")).groupBy("rid").agg(F.collect_list("x").alias("wanted"))

@@ -45,7 +45,9 @@ def test_spans_and_digests_at_the_length_of_the_query(spark, monkeypatch):
     assert got(spark, texts) == want
     monkeypatch.setattr(suffix, "ARRAY", 2000)  # several arrays to a task
     assert got(spark, texts) == want
-    monkeypatch.setattr(suffix, "CHUNK", 1)  # every minimiser crowded: windows are counted
+    monkeypatch.setattr(suffix, "CHUNK", 2)  # crowds as pairs of chunks
+    assert got(spark, texts) == want
+    monkeypatch.setattr(suffix, "PAIRED", 1)  # every crowd by its windows
     assert got(spark, texts) == want
 
 
@@ -67,6 +69,7 @@ def test_texts_over_a_piece(spark):
 def test_work_is_linear_in_a_crowd(spark, monkeypatch):
     """One passage in new surroundings every time: what is compared grows with the documents and not with their square."""
     monkeypatch.setattr(suffix, "CHUNK", 64)
+    monkeypatch.setattr(suffix, "PAIRED", 2)
     rng = random.Random(8)
     passage, rows = filler(rng, 230), []
     first = suffix.written
