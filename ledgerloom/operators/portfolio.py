@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import scalars as S
-from ledgerloom.functions.lineage import cut
+from ledgerloom.functions.lineage import cut_in_order
 from ledgerloom.functions.scalars import MONEY
 
 # Seconds without a sign of life after which a job counts as stale, by state: once something is done, and before;
@@ -108,7 +108,7 @@ def portfolio(periods: DataFrame, summary: DataFrame, jobs: DataFrame, as_of: Co
 
 def ranked(df: DataFrame, order: list[Column], into: str = "position") -> DataFrame:
     """Position of each row in an overall order (H1): rows are sorted by range, and each partition counts on from those before it."""
-    sorted_rows = cut(df.orderBy(*order)).withColumn("__at", F.monotonically_increasing_id())
+    sorted_rows = cut_in_order(df.orderBy(*order)).withColumn("__at", F.monotonically_increasing_id())
     part = F.shiftright("__at", 33)
     before = sorted_rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = before.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -18,3 +18,31 @@ def test_duplicates_deal_lines_once(spark):
     rows = spark.createDataFrame([], SIGNED)
     text = plan(L.mark_duplicates(rows))
     assert text.count("Exchange") == 1 and "Join" not in text
+
+
+def joins_that_carry(node, name):
+    here = "Join" in node.nodeName() and f"{name}#" in node.output().toString()
+    children = node.children()
+    return here + sum(joins_that_carry(children.apply(i), name) for i in range(children.size()))
+
+
+def test_identifiers_join_lines_once(spark):
+    rows = spark.createDataFrame([(1, "A", "", "5", "x")], "dossier long, lib_frss string, ice_frs string, if_number string, payload string").repartition("payload")
+    found = L.complete_identifiers(rows, ["dossier"])
+    assert joins_that_carry(found._jdf.queryExecution().optimizedPlan(), "payload") == 1
+
+
+def folder_bytes(path):
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(path) for f in files)
+
+
+def test_cut_rows_are_kept_compressed(spark):
+    before = folder_bytes(shared_dir(spark))
+    df = cut(spark.range(100_000).withColumn("text", F.lit("facture " * 20)))
+    assert df.count() == 100_000 and df.schema["text"].dataType.simpleString() == "string"
+    assert folder_bytes(shared_dir(spark)) - before < 2_000_000
+
+
+def test_cut_in_order_keeps_order(spark):
+    df = cut_in_order(spark.range(1000, 0, -1).orderBy("id")).withColumn("at", F.monotonically_increasing_id())
+    assert [r.id for r in df.orderBy("at").collect()] == list(range(1, 1001))
