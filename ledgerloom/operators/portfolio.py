@@ -288,9 +288,9 @@ def supplier_tree(lines: DataFrame) -> DataFrame:
 
 
 def official_names(lines: DataFrame, notebook: DataFrame) -> DataFrame:
-    """Names from the supplier notebook by company id, else by fiscal id; the last entry of an id wins."""
-    by_ice = notebook.where("ice <> ''").groupBy("client", "ice").agg(F.max_by("name", "entry").alias("n1"))
-    by_if = notebook.where("fiscal <> ''").groupBy("client", "fiscal").agg(F.max_by("name", "entry").alias("n2"))
+    """Names from the supplier notebook by company id, else by fiscal id; the last entry of an id wins, of equal ones the greatest name."""
+    by_ice = notebook.where("ice <> ''").groupBy("client", "ice").agg(F.max_by("name", F.struct("entry", "name")).alias("n1"))
+    by_if = notebook.where("fiscal <> ''").groupBy("client", "fiscal").agg(F.max_by("name", F.struct("entry", "name")).alias("n2"))
     keyed = lines.withColumns({"ice": S.ice(F.col("ice_frs")), "fiscal": S.fiscal_id(F.col("if_number"))})
     out = keyed.join(by_ice, ["client", "ice"], "left").join(by_if, ["client", "fiscal"], "left")
     name = F.coalesce("n1", "n2", "lib_frss")
@@ -298,8 +298,8 @@ def official_names(lines: DataFrame, notebook: DataFrame) -> DataFrame:
 
 
 def merge_notebook(notebook: DataFrame, new: DataFrame) -> DataFrame:
-    """Notebook after an upsert keyed by company id, else fiscal id; known ids and later names are kept."""
+    """Notebook after an upsert keyed by company id, else fiscal id; known ids and later names are kept, of equally late values the greatest."""
     both = notebook.withColumn("o", F.lit(0)).unionByName(new.withColumn("o", F.lit(1)))
     key = F.when(F.col("ice") != "", F.concat(F.lit("ice:"), "ice")).otherwise(F.concat(F.lit("if:"), "fiscal"))
     order = F.struct("o", "entry")
-    return both.withColumn("k", key).groupBy("client", "k").agg(F.max("ice").alias("ice"), F.max_by(F.col("fiscal"), F.struct((F.col("fiscal") != "").cast("int"), order)).alias("fiscal"), F.max_by("name", order).alias("name")).drop("k")
+    return both.withColumn("k", key).groupBy("client", "k").agg(F.max("ice").alias("ice"), F.max_by(F.col("fiscal"), F.struct((F.col("fiscal") != "").cast("int"), order, "fiscal")).alias("fiscal"), F.max_by("name", F.struct(order, "name")).alias("name")).drop("k")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.lineage import cut, cut_in_order, shared_dir
 from ledgerloom.operators import lines as L
+from ledgerloom.operators import portfolio as P
 
 SIGNED = "dossier long, pos int, source_file string, source_id string, fact_num string, lib_frss string, pct int, ttc decimal(18,2), date_fac date"
 
@@ -46,3 +47,12 @@ def test_cut_rows_are_kept_compressed(spark):
 def test_cut_in_order_keeps_order(spark):
     df = cut_in_order(spark.range(1000, 0, -1).orderBy("id")).withColumn("at", F.monotonically_increasing_id())
     assert [r.id for r in df.orderBy("at").collect()] == list(range(1, 1001))
+
+
+def test_notebook_entries_of_one_rank_do_not_depend_on_order(spark):
+    entries = [(1, "000000000000001", "7", "A", 5), (1, "000000000000001", "9", "C", 5), (1, "000000000000001", "8", "B", 5)]
+    line = spark.createDataFrame([(1, "000000000000001", "", "X")], "client int, ice_frs string, if_number string, lib_frss string")
+    for rows in (entries, entries[::-1]):
+        notebook = spark.createDataFrame(rows, "client int, ice string, fiscal string, name string, entry int").coalesce(1)
+        assert P.official_names(line, notebook).first().lib_frss == "C"
+        assert tuple(P.merge_notebook(notebook, notebook.limit(0)).first()) == (1, "000000000000001", "9", "C")
