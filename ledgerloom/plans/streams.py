@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions import amounts as A
+from ledgerloom.functions.lineage import cut
 from ledgerloom.operators import lines as L
 from ledgerloom.plans.files import _folder
 from ledgerloom.plans.lines import COHERENT
@@ -78,14 +79,15 @@ def k01_import(spark, sf_dir):
 
 def k04_recount(spark, sf_dir):
     """Lines and incoherent lines of each ledger, kept up to date while new lines arrive; a dossier's new lines come in one file."""
-    lines = D.invoice_lines(spark, sf_dir).select(*LEDGER, "ht", "tva", "ttc")
+    lines = cut(D.invoice_lines(spark, sf_dir).select(*LEDGER, "ht", "tva", "ttc"))  # read for the ledger, its counts and the stream
 
     def count(df: DataFrame) -> DataFrame:
         return df.groupBy("dossier").agg(F.count("*").alias("n"), F.count_if(~A.coherent(F.col("ht"), F.col("tva"), F.col("ttc"), F.col("pct"))).alias("anomalies"))
 
     store = _ledgers(spark, lines.where("pos % 2 = 0"), count)
     new = lines.where("pos % 2 = 1")
-    new.repartition(4, "dossier").write.parquet(f"{store.path}/new")
+    # a batch has whole buckets, so that none is written again by the next
+    new.repartition(4, store.bucket()).write.parquet(f"{store.path}/new")
     stream = spark.readStream.schema(new.schema).option("maxFilesPerTrigger", 1).parquet(f"{store.path}/new")
     query = stream.writeStream.foreachBatch(ST.merging(store, "import", _merged, count=count))
     query.option("checkpointLocation", f"{store.path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
