@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.lineage import shared_dir
+from ledgerloom.functions.lineage import cut, shared_dir
 from ledgerloom.plans.bank import TXNS
 from ledgerloom.plans.lines import ORACLES as LINES_SQL
 from ledgerloom.plans.lines import a12_declaration_rows as declared_rows
@@ -66,7 +66,7 @@ def a03_roles(spark, sf_dir):
 
 def a12_declaration_files(spark, sf_dir):
     """Declaration files by client and month, written twice and read back."""
-    rows = declared_rows(spark, sf_dir)
+    rows = cut(declared_rows(spark, sf_dir))  # written twice
     client, year, month = F.floor(F.col("dossier") / 1000), F.floor((F.col("dossier") % 1000 - 1) / 12) + 1990, (F.col("dossier") % 1000 - 1) % 12 + 1
     name = B.export_names(F.concat(F.lit("Client "), client.cast("string")), month, year)["file"]
     path = _folder(spark)
