@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,22 +21,28 @@ from ledgerloom.streaming import jobs as J
 from ledgerloom.streaming import store as ST
 
 
-def _replay(df: DataFrame, files: int = 4) -> DataFrame:
+def _replay(df: DataFrame, files: int = 4, path: str | None = None) -> DataFrame:
     """Write a table as files and open them as a stream."""
-    spark, path = df.sparkSession, _folder(df.sparkSession)
+    spark, path = df.sparkSession, path or _folder(df.sparkSession)
     df.repartition(files).write.parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-def _settle(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there; every trigger writes to a table of its own, in the shared folder."""
+def _settle(stream: DataFrame, mode: str, later: Callable[[], None] | None = None) -> DataFrame:
+    """Run a stream over what is there, and over what ``later`` adds; every trigger writes to a table of its own, in the shared folder."""
     spark, path = stream.sparkSession, _folder(stream.sparkSession)
 
     def put(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").queryName(f"q{uuid.uuid4().hex}").trigger(availableNow=True).start()
-    query.awaitTermination()
+    def run() -> None:
+        query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").queryName(f"q{uuid.uuid4().hex}").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    run()
+    if later:
+        later()
+        run()
     schema = T.StructType([*stream.schema.fields, T.StructField("epoch", T.IntegerType())])
     return spark.read.schema(schema).parquet(f"{path}/out/epoch=*")
 
@@ -94,15 +101,23 @@ def k04_recount(spark, sf_dir):
     return store.read("counts")
 
 
+#: Jobs that are watched in one bucket of a stream, about.
+BUCKET = 4096
+
+
 def k02_stale_stream(spark, sf_dir):
     """Next state of every job as the stream of signs of life tells it once the clock stands at the given moment."""
     days = 20_000  # replayed files are in no order of time, so that none of their rows may be late
     jobs = D.import_jobs(spark, sf_dir).select("job", "status", "total", F.col("touched_at").cast("timestamp").alias("touched_at"))
     clock = spark.range(1).select(F.lit(-1).cast("long").alias("job"), F.lit("done").alias("status"), F.lit(0).alias("total"), F.date_add(as_of(), days).cast("timestamp").alias("touched_at"))
+    path = _folder(spark)
+    stream = _replay(jobs, path=path)
+    buckets = max(64, spark.read.schema(jobs.schema).parquet(path).count() // BUCKET)
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.STORE)
     try:
-        told = _settle(J.stale_jobs(_replay(jobs.unionByName(clock)), f"{days} days"), "append")
+        # the clock comes after all jobs, so that none is behind it
+        told = _settle(J.stale_jobs(stream, f"{days} days", buckets), "append", later=lambda: clock.write.mode("append").parquet(path))
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return jobs.join(told.select("job", "next"), "job", "left").select("job", "status", F.coalesce("next", "status").alias("next"))

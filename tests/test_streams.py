@@ -110,3 +110,34 @@ def test_stale_jobs_by_timer(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     told = sorted((r.job, r.status, r.next) for r in spark.table("stale").collect())
     assert told == [(1, "processing", "queued"), (3, "processing", "queued"), (5, "uploading", "failed"), (6, "uploading", "queued")]
+
+
+def run_stale(spark, path, batches, name, **kw):
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, JOBS).coalesce(1).write.parquet(f"{path}/in/{k}")
+    stream = spark.readStream.schema(JOBS).option("maxFilesPerTrigger", 1).parquet(f"{path}/in/*")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.STORE)
+    try:
+        q = J.stale_jobs(stream, **kw).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    return q, sorted((r.job, r.status, r.next) for r in spark.table(name).collect())
+
+
+def test_jobs_behind_the_clock_are_told(spark, tmp_path):
+    """The clock's row comes in a batch before theirs, and does not move again."""
+    at = lambda h, m: datetime(2026, 1, 1, h, m)
+    signs = [(1, "processing", 3, at(10, 0)), (2, "uploading", 0, at(10, 0)), (3, "uploading", 2, at(10, 0)), (4, "processing", 1, at(11, 5)), (5, "done", 1, at(10, 0)), (None, "processing", 1, at(10, 0)), (6, "processing", None, at(10, 0)), (6, "done", None, at(10, 2))]
+    _, told = run_stale(spark, tmp_path, [[(9, "done", 0, at(11, 10))], signs], "behind")
+    assert told == [(1, "processing", "queued"), (2, "uploading", "failed"), (3, "uploading", "queued")]
+
+
+def test_timers_are_kept_by_bucket(spark, tmp_path):
+    """Calls to the state store grow with the buckets, not with the jobs."""
+    at = lambda h, m: datetime(2026, 1, 1, h, m)
+    jobs = [(i, ("processing", "uploading", "queued")[i % 3], i % 2, at(10, i % 7)) for i in range(3000)]
+    q, told = run_stale(spark, tmp_path, [jobs[:1500], jobs[1500:], [(9999, "done", 0, at(13, 0))]], "buckets", buckets=8)
+    assert told == sorted((i, s, "failed" if s == "uploading" and not n else "queued") for i, s, n, _ in jobs if s != "queued")
+    timers = [o["customMetrics"]["numRegisteredTimers"] for p in q.recentProgress for o in p["stateOperators"]]
+    assert 0 < sum(timers) <= 8 * len(timers)
