@@ -25,9 +25,11 @@ STRENGTH = 20.0
 OUTSIDE = 1e-4
 #: Languages whose scores stand in a full table, and whose counts a task holds at once; more are scored from a sparse table.
 DENSE = 64
-#: A declared value names a language if at least one in so many of the rows that declare something declare it. There are thus no more
-#: languages than this, and what the driver holds of them is bounded: their names, and at most 65,536 bigram counts each.
+#: Every declared value names a language. Those of at least one in so many of the rows that declare something are held by the driver and
+#: the tasks: no more than this number, with at most 65,536 bigram counts each. The others, of any number, stay in distributed tables.
 RAREST = 16_384
+#: Languages whose share of a posterior is below e to the minus this, far under what a double resolves, are not scored one by one.
+NEGLIGIBLE = 40.0
 #: Counts of languages by hosts, or by declared values, up to this number are broadcast; beyond it they are joined by shuffle.
 BROADCAST_PRIORS = 640_000
 #: Such counts up to this number are looked up in the tasks, so that no row carries them.
@@ -124,8 +126,83 @@ def text_scores(model: np.ndarray | Sparse, text: bytes) -> np.ndarray:
     return out
 
 
+def bags(texts: DataFrame, key: str) -> DataFrame:
+    """Bigrams of each text with their numbers, from the columns ``key`` and ``text``: rows (key, code, m)."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                found = [np.unique(bigrams(t), return_counts=True) for t in byte_values(batch.column(1))]
+                rows = np.repeat(np.arange(len(found)), [len(c) for c, _ in found])
+                codes, m = (np.concatenate([x[j] for x in found]).astype(np.int64) for j in (0, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(codes), pa.array(m)], names=["key", "code", "m"])
+
+    return texts.select(F.col(key).cast("string"), "text").mapInArrow(run, "key string, code long, m long")
+
+
+class Rare:
+    """Languages too many to be held by tasks: their models are tables, and ``ceiling`` holds the most that any of them gives each pair."""
+
+    def __init__(self, base: DataFrame, names: DataFrame) -> None:
+        smooth = 0.1 * SYMBOLS**2
+        counts = cut(bags(base.join(names, "declared"), "declared").groupBy(F.col("key").alias("rare"), "code").agg(F.sum("m").alias("n")))
+        totals = counts.groupBy("rare").agg(F.sum("n").alias("total"))
+        models = names.select(F.col("declared").alias("rare")).join(totals, "rare", "left").withColumn("total", F.coalesce("total", F.lit(0)) + smooth)
+        self.models = cut(models.select("rare", "total", F.log(0.1 / F.col("total")).alias("unseen")))
+        self.more = counts.select("rare", "code", F.log((F.col("n") + 0.1) / 0.1).alias("more"))
+        self.ceiling = np.full(65536, self.models.agg(F.max("unseen")).first()[0])
+        for r in self.more.join(self.models, "rare").groupBy("code").agg(F.max(F.col("more") + F.col("unseen")).alias("most")).collect():
+            self.ceiling[r["code"]] = max(self.ceiling[r["code"]], r["most"])
+
+    def scores(self, texts: DataFrame) -> DataFrame:
+        """The log-likelihood of each text (key, text) in each of the languages: rows (key, rare, s)."""
+        held = cut(bags(texts, "key"))
+        unseen = held.groupBy("key").agg(F.sum("m").alias("size")).crossJoin(self.models).select("key", "rare", (F.col("size") * F.col("unseen")).alias("s"))
+        seen = held.join(self.more, "code").select("key", "rare", (F.col("m") * F.col("more")).alias("s"))
+        # rounded, as tasks add in any order and equal texts must tie
+        return unseen.unionByName(seen).groupBy("key", "rare").agg(F.round(F.sum("s"), 9).alias("s"))
+
+    def guesses(self, guessed: DataFrame, languages: DataFrame) -> DataFrame:
+        """Rows (l, rare, declared, host): the best language of each text, ``l`` -1 where that is a rare one; ``text`` is set where one may be."""
+        tried = guessed.withColumn("key", F.sha2("text", 256))
+        best = self.scores(tried.where("text is not null").select("key", "text").dropDuplicates(["key"])).groupBy("key").agg(F.min(F.struct((-F.col("s")).alias("cost"), "rare")).alias("best"))
+        compared = tried.where("text is not null").join(best, "key").join(F.broadcast(languages), "l", "left")
+        wins = F.col("name").isNull() | (-F.col("best.cost") > F.col("score")) | ((-F.col("best.cost") == F.col("score")) & (F.col("best.rare") < F.col("name")))
+        compared = compared.select(F.when(wins, -1).otherwise(F.col("l")).alias("l"), F.when(wins, F.col("best.rare")).alias("rare"), "declared", "host")
+        return guessed.where("text is null and l >= 0").select("l", F.lit(None).cast("string").alias("rare"), "declared", "host").unionByName(compared)
+
+    def posteriors(self, asked: DataFrame, cells: DataFrame, classes: int) -> DataFrame:
+        """What the rare languages together and the best of them score for each row of ``asked`` (key, text, declared, host): rows (key, top, lang, more).
+
+        ``more`` is the logarithm of the sum of their scores; ``cells`` (l, rare, declared, host, n) are the guesses.
+        """
+        suffix = F.element_at(F.split("host", r"\."), -1).alias("suffix")
+        cells = cells.select("*", suffix)
+        every = cells.agg(F.sum("n")).first()[0] or 0
+        number = lambda rows, of, name: rows.groupBy(*of).agg(F.sum("n").alias(name))
+        hosted, own = cells.where("host is not null"), cells.where("rare is not null")
+        asked = asked.select("*", suffix, F.sha2("text", 256).alias("of_text"))
+        z = self.scores(asked.select(F.col("of_text").alias("key"), "text").dropDuplicates(["key"])).withColumnRenamed("key", "of_text")
+        z = z.join(asked.drop("text").join(number(hosted, ["host"], "n_host"), "host", "left").join(number(hosted, ["suffix"], "n_suffix"), "suffix", "left"), "of_text")
+        for of, name in ((["rare"], "own"), (["rare", "host"], "own_host"), (["rare", "suffix"], "own_suffix"), (["rare", "declared"], "own_declared")):
+            z = z.join(number(own.dropna(subset=of), of, name), of, "left")
+        z = z.join(number(own.where("declared is not null"), ["rare"], "said"), "rare", "left").fillna(0, ["own", "own_host", "own_suffix", "own_declared", "said", "n_suffix"])
+        overall = (F.col("own") + 1) / (classes + every)
+        of_suffix = (F.col("own_suffix") + STRENGTH * overall) / (F.col("n_suffix") + STRENGTH)
+        prior = F.when(F.col("n_host").isNull(), overall).otherwise((F.col("own_host") + STRENGTH * of_suffix) / (F.col("n_host") + STRENGTH))
+        told = F.when(F.col("declared").isNull(), 1.0).otherwise((F.col("own_declared") + 0.5) / (0.5 * (classes + 1) + F.col("said")))
+        # sums of exponentials by steps of 500, so that none overflows; the two highest steps hold all that counts
+        z = z.select("key", "rare", (F.col("s") + F.log(prior) + F.log(told)).alias("z")).withColumn("step", F.floor(F.col("z") / 500))
+        steps = z.groupBy("key", "step").agg(F.sum(F.exp(F.col("z") - 500 * F.col("step"))).alias("sum"), F.min(F.struct((-F.col("z")).alias("cost"), "rare")).alias("best"))
+        high = steps.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("step", "sum", "best")), asc=False).alias("high"))
+        first, second = F.get("high", F.lit(0)), F.get("high", F.lit(1))
+        below = F.coalesce(second["sum"] * F.exp(500.0 * (second["step"] - first["step"])), F.lit(0.0))
+        return high.select("key", (-first["best"]["cost"]).alias("top"), first["best"]["rare"].alias("lang"), (500 * first["step"] + F.log(first["sum"] + below)).alias("more"))
+
+
 def smoothed(counts: list, parent: np.ndarray) -> np.ndarray:
-    """Shares of the languages in ``counts`` (l, n), smoothed towards those of the parent."""
+    """Shares of the languages in ``counts`` (l, n), smoothed towards those of the parent; -1, the last, stands for the rare ones together."""
     out, total = STRENGTH * parent, 0
     for x in counts:
         out[x["l"]] += x["n"]
@@ -150,8 +227,10 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
 
     ``declared``: language named by markup or metadata; ``host``: host name or
     source, whose last dot-separated part is the address suffix. Nulls there
-    are no evidence, and neither are declared values too rare to be a language
-    (under one in 16,384 of the rows that declare something). A text without letters (null and empty ones too), or one
+    are no evidence; every other declared value is a language, however rare.
+    Rare ones (under one in 16,384 of the rows that declare something) are
+    scored one by one where a bound on them all together does not show that
+    they count for nothing. A text without letters (null and empty ones too), or one
     that no language explains better than chance, is ``und`` and not accepted,
     and so is a text whose best posterior is below one half. Repeated rows are
     judged alike; an empty table, or one without declared languages, accepts
@@ -165,28 +244,47 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
     host = F.lit(None).cast("string") if host is None else host
     base = docs.select(F.col(text).alias("text"), F.lower(declared).alias("declared"), F.lower(host).alias("host"))
     stated = base.where("declared is not null").groupBy("declared").count()
-    rows = stated.agg(F.sum("count")).first()[0] or 0
+    rows, classes = stated.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     languages = sorted(r[0] for r in stated.where(F.col("count") * RAREST >= rows).select("declared").collect())
     k = len(languages)
-    if not k:
+    if not classes:
         return docs.withColumn(into, F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(1.0).alias("probability"), F.lit(False).alias("accepted")))
     model = spark.sparkContext.broadcast(learned(*count_bigrams(base, languages), k))
+    rare = Rare(base, stated.where(F.col("count") * RAREST < rows).select("declared")) if classes > k else None
+    ceiling = spark.sparkContext.broadcast(rare.ceiling if rare else None)
 
     def guess(batches):
         for batch in batches:
             best = [int(s[:k].argmax()) if (s := text_scores(model.value, t)).any() else -1 for t in byte_values(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(best, pa.int32()), batch.column(1), batch.column(2)], names=["l", "declared", "host"])
 
-    # counts of text-only guesses by declared language and host: the one pass that both priors come from
-    cells = cut(base.mapInArrow(guess, "l int, declared string, host string").where("l >= 0").groupBy("l", "declared", "host").agg(F.count("*").alias("n")))
+    def try_rare(batches):
+        for batch in batches:
+            out = []
+            for t, text in zip(byte_values(batch.column(0)), batch.column(0).to_pylist()):
+                s = text_scores(model.value, t)
+                score = float(s[:k].max(initial=-np.inf))
+                may_be = s.any() and ceiling.value[bigrams(t)].sum() >= score - 1e-6 * (1 + abs(s[k]))
+                out.append((int(s[:k].argmax()) if k and s.any() else -1, score, text if may_be else None))
+            l, scores, texts = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(l, pa.int32()), pa.array(scores, pa.float64()), pa.array(texts, pa.string()), batch.column(1), batch.column(2)], names=["l", "score", "text", "declared", "host"])
+
+    # counts of text-only guesses by declared language and host: the one pass that both priors come from; -1 stands for rare languages
+    if rare:
+        # from Arrow: rows of Python would start workers of their own
+        names = spark.createDataFrame(pa.table({"l": pa.array(range(k), pa.int32()), "name": pa.array(languages, pa.string())}))
+        guessed = rare.guesses(cut(base.mapInArrow(try_rare, "l int, score double, text string, declared string, host string")), names)
+        by_name = cut(guessed.groupBy("l", "rare", "declared", "host").agg(F.count("*").alias("n")))
+        cells = by_name.groupBy("l", "declared", "host").agg(F.sum("n").alias("n"))
+    else:
+        cells = cut(base.mapInArrow(guess, "l int, declared string, host string").where("l >= 0").groupBy("l", "declared", "host").agg(F.count("*").alias("n")))
     # what is declared when a language is found: half a row for each pair (and for none), and the rows counted
-    names = spark.createDataFrame(pa.table({"declared": pa.array(languages, pa.string())}))  # from Arrow: rows of Python would start workers of their own
-    pairs = cells.join(F.broadcast(names), "declared").groupBy("declared", "l").agg(F.sum("n").alias("n"))
-    found = np.full(k, 0.5 * (k + 1))
+    pairs = cells.where("declared is not null").groupBy("declared", "l").agg(F.sum("n").alias("n"))
+    found = np.full(k + 1, 0.5 * (classes + 1))
     for r in pairs.groupBy("l").agg(F.sum("n").alias("n")).collect():
         found[r["l"]] += r["n"]
-    said = spark.sparkContext.broadcast((languages, set(languages), found))
-    overall = np.full(k, 1.0)
+    said = spark.sparkContext.broadcast((languages, found))
+    overall = np.append(np.full(k, 1.0), classes - k)
     for r in cells.groupBy("l").agg(F.sum("n").alias("n")).collect():
         overall[r["l"]] += r["n"]
     overall /= overall.sum()
@@ -200,25 +298,34 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
     of_prior, of_told = F.size(f"{prior}.of_host") + F.size(f"{prior}.of_suffix"), F.size(told)
     counts = sum(table.agg(F.sum(entries)).first()[0] or 0 for table, entries in ((priors, of_prior), (by_declared, of_told)))
 
-    def posterior(t: str | None, d: str | None, pairs_of, h, sfx) -> tuple[str, float, bool]:
-        names, known, found = said.value
+    def posterior(t: str | None, d: str | None, pairs_of, h, sfx) -> tuple:
+        names, found = said.value
         s = text_scores(model.value, t.encode() if t else b"")
         if not s.any():
-            return UNKNOWN, 1.0, False
-        s[:k] += np.log(overall if h is None else smoothed(h, smoothed(sfx, overall)))
+            return UNKNOWN, 1.0, False, 0.0, 0.0, True, False
+        prior = overall if h is None else smoothed(h, smoothed(sfx, overall))
+        s[:k] += np.log(prior[:k])
         s[k] += math.log(OUTSIDE)
-        if d in known:
-            by = np.full(k, 0.5)
+        by = np.full(k + 1, 0.5)
+        if d is not None:
             for x in pairs_of if pairs_of is not None else ():
                 by[x["l"]] += x["n"]
-            s[:k] += np.log(by / found)
-            s[k] += math.log(1 / k)
-        s = np.exp(s - s.max())
-        s /= s.sum()
+            s[:k] += np.log(by[:k] / found[:k])
+            s[k] += math.log(1 / classes)
+        top = float(s.max())
+        s = np.exp(s - top)
+        total = s.sum()
+        s /= total
         i = int(s.argmax())
-        return UNKNOWN if i == k else names[i], float(s[i]), i < k and bool(s[i] >= 0.5)
-
-    result = "lang string, probability double, accepted boolean"
+        may_be = False
+        if classes > k:
+            # the most that the rare languages' priors come to together, and that the declared value says for one of them
+            most = by[k] / (0.5 * classes + by[k]) if d is not None else 1.0
+            may_be = bool(ceiling.value[bigrams(t.encode())].sum() + math.log(prior[k]) + math.log(most) >= top - NEGLIGIBLE)
+        return UNKNOWN if i == k else names[i], float(s[i]), i < k and bool(s[i] >= 0.5), top, top + math.log(total), i == k, may_be
+
+    fields = ["lang", "probability", "accepted"] + (["top", "total", "outside", "may_be"] if rare else [])
+    result = "lang string, probability double, accepted boolean" + (", top double, total double, outside boolean, may_be boolean" if rare else "")
     if counts <= min(LOOKUP, BROADCAST_PRIORS):
         hosts = {r[of]: ([x.asDict() for x in r[prior]["of_host"]], [x.asDict() for x in r[prior]["of_suffix"]]) for r in priors.collect()}
         tags = {r[said_by]: [x.asDict() for x in r[told]] for r in by_declared.collect()}
@@ -227,14 +334,32 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
         @F.pandas_udf(result)
         def looked_up(texts: pd.Series, named: pd.Series, hosted: pd.Series) -> pd.DataFrame:
             hosts, tags = held.value
-            return pd.DataFrame([posterior(t, d, tags.get(d), *hosts.get(h, (None, None))) for t, d, h in zip(texts, named, hosted)], columns=["lang", "probability", "accepted"])
+            return pd.DataFrame([posterior(t, d, tags.get(d), *hosts.get(h, (None, None)))[: len(fields)] for t, d, h in zip(texts, named, hosted)], columns=fields)
 
-        return docs.withColumn(into, looked_up(F.col(text), F.lower(declared), F.lower(host)))
+        judged = docs.withColumn(into, looked_up(F.col(text), F.lower(declared), F.lower(host)))
+    else:
 
-    @F.pandas_udf(result)
-    def judge(texts: pd.Series, named: pd.Series, pairs: pd.Series, of_host: pd.Series, of_suffix: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([posterior(*row) for row in zip(texts, named, pairs, of_host, of_suffix)], columns=["lang", "probability", "accepted"])
-
-    joined = attached(docs.withColumn(key, F.lower(host)), F.col(key), priors, of, of_prior, *apart[:2])
-    joined = attached(joined.withColumn(key, F.lower(declared)), F.col(key), by_declared, said_by, of_told, *apart[2:])
-    return joined.withColumn(into, judge(F.col(text), F.col(key), F.col(told), F.col(f"{prior}.of_host"), F.col(f"{prior}.of_suffix"))).select(*docs.columns, into)
+        @F.pandas_udf(result)
+        def judge(texts: pd.Series, named: pd.Series, pairs: pd.Series, of_host: pd.Series, of_suffix: pd.Series) -> pd.DataFrame:
+            return pd.DataFrame([posterior(*row)[: len(fields)] for row in zip(texts, named, pairs, of_host, of_suffix)], columns=fields)
+
+        joined = attached(docs.withColumn(key, F.lower(host)), F.col(key), priors, of, of_prior, *apart[:2])
+        joined = attached(joined.withColumn(key, F.lower(declared)), F.col(key), by_declared, said_by, of_told, *apart[2:])
+        judged = joined.withColumn(into, judge(F.col(text), F.col(key), F.col(told), F.col(f"{prior}.of_host"), F.col(f"{prior}.of_suffix"))).select(*docs.columns, into)
+    if not rare:
+        return judged
+
+    # rows for which rare languages may count are asked again, each text, declared value and host once
+    whole = F.sha2(F.concat_ws("|", *[F.sha2(F.coalesce(F.concat(F.lit("="), c), F.lit("")), 256) for c in (F.col(text), F.lower(declared), F.lower(host))]), 256)
+    asked = judged.where(F.col(f"{into}.may_be")).select(whole.alias("key"), F.col(text).alias("text"), F.lower(declared).alias("declared"), F.lower(host).alias("host"))
+    asked = cut(asked.dropDuplicates(["key"]))
+    others = cut(rare.posteriors(asked, by_name, classes)).select(F.col("key").alias(of), F.struct("top", "lang", "more").alias(prior))
+    both = judged.withColumn(key, whole).join(others, F.col(key) == F.col(of), "left")
+    mine, other = F.col(into), F.col(prior)
+    known = F.struct(mine["lang"].alias("lang"), mine["probability"].alias("probability"), mine["accepted"].alias("accepted"))
+    most = F.greatest(mine["total"], other["more"])
+    total = most + F.log(F.exp(mine["total"] - most) + F.exp(other["more"] - most))
+    wins = (other["top"] > mine["top"]) | ((other["top"] == mine["top"]) & (mine["outside"] | (other["lang"] < mine["lang"])))
+    share = F.exp(F.greatest(mine["top"], other["top"]) - total)
+    mixed = F.struct(F.when(wins, other["lang"]).otherwise(mine["lang"]).alias("lang"), share.alias("probability"), ((share >= 0.5) & (wins | ~mine["outside"])).alias("accepted"))
+    return both.withColumn(into, F.when(other.isNull(), known).otherwise(mixed)).select(*docs.columns, into)
