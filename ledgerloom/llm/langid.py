@@ -9,14 +9,17 @@ All three are estimated by grouped aggregation over the whole table.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, cut, fresh
+from .common import byte_values, cut, fresh, partitions, shared_dir
 
 UNKNOWN = "und"
 #: Strength of a parent's prior, in rows.
@@ -141,6 +144,14 @@ def bags(texts: DataFrame, key: str) -> DataFrame:
     return texts.select(F.col(key).cast("string"), "text").mapInArrow(run, "key string, code long, m long")
 
 
+def model_parts(path: str):
+    """The models of rare languages, 128 at a time, from the files in the shared folder."""
+    system, folder = pa.fs.FileSystem.from_uri(path) if ":/" in path else (pa.fs.LocalFileSystem(), path)
+    for f in sorted(x.path for x in system.get_file_info(pa.fs.FileSelector(folder)) if x.path.endswith(".parquet")):
+        with system.open_input_file(f) as source:
+            yield from pq.ParquetFile(source).iter_batches(batch_size=128, use_threads=False)
+
+
 class Rare:
     """Languages too many to be held by tasks: their models are tables, and ``ceiling`` holds the most that any of them gives each pair."""
 
@@ -152,28 +163,72 @@ class Rare:
         self.models = cut(models.select("rare", "total", F.log(0.1 / F.col("total")).alias("unseen")))
         self.more = counts.select("rare", "code", F.log((F.col("n") + 0.1) / 0.1).alias("more"))
         self.ceiling = np.full(65536, self.models.agg(F.max("unseen")).first()[0])
+        lists = self.more.groupBy("rare").agg(F.collect_list(F.struct("code", "more")).alias("seen"))
+        held = self.models.join(lists, "rare", "left").select("rare", "unseen", F.coalesce("seen.code", F.array().cast("array<long>")).alias("codes"), F.coalesce("seen.more", F.array().cast("array<double>")).alias("more"))
+        self.path = f"{shared_dir(base.sparkSession).rstrip('/')}/rare-{uuid.uuid4().hex}"
+        held.write.option("parquet.block.size", 16 << 20).parquet(self.path)
         for r in self.more.join(self.models, "rare").groupBy("code").agg(F.max(F.col("more") + F.col("unseen")).alias("most")).collect():
             self.ceiling[r["code"]] = max(self.ceiling[r["code"]], r["most"])
 
-    def scores(self, texts: DataFrame) -> DataFrame:
-        """The log-likelihood of each text (key, text) in each of the languages: rows (key, rare, s)."""
-        held = cut(bags(texts, "key"))
-        unseen = held.groupBy("key").agg(F.sum("m").alias("size")).crossJoin(self.models).select("key", "rare", (F.col("size") * F.col("unseen")).alias("s"))
-        seen = held.join(self.more, "code").select("key", "rare", (F.col("m") * F.col("more")).alias("s"))
-        # rounded, as tasks add in any order and equal texts must tie
-        return unseen.unionByName(seen).groupBy("key", "rare").agg(F.round(F.sum("s"), 9).alias("s"))
+    def scores(self, texts: DataFrame, best: bool) -> DataFrame:
+        """Log-likelihoods of at least ``least`` that texts (key, text, least) have in these languages, or the best of them: rows (key, rare, s).
+
+        Every text meets every language, a part of the texts and of the models at a time.
+        """
+        path = self.path
+
+        def run(batches):
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    batch = whole.slice(at, 512)
+                    found = [np.unique(bigrams(t), return_counts=True) for t in byte_values(batch.column(1))]
+                    held = np.unique(np.concatenate([c for c, _ in found]))
+                    place = np.full(65536, -1)
+                    place[held] = np.arange(len(held))
+                    x = np.zeros((len(found), len(held)))
+                    for row, (codes, m) in enumerate(found):
+                        x[row, place[codes]] = m
+                    size, least = x.sum(1)[:, None], batch.column(2).to_numpy(zero_copy_only=False).copy()
+                    top: dict[int, tuple[float, str]] = {}
+                    for models in model_parts(path):
+                        name = models.column("rare").to_pylist()
+                        codes, more = (models.column(c).flatten().to_numpy() for c in ("codes", "more"))
+                        of = np.repeat(np.arange(len(name)), np.diff(models.column("codes").offsets.to_numpy()))
+                        w = np.zeros((len(held), len(name)))
+                        in_use = place[codes] >= 0
+                        w[place[codes[in_use]], of[in_use]] = more[in_use]
+                        # rounded, so that equal texts tie
+                        s = np.round(x @ w + size * models.column("unseen").to_numpy(), 9)
+                        hit, language = np.nonzero(s >= least[:, None])
+                        if not best:
+                            yield rows_of(batch.column(0).take(pa.array(hit)), [name[j] for j in language], s[hit, language])
+                            continue
+                        for i, j in zip(hit.tolist(), language.tolist()):
+                            if i not in top or (-s[i, j], name[j]) < (-top[i][0], top[i][1]):
+                                top[i] = (float(s[i, j]), name[j])
+                                least[i] = s[i, j]
+                    if best:
+                        yield rows_of(batch.column(0).take(pa.array(list(top), pa.int64())), [n for _, n in top.values()], [v for v, _ in top.values()])
+
+        def rows_of(keys, names, values):
+            return pa.RecordBatch.from_arrays([keys, pa.array(names, pa.string()), pa.array(values, pa.float64())], names=["key", "rare", "s"])
+
+        spread = texts.dropDuplicates(["key"]).repartition(partitions(texts.sparkSession), "key")
+        return spread.select("key", "text", "least").mapInArrow(run, "key string, rare string, s double")
 
     def guesses(self, guessed: DataFrame, languages: DataFrame) -> DataFrame:
         """Rows (l, rare, declared, host): the best language of each text, ``l`` -1 where that is a rare one; ``text`` is set where one may be."""
         tried = guessed.withColumn("key", F.sha2("text", 256))
-        best = self.scores(tried.where("text is not null").select("key", "text").dropDuplicates(["key"])).groupBy("key").agg(F.min(F.struct((-F.col("s")).alias("cost"), "rare")).alias("best"))
-        compared = tried.where("text is not null").join(best, "key").join(F.broadcast(languages), "l", "left")
-        wins = F.col("name").isNull() | (-F.col("best.cost") > F.col("score")) | ((-F.col("best.cost") == F.col("score")) & (F.col("best.rare") < F.col("name")))
-        compared = compared.select(F.when(wins, -1).otherwise(F.col("l")).alias("l"), F.when(wins, F.col("best.rare")).alias("rare"), "declared", "host")
+        best = self.scores(tried.where("text is not null").select("key", "text", F.col("score").alias("least")), True)
+        compared = tried.where("text is not null").join(best, "key", "left").join(F.broadcast(languages), "l", "left")
+        wins = F.col("rare").isNotNull() & (F.col("name").isNull() | (F.col("s") > F.col("score")) | ((F.col("s") == F.col("score")) & (F.col("rare") < F.col("name"))))
+        compared = compared.select(F.when(wins, -1).otherwise(F.col("l")).alias("l"), F.when(wins, F.col("rare")).alias("rare"), "declared", "host")
         return guessed.where("text is null and l >= 0").select("l", F.lit(None).cast("string").alias("rare"), "declared", "host").unionByName(compared)
 
     def posteriors(self, asked: DataFrame, cells: DataFrame, classes: int) -> DataFrame:
-        """What the rare languages together and the best of them score for each row of ``asked`` (key, text, declared, host): rows (key, top, lang, more).
+        """What the rare languages together and the best of them score for each row of ``asked`` (key, text, declared, host, least): rows (key, top, lang, more).
+
+        Those whose likelihood is below ``least`` count for nothing, even together.
 
         ``more`` is the logarithm of the sum of their scores; ``cells`` (l, rare, declared, host, n) are the guesses.
         """
@@ -183,8 +238,9 @@ class Rare:
         number = lambda rows, of, name: rows.groupBy(*of).agg(F.sum("n").alias(name))
         hosted, own = cells.where("host is not null"), cells.where("rare is not null")
         asked = asked.select("*", suffix, F.sha2("text", 256).alias("of_text"))
-        z = self.scores(asked.select(F.col("of_text").alias("key"), "text").dropDuplicates(["key"])).withColumnRenamed("key", "of_text")
-        z = z.join(asked.drop("text").join(number(hosted, ["host"], "n_host"), "host", "left").join(number(hosted, ["suffix"], "n_suffix"), "suffix", "left"), "of_text")
+        texts = asked.groupBy(F.col("of_text").alias("key")).agg(F.first("text").alias("text"), F.min("least").alias("least"))
+        z = self.scores(texts, False).withColumnRenamed("key", "of_text")
+        z = z.join(asked.drop("text").join(number(hosted, ["host"], "n_host"), "host", "left").join(number(hosted, ["suffix"], "n_suffix"), "suffix", "left"), "of_text").where("s >= least")
         for of, name in ((["rare"], "own"), (["rare", "host"], "own_host"), (["rare", "suffix"], "own_suffix"), (["rare", "declared"], "own_declared")):
             z = z.join(number(own.dropna(subset=of), of, name), of, "left")
         z = z.join(number(own.where("declared is not null"), ["rare"], "said"), "rare", "left").fillna(0, ["own", "own_host", "own_suffix", "own_declared", "said", "n_suffix"])
@@ -229,8 +285,8 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
     source, whose last dot-separated part is the address suffix. Nulls there
     are no evidence; every other declared value is a language, however rare.
     Rare ones (under one in 16,384 of the rows that declare something) are
-    scored one by one where a bound on them all together does not show that
-    they count for nothing. A text without letters (null and empty ones too), or one
+    scored one by one, which takes texts times languages, where a bound on them
+    all together does not show that they count for nothing. A text without letters (null and empty ones too), or one
     that no language explains better than chance, is ``und`` and not accepted,
     and so is a text whose best posterior is below one half. Repeated rows are
     judged alike; an empty table, or one without declared languages, accepts
@@ -302,7 +358,7 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
         names, found = said.value
         s = text_scores(model.value, t.encode() if t else b"")
         if not s.any():
-            return UNKNOWN, 1.0, False, 0.0, 0.0, True, False
+            return UNKNOWN, 1.0, False, 0.0, 0.0, True, 0.0, False
         prior = overall if h is None else smoothed(h, smoothed(sfx, overall))
         s[:k] += np.log(prior[:k])
         s[k] += math.log(OUTSIDE)
@@ -317,15 +373,16 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
         total = s.sum()
         s /= total
         i = int(s.argmax())
-        may_be = False
+        may_be, least = False, 0.0
         if classes > k:
             # the most that the rare languages' priors come to together, and that the declared value says for one of them
             most = by[k] / (0.5 * classes + by[k]) if d is not None else 1.0
-            may_be = bool(ceiling.value[bigrams(t.encode())].sum() + math.log(prior[k]) + math.log(most) >= top - NEGLIGIBLE)
-        return UNKNOWN if i == k else names[i], float(s[i]), i < k and bool(s[i] >= 0.5), top, top + math.log(total), i == k, may_be
+            least = top - NEGLIGIBLE - math.log(prior[k]) - math.log(most)
+            may_be = bool(ceiling.value[bigrams(t.encode())].sum() >= least)
+        return UNKNOWN if i == k else names[i], float(s[i]), i < k and bool(s[i] >= 0.5), top, top + math.log(total), i == k, least, may_be
 
-    fields = ["lang", "probability", "accepted"] + (["top", "total", "outside", "may_be"] if rare else [])
-    result = "lang string, probability double, accepted boolean" + (", top double, total double, outside boolean, may_be boolean" if rare else "")
+    fields = ["lang", "probability", "accepted"] + (["top", "total", "outside", "least", "may_be"] if rare else [])
+    result = "lang string, probability double, accepted boolean" + (", top double, total double, outside boolean, least double, may_be boolean" if rare else "")
     if counts <= min(LOOKUP, BROADCAST_PRIORS):
         hosts = {r[of]: ([x.asDict() for x in r[prior]["of_host"]], [x.asDict() for x in r[prior]["of_suffix"]]) for r in priors.collect()}
         tags = {r[said_by]: [x.asDict() for x in r[told]] for r in by_declared.collect()}
@@ -351,7 +408,7 @@ def identify(docs: DataFrame, text: str = "text", declared: Column | None = None
 
     # rows for which rare languages may count are asked again, each text, declared value and host once
     whole = F.sha2(F.concat_ws("|", *[F.sha2(F.coalesce(F.concat(F.lit("="), c), F.lit("")), 256) for c in (F.col(text), F.lower(declared), F.lower(host))]), 256)
-    asked = judged.where(F.col(f"{into}.may_be")).select(whole.alias("key"), F.col(text).alias("text"), F.lower(declared).alias("declared"), F.lower(host).alias("host"))
+    asked = judged.where(F.col(f"{into}.may_be")).select(whole.alias("key"), F.col(text).alias("text"), F.lower(declared).alias("declared"), F.lower(host).alias("host"), F.col(f"{into}.least").alias("least"))
     asked = cut(asked.dropDuplicates(["key"]))
     others = cut(rare.posteriors(asked, by_name, classes)).select(F.col("key").alias(of), F.struct("top", "lang", "more").alias(prior))
     both = judged.withColumn(key, whole).join(others, F.col(key) == F.col(of), "left")
