@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.lineage import cut
 from ledgerloom.operators import bank as B
+from ledgerloom.operators import correction as C
 from ledgerloom.operators import lines as L
+from ledgerloom.plans import QUERIES
+from ledgerloom.plans.textjobs import invoices
 from ledgerloom.sources import driver_tables as D
 
 
@@ -92,3 +95,22 @@ def test_labels_are_cut_only_where_terms_begin(spark):
     want = sorted((d, t, term, k) for d, t, label in pay for scope, term, k in terms if scope == d and term and term in label)
     assert sorted((x.dossier, x.txn, x.term, x.key) for x in got.collect()) == want
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
+def test_a_batch_derives_its_lines_once(spark, monkeypatch):
+    calls, real = [], D.invoice_lines
+    monkeypatch.setattr(D, "invoice_lines", lambda *a: calls.append(a) or real(*a))
+    df = QUERIES["f09_normalise_batch"](spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1 and "l_orderkey" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_decisions_deal_each_side_once(spark):
+    lines = spark.createDataFrame([], "doc string, pos long, ht decimal(18,2), tva decimal(18,2), ttc decimal(18,2), pct int, fact_num string")
+    docs = C.read_documents(spark.createDataFrame([], "doc string, text string"))
+    assert C.decisions(lines, docs, ["doc"])._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+
+
+def test_invoices_are_printed_after_they_are_dealt(spark):
+    lines = D.invoice_lines(spark, "/root/testdata/sf0.001")
+    plan = invoices(spark, "/root/testdata/sf0.001", lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [dossier" in plan
